@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to the module that has it.
 MODULES = {
+    "op1_packing": "packing",
     "op4_token_files": "token_files",
+    "op6_sentencepiece": "pieces",
 }
 
 
