@@ -13,6 +13,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op4_token_files": "token_files",
     "op6_sentencepiece": "pieces",
+    "op9_licenses": "licenses",
 }
 
 
