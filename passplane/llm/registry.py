@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that has it.
 MODULES = {
     "op1_packing": "packing",
+    "op2_language": "language",
     "op3_simhash": "simhash",
     "op4_token_files": "token_files",
     "op6_sentencepiece": "pieces",
