@@ -67,27 +67,14 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def curve_keys(texts: list[str]) -> np.ndarray:
-    """The Hilbert key of each text's hashed word vector."""
+def curve_keys(words: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+    """The Hilbert key of each of n texts' hashed word vectors. words: a hash of each word; text_of: its text."""
     directions = np.random.default_rng(7).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
-    out = []
-    for a, b in by_size(texts):
-        words, counts = [], []
-        for text in texts[a:b]:
-            own = text.encode("utf-8", "replace").split()
-            counts.append(len(own))
-            words += own
-        bucket = np.fromiter(map(_bucket, words), np.int64, len(words))
-        row = np.repeat(np.arange(b - a), counts)
-        vector = np.sqrt(np.bincount(row * BUCKETS + bucket, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)).astype(np.float32)
-        size = np.sqrt((vector**2).sum(1, keepdims=True))
-        place = 1 / (1 + np.exp(-1.7 * (vector / np.maximum(size, 1e-9)) @ directions))
-        out.append(hilbert_key(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _bucket(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
+    cells = text_of * BUCKETS + (words % np.uint64(BUCKETS)).astype(np.int64)
+    vector = np.sqrt(np.bincount(cells, minlength=n * BUCKETS).reshape(n, BUCKETS)).astype(np.float32)
+    size = np.sqrt((vector**2).sum(1, keepdims=True))
+    place = 1 / (1 + np.exp(-1.7 * (vector / np.maximum(size, 1e-9)) @ directions))
+    return hilbert_key(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
 def keyed_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -98,8 +85,10 @@ def keyed_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         width = "<u2" if max(tok.library.get_vocab_size(), end_id + 1) <= 65_536 else "<u4"
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            ids = [np.append(x, end_id).astype(width) for x in tok.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(texts)), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+            for a, b in by_size(texts):
+                found, words, text_of = tok.encode_with_words(texts[a:b])
+                ids = [np.append(x, end_id).astype(width) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(curve_keys(words, text_of, b - a)), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary")
 
