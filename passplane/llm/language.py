@@ -67,12 +67,13 @@ _CACHE: list[tuple[np.ndarray, np.ndarray]] = []
 
 @dataclass
 class Words:
-    """Words of texts end to end: first and last place, letters, script and text of each; a trigram bucket by place."""
+    """Words of texts end to end: begin and end, script and text of each; by place the lower case and a trigram bucket."""
 
     starts: np.ndarray
     stops: np.ndarray
     script: np.ndarray
     text_of: np.ndarray
+    low: np.ndarray
     bucket: np.ndarray
 
 
@@ -96,7 +97,7 @@ def words_of(texts: list[str]) -> Words:
     bucket = (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
     change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, stops = change[::2], change[1::2]
-    return Words(starts, stops, own[starts], np.searchsorted(ends, starts), bucket)
+    return Words(starts, stops, own[starts], np.searchsorted(ends, starts), low, bucket)
 
 
 @dataclass

@@ -14,6 +14,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op4_token_files": "token_files",
     "op6_sentencepiece": "pieces",
+    "op7_toxicity": "toxicity",
     "op9_licenses": "licenses",
 }
 
