@@ -15,6 +15,7 @@ MODULES = {
     "op4_token_files": "token_files",
     "op6_sentencepiece": "pieces",
     "op7_toxicity": "toxicity",
+    "op8_prefix_hashes": "prefix_hashes",
     "op9_licenses": "licenses",
 }
 
