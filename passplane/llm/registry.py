@@ -17,6 +17,7 @@ MODULES = {
     "op7_toxicity": "toxicity",
     "op8_prefix_hashes": "prefix_hashes",
     "op9_licenses": "licenses",
+    "op10_neighbours": "neighbours",
 }
 
 
