@@ -13,6 +13,7 @@ MODULES = {
     "op2_language": "language",
     "op3_simhash": "simhash",
     "op4_token_files": "token_files",
+    "op5_compaction": "compaction",
     "op6_sentencepiece": "pieces",
     "op7_toxicity": "toxicity",
     "op8_prefix_hashes": "prefix_hashes",
