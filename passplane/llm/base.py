@@ -7,12 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text that a kernel holds as words at once.
 CHARS_AT_ONCE = 4_000_000
@@ -103,13 +104,17 @@ def one_thread() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
-def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of dict rows."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def annotated(docs: DataFrame, kernel: Callable[[list[str]], list[pa.Array]], fields: str) -> DataFrame:
+    """(row, *fields): each row as one column, and what the kernel finds in its text. Names of the row cannot clash.
+
+    kernel: from texts (null: empty) to an array for each of the fields, which are given as in a DDL schema.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    added = StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, *kernel(texts_of(row.field("text")))], ["row", *added.fieldNames()])
+
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, *added.fields]))

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passplane.llm.base import by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
+from passplane.llm.base import annotated, by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
 
 #: Training texts of a language, on average; trigram buckets; penalty for a change of language; least share of a language's
 #: letters in a script that makes it a candidate.
 PER_LANGUAGE, BUCKETS, PENALTY, SCRIPT_SHARE = 1500, 1 << 16, 6.0, 0.01
+#: A text is kept if one language holds this share of its letters.
+LEAST_SHARE = 0.3
 
 # First and last code point of scripts' letters.
 SCRIPTS = [
@@ -203,16 +205,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, n_spans) of each row of doc_id, text."""
+    """(row, lang_pred, score, n_spans): each row of docs as one column, and what its text shows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = label(shared.value, texts_of(batch.column("text")))
-            lang, score, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"])
+    def kernel(texts: list[str]) -> list[pa.Array]:
+        found = label(shared.value, texts)
+        return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
+
+    return annotated(docs, kernel, "lang_pred string, score double, n_spans long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
+def keep_known(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows whose text has a language that holds at least this share of its letters; learns from docs (text, lang)."""
+    return predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,4 +237,5 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = documents(spark, sf_dir)
-    return predict(docs, fit(docs)).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+    found = predict(docs.select("doc_id", "text"), fit(docs))
+    return found.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "n_spans")

@@ -240,6 +240,21 @@ def near_duplicates(docs: DataFrame, reach: int = 2) -> DataFrame:
     return split.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
 
 
+def keep_first(docs: DataFrame, reach: int = 2) -> DataFrame:
+    """One row of each near-duplicate group of docs (doc_id, text, any others): that with the smallest doc_id.
+
+    If ids are null or repeat, rows get numbers of their own for this, and the first row by number stays.
+    """
+    rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    if known < rows or docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id"))
+        packed = written(packed, "numbered")
+        near = near_duplicates(packed.select("doc_id", F.col("row.text").alias("text")), reach)
+        return packed.join(near.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select("row.*")
+    near = near_duplicates(docs, reach)
+    return docs.join(near.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = near_duplicates(documents(spark, sf_dir))

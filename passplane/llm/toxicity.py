@@ -20,7 +20,6 @@ Repeated rows are scored each. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.llm import language
-from passplane.llm.base import by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
+from passplane.llm.base import annotated, by_size, documents, is_held_out, is_training_row, segment_sums
 from passplane.llm.words import HashTable, hashes
 
 #: Training texts of each label, on average; texts a feature must occur in to have an embedding, and its least normal score;
@@ -254,18 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, lang: language.Model) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of doc_id, text."""
+    """(row, score): each row of docs as one column, and the score of its text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    return annotated(docs, lambda texts: [pa.array(shared.value.scores(texts))], "score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(texts_of(batch.column("text"))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that score below the threshold; learns from docs (doc_id, text, lang) and labels."""
+    return score(docs, fit(docs, labels, language.fit(docs))).where(F.col("score") < 0.5).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), language.fit(docs))
-    return score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = score(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
