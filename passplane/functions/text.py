@@ -59,7 +59,7 @@ def strip_zeros(c: Column, keep_all_zero: bool) -> Column:
 
 def sliced_date(c: Column) -> Column:
     """yyyymmdd as yyyy-mm-dd."""
-    return F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))
+    return F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-"), F.substring(c, 7, 2))
 
 
 def full_year(yy: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passplane.functions.checkdigits import check_digit_valid
@@ -27,33 +27,51 @@ def looks_like_zone(line: Column) -> Column:
     )
 
 
-def normalized(line: Column) -> Column:
-    """Letters that recognition puts for separators turned back, in six ordered steps.
+def normalization_steps() -> list[Callable[[Column], Column]]:
+    """Letters that recognition puts for separators turned back, in ordered steps of a line.
 
     The steps within a line also hit letters that are right; that is the known price of reading degraded lines.
     """
-    tail = F.regexp_extract(line, "([KSXCQ]{2,})$", 1)
-    line = F.when(tail != "", F.concat(line.substr(F.lit(1), F.length(line) - F.length(tail)), F.repeat(F.lit("<"), F.length(tail)))).otherwise(line)
-    line = F.regexp_replace(line, "^P[XKSC]([A-Z]{3})", "P<$1")
-    line = F.when(line.rlike("^1C[A-Z0-9]{3}") & (F.length(line) >= 26), F.concat(F.lit("I"), line.substr(F.lit(2), F.length(line)))).otherwise(line)
-    rest = F.regexp_replace(line.substr(F.lit(6), F.length(line)), "([A-Z])([KXSC]{2,})([A-Z])", "$1<<$3")
-    rest = F.regexp_replace(rest, "([A-Z])([KXSC])([A-Z])", "$1<$3")
-    line = F.when(F.length(line) >= 5, F.concat(F.substring(line, 1, 5), rest)).otherwise(line)
-    return F.regexp_replace(line, "[KXSCQ](<+)$", "<$1")
-
-
-def candidate_lines(text: Column) -> Column:
-    """The lines of a text that can belong to a zone, as an array of (pos, format, line), repaired and cut to length."""
-    raw = F.transform(F.split(F.upper(text), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), cleaned(x).alias("line")))
-    near = F.filter(raw, lambda x: (count_char(F.trim(x["raw"]), " ") <= 4) & F.length(x["line"]).between(26, 48) & looks_like_zone(x["line"]))
-    fixed = F.transform(near, lambda x: F.struct(x["pos"].alias("pos"), normalized(x["line"]).alias("line")))
+
+    def tail(line: Column) -> Column:
+        n = F.length(F.regexp_extract(line, "([KSXCQ]{2,})$", 1))
+        return F.concat(line.substr(F.lit(1), F.length(line) - n), F.repeat(F.lit("<"), n))
+
+    def first_letters(line: Column) -> Column:
+        line = F.regexp_replace(line, "^P[XKSC]([A-Z]{3})", "P<$1")
+        return F.regexp_replace(line, "^1(?=C[A-Z0-9]{3}.{21})", "I")
+
+    def within(line: Column) -> Column:
+        rest = F.regexp_replace(line.substr(F.lit(6), F.lit(100)), "([A-Z])([KXSC]{2,})([A-Z])", "$1<<$3")
+        return F.concat(F.substring(line, 1, 5), F.regexp_replace(rest, "([A-Z])([KXSC])([A-Z])", "$1<$3"))
+
+    return [tail, first_letters, within, lambda line: F.regexp_replace(line, "[KSXCQ](<+)$", "<$1")]
+
+
+def _on_line(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x["pos"].alias("pos"), step(x["line"]).alias("line"))
+
+
+def _of_format(form: str) -> Callable[[Column], Column]:
+    return lambda x: x["format"] == form
+
+
+def with_candidates(rows: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
+    """Adds the lines of a text that can belong to a zone, as an array of (pos, format, line), repaired and cut to length.
+
+    Steps are columns of their own, so that no step's expression is copied into the next.
+    """
+    rows = rows.withColumn(out, F.transform(F.split(F.upper(F.col(text)), "\n"), lambda x, i: F.struct(i.alias("pos"), count_char(F.trim(x), " ").alias("spaces"), cleaned(x).alias("line"))))
+    rows = rows.withColumn(out, F.filter(out, lambda x: (x["spaces"] <= 4) & F.length(x["line"]).between(26, 48) & looks_like_zone(x["line"])))
+    for step in normalization_steps():
+        rows = rows.withColumn(out, F.transform(out, _on_line(step)))
 
     def formed(x: Column) -> Column:
         n = F.length(x["line"])
         form = F.when(n.between(40, 48), "TD3").when(n.between(26, 34), "TD1")
         return F.struct(x["pos"].alias("pos"), form.alias("format"), F.when(n >= 40, pad_or_cut(x["line"], 44)).otherwise(pad_or_cut(x["line"], 30)).alias("line"))
 
-    return F.filter(F.transform(fixed, formed), lambda x: x["format"].isNotNull())
+    return rows.withColumn(out, F.filter(F.transform(out, formed), lambda x: x["format"].isNotNull()))
 
 
 def best_of_prefix(lines: Column) -> Column:
@@ -70,19 +88,20 @@ def best_of_prefix(lines: Column) -> Column:
     return F.transform(prefixes, best)
 
 
-def zone_lines(text: Column) -> Column:
-    """The lines of a text's zone: two of 44 if there are two candidates, else three of 30 if there are three; else null.
+def with_zone_lines(rows: DataFrame, text: str = "text", out: str = "lines") -> DataFrame:
+    """Adds the lines of a text's zone: two of 44 if there are two candidates, else three of 30 if there are three.
 
-    If fewer prefixes than lines are left, the first candidates are taken as they come. All in one row, so no shuffle.
+    Null for no zone. If fewer prefixes than lines are left, the first candidates are taken as they come. A row's zone comes
+    from the row alone, so nothing is shuffled.
     """
-    found = candidate_lines(text)
-    own = lambda form: F.filter(found, lambda x: x["format"] == form)
-
-    def chosen(form: str, n: int) -> Column:
-        best = best_of_prefix(own(form))
-        return F.slice(F.when(F.size(best) >= n, best).otherwise(F.transform(own(form), lambda x: x["line"])), 1, n)
-
-    return F.when(F.size(own("TD3")) >= 2, chosen("TD3", 2)).when(F.size(own("TD1")) >= 3, chosen("TD1", 3))
+    rows = with_candidates(rows, text, "_candidates")
+    for form in ("TD3", "TD1"):
+        rows = rows.withColumn(f"_{form}", F.filter("_candidates", _of_format(form)))
+    form = F.when(F.size("_TD3") >= 2, F.col("_TD3")).when(F.size("_TD1") >= 3, F.col("_TD1"))
+    rows = rows.withColumn("_own", form).withColumn("_n", F.when(F.size("_TD3") >= 2, 2).otherwise(3))
+    rows = rows.withColumn("_best", best_of_prefix(F.col("_own")))
+    chosen = F.slice(F.when(F.size("_best") >= F.col("_n"), F.col("_best")).otherwise(F.transform("_own", lambda x: x["line"])), F.lit(1), F.col("_n"))
+    return rows.withColumn(out, chosen).drop("_candidates", "_TD3", "_TD1", "_own", "_n", "_best")
 
 
 def all_letters(line: Column) -> Column:
@@ -110,61 +129,60 @@ def _plain(c: Column) -> Column:
     return F.replace(c, F.lit("<"))
 
 
-def _names(area: Column) -> tuple[Column, Column]:
-    """Surnames and given names, split at the first double separator."""
-    area = F.regexp_replace(area, "<+$", "")
-    at = F.instr(area, F.lit("<<"))
-    words = lambda c: F.trim(F.replace(c, F.lit("<"), F.lit(" ")))
-    surnames = F.when(at > 1, words(area.substr(F.lit(1), at - 1))).otherwise(words(area))
-    return surnames, F.when(at > 1, words(area.substr(at + 2, F.length(area)))).otherwise("")
-
-
-def _checks(number: Column, number_digit: Column, birth: Column, birth_digit: Column, expiry: Column, expiry_digit: Column, composite: Column, composite_digit: Column, n: int) -> list[Column]:
-    return [check_digit_valid(number, number_digit, 9), check_digit_valid(birth, birth_digit, 6), check_digit_valid(expiry, expiry_digit, 6), check_digit_valid(composite, composite_digit, n)]
-
-
-def _zone(form: str, code: Column, country: Column, number: Column, birth: Column, sex: Column, expiry: Column, nationality: Column, surnames: Column, given: Column, optional: Column, checks: list[Column]) -> Column:
-    names = ["number_valid", "birth_valid", "expiry_valid", "composite_valid"]
-    return F.struct(
-        F.lit(form).alias("format"), code.alias("document_code"), country.alias("issuing_country"), number.alias("document_number"), birth.alias("date_of_birth"), sex.alias("sex"), expiry.alias("expiry_date"),
-        nationality.alias("nationality"), surnames.alias("surnames"), given.alias("given_names"), optional.alias("optional_data"), *[c.alias(x) for c, x in zip(checks, names, strict=True)], (checks[0] & checks[1] & checks[2] & checks[3]).alias("all_valid"),
-    )
-
-
-def parse_td3(line1: Column, line2: Column) -> Column:
-    """Two lines of 44."""
-    a, b = all_letters(pad_or_cut(line1, 44)), repaired(pad_or_cut(line2, 44), 44, (10, 11, 12, 20))
-    surnames, given = _names(_span(a, 5, 44))
-    composite = F.concat(_span(b, 0, 10), _span(b, 13, 20), _span(b, 21, 43))
-    checks = _checks(_span(b, 0, 9), _span(b, 9, 10), _span(b, 13, 19), _span(b, 19, 20), _span(b, 21, 27), _span(b, 27, 28), composite, _span(b, 43, 44), 39)
-    return _zone("TD3", _plain(_span(a, 0, 2)), _plain(_span(a, 2, 5)), _plain(_span(b, 0, 9)), _span(b, 13, 19), _span(b, 20, 21), _span(b, 21, 27), _plain(_span(b, 10, 13)), surnames, given, F.trim(F.replace(_span(b, 28, 42), F.lit("<"), F.lit(" "))), checks)
+def _words(c: Column) -> Column:
+    return F.trim(F.replace(c, F.lit("<"), F.lit(" ")))
 
 
 def _colombian_number(tail: Column, number: Column) -> Column:
     """The personal number at the end of the second line; without a separator its last digit is the composite digit."""
-    shape = r"^(\d{6,})(?:<+(\d))?<*$"
-    run, apart = F.regexp_extract(tail, shape, 1), F.regexp_extract(tail, shape, 2)
-    run = F.when((apart == "") & (F.length(run) > 6), run.substr(F.lit(1), F.length(run) - 1)).otherwise(run)
-    found = F.when(tail.rlike(shape), run).otherwise(F.regexp_extract(tail, r"(\d{6,})", 1))
+    apart = F.regexp_extract(tail, r"^(\d{6,})<+\d?<*$", 1)
+    joined = F.regexp_extract(tail, r"^(\d{6,})$", 1)
+    joined = F.when(F.length(joined) > 6, joined.substr(F.lit(1), F.length(joined) - 1)).otherwise(joined)
+    found = F.coalesce(F.nullif(apart, F.lit("")), F.nullif(joined, F.lit("")), F.regexp_extract(tail, r"(\d{6,})", 1))
     return F.when(found != "", F.regexp_replace(found, "^0+", "")).otherwise(number)
 
 
-def parse_td1(line1: Column, line2: Column, line3: Column) -> Column:
-    """Three lines of 30."""
-    a, b = repaired(pad_or_cut(line1, 30), 30, (0, 1, 2, 3, 4)), repaired(pad_or_cut(line2, 30), 30, (7, 15, 16, 17))
-    c = all_letters(pad_or_cut(line3, 30))
-    country = _plain(_span(a, 2, 5))
-    number = _plain(_span(a, 5, 14))
-    number = F.when(country == "COL", _colombian_number(_span(b, 18, 30), number)).otherwise(number)
-    surnames, given = _names(c)
-    composite = F.concat(_span(a, 5, 30), _span(b, 0, 7), _span(b, 8, 15), _span(b, 18, 29))
-    checks = _checks(_span(a, 5, 14), _span(a, 14, 15), _span(b, 0, 6), _span(b, 6, 7), _span(b, 8, 14), _span(b, 14, 15), composite, _span(b, 29, 30), 50)
-    return _zone("TD1", _plain(_span(a, 0, 2)), country, number, _span(b, 0, 6), _span(b, 7, 8), _span(b, 8, 14), _plain(_span(b, 15, 18)), surnames, given, F.trim(F.replace(_span(b, 18, 29), F.lit("<"), F.lit(" "))), checks)
+def with_zone(rows: DataFrame, lines: str = "lines", out: str = "zone") -> DataFrame:
+    """Adds the struct of a zone's two lines of 44 or three of 30; null for none.
 
-
-def parse(lines: Column) -> Column:
-    """The zone of its lines, by their number; null for none."""
-    return F.when(F.size(lines) == 2, parse_td3(lines[0], lines[1])).when(F.size(lines) == 3, parse_td1(lines[0], lines[1], lines[2]))
+    Lines, then fields, then checks are columns of their own, so that the many substrings refer to short columns.
+    """
+    line = F.col(lines)
+    td3 = F.col("_td3")
+    rows = rows.withColumn("_td3", F.size(line) == 2)
+    rows = rows.withColumns(
+        {
+            "_a": F.when(td3, all_letters(pad_or_cut(line[0], 44))).otherwise(repaired(pad_or_cut(line[0], 30), 30, (0, 1, 2, 3, 4))),
+            "_b": F.when(td3, repaired(pad_or_cut(line[1], 44), 44, (10, 11, 12, 20))).otherwise(repaired(pad_or_cut(line[1], 30), 30, (7, 15, 16, 17))),
+            "_c": F.when(~td3, all_letters(pad_or_cut(F.try_element_at(line, F.lit(3)), 30))),
+        }
+    )
+    a, b, by = F.col("_a"), F.col("_b"), lambda x, y: F.when(td3, x).otherwise(y)
+    rows = rows.withColumns(
+        {
+            "_number": by(_span(b, 0, 9), _span(a, 5, 14)), "_number_digit": by(_span(b, 9, 10), _span(a, 14, 15)), "_birth": by(_span(b, 13, 19), _span(b, 0, 6)), "_birth_digit": by(_span(b, 19, 20), _span(b, 6, 7)),
+            "_expiry": by(_span(b, 21, 27), _span(b, 8, 14)), "_expiry_digit": by(_span(b, 27, 28), _span(b, 14, 15)), "_country": _plain(_span(a, 2, 5)), "_tail": _span(b, 18, 30), "_names": F.regexp_replace(by(_span(a, 5, 44), F.col("_c")), "<+$", ""),
+            "_composite": by(F.concat(_span(b, 0, 10), _span(b, 13, 20), _span(b, 21, 43)), F.concat(_span(a, 5, 30), _span(b, 0, 7), _span(b, 8, 15), _span(b, 18, 29))), "_composite_digit": by(_span(b, 43, 44), _span(b, 29, 30)),
+        }
+    )
+    at = F.instr("_names", F.lit("<<"))
+    rows = rows.withColumn("_at", at).withColumns(
+        {
+            "_document": F.when(~td3 & (F.col("_country") == "COL"), _colombian_number(F.col("_tail"), _plain(F.col("_number")))).otherwise(_plain(F.col("_number"))),
+            "_surnames": F.when(F.col("_at") > 1, _words(F.col("_names").substr(F.lit(1), F.col("_at") - 1))).otherwise(_words(F.col("_names"))),
+            "_given": F.when(F.col("_at") > 1, _words(F.col("_names").substr(F.col("_at") + 2, F.length("_names")))).otherwise(""),
+            **{f"_{x}_valid": check_digit_valid(F.col(f"_{x}"), F.col(f"_{x}_digit"), n) for x, n in (("number", 9), ("birth", 6), ("expiry", 6), ("composite", 50))},
+        }
+    )
+    valid = [F.col(f"_{x}_valid") for x in ("number", "birth", "expiry", "composite")]
+    zone = F.struct(
+        by(F.lit("TD3"), F.lit("TD1")).alias("format"), _plain(_span(a, 0, 2)).alias("document_code"), F.col("_country").alias("issuing_country"), F.col("_document").alias("document_number"), F.col("_birth").alias("date_of_birth"),
+        by(_span(b, 20, 21), _span(b, 7, 8)).alias("sex"), F.col("_expiry").alias("expiry_date"), _plain(by(_span(b, 10, 13), _span(b, 15, 18))).alias("nationality"), F.col("_surnames").alias("surnames"), F.col("_given").alias("given_names"),
+        _words(by(_span(b, 28, 42), _span(b, 18, 29))).alias("optional_data"), *[v.alias(f"{x}_valid") for v, x in zip(valid, ("number", "birth", "expiry", "composite"), strict=True)], (valid[0] & valid[1] & valid[2] & valid[3]).alias("all_valid"),
+    )
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    # exploding one element keeps filters on the zone from being copied below, expression by expression
+    return rows.select(*kept, F.explode(F.array(F.when(F.size(line) >= 2, zone))).alias(out))
 
 
 def valid_count(zone: Column) -> Column:
@@ -203,44 +221,41 @@ def contract(zone: Column) -> Column:
 STRUCTURE = r"([A-Z0-9]{2}\d{6})<?(\d)([A-Z0]{3})(\d{6})(\d)([MF])(\d{6})(\d)"
 
 
-def _passport_lines(text: Column) -> tuple[Column, Column, Column]:
-    """Lines of about 44 cut to 44; the first that begins with P; how many lines look like an identity card's."""
-    lines = F.transform(F.split(F.upper(text), "\n"), cleaned)
-    long = F.transform(F.filter(lines, lambda x: F.length(x).between(40, 48)), lambda x: pad_or_cut(x, 44))
-    card = F.filter(lines, lambda x: F.length(x).between(26, 34) & ~x.startswith("P") & (x.rlike(r"^[IAC1][A-Z<][A-Z0-9]{3}\d{5,}") | x.rlike(r"^\d{7}[MF]\d{7}[A-Z0-9]{3}")))
-    return long, F.element_at(F.concat(F.filter(long, lambda x: x.startswith("P")), F.array(F.lit(None).cast("string"))), 1), F.size(card)
-
-
-def _strict(line2: Column) -> Column:
-    """Whether all four digits of a second line hold; here the composite leaves out the optional data's own digit."""
-    composite = F.concat(_span(line2, 0, 10), _span(line2, 13, 20), _span(line2, 21, 28), _span(line2, 28, 42))
-    parts = [(_span(line2, 0, 9), 9, 9), (_span(line2, 13, 19), 19, 6), (_span(line2, 21, 27), 27, 6), (composite, 43, 38)]
-    checks = [check_digit_valid(data, _span(line2, at, at + 1), n, strict=False) for data, at, n in parts]
-    return checks[0] & checks[1] & checks[2] & checks[3]
-
-
-def passport_check(text: Column) -> Column:
-    """A struct (detected, valid, wrong_format) of a passport's text."""
-    long, first, cards = _passport_lines(text)
-    second = F.coalesce(F.element_at(F.concat(F.filter(long, lambda x: x != first), F.array(F.lit(None).cast("string"))), 1), F.try_element_at(long, F.lit(2)))
-    joined = F.regexp_replace(F.upper(text), "[^A-Z0-9<]", "")
-    group = lambda g: F.regexp_extract(joined, STRUCTURE, g)
-    digits = [check_digit_valid(pad_or_cut(group(1), 9), group(2), 9), check_digit_valid(group(4), group(5), 6), check_digit_valid(group(7), group(8), 6)]
-    held = sum((d.cast("int") for d in digits[1:]), digits[0].cast("int"))
-    by_structure = joined.rlike(STRUCTURE) & (held >= 2)
-    two = (F.size(long) >= 2) & first.isNotNull()
-    at = F.regexp_instr(joined, F.lit("P[<KXSC][A-Z]{3}"))
-    anchored = (at > 0) & (F.length(joined) - at + 1 >= 88)
+def _strict(rows: DataFrame, line2: str, out: str) -> DataFrame:
+    """Adds whether all four digits of a second line hold; here the composite leaves out the last place of the optional data."""
+    b = F.col(line2)
+    parts = {"number": (_span(b, 0, 9), 9, 9), "birth": (_span(b, 13, 19), 19, 6), "expiry": (_span(b, 21, 27), 27, 6), "all": (F.concat(_span(b, 0, 10), _span(b, 13, 20), _span(b, 21, 42)), 43, 38)}
+    rows = rows.withColumns({f"_{k}": data for k, (data, _, _) in parts.items()})
+    holds = [check_digit_valid(F.col(f"_{k}"), _span(b, at, at + 1), n, strict=False) for k, (_, at, n) in parts.items()]
+    return rows.withColumn(out, holds[0] & holds[1] & holds[2] & holds[3]).drop(*[f"_{k}" for k in parts])
+
+
+def with_passport_check(rows: DataFrame, text: str = "text", out: str = "check") -> DataFrame:
+    """Adds a struct (detected, valid, wrong_format) of a passport's text."""
+    rows = rows.withColumn("_lines", F.transform(F.split(F.upper(F.col(text)), "\n"), cleaned)).withColumn("_joined", F.array_join("_lines", ""))
+    card = lambda x: F.length(x).between(26, 34) & ~x.startswith("P") & (x.rlike(r"^[IAC1][A-Z<][A-Z0-9]{3}\d{5,}") | x.rlike(r"^\d{7}[MF]\d{7}[A-Z0-9]{3}"))
+    rows = rows.withColumn("_long", F.transform(F.filter("_lines", lambda x: F.length(x).between(40, 48)), lambda x: pad_or_cut(x, 44))).withColumn("_cards", F.size(F.filter("_lines", card)))
+    rows = rows.withColumn("_first", F.try_element_at(F.filter("_long", lambda x: x.startswith("P")), F.lit(1)))
+    rows = rows.withColumn("_second", F.coalesce(F.try_element_at(F.filter("_long", lambda x: x != F.col("_first")), F.lit(1)), F.try_element_at("_long", F.lit(2))))
+    rows = rows.withColumns({f"_g{g}": F.regexp_extract("_joined", STRUCTURE, g) for g in (1, 2, 4, 5, 7, 8)})
+    rows = rows.withColumn("_g1", pad_or_cut(F.col("_g1"), 9))
+    held = sum((check_digit_valid(F.col(a), F.col(b), n).cast("int") for a, b, n in (("_g4", "_g5", 6), ("_g7", "_g8", 6))), check_digit_valid(F.col("_g1"), F.col("_g2"), 9).cast("int"))
+    at = F.regexp_instr("_joined", F.lit("P[<KXSC][A-Z]{3}"))
+    rows = rows.withColumn("_held", held).withColumn("_at", at).withColumn("_anchored", F.when((F.col("_at") > 0) & (F.length("_joined") - F.col("_at") + 1 >= 88), F.col("_joined").substr(F.col("_at") + 44, F.lit(44))))
+    rows = _strict(_strict(rows, "_second", "_strict"), "_anchored", "_anchor_valid")
+    two, structured = (F.size("_long") >= 2) & F.col("_first").isNotNull(), (F.col("_g2") != "") & (F.col("_held") >= 2)
     result = lambda detected, valid, wrong=False: F.struct(F.lit(detected).alias("detected"), (valid if isinstance(valid, Column) else F.lit(valid)).alias("valid"), F.lit(wrong).alias("wrong_format"))
-    return (
-        F.when(two & _strict(second), result(True, True))
-        .when(two & by_structure, result(True, held == 3))
+    check = (
+        F.when(two & F.col("_strict"), result(True, True))
+        .when(two & structured, result(True, F.col("_held") == 3))
         .when(two, result(True, False))
-        .when(cards >= 2, result(True, False, True))
-        .when(by_structure, result(True, held == 3))
-        .when(anchored, result(True, _strict(joined.substr(at + 44, F.lit(44)))))
+        .when(F.col("_cards") >= 2, result(True, False, True))
+        .when(structured, result(True, F.col("_held") == 3))
+        .when(F.col("_anchored").isNotNull(), result(True, F.col("_anchor_valid")))
         .otherwise(result(False, False))
     )
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return rows.select(*kept, F.explode(F.array(check)).alias(out))
 
 
 def passport_mrz_score(check: Column) -> Column:
