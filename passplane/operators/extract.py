@@ -50,24 +50,22 @@ class Field:
     then: Callable[[Column], Column] = collapse
     flags: str = "i"
 
-    def value(self, text: Column) -> tuple[Column, Column]:
-        """The value and its confidence; both null without a match."""
-        values, found = [], []
+    def groups(self) -> list[tuple[str, int, float]]:
+        """Every (pattern with flags, group) that is read, with its confidence, in order."""
+        out = []
         for pattern, confidence, *group in self.patterns:
-            groups = group[0] if group else 1
             own = f"(?{self.flags}){pattern}" if self.flags else pattern
-            if isinstance(groups, tuple):
-                parts = [first_group(text, own, g) for g in groups]
-                joined = F.concat_ws(" ", *parts) if len(groups) == 3 else F.concat_ws(" / ", *parts)
-                got = F.when(parts[0].isNotNull(), joined)
-            else:
-                got = first_group(text, own, groups)
-            values.append(got)
-            found.append(F.when(got.isNotNull(), F.lit(confidence)))
-        value = self.then(F.coalesce(*values))
-        if self.name.startswith("fecha") or self.name == "vigencia":
-            value = iso_date(value)
-        return F.nullif(value, F.lit("")), F.coalesce(*found)
+            wanted = group[0] if group else 1
+            out += [(own, g, confidence) for g in (wanted if isinstance(wanted, tuple) else (wanted,))]
+        return out
+
+    def value(self, read: list[Column]) -> tuple[Column, Column]:
+        """The value and its confidence from the groups read, null where nothing matched."""
+        confidences = [c for _, _, c in self.groups()]
+        if len(self.patterns) == 1 and len(read) > 1:
+            whole = F.concat_ws(" " if len(read) == 3 else " / ", *read)
+            return self.then(F.when(read[0].isNotNull(), whole)), F.when(read[0].isNotNull(), F.lit(confidences[0]))
+        return self.then(F.coalesce(*read)), F.coalesce(*[F.when(r.isNotNull(), F.lit(c)) for r, c in zip(read, confidences, strict=True)])
 
 
 def one(name: str, confidence: float, pattern: str, then: Callable[[Column], Column] = collapse, flags: str = "i", group: int | tuple[int, ...] = 1) -> Field:
@@ -305,49 +303,56 @@ FRONT_OLD = ("documentNumber", "apellidos", "nombres")
 BACK_OLD = ("fechaNacimiento", "lugarNacimiento", "departamento", "estatura", "grupoSanguineo", "sexo", "fechaExpedicion", "lugarExpedicion", "documentNumber", "codigoInferior", "fechaGeneracionCodigo", "alertaFechaExpedicion")
 
 
-def _derived(code: str, text: Column, got: dict[str, tuple[Column, Column]]) -> list[tuple[str, Column, Column]]:
-    """Fields that follow from others or from the printed code at the foot of Colombian cards."""
+#: Further groups that derived fields need, by type.
+_FOOT = {"foot": f"(?i)({CODE})", "foot_number": f"(?i){CODE_NUMBER}", "foot_date": f"(?i){CODE_DATE}"}
+_EXTRA = {
+    "COL_CC_OLD": {**{k: (p, 1) for k, p in _FOOT.items()}, "partial": (f"(?i){CODE_PARTIAL}", 1), "partial_number": (f"(?i){CODE_PARTIAL}", 2), "printed": (rf"(?i)({OLD_DATE})\s+[^\n]+\n+[^\n]*?LUGAR\s+DE\s+EXPEDICION", 1)},
+    "COL_CC_NEW": {k: (p, 1) for k, p in _FOOT.items()},
+    "COL_TI": {k: (p, 1) for k, p in _FOOT.items()},
+}
+
+
+def _derived(code: str) -> list[tuple[str, Column, Column]]:
+    """Fields that follow from others (columns v_<name>) or from the printed code at the foot of Colombian cards (x_<name>)."""
+    x, v = (lambda n: F.col(f"x_{n}")), (lambda n: F.col(f"v_{n}"))
     when = lambda value, confidence: F.when(value.isNotNull(), F.lit(confidence))
-    if code in ("COL_CC_OLD", "COL_CC_NEW", "COL_TI"):
-        full = first_group(text, f"(?i)({CODE})")
-        dated = sliced_date(first_group(text, f"(?i){CODE_DATE}"))
-        dated = F.when(full.isNotNull(), dated)
+    if code in _EXTRA:
+        dated = F.when(x("foot").isNotNull(), sliced_date(x("foot_date")))
         out = [("fechaGeneracionCodigo", dated, when(dated, 0.96))]
         if code != "COL_CC_OLD":
-            return [("codigoInferior", full, when(full, 0.95)), *out]
-        partial = F.when(full.isNull(), first_group(text, f"(?i){CODE_PARTIAL}"))
-        out.append(("codigoInferior", F.coalesce(full, partial), F.when(full.isNotNull(), 0.95).when(partial.isNotNull(), 0.60)))
-        number = strip_zeros(F.coalesce(first_group(text, f"(?i){CODE_NUMBER}"), F.when(partial.isNotNull(), first_group(text, f"(?i){CODE_PARTIAL}", 2))), keep_all_zero=False)
-        from_code = F.when(got["documentNumber"][0].isNull(), F.nullif(number, F.lit("")))
-        out.append(("documentNumber", from_code, F.when(from_code.isNotNull(), F.when(full.isNotNull(), 0.97).otherwise(0.60))))
-        printed = _printed_issue_date(text)
-        alert = F.when(printed != dated, F.concat(F.lit("DISCREPANCIA: impreso="), printed, F.lit(" codigo="), dated))
-        return [*out, ("alertaFechaExpedicion", alert, when(alert, 1.0))]
+            return [("codigoInferior", x("foot"), when(x("foot"), 0.95)), *out]
+        out.append(("codigoInferior", F.coalesce(x("foot"), x("partial")), F.when(x("foot").isNotNull(), 0.95).otherwise(0.60)))
+        number = strip_zeros(F.when(x("foot").isNotNull(), x("foot_number")).otherwise(x("partial_number")), keep_all_zero=False)
+        out.append(("documentNumber", F.when(v("documentNumber").isNull(), number), F.when(x("foot").isNotNull(), 0.97).otherwise(0.60)))
+        # the alert compares the date as it is printed with the code's
+        alert = F.when(collapse(x("printed")) != dated, F.concat(F.lit("DISCREPANCIA: impreso="), collapse(x("printed")), F.lit(" codigo="), dated))
+        return [*out, ("alertaFechaExpedicion", alert, F.lit(1.0))]
     if code.startswith("ECU"):
-        number = got["documentNumber"][0]
-        alert = F.when(number.isNotNull() & ~ecuador_valid(number), F.concat(F.lit("Dígito verificador inválido: "), number))
-        return [("alertaDocumento", alert, when(alert, 1.0))]
+        number = v("documentNumber")
+        return [("alertaDocumento", F.when(number.isNotNull() & ~ecuador_valid(number), F.concat(F.lit("Dígito verificador inválido: "), number)), F.lit(1.0))]
     if code.startswith("PER"):
-        both = compound(got["primerApellido"][0], got["segundoApellido"][0])
-        return [("apellidos", both, when(both, 0.88))]
+        return [("apellidos", compound(v("primerApellido"), v("segundoApellido")), F.lit(0.88))]
     return []
 
 
-def _printed_issue_date(text: Column) -> Column:
-    """The date of issue as it is printed; the alert compares this form with the code's."""
-    return collapse(first_group(text, rf"(?i)({OLD_DATE})\s+[^\n]+\n+[^\n]*?LUGAR\s+DE\s+EXPEDICION"))
-
+def extract(texts: DataFrame, keys: list[str], code: str, text: str = "text", side: str = "AUTO") -> DataFrame:
+    """(keys, field, value, confidence, ord) of the fields of one type that match; no shuffle.
 
-def fields(text: Column, code: str, side: str = "AUTO") -> Column:
-    """The fields of one type that match, as an array of (field, value, confidence, ord)."""
-    got = {f.name: f.value(text) for f in FIELDS[code]}
-    every = [*((name, v, c) for name, (v, c) in got.items()), *_derived(code, text, got)]
+    Groups, values and dates are columns of their own, one step after the other, so that no expression is copied. side:
+    what the faces of the old Colombian card keep.
+    """
+    specs = FIELDS[code]
+    c = F.col(text)
+    groups = {f"g_{f.name}_{k}": first_group(c, p, g) for f in specs for k, (p, g, _) in enumerate(f.groups())}
+    extra = {f"x_{n}": first_group(c, p, g) for n, (p, g) in _EXTRA.get(code, {}).items()}
+    rows = texts.select(*keys, *[e.alias(n) for n, e in (groups | extra).items()])
+    got = {f.name: f.value([F.col(f"g_{f.name}_{k}") for k in range(len(f.groups()))]) for f in specs}
+    rows = rows.select(*keys, *extra, *[v.alias(f"v_{n}") for n, (v, _) in got.items()], *[k.alias(f"c_{n}") for n, (_, k) in got.items()])
+    dates = [f.name for f in specs if f.name.startswith("fecha") or f.name == "vigencia"]
+    rows = rows.withColumns({f"v_{n}": iso_date(F.col(f"v_{n}")) for n in dates})
+    every = [*((n, F.col(f"v_{n}"), F.col(f"c_{n}")) for n in got), *_derived(code)]
     if code == "COL_CC_OLD" and side != "AUTO":
         every = [x for x in every if x[0] in (FRONT_OLD if side == "FRONT" else BACK_OLD)]
-    each = F.array(*[F.struct(F.lit(name).alias("field"), v.alias("value"), c.cast("double").alias("confidence"), F.lit(k).alias("ord")) for k, (name, v, c) in enumerate(every)])
-    return F.filter(each, lambda x: x["value"].isNotNull() & (F.trim(x["value"]) != ""))
-
-
-def extract(texts: DataFrame, keys: list[str], code: str, text: str = "text", side: str = "AUTO") -> DataFrame:
-    """(keys, field, value, confidence, ord) of one type's texts: a projection and an explode, no shuffle."""
-    return texts.select(*keys, F.inline(fields(F.col(text), code, side)))
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), k.cast("double").alias("confidence"), F.lit(at).alias("ord")) for at, (n, v, k) in enumerate(every)])
+    # blank values are left out, as in the contract
+    return rows.select(*keys, F.inline(F.filter(each, lambda x: F.trim(x["value"]) != "")))
