@@ -2,7 +2,7 @@
 
 Texts of common characters are split into words by array operations that follow the vocabulary's own rules; each distinct
 word goes to the library's model once and its ids are joined back by position. Words are told apart by 64-bit hashes in
-tables of bounded size (that any two of two million words share a hash has a chance of about one in 10^7).
+tables of bounded size (that any two of 800,000 words share a hash has a chance of about one in 10^8).
 
 Other texts are cut before every single space. Neither vocabulary has a token or a splitting rule that joins characters
 across such a cut, so a chunk's ids do not depend on its neighbours: each distinct chunk goes to the library once. Where
@@ -23,7 +23,7 @@ from passplane.llm.base import Codes, by_size, one_thread, ranges
 from passplane.llm.words import Batch, HashTable, batch_of, hashes, splits
 
 #: A worker's tables of distinct chunks and words start anew beyond this many entries.
-TABLE_LIMIT = 2_000_000
+TABLE_LIMIT = 800_000
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, as letters from U+0100 on."""

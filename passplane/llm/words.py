@@ -176,7 +176,7 @@ class HashTable:
         if 2 * (self.size + len(new)) > len(self.keys):
             held = self.keys != 0
             old, values = self.keys[held], self.values[held]
-            bits = int(2 * (self.size + len(new))).bit_length() + 1
+            bits = int(2 * (self.size + len(new))).bit_length()
             self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
             self._insert(old, values)
         self._insert(new, np.arange(self.size, self.size + len(new), dtype=np.int32))
