@@ -39,7 +39,7 @@ def fingerprints_of(texts: list[str], words_per_shingle: int = 3) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     out = []
-    for a, b in by_size(texts, 2_000_000):
+    for a, b in by_size(texts, 1_000_000):
         hashes, counts = [], []
         for text in texts[a:b]:
             words = text.encode("utf-8", "replace").lower().split()
@@ -243,11 +243,12 @@ def near_duplicates(docs: DataFrame, reach: int = 2) -> DataFrame:
 def keep_first(docs: DataFrame, reach: int = 2) -> DataFrame:
     """One row of each near-duplicate group of docs (doc_id, text, any others): that with the smallest doc_id.
 
-    If ids are null or repeat, rows get numbers of their own for this, and the first row by number stays.
+    If ids are null or repeat, rows are numbered for this by (id, hash of the text), nulls last, and the first stays.
     """
     rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
     if known < rows or docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id"))
+        ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+        packed = ordered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id"))
         packed = written(packed, "numbered")
         near = near_duplicates(packed.select("doc_id", F.col("row.text").alias("text")), reach)
         return packed.join(near.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select("row.*")
