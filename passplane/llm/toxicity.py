@@ -9,8 +9,8 @@ Embeddings start with the log odds of the feature among toxic training texts in
 by Adam on cross entropy.
 
 Thresholds are calibrated by language: for each language that the text itself shows (by the word scores of the language
-operator) the logit that gives the best F1 on training rows that the weights have not seen, or the overall one where a
-language has too few. The score is the logistic function of the logit less that threshold, so 0.5 is the threshold.
+operator) the logit that gives the best F0.5 on training rows that the weights have not seen, or the overall one where a
+language has too few; above all logits if none is right at least half of the time. The score is the logistic function of the logit less that threshold, so 0.5 is the threshold.
 
 Labels are learned only from training rows, in a sample by the hash of the id of about ``POSITIVES`` and ``NEGATIVES`` texts:
 bounded and the same in any order of the rows. Of several labels of a document the largest counts; null labels are ignored.
@@ -175,16 +175,23 @@ def train(data: Text, labels: np.ndarray, weight: np.ndarray, seed: int = 3) ->
 
 
 def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, near: float = 0.005) -> float:
-    """The middle of the logits around the best F1 at which F1 stays near it."""
+    """The middle of the logits around the best F0.5 (precision counts twice) at which it stays near it.
+
+    Above all logits if no threshold is right for half of the texts that pass it: then nothing was learned.
+    """
     order = np.argsort(-logit, kind="stable")
     x, hit, w = logit[order], (label * weight)[order], weight[order]
-    f1 = 2 * np.cumsum(hit) / np.maximum(np.cumsum(w) + hit.sum(), 1e-9)
-    cut = np.append((x[:-1] + x[1:]) / 2, x[-1] - 1)
-    f1, cut = f1[np.append(x[:-1] != x[1:], True)], cut[np.append(x[:-1] != x[1:], True)]
-    first = last = int(f1.argmax())
-    while first > 0 and f1[first - 1] >= f1.max() - near:
+    true, passed = np.cumsum(hit), np.cumsum(w)
+    f = 1.25 * true / np.maximum(0.25 * hit.sum() + passed, 1e-9)
+    f[true < 0.5 * passed] = 0
+    cut, ends = np.append((x[:-1] + x[1:]) / 2, x[-1] - 1), np.append(x[:-1] != x[1:], True)
+    f, cut = f[ends], cut[ends]
+    if not f.any():
+        return float(x[0] + 1)
+    first = last = int(f.argmax())
+    while first > 0 and f[first - 1] >= f.max() - near:
         first -= 1
-    while last + 1 < len(f1) and f1[last + 1] >= f1.max() - near:
+    while last + 1 < len(f) and f[last + 1] >= f.max() - near:
         last += 1
     return float((cut[first] + cut[last]) / 2)
 
@@ -211,7 +218,7 @@ class Model:
         if self.net is None:
             return np.zeros(len(texts))
         out = []
-        for a, b in by_size(texts, 2_000_000):
+        for a, b in by_size(texts, 1_000_000):
             data = prepare(texts[a:b], self.lang)
             shift = np.array([self.net.thresholds.get(x, self.net.thresholds[-2]) for x in data.lang.tolist()])
             out.append(1 / (1 + np.exp(-np.clip(self.net.logits(data.words, data.counts) - shift, -30, 30))))
