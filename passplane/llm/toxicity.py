@@ -117,15 +117,12 @@ class Net:
 def train(data: Text, labels: np.ndarray, weight: np.ndarray, seed: int = 3) -> Net:
     """Trains on texts with labels 0 and 1; weight: of each text."""
     rng = np.random.default_rng(seed)
-    features = data.words.ravel()
-    text_of = np.repeat(np.arange(len(labels)), data.counts * data.words.shape[1])
-    order = np.lexsort((text_of, features))
-    word, text = features[order], text_of[order]
-    first = np.ones(len(word), bool)
-    first[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
-    word, text = word[first], text[first]
-    distinct, at, texts = np.unique(word, return_index=True, return_counts=True)
-    toxic = np.add.reduceat(labels[text].astype(np.float64), at) if len(at) else np.zeros(0)
+    begin = np.cumsum(data.counts) - data.counts
+    own = [np.unique(data.words[a : a + n]) for a, n in zip(begin.tolist(), data.counts.tolist(), strict=True)]
+    distinct, which = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_inverse=True)
+    texts = np.bincount(which, minlength=len(distinct))
+    toxic = np.bincount(which, np.repeat(labels, [len(x) for x in own]), len(distinct))
+    del own, which
     rate = labels.mean()
     normal = np.abs(toxic - texts * rate) / np.sqrt(texts * rate * (1 - rate) + 1)
     keep = np.flatnonzero((texts >= LEAST_TEXTS) & (normal >= LEAST_SCORE))
