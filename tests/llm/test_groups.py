@@ -238,3 +238,14 @@ def test_queries_are_registered():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert zlib.crc32(b"") == 0 and set(registry.oracle_sql()) <= set(names)
+
+
+def test_compacted_documents_equal_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = con.execute(compaction.ORACLE_SQL)
+    names = [c[0] for c in found.description]
+    got = compaction.op5_compaction(spark, sf_dir).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
