@@ -53,6 +53,11 @@ def _capped(score: Column, caps: list[tuple[Column, Column | float]]) -> Column:
     return F.least(score, *[F.when(when, cap if isinstance(cap, Column) else F.lit(cap)) for when, cap in caps])
 
 
+def classifier_applies(document_type: Column, side: Column, enabled: bool = True, available: bool = True) -> Column:
+    """Whether the montage classifier looks at a face: only at the front of the old Colombian card."""
+    return F.lit(enabled and available) & (document_type == "COL_CC_OLD") & (side == "FRONT")
+
+
 def structure() -> Column:
     """aspect, colour, contrast."""
     return _weighted({"aspect": 0.30, "colour": 0.40, "contrast": 0.30})

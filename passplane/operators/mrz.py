@@ -48,6 +48,11 @@ def normalization_steps() -> list[Callable[[Column], Column]]:
     return [tail, first_letters, within, lambda line: F.regexp_replace(line, "[KSXCQ](<+)$", "<$1")]
 
 
+def could_have_zone(type_has_zone: Column, text: Column) -> Column:
+    """Whether it is worth looking for a zone: the type has one, or the text has a run that could be a line of one."""
+    return F.coalesce(type_has_zone, F.lit(False)) | F.coalesce(text.rlike("[A-Z0-9<]{26,48}"), F.lit(False))
+
+
 def _on_line(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["pos"].alias("pos"), step(x["line"]).alias("line"))
 

@@ -55,6 +55,67 @@ def saturation(b: Column, g: Column, r: Column) -> Column:
     return F.when(high > 0, F.floor((high - low) * 255.0 / high + 0.5)).otherwise(0).cast("int")
 
 
+def hue(b: Column, g: Column, r: Column) -> Column:
+    """Hue of a colour in half degrees, 0 to 180; 0 for grey."""
+    high, span = F.greatest(b, g, r), F.greatest(b, g, r) - F.least(b, g, r)
+    sixth = F.when(high == r, (g - b) * 60.0 / span).when(high == g, (b - r) * 60.0 / span + 120).otherwise((r - g) * 60.0 / span + 240)
+    return F.when(span == 0, 0.0).otherwise(F.when(sixth < 0, sixth + 360).otherwise(sixth) / 2)
+
+
+def inverted(g: Column) -> Column:
+    """The negative of a grey value."""
+    return 255 - g
+
+
+def colour_profile(pixels: DataFrame, document_type: Column) -> DataFrame:
+    """(image_id, hue, sat, val, score) of colour pixels: too dark; a yellow card that is not; a pale card that is colourful.
+
+    document_type: a column of the pixels that is the same for a whole picture. Passports have no profile.
+    """
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
+    rows = pixels.select("image_id", hue(b, g, r).alias("h"), saturation(b, g, r).alias("s"), F.greatest(b, g, r).alias("v"), document_type.alias("t"))
+    found = rows.groupBy("image_id").agg(F.avg("h").alias("hue"), F.avg("s").alias("sat"), F.avg("v").alias("val"), F.max("t").alias("t"))
+    yellow = F.col("hue").between(12, 50) & (F.col("sat") > 30)
+    loss = F.when(F.col("t") == "COL_CC_OLD", F.when(~yellow, 0.3).otherwise(0.0)).when((F.col("t") != "COL_PA") & (F.col("sat") > 70), 0.15).otherwise(0.0)
+    return found.select("image_id", "hue", "sat", "val", F.when(F.col("val") < 80, 0.4).otherwise(F.greatest(F.lit(0.2), 1 - loss)).alias("score"))
+
+
+def photo_zone(width: Column, height: Column, left: float, top: float, wide: float, high: float) -> Column:
+    """A struct (x, y, w, h) of the portrait's place given as shares of a picture, kept inside it."""
+    x = F.greatest(F.lit(0), F.least((width * left).cast("int"), width - 2))
+    y = F.greatest(F.lit(0), F.least((height * top).cast("int"), height - 2))
+    return F.struct(x.alias("x"), y.alias("y"), F.least((width * wide).cast("int"), width - x).alias("w"), F.least((height * high).cast("int"), height - y).alias("h"))
+
+
+def inside(zone: Column) -> Column:
+    """Whether a pixel lies in a zone."""
+    return (F.col("x") >= zone["x"]) & (F.col("x") < zone["x"] + zone["w"]) & (F.col("y") >= zone["y"]) & (F.col("y") < zone["y"] + zone["h"])
+
+
+def obscured(pixels: DataFrame, zone: Column) -> DataFrame:
+    """(image_id, val, sat, dark, score) of the colour pixels of a portrait: crossed out, covered, or nearly so."""
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
+    rows = pixels.where(inside(zone)).select("image_id", saturation(b, g, r).alias("s"), F.greatest(b, g, r).alias("v"))
+    found = rows.groupBy("image_id").agg(F.avg("v").alias("val"), F.avg("s").alias("sat"), share(F.col("v") < 40).alias("dark"))
+    covered, nearly = (F.col("val") < 35) | (F.col("dark") > 0.70), (F.col("val") < 60) & (F.col("sat") < 30) & (F.col("dark") > 0.40)
+    return found.withColumn("score", F.when(covered, 0.0).when(nearly, 0.25).otherwise(1.0))
+
+
+def zone_colour(pixels: DataFrame, zone: Column, width: Column, gap: int = 10) -> DataFrame:
+    """(image_id, sat, val, score): a portrait's colours against the wider side of the document beside it, without glare.
+
+    sat: how much more saturated the portrait is; val: how much its brightness differs. Null if either part has no pixel.
+    """
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
+    left, right = zone["x"] - gap, width - F.least(width, zone["x"] + zone["w"] + gap)
+    beside = F.when(F.greatest(left, F.lit(0)) >= F.greatest(right, F.lit(0)), F.col("x") < F.greatest(left, F.lit(1))).otherwise(F.col("x") >= width - F.greatest(right, F.lit(1)))
+    rows = pixels.select("image_id", saturation(b, g, r).alias("s"), F.greatest(b, g, r).alias("v"), inside(zone).alias("photo"), beside.alias("beside"), (F.greatest(left, right) >= width * 0.15).alias("wide")).where("v <= 230")
+    mean = lambda c, part: F.avg(F.when(F.col(part), F.col(c)))
+    found = rows.groupBy("image_id").agg((mean("s", "photo") - mean("s", "beside")).alias("sat"), F.abs(mean("v", "photo") - mean("v", "beside")).alias("val"), F.max("wide").alias("wide"))
+    odd = F.col("wide") & ((F.col("sat") > 30) | (F.col("val") > 60))
+    return found.select("image_id", "sat", "val", F.when(odd, F.greatest(F.lit(0.10), 1 - (F.greatest("sat", "val") - 8) / 40)).otherwise(1.0).alias("score"))
+
+
 def saturation_score(pixels: DataFrame) -> DataFrame:
     """(image_id, mean, std, coloured, score) of colour pixels (b, g, r): grey or pale pictures. Not capped at 1 from above."""
     s = saturation(F.col("b"), F.col("g"), F.col("r"))
@@ -88,6 +149,12 @@ def contrast(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.stddev_pop("g").alias("std")).withColumn("score", F.when(F.col("std") < 20, F.greatest(F.lit(0.1), F.col("std") / 20)).otherwise(1.0))
 
 
+def largest(rectangles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, area) of rectangles (keys, i, w, h): the largest of each key, the first of equals."""
+    row = F.struct((-(F.col("w") * F.col("h"))).alias("by"), "i")
+    return rectangles.groupBy(*keys).agg(F.min(row).alias("best")).select(*keys, "best.i", (-F.col("best.by")).alias("area"))
+
+
 def aspect_score(width: Column, height: Column) -> Column:
     """How far a picture's sides are from a card's, either way up; up to a tenth is fine."""
     ratio = F.greatest(width, height) / F.least(width, height)

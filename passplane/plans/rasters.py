@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.operators import authenticity, raster, scoring
-from passplane.plans.derived import PIXELS, pixels
+from passplane.plans.derived import CAPTURES, CODES, PIXELS, captures, pixels, type_of
 from passplane.sources.tables import table
 
 
@@ -76,6 +76,37 @@ def q_colour_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(raster.colour_temperature(_colours(spark, sf_dir), 3), "difference", "score")
 
 
+def q_colour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour profiles of pictures of three types."""
+    kind = F.when(F.col("image_id") % 3 == 0, "COL_CC_OLD").when(F.col("image_id") % 3 == 1, "COL_CC_NEW").otherwise("COL_PA")
+    return _six(raster.colour_profile(_colours(spark, sf_dir), kind), "hue", "sat", "val", "score")
+
+
+_ZONE = (0.2, 0.25, 0.4, 0.5)
+
+
+def q_photo_obscured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits that are covered; every other picture is darkened."""
+    dark = _colours(spark, sf_dir).withColumns({c: (F.col(c) / F.when(F.col("image_id") % 2 == 0, 5).otherwise(1)).cast("int") for c in "bgr"})
+    return _six(raster.obscured(dark, raster.photo_zone(F.lit(8), F.lit(8), *_ZONE)), "val", "sat")
+
+
+def q_zone_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits whose colours differ from the document's."""
+    return _six(raster.zone_colour(_colours(spark, sf_dir), raster.photo_zone(F.lit(8), F.lit(8), *_ZONE), F.lit(8), 1), "sat", "val", "score")
+
+
+def q_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey values of negatives."""
+    return raster.histogram(pixels(spark, sf_dir).withColumn("g", raster.inverted(F.col("g"))), 5)
+
+
+def q_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and deviations of whole pictures."""
+    found = pixels(spark, sf_dir).groupBy("image_id").agg(F.avg("g").alias("mean"), F.stddev_pop("g").alias("std"))
+    return _six(found, "mean", "std")
+
+
 def q_splice_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jumps between neighbours of a noise map."""
     noise = pixels(spark, sf_dir).select("image_id", "y", "x", (F.col("g") / 64.0).alias("v"))
@@ -107,6 +138,18 @@ def q_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(raster.aspect_score(F.lit(1000.0), F.col("p_size") * 25.0), 9).alias("score"))
 
 
+def q_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest rectangle of each brand."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("w"), (F.col("p_partkey") % 9).alias("h"))
+    return raster.largest(rows, ["p_brand"])
+
+
+def q_classifier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that the montage classifier looks at."""
+    rows = captures(spark, sf_dir).withColumn("document_type", type_of("session_id"))
+    return rows.where(authenticity.classifier_applies(F.col("document_type"), F.col("side"))).select("session_id", "side")
+
+
 def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
     kernel, fields = raster.KERNELS[name]
     return lambda spark, sf_dir: raster.per_image(pixels(spark, sf_dir), kernel, fields)
@@ -186,7 +229,7 @@ def q_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_backlight_cv, q_contrast, q_toner, q_saturation, q_colour_temperature, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
+QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_backlight_cv, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
 QUERIES |= {f"q_kernel_{n}": _kernel(n) for n in raster.KERNELS}
 QUERIES |= {"q_structure_score": _combiner(lambda: authenticity.structure()), "q_photocopy_score": _combiner(lambda: authenticity.photocopy()), "q_recapture_score": _combiner(lambda: authenticity.recapture()), "q_photo_zone_score": _combiner(lambda: authenticity.photo_zone()), "q_tampering_score": _combiner(lambda: authenticity.tampering(F.col("is_passport")))}
 
@@ -235,6 +278,17 @@ SQL = {
     "q_checks_json": "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN (event_id % 100)::DOUBLE / 100 END AS score, CASE WHEN event_id % 10 <> 0 THEN event_id % 2 = 0 END AS veto FROM events",
     "q_sha256": "SELECT doc_id, sha256(text) AS digest FROM documents",
 }
+_SAT = "CASE WHEN greatest(b, g, r) > 0 THEN floor((greatest(b, g, r) - least(b, g, r)) * 255.0::DOUBLE / greatest(b, g, r) + 0.5) ELSE 0 END"
+_HUE = "CASE WHEN v = least(b, g, r) THEN 0 WHEN v = r THEN (g - b) * 60.0::DOUBLE / (v - least(b, g, r)) WHEN v = g THEN (b - r) * 60.0::DOUBLE / (v - least(b, g, r)) + 120 ELSE (r - g) * 60.0::DOUBLE / (v - least(b, g, r)) + 240 END"
+SQL |= {
+    "q_colour_profile": f"WITH {_COLOURS}, a AS (SELECT *, greatest(b, g, r) AS v, {_SAT} AS s FROM colours), h AS (SELECT *, {_HUE} AS h FROM a), m AS (SELECT image_id, avg(CASE WHEN h < 0 THEN h + 360 ELSE h END / 2) AS hue, avg(s) AS sat, avg(v) AS val FROM h GROUP BY 1) SELECT image_id, round(hue, 6) AS hue, round(sat, 6) AS sat, round(val, 6) AS val, round(CASE WHEN val < 80 THEN 0.4 ELSE greatest(0.2, 1 - CASE image_id % 3 WHEN 0 THEN CASE WHEN hue BETWEEN 12 AND 50 AND sat > 30 THEN 0 ELSE 0.3 END WHEN 1 THEN CASE WHEN sat > 70 THEN 0.15 ELSE 0 END ELSE 0 END) END, 6)::DOUBLE AS score FROM m",
+    "q_photo_obscured": f"WITH {_COLOURS}, d AS (SELECT image_id, floor(b / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS b, floor(g / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS g, floor(r / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS r FROM colours WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5), m AS (SELECT image_id, avg(greatest(b, g, r)) AS val, avg({_SAT}) AS sat, count(*) FILTER (greatest(b, g, r) < 40) / count(*) AS dark FROM d GROUP BY 1) SELECT image_id, round(val, 6) AS val, round(sat, 6) AS sat, dark, CASE WHEN val < 35 OR dark > 0.7 THEN 0.0 WHEN val < 60 AND sat < 30 AND dark > 0.4 THEN 0.25 ELSE 1.0 END::DOUBLE AS score FROM m",
+    "q_zone_colour": f"WITH {_COLOURS}, a AS (SELECT *, greatest(b, g, r) AS v, {_SAT} AS s FROM colours WHERE greatest(b, g, r) <= 230), m AS (SELECT image_id, avg(s) FILTER (x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5) - avg(s) FILTER (x >= 5) AS sat, abs(avg(v) FILTER (x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5) - avg(v) FILTER (x >= 5)) AS val FROM a GROUP BY 1) SELECT image_id, round(sat, 6) AS sat, round(val, 6) AS val, round(CASE WHEN sat > 30 OR val > 60 THEN greatest(0.1::DOUBLE, 1 - (greatest(sat, val) - 8) / 40) ELSE 1.0::DOUBLE END, 6) AS score FROM m",
+    "q_invert": f"{_MEANS} SELECT image_id, ((255 - g) // 32)::INT AS bin, count(*) AS n FROM pixels GROUP BY 1, 2",
+    "q_largest": "SELECT p_brand, p_partkey AS i, p_size::BIGINT * (p_partkey % 9) AS area FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY area DESC, p_partkey) = 1",
+    "q_classifier_gate": f"WITH {CAPTURES} SELECT session_id, side FROM captures WHERE side = 'FRONT' AND session_id % 14 = {CODES.index('COL_CC_OLD')}",
+    "q_moments": f"{_MEANS} SELECT image_id, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std FROM pixels GROUP BY 1",
+}
 _VALUE = f"(SELECT vec_id, label % 2 AS label, list_sum(list_transform(generate_series(1, 64), lambda i: embedding[i]::DOUBLE * ({_W}))) - 0.1 AS value FROM embeddings)"
 SQL["q_svm_score"] = f"SELECT vec_id, round(value, 6) AS value, (value > 0)::INT AS predicted FROM {_VALUE}"
 SQL["q_confusion"] = f"SELECT vec_id % 3 AS fold, count(*) FILTER (label = 1 AND value > 0) AS tp, count(*) FILTER (label = 0 AND value <= 0) AS tn, count(*) FILTER (label = 0 AND value > 0) AS fp, count(*) FILTER (label = 1 AND value <= 0) AS fn FROM {_VALUE} GROUP BY 1"

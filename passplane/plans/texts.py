@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.functions import text
-from passplane.operators import classify, extract
+from passplane.operators import classify, extract, mrz
 from passplane.plans.derived import CODES, GIVEN, SURNAME, K, pad, type_of
 from passplane.sources.tables import table
 
@@ -50,6 +50,12 @@ def q_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "own", "own_score", classify.matches_session(F.col("own_score"), F.col("own"), best, -F.col("best.by")).alias("matches"))
 
 
+def q_could_have_mrz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a zone is looked for; every tenth has a line of one."""
+    line = F.concat_ws("\n", "text", F.when(F.col("doc_id") % 10 == 0, "AB1234567<<<<<<<<<<<<<<<<<<<<<"))
+    return table(spark, sf_dir, "documents").select("doc_id", mrz.could_have_zone(F.col("doc_id") % 4 == 0, line).alias("looks"))
+
+
 # Layouts of recognised texts by type, made up for this purpose. Placeholders stand for expressions that both engines read.
 
 DAY, MONTH, YEAR = pad(f"(1 + {K} % 28)", 2), pad(f"(1 + {K} % 12)", 2), f"concat('', 1960 + {K} % 40)"
@@ -163,7 +169,7 @@ def q_extract_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(texts, ["c_custkey"], "COL_CC_OLD", side="FRONT").select("c_custkey", "field", "value")
 
 
-QUERIES = {f.__name__: f for f in (q_keyword_hits, q_classify_argmax, q_classify_country, q_classify_rank, q_type_mismatch, q_ecu_alert, q_extract_side)}
+QUERIES = {f.__name__: f for f in (q_keyword_hits, q_classify_argmax, q_classify_country, q_classify_rank, q_type_mismatch, q_could_have_mrz, q_ecu_alert, q_extract_side)}
 QUERIES |= {f"q_extract_{c.lower()}": _extraction(c) for c in CODES}
 
 
@@ -202,6 +208,7 @@ SQL = {
     "q_classify_country": _best("code LIKE 'COL%'"),
     "q_classify_rank": f"WITH {_SCORES} SELECT doc_id, code, type_score, row_number() OVER (PARTITION BY doc_id ORDER BY type_score DESC, code)::INT AS rank FROM s",
     "q_type_mismatch": f"WITH {_SCORES}, o AS (SELECT *, {_OWN} AS own FROM s), b AS (SELECT doc_id, own, max(CASE WHEN code = own THEN type_score END) AS own_score, max(type_score) AS best_score FROM o GROUP BY 1, 2), w AS (SELECT doc_id, code AS best FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY type_score DESC, code) = 1) SELECT doc_id, own, own_score, own_score >= 0.30 OR best_score = 0 OR best = own OR best_score < 0.50 AS matches FROM b JOIN w USING (doc_id)",
+    "q_could_have_mrz": "SELECT doc_id, doc_id % 4 = 0 OR doc_id % 10 = 0 OR regexp_matches(text, '[A-Z0-9<]{26,48}') AS looks FROM documents",
     "q_ecu_alert": f"WITH n AS (SELECT c_custkey, {ECU} AS value FROM customer), d AS (SELECT *, {_ECU_D} FROM n) SELECT c_custkey, concat('Dígito verificador inválido: ', value) AS value FROM d WHERE (10 - ({_ECU_SUM}) % 10) % 10 <> d9",
     "q_extract_side": " UNION ALL ".join(f"SELECT c_custkey, '{f}' AS field, {_template(LAYOUTS['COL_CC_OLD'][1][f][0])} AS value FROM customer" for f in extract.FRONT_OLD),
 }
