@@ -15,7 +15,7 @@ Null texts are empty: no words, no labels, score 0. Repeated rows are scanned ea
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -95,7 +95,7 @@ def rules() -> list[Rule]:
     add("mit", r"licen[sc]ed under (?:the )?mit", "mit", 2)
     add("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use", 3)
     add("isc", r"isc licen[sc]e", "isc", 2)
-    add("zlib", r"(?:zlib|libpng) licen[sc]e", "li", 2)
+    add("zlib", r"(?:zlib|libpng) licen[sc]e", "licen", 2)
     add("zlib", r"altered source versions must be plainly marked", "altered source", 3)
     add("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 3)
     add("unlicense", r"the unlicen[sc]e", "unlicen", 2)
@@ -111,18 +111,22 @@ def rules() -> list[Rule]:
     # Notices that reserve or restrict
     add("reserved", r"(?:copyright|c) (?:\S+ ){0,8}all rights reserved", "all rights reserved", 3)
     add("reserved", r"all rights (?:are )?reserved", "all rights", 2)
-    add("reserved", r"(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", "", 2)
+    for words in ("alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados"):
+        add("reserved", words, words, 2)
     add("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 2)
-    add("copyright", r"\bc (?:19|20)\d\d(?= \S)", "c ", 1)
-    add("no-reproduction", r"(?:may not|must not|no part of this \S+ may) be (?:reproduced|copied|redistributed)", "be ", 2)
+    for century in ("19", "20"):
+        add("copyright", rf"c {century}\d\d(?= \S)", f"c {century}", 1)
+    for verb in ("reproduced", "copied", "redistributed"):
+        add("no-reproduction", rf"(?:may not|must not|no part of this \S+ may) be {verb}", f"be {verb}", 2)
     add("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 3)
-    add("permission-required", r"without (?:the )?(?:prior |express )*(?:written )?(?:permission|consent)", "without", 2)
+    for leave in ("permission", "consent"):
+        add("permission-required", rf"without (?:the )?(?:prior |express )*(?:written )?{leave}", leave, 2)
     for use in ("non commercial", "noncommercial", "personal", "educational", "research", "internal"):
         add("restricted-use", rf"(?:for )?{use} (?:use|purposes?) only", use, 2)
         add("restricted-use", rf"only for {use} (?:use|purposes?)", use, 2)
     add("spdx", r"spdx licen[sc]e identifier \S+", "spdx", 1)
-    add("unspecified-license", r"(?:licen[sc]ed|released|distributed|available|published) under (?:the |a )?(?:terms of )?(?:\S+ ){0,4}?licen[sc]e", "under", 1)
-    add("unspecified-license", r"licen[sc]ed under", "under", 1)
+    add("unspecified-license", r"(?:licen[sc]ed|released|distributed|available|published) under (?:the |a )?(?:terms of )?(?:\S+ ){0,4}?licen[sc]e", "licen", 1)
+    add("unspecified-license", r"licen[sc]ed under", "licen", 1)
     return out
 
 
@@ -138,12 +142,8 @@ class Scanner:
         self.rules = rules()
         self.compiled = [re.compile(rf"(?<!\S){r.pattern}(?!\S)") for r in self.rules]
         by: dict[str, list[int]] = {}
-        self.always = [i for i, r in enumerate(self.rules) if not r.keyword]
         for i, r in enumerate(self.rules):
-            if r.keyword:
-                by.setdefault(r.keyword, []).append(i)
-        # rules without a keyword of their own, and those with one too short to tell, wait for any word of notices
-        self.any = re.compile("licen[sc]e|copyright|rights|rechte|droits|derechos|reserved|creative ?commons|permission|proprietary|reproduced|redistribut|public domain|spdx|gpl|cc0|cc by|bsd|wtfpl|unencumbered|altered source| only|only for| c 19| c 20|written consent|prior consent|apache|cecill|confidential")
+            by.setdefault(r.keyword, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for keyword, own in by.items():
             self.automaton.add_word(keyword, own)
@@ -151,11 +151,13 @@ class Scanner:
 
     def detections(self, line: str) -> list[tuple[int, int, Rule]]:
         """What stays of the rules' matches on a line of words, as (begin, end, rule), by place."""
-        if not self.any.search(line):
-            return []
-        wanted = set(self.always)
+        wanted: set[int] = set()
         for _, own in self.automaton.iter(line):
             wanted.update(own)
+        return self.resolved(line, wanted) if wanted else []
+
+    def resolved(self, line: str, wanted: Iterable[int]) -> list[tuple[int, int, Rule]]:
+        """The matches of some of the rules, without those that overlap better ones."""
         found = [(m.start(), m.end(), i) for i in sorted(wanted) for m in self.compiled[i].finditer(line)]
         # higher priority first, then longer, then the earlier rule; what overlaps a detection that stands goes
         found.sort(key=lambda x: (-self.rules[x[2]].priority, x[0] - x[1], x[2], x[0]))
