@@ -253,21 +253,24 @@ def _radius(shape: tuple[int, int]) -> np.ndarray:
     return np.hypot(y - shape[0] // 2, x - shape[1] // 2)
 
 
+def _reach(picture: np.ndarray) -> int:
+    """The radius of the spectrum's inner circle."""
+    return min(picture.shape[0] // 2, picture.shape[1] // 2)
+
+
 def halftone(picture: np.ndarray) -> dict[str, float]:
-    """Peaks in a ring of the spectrum, from 15 to 40 % of the smaller side: a print raster."""
-    s, r = spectrum(picture), _radius(picture.shape)
-    ring = (r >= 0.15 * min(picture.shape)) & (r <= 0.40 * min(picture.shape))
-    peaks = float(((s > 0.78) & ring).sum())
-    norm, band = peaks / picture.size, peaks / max(ring.sum(), 1)
-    return {"peaks": norm, "band": float(band), "score": max(0.0, 0.35 - 50 * norm) if norm > 0.0018 or band > 0.28 else 1.0}
+    """Energy and peaks of the spectrum from 15 to 40 % of its radius: a print raster."""
+    s, r, reach = spectrum(picture), _radius(picture.shape), _reach(picture)
+    ring = (r >= int(reach * 0.15)) & (r <= int(reach * 0.40))
+    norm, band = float(((s > 0.78) & ring).sum()) / (picture.size + 1), float(s[ring].sum() / max(s.sum(), 1e-12))
+    return {"peaks": norm, "band": band, "score": max(0.0, 0.35 - 50 * norm) if norm > 0.0018 or band > 0.28 else 1.0}
 
 
 def moire(picture: np.ndarray) -> dict[str, float]:
-    """Peaks of the spectrum outside the middle: the grid of a screen."""
+    """Peaks of the spectrum outside a fifth of its radius: the grid of a screen."""
     s, r = spectrum(picture), _radius(picture.shape)
-    outside = r > min(picture.shape) / 5
-    peaks = float(((s > 0.75) & outside).sum())
-    norm, ratio = peaks / picture.size, peaks / max(float((s > 0.75).sum()), 1.0)
+    peak = (s > 0.75) & (r > _reach(picture) // 5)
+    norm, ratio = float(peak.sum()) / (picture.size + 1), float(s[peak].sum() / max(s.sum(), 1e-12))
     return {"peaks": norm, "ratio": ratio, "score": max(0.0, 0.4 - 2 * ratio) if norm > 0.0015 or ratio > 0.08 else 1.0}
 
 

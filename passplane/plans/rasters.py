@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passplane.operators import authenticity, raster, scoring
+from passplane.operators import authenticity, raster, scoring, signals
 from passplane.plans.derived import CAPTURES, CODES, PIXELS, captures, pixels, type_of
 from passplane.sources.tables import table
 
@@ -171,6 +171,17 @@ def _combiner(score: Callable[[], Column]) -> Callable[[SparkSession, str], Data
     return lambda spark, sf_dir: _signals(spark, sf_dir).select("p_partkey", F.round(score(), 9).alias("score"))
 
 
+def q_signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of signals from their measures."""
+    c = F.col
+    found = {
+        "ela": signals.error_level(c("ela") * 120, c("photo") * 200, c("noise") * 50), "outliers": signals.consistent_outliers(F.floor(c("multi_ela") * 12)), "face_ring": signals.face_ring(c("ring") / 4),
+        "border": signals.border_noise(c("border") * 4, c("clone") * 4), "zone_ela": signals.zone_error_level(c("zone_ela") * 9, c("splice") * 9), "background": signals.background(c("background") / 3, c("contrast") * 130),
+        "perspective": signals.perspective(F.floor(c("moire") * 5), F.floor(c("screen") * 5), F.floor(c("flat") * 9)), "screen": signals.screen(c("colour") * 9, c("glare") * 9, c("sharpness") * 20, c("toner") * 12),
+    }
+    return _signals(spark, sf_dir).select("p_partkey", *[F.round(v, 9).alias(n) for n, v in found.items()])
+
+
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _signals(spark, sf_dir)
     pair = lambda name, c: F.struct(F.lit(name).alias("analyzer"), F.col(c).alias("score"))
@@ -229,7 +240,7 @@ def q_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_backlight_cv, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
+QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_backlight_cv, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_signal_scores, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
 QUERIES |= {f"q_kernel_{n}": _kernel(n) for n in raster.KERNELS}
 QUERIES |= {"q_structure_score": _combiner(lambda: authenticity.structure()), "q_photocopy_score": _combiner(lambda: authenticity.photocopy()), "q_recapture_score": _combiner(lambda: authenticity.recapture()), "q_photo_zone_score": _combiner(lambda: authenticity.photo_zone()), "q_tampering_score": _combiner(lambda: authenticity.tampering(F.col("is_passport")))}
 
@@ -280,7 +291,9 @@ SQL = {
 }
 _SAT = "CASE WHEN greatest(b, g, r) > 0 THEN floor((greatest(b, g, r) - least(b, g, r)) * 255.0::DOUBLE / greatest(b, g, r) + 0.5) ELSE 0 END"
 _HUE = "CASE WHEN v = least(b, g, r) THEN 0 WHEN v = r THEN (g - b) * 60.0::DOUBLE / (v - least(b, g, r)) WHEN v = g THEN (b - r) * 60.0::DOUBLE / (v - least(b, g, r)) + 120 ELSE (r - g) * 60.0::DOUBLE / (v - least(b, g, r)) + 240 END"
+_RATIOS = "r AS (SELECT *, (border * 4 + 0.01) / (clone * 4 + 0.01) AS n, zone_ela * 9 / (splice * 9 + 0.01) AS e, floor(moire * 5) + floor(screen * 5) AS aligned, floor(flat * 9) AS diagonal, (colour * 9 < 4 AND glare * 9 < 3)::INT AS s1, (sharpness * 20 < 8)::INT AS s2, (toner * 12 < 5)::INT AS s3 FROM s)"
 SQL |= {
+    "q_signal_scores": f"WITH {_S}, {_RATIOS} SELECT p_partkey, round(CASE WHEN ela * 120 > 80 OR photo * 200 > noise * 50 * 3.5 THEN greatest(0.1, 1 - ela * 120 / 200) ELSE 1 END, 9)::DOUBLE AS ela, round(CASE WHEN floor(multi_ela * 12) >= 2 THEN greatest(0.1, 1 - floor(multi_ela * 12) * 0.12) ELSE 1 END, 9)::DOUBLE AS outliers, round(CASE WHEN ring / 4 > 0.11::DOUBLE THEN greatest(0.1, 0.55 - 5 * (ring / 4 - 0.11)) ELSE 1 END, 9)::DOUBLE AS face_ring, round(CASE WHEN n > 3.2 OR n < 0.30 THEN greatest(0, 1 - abs(ln(n)) / 2) ELSE 1 END, 9)::DOUBLE AS border, round(CASE WHEN e > 2.2 OR e < 0.45 THEN greatest(0.05, 1 - abs(ln(e + 0.01)) / 2) ELSE 1 END, 9)::DOUBLE AS zone_ela, round(CASE WHEN background / 3 > 0.20 OR contrast * 130 > 95 THEN greatest(0, 1 - background / 3 * 2 - (contrast * 130 - 95) / 150) ELSE 1 END, 9)::DOUBLE AS background, round(CASE WHEN aligned + diagonal = 0 THEN 0.85 WHEN aligned / (aligned + diagonal) < 0.60 THEN aligned / (aligned + diagonal) ELSE 1 END, 9)::DOUBLE AS perspective, round(greatest(0, 1 - s1 * CASE WHEN s1 + s2 + s3 >= 2 THEN 0.30 ELSE 0.08 END - s2 * CASE WHEN s1 + s2 + s3 >= 2 THEN 0.35 ELSE 0.10 END - s3 * CASE WHEN s1 + s2 + s3 >= 2 THEN 0.20 ELSE 0.08 END), 9)::DOUBLE AS screen FROM r",
     "q_colour_profile": f"WITH {_COLOURS}, a AS (SELECT *, greatest(b, g, r) AS v, {_SAT} AS s FROM colours), h AS (SELECT *, {_HUE} AS h FROM a), m AS (SELECT image_id, avg(CASE WHEN h < 0 THEN h + 360 ELSE h END / 2) AS hue, avg(s) AS sat, avg(v) AS val FROM h GROUP BY 1) SELECT image_id, round(hue, 6) AS hue, round(sat, 6) AS sat, round(val, 6) AS val, round(CASE WHEN val < 80 THEN 0.4 ELSE greatest(0.2, 1 - CASE image_id % 3 WHEN 0 THEN CASE WHEN hue BETWEEN 12 AND 50 AND sat > 30 THEN 0 ELSE 0.3 END WHEN 1 THEN CASE WHEN sat > 70 THEN 0.15 ELSE 0 END ELSE 0 END) END, 6)::DOUBLE AS score FROM m",
     "q_photo_obscured": f"WITH {_COLOURS}, d AS (SELECT image_id, floor(b / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS b, floor(g / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS g, floor(r / CASE WHEN image_id % 2 = 0 THEN 5 ELSE 1 END)::INT AS r FROM colours WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5), m AS (SELECT image_id, avg(greatest(b, g, r)) AS val, avg({_SAT}) AS sat, count(*) FILTER (greatest(b, g, r) < 40) / count(*) AS dark FROM d GROUP BY 1) SELECT image_id, round(val, 6) AS val, round(sat, 6) AS sat, dark, CASE WHEN val < 35 OR dark > 0.7 THEN 0.0 WHEN val < 60 AND sat < 30 AND dark > 0.4 THEN 0.25 ELSE 1.0 END::DOUBLE AS score FROM m",
     "q_zone_colour": f"WITH {_COLOURS}, a AS (SELECT *, greatest(b, g, r) AS v, {_SAT} AS s FROM colours WHERE greatest(b, g, r) <= 230), m AS (SELECT image_id, avg(s) FILTER (x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5) - avg(s) FILTER (x >= 5) AS sat, abs(avg(v) FILTER (x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 5) - avg(v) FILTER (x >= 5)) AS val FROM a GROUP BY 1) SELECT image_id, round(sat, 6) AS sat, round(val, 6) AS val, round(CASE WHEN sat > 30 OR val > 60 THEN greatest(0.1::DOUBLE, 1 - (greatest(sat, val) - 8) / 40) ELSE 1.0::DOUBLE END, 6) AS score FROM m",
