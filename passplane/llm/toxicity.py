@@ -9,17 +9,19 @@ Embeddings start with the log odds of the feature among toxic training texts in
 by Adam on cross entropy.
 
 Thresholds are calibrated by language: for each language that the text itself shows (by the word scores of the language
-operator) the logit that gives the best F0.5 on training rows that the weights have not seen, or the overall one where a
-language has too few; above all logits if none is right at least half of the time. The score is the logistic function of the logit less that threshold, so 0.5 is the threshold.
+operator) the logit that gives the best F0.5 on all labelled training rows that the weights have not seen, counted by fine
+steps of the logit, or the overall one where a language has too few; above all logits if none is right at least half of
+the time. The score is the logistic function of the logit less that threshold, so 0.5 is the threshold.
 
-Labels are learned only from training rows, in a sample by the hash of the id of about ``POSITIVES`` and ``NEGATIVES`` texts:
-bounded and the same in any order of the rows. Of several labels of a document the largest counts; null labels are ignored.
+Labels are learned only from training rows; weights in a sample by the hash of the id of about ``POSITIVES`` and
+``NEGATIVES`` texts: bounded and the same in any order of the rows. Of several labels of a document the largest counts; null labels are ignored.
 Null and empty texts get a score like any text without known words. Without a label of each kind, every score is 0.
 Repeated rows are scored each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.llm import language
-from passplane.llm.base import annotated, by_size, documents, is_held_out, is_training_row, segment_sums
+from passplane.llm.base import annotated, by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
 from passplane.llm.words import HashTable, hashes
 
 #: Training texts of each label, on average; texts a feature must occur in to have an embedding, and its least normal score;
 #: features that have one; leading letters.
 POSITIVES, NEGATIVES, LEAST_TEXTS, LEAST_SCORE, VOCABULARY, PREFIXES = 2000, 4000, 3, 3.0, 8192, (4, 5)
+#: Steps that a logit of 1 is counted in, and the largest logit that is told from larger ones.
+STEPS, LARGEST = 64, 128
 #: Dimensions of an embedding, filter widths, filters of each width, passes over the training texts.
 DIMENSIONS, WIDTHS, FILTERS, EPOCHS = 8, (1, 2, 3), 12, 5
 
@@ -193,14 +197,17 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, nea
     return float((cut[first] + cut[last]) / 2)
 
 
-def calibrate(net: Net, data: Text, labels: np.ndarray, weight: np.ndarray, least: int = 25) -> None:
-    """Sets the threshold of each language (None of its own: key -2, the overall one)."""
-    logit = net.logits(data.words, data.counts)
-    net.thresholds = {-2: best_threshold(logit, labels, weight) if labels.any() else 0.0}
-    for lang in np.unique(data.lang).tolist():
-        own = data.lang == lang
-        if labels[own].sum() >= least:
-            net.thresholds[lang] = best_threshold(logit[own], labels[own], weight[own])
+def calibrate(net: Net, logit: np.ndarray, lang: np.ndarray, labels: np.ndarray, weight: np.ndarray, counts: np.ndarray | None = None, least: int = 25) -> None:
+    """Sets the threshold of each language (None of its own: key -2, the overall one).
+
+    counts: how many texts each entry stands for, one each if None; least: toxic texts that a language needs.
+    """
+    counts = np.ones(len(logit), np.int64) if counts is None else counts
+    net.thresholds = {-2: best_threshold(logit, labels, weight * counts) if labels.any() else 0.0}
+    for k in np.unique(lang).tolist():
+        own = lang == k
+        if (labels * counts)[own].sum() >= least:
+            net.thresholds[k] = best_threshold(logit[own], labels[own], (weight * counts)[own])
 
 
 @dataclass
@@ -223,7 +230,7 @@ class Model:
 
 
 def learn(rows: list[tuple[str, int, bool, float]], lang: language.Model) -> Model:
-    """From (text, label, for calibration, weight) of labelled rows."""
+    """From (text, label, for calibration, weight) of labelled rows. Calibrated on these rows alone."""
     labels, later, weight = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
     if not rows or labels.min() == labels.max():
         return Model(None, lang)
@@ -237,23 +244,63 @@ def learn(rows: list[tuple[str, int, bool, float]], lang: language.Model) -> Mod
 
     fitting, held = np.flatnonzero(~later), np.flatnonzero(later if later.any() else ~later)
     net = train(part(fitting), labels[fitting], np.ones(len(fitting)))
-    calibrate(net, part(held), labels[held], weight[held])
+    data = part(held)
+    calibrate(net, net.logits(data.words, data.counts), data.lang, labels[held], weight[held])
     return Model(net, lang)
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, later): the training rows' labels; a quarter is kept from the weights."""
+    known = labels.where(is_training_row() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    marked = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    return marked.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
+
+
+def steps_of(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, step) of the training rows of docs: the language that the text shows and the logit in steps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            lang, step = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+            for a, b in by_size(texts, 1_000_000):
+                data = prepare(texts[a:b], shared.value.lang)
+                lang[a:b] = data.lang
+                step[a:b] = np.floor(np.clip(shared.value.net.logits(data.words, data.counts), -LARGEST, LARGEST) * STEPS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(step)], ["doc_id", "lang", "step"])
+
+    own = docs.where(is_training_row() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return own.mapInArrow(run, "doc_id long, lang int, step int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, lang: language.Model) -> Model:
-    """Learns from docs (doc_id, text) and labels (doc_id, toxic). A quarter of the sample is kept for calibration."""
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic): weights from a sample of at most three quarters of the
+    labelled training rows, thresholds from all the others."""
     spark = docs.sparkSession
-    marked = labels.where(is_training_row() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marked = labelled(labels)
     sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = {k: min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((0, NEGATIVES), (1, POSITIVES))}
     place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20))
-    chosen = marked.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20))
+    in_sample = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20)
     # the sample is bounded by its shares, so its ids can be broadcast
-    ids = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "toxic").collect()], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
+    ids = spark.createDataFrame([tuple(r) for r in marked.where(in_sample).collect()], "doc_id long, toxic int, later boolean")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
     found = sorted((r.doc_id, r.text or "", r.toxic, r.later) for r in rows.toLocalIterator())
-    return learn([(text, toxic, later, 1 / share[toxic]) for _, text, toxic, later in found], lang)
+    model = learn([(text, toxic, later, 1 / share[toxic]) for _, text, toxic, later in found], lang)
+    if model.net is None:
+        return model
+    # without both labels on both sides, the weights were learned from the whole sample, and all rows calibrate
+    split = all(len({toxic for _, _, toxic, later in found if later == side}) == 2 for side in (False, True))
+    others = marked.where(~in_sample | F.col("later")) if split else marked
+    counted = steps_of(docs, model).join(others.select("doc_id", "toxic"), "doc_id").groupBy("lang", "step", "toxic").count().collect()
+    lang_of, step, toxic, counts = (np.array([r[k] for r in sorted(tuple(r) for r in counted)]) for k in range(4))
+    # the weights took more of one label than of the other
+    left = np.maximum(1, np.bincount(toxic, counts, 2))
+    taken = np.bincount(np.array([y for _, _, y, later in found if split and not later], np.int64), minlength=2)
+    weight = (1 + taken / left)[toxic]
+    calibrate(model.net, (step + 0.5) / STEPS, lang_of, toxic, weight, counts)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -92,6 +92,25 @@ def test_toxicity_of_odd_rows(spark, odd, nothing):
     assert toxicity.score(nothing, some).count() == 0 and toxicity.keep_clean(nothing, labels).count() == 0
 
 
+def test_toxicity_thresholds_see_all_labelled_rows(spark, monkeypatch):
+    # a language with many toxic texts of which few are in the sample
+    monkeypatch.setattr(toxicity, "POSITIVES", 200)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 400)
+    rows = [(i, t, y, "de") for i, t, y in _labelled(3000)]
+    rows += [(3000 + i, t.replace("wort", "slovo"), y, "cs") for i, t, y in _labelled(300, 1)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, _, lang in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    lang = language.fit(docs)
+    model = toxicity.fit(docs, labels, lang)
+    assert lang.languages.index("cs") in model.net.thresholds and lang.languages.index("de") in model.net.thresholds
+    n = sum(not held_out(i) for i, *_ in rows)
+    counted = []
+    real = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, logit, lang, y, w, counts=None, least=25: (counted.append(len(logit) if counts is None else int(counts.sum())), real(net, logit, lang, y, w, counts, least)))
+    toxicity.fit(docs, labels, lang)
+    assert counted[-1] > n - 600
+
+
 def test_pooling_does_not_see_the_shortening():
     rows = [(t, y, False, 1.0) for _, t, y in _labelled(200, 2)]
     model = toxicity.learn(rows, language.train([]))
