@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from passplane.llm.base import by_size, documents, segment_sums, texts_of, written
 from passplane.llm.graphs import components
+from passplane.llm.near_copies import first_of_each
 
 #: Fingerprints in a shard on average; those that the tree is built from at most; those compared pair by pair.
 PER_SHARD, SAMPLE, BLOCK = 4000, 40_000, 1024
@@ -240,9 +241,10 @@ def near_duplicates(docs: DataFrame, reach: int = 2) -> DataFrame:
     return split.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest)
 
 
-def keep_first(docs: DataFrame, reach: int = 2) -> DataFrame:
-    """One row of each near-duplicate group of docs (doc_id, text, any others): that with the smallest doc_id.
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies of docs (doc_id, text, any others): that with the smallest doc_id.
 
+    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more, decided exactly (see ``near_copies``).
     If ids are null or repeat, rows are numbered for this by (id, hash of the text), nulls last, and the first stays.
     """
     rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
@@ -250,10 +252,8 @@ def keep_first(docs: DataFrame, reach: int = 2) -> DataFrame:
         ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
         packed = ordered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id"))
         packed = written(packed, "numbered")
-        near = near_duplicates(packed.select("doc_id", F.col("row.text").alias("text")), reach)
-        return packed.join(near.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select("row.*")
-    near = near_duplicates(docs, reach)
-    return docs.join(near.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+        return packed.join(first_of_each(packed.select("doc_id", F.col("row.text").alias("text"))), "doc_id", "left_semi").select("row.*")
+    return docs.join(first_of_each(docs), "doc_id", "left_semi")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

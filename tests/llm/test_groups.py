@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passplane.llm import compaction, graphs, neighbours, prefix_hashes, simhash
+from passplane.llm import compaction, graphs, near_copies, neighbours, prefix_hashes, simhash
 from passplane.llm.base import documents, shared_folder
 from tests.llm.test_tokens import _ids, check_packing
 
@@ -56,6 +56,38 @@ def test_simhash_of_odd_rows(odd, odd_rows, nothing):
     assert simhash.keep_first(nothing).count() == 0
 
 
+def _kept_by_hand(rows):
+    sets = [set(near_copies.shingles_of(t).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])) > 0:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return [rows[k][0] for k, x in enumerate(label) if x == k]
+
+
+@pytest.mark.parametrize("chars", [4_000_000, 3000])
+def test_near_copies_against_brute_force(spark, monkeypatch, chars):
+    # small blocks: a cluster meets in many cells
+    monkeypatch.setattr(near_copies, "BLOCK_CHARS", chars)
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for _ in range(8):
+            text = list(base)
+            for k in rnd.sample(range(120), rnd.randint(0, 3)):
+                text[k] = f"x{rnd.randrange(5000)}"
+            rows.append((len(rows), " ".join(text)))
+    # the same lines again and again, and something else in each
+    repeated = "buy this now or never again " * 200
+    rows += [(len(rows) + k, repeated + " ".join(f"own{k}x{j}" for j in range(60))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs).collect())
+    assert kept == _kept_by_hand(rows) and kept[-3:] == [96, 97, 98] and len(kept) < 40
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_vantage_point_shards_lose_no_pair(dense):
     rng = np.random.default_rng(1)
