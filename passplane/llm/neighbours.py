@@ -13,7 +13,7 @@ Rows are dealt by hash to shards, queries to blocks; each pair of a shard and a
 indexes the shard and answers the block. A query that finds fewer than k rows in all is answered again with the radius of a
 whole code, which reaches every row. Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite
 components, and those of another length than most, take no part; nor do rows without an id. Rows that repeat an id are
-candidates each, but for the query's own row. Empty tables give no rows. Other columns are ignored.
+candidates and queries each: rows are numbered, and a query leaves out only the row of its own number. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,8 +129,14 @@ def usable(vector: str) -> Column:
 
 
 def search(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score) of rows (vec_id, embedding): the k nearest found of each row where queries holds."""
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable("embedding") & F.col("vec_id").isNotNull())
+    """(query_id, rank, vec_id, score) of rows (vec_id, embedding): the k nearest found of each row where queries holds.
+
+    Rows that repeat a query's id have k answers each, all under that id.
+    """
+    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").alias("held"), F.col("embedding").cast("array<double>")).where(usable("embedding") & F.col("vec_id").isNotNull())
+    # the number of a row is written, so it stays the same whenever rows are read
+    rows = written(own.select("vec_id", F.col("held").alias("embedding"), F.monotonically_increasing_id().alias("row")), "vectors")
+    rows = rows.select("row", "vec_id", F.col("embedding").cast("array<double>"))
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
@@ -143,25 +149,25 @@ def search(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     coder = fit(sample, largest, k)
     best = written(_answers(rows, queries, n, asked, coder, k), "neighbours")
     wanted = min(k, n - 1)
-    found = best.groupBy("query_id").count().where(F.col("count") >= wanted)
-    short = rows.where(queries).join(found, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id") if wanted else None
+    found = best.groupBy("row").count().where(F.col("count") >= wanted)
+    short = rows.where(queries).join(found, "row", "left_anti").select("row") if wanted else None
     if short is not None and not short.isEmpty():
-        short = written(short.distinct(), "short")
+        short = written(short, "short")
         again = _answers(rows, queries, n, short.count(), Coder(coder.rotation, largest, CODE), k, short)
-        best = best.join(short.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(again)
+        best = best.join(short, "row", "left_anti").unionByName(again)
     return best.select(*[x.split()[0] for x in schema.split(", ")])
 
 
 def _answers(rows: DataFrame, queries: Column, n: int, asked: int, coder: Coder, k: int, only: DataFrame | None = None) -> DataFrame:
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")
-    held = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), shard.alias("shard"), F.lit(False).alias("is_query"), "vec_id", "embedding")
+    shard = F.pmod(F.xxhash64("row", F.lit(6)), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int")
+    held = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), shard.alias("shard"), F.lit(False).alias("is_query"), "row", "vec_id", "embedding")
     own = rows.where(queries)
-    own = own.join(only, "vec_id", "left_semi") if only is not None else own
-    wanted = own.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "embedding")
+    own = own.join(only, "row", "left_semi") if only is not None else own
+    wanted = own.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "row", "vec_id", "embedding")
     cell = (F.col("block") * shards + F.col("shard")).alias("cell")
-    dealt = held.unionByName(wanted).select(cell, "is_query", "vec_id", "embedding").repartition(shards * blocks, "cell").sortWithinPartitions("cell", "is_query", "vec_id")
+    dealt = held.unionByName(wanted).select(cell, "is_query", "row", "vec_id", "embedding").repartition(shards * blocks, "cell").sortWithinPartitions("cell", "is_query", "vec_id", "row")
     shared = rows.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,36 +186,37 @@ def _answers(rows: DataFrame, queries: Column, n: int, asked: int, coder: Coder,
         if held:
             yield _answer(held, shared.value, k)
 
-    part = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    part = dealt.mapInArrow(run, "row long, query_id long, vec_id long, score double")
     # each shard sends at most k rows of a query
-    top = part.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    top = part.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))), 1, k).alias("top"))
+    return top.select("row", "query_id", F.posexplode("top").alias("at", "x")).select("row", "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def _answer(batches: list[pa.RecordBatch], coder: Coder, k: int) -> pa.RecordBatch:
     """The k nearest rows of a shard for each query of a block."""
     table = pa.Table.from_batches(batches)
     ask = np.asarray(table.column("is_query"))
-    ids = np.asarray(table.column("vec_id"))
+    ids, numbers = np.asarray(table.column("vec_id")), np.asarray(table.column("row"))
     flat = np.asarray(table.column("embedding").combine_chunks().flatten())
     x = flat.reshape(len(ids), -1)
-    rows, asked, out = x[~ask], x[ask], ([], [], [])
+    rows, asked, out = x[~ask], x[ask], ([], [], [], [])
     row_ids, query_ids = ids[~ask], ids[ask]
     if len(rows) and len(asked):
         index = Index(coder.codes(rows, False))
-        for q, code, vector in zip(query_ids.tolist(), coder.codes(asked, True), asked, strict=True):
+        row_numbers = numbers[~ask]
+        for q, number, code, vector in zip(query_ids.tolist(), numbers[ask].tolist(), coder.codes(asked, True), asked, strict=True):
             at = index.within(code, coder.radius)
-            at = at[row_ids[at] != q]
+            at = at[row_numbers[at] != number]
             # summed in one order for every row, so equal vectors have equal scores
             score = (rows[at] * vector).sum(1)
             if len(at) > k:
                 keep = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
                 at, score = at[keep], score[keep]
             order = np.lexsort((row_ids[at], -score))[:k]
-            for held, values in zip(out, (np.full(len(order), q), row_ids[at[order]], score[order]), strict=True):
+            for held, values in zip(out, (np.full(len(order), number), np.full(len(order), q), row_ids[at[order]], score[order]), strict=True):
                 held.append(values)
-    q, v, s = (np.concatenate(o) if o else [] for o in out)
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+    r, q, v, s = (np.concatenate(o) if o else [] for o in out)
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["row", "query_id", "vec_id", "score"])
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

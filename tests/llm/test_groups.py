@@ -209,6 +209,21 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 20)
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    # id 0 twice with the same vector, id 20 twice with different ones
+    vectors += [(0, vectors[0][1]), (20, rng.normal(size=8).tolist())]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.search(table, F.col("vec_id") % 20 == 0, 20).collect())
+    x, want = np.array([v for _, v in vectors]), []
+    for k in [k for k, (i, _) in enumerate(vectors) if i % 20 == 0]:
+        others = sorted((-float(x[j] @ x[k]), vectors[j][0]) for j in range(len(vectors)) if j != k)[:20]
+        want += [(vectors[k][0], n + 1, i, round(-score, 9)) for n, (score, i) in enumerate(others)]
+    assert len(got) == len(want) == 100 and got == sorted(want)
+
+
 def test_pigeonhole_misses_nothing():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**16, (400, 8)).astype("<u2")
