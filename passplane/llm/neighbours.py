@@ -3,17 +3,23 @@
 A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm of all, which turns inner products into
 angles; a query gets 0 there. Binary codes are the signs after learned rotations (each alternately fitted to the nearest
 corners of the cube, on a bounded sample of rows); several rotations fill the code. A code is split into substrings of 16
-bits and each substring is indexed by its value. For a Hamming radius r the pigeonhole principle gives each of m substrings
-a radius t with sum of (t + 1) = r + 1, so a code within r lies within t in at least one of them: every bucket within t of
-the query's substring is probed, candidates are held to the full radius, and those that stay are ranked by the inner product
-of the original vectors in double precision. The radius covers ``COVER`` of the true neighbours inside the sample, where
-neighbours are farther than among all rows.
-
-Rows are dealt by hash to shards, queries to blocks; each pair of a shard and a block is a task's group of bounded size that
-indexes the shard and answers the block. A query that finds fewer than k rows in all is answered again with the radius of a
-whole code, which reaches every row. Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite
-components, and those of another length than most, take no part; nor do rows without an id. Rows that repeat an id are
-candidates and queries each: rows are numbered, and a query leaves out only the row of its own number. Empty tables give no rows. Other columns are ignored.
+bits, and each substring is indexed by its value. For a Hamming radius r the pigeonhole principle gives each of m substrings
+a radius t with sum of (t + 1) = r + 1, so a code within r lies within t in at least one of them: exactly the buckets within
+t of the query's substring are looked up, what they hold is held to the full radius, and what stays is ranked by the inner
+product of the original vectors in double precision.
+
+The index is a table of codes in shards by (substring, leading bits of its value): a row is in one shard of each substring,
+a query goes only to the shards whose leading bits are within t of its own. A shard that many rows fall in is split and its
+queries go to each part, so a task holds a bounded number of codes whatever the values' shares. A candidate that several
+substrings find counts for the first of them, which its code tells, so nothing has to be gathered to drop repeats. Vectors
+are read once more, by one join with the candidates; the best k of a query are kept by a limited window.
+
+The radius covers ``COVER`` of the true neighbours, among all rows, of ``ASKED`` sampled rows. A query that finds fewer than
+k rows is asked again with a larger radius, up to the whole code, which reaches every row. ``radius=CODE`` from the start is
+the exact way. Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part; nor
+do rows without an id. Vectors of unlike lengths are compared as if the shorter one ended in zeros. Products that overflow are infinite; one
+that is no number ranks last. Rows that repeat an id are candidates and queries each: rows are numbered, and a query leaves
+out only the row of its own number. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,30 +29,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passplane.llm.base import ranges, written
 
-#: Bits of a code and of a substring; rows that rotations and radius are fitted on; share of neighbours that the radius covers.
-CODE, SUBSTRING, SAMPLE, COVER = 128, 16, 4096, 0.95
-#: Rows of a shard and queries of a block, on average.
-SHARD, BLOCK = 10_000, 2000
+#: Bits of a code and of a substring; rows that rotations are fitted on; rows whose true neighbours set the radius, and the
+#: share of these that it covers; how much it grows for queries that find too little.
+CODE, SUBSTRING, SAMPLE, ASKED, COVER, MORE = 256, 16, 4096, 128, 0.95, 32
+PARTS = CODE // SUBSTRING
+#: Codes of a shard, on average; a shard of more than twice as many is split.
+PER_SHARD = 16_000
+
+OUT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
 class Coder:
-    """rotation: (dimensions + 1, bits); largest: the largest norm; radius: of the search."""
+    """rotation: (dimensions + 1, bits); scale: the largest component; largest: the largest norm after division by it."""
 
     rotation: np.ndarray
+    scale: float
     largest: float
-    radius: int
 
     def codes(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Codes (rows, substrings) as uint16."""
+        """Codes (rows, CODE / 64) as uint64."""
+        x = x / self.scale
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.largest**2 - (x**2).sum(1), 0))
         bits = np.concatenate([x, extra[:, None]], axis=1) @ self.rotation > 0
-        return np.packbits(bits, axis=1, bitorder="little").view("<u2")
+        return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u8")
 
 
 def fit_rotation(x: np.ndarray, bits: int, rounds: int = 25, seed: int = 1) -> np.ndarray:
@@ -63,160 +74,278 @@ def fit_rotation(x: np.ndarray, bits: int, rounds: int = 25, seed: int = 1) -> n
     return np.concatenate(parts, axis=1)[:, :bits]
 
 
-def fit(sample: np.ndarray, largest: float, k: int) -> Coder:
-    """The coder for rows like those of the sample (rows, dimensions)."""
+def fit(sample: np.ndarray) -> tuple[np.ndarray, float]:
+    """The rotation for rows like those of the sample (rows, dimensions), scaled to components of at most 1."""
+    largest = float(np.sqrt((sample**2).sum(1).max()))
     extended = np.concatenate([sample, np.sqrt(np.maximum(largest**2 - (sample**2).sum(1), 0))[:, None]], axis=1) / largest
-    coder = Coder(fit_rotation(extended, CODE), largest, CODE)
-    if len(sample) > 10 * k:
-        asked = sample[:: max(1, len(sample) // 256)]
-        near = asked @ sample.T
-        near[np.arange(len(asked)), np.arange(0, len(sample), max(1, len(sample) // 256))] = -np.inf
-        top = np.argpartition(-near, k, axis=1)[:, :k]
-        codes, own = coder.codes(sample, False), coder.codes(asked, True)
-        apart = np.bitwise_count(codes[top] ^ own[:, None]).sum(2)
-        coder.radius = int(np.ceil(np.quantile(apart, COVER)))
-    return coder
-
-
-def substring_radii(radius: int, parts: int) -> list[int]:
-    """Radii whose (t + 1) sum to radius + 1, as even as can be; -1: the substring need not be probed."""
+    return fit_rotation(extended, CODE), largest
+
+
+def substring_radii(radius: int, parts: int = PARTS) -> list[int]:
+    """Radii whose (t + 1) sum to radius + 1, as even as can be; -1: the substring need not be probed. A radius of the whole
+    code needs one substring only."""
+    if radius >= parts * SUBSTRING:
+        return [SUBSTRING] + [-1] * (parts - 1)
     least, more = divmod(radius + 1, parts)
     return [least - 1 + (j < more) for j in range(parts)]
 
 
-_MASKS: list[np.ndarray] = []
+_MASKS: dict[int, list[np.ndarray]] = {}
+
+
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All values of so many bits of which at most radius are set."""
+    if bits not in _MASKS:
+        every = np.arange(1 << bits, dtype=np.int64)
+        _MASKS[bits] = [every[np.bitwise_count(every) <= t] for t in range(bits + 1)]
+    return _MASKS[bits][min(radius, bits)]
+
+
+@dataclass
+class Layout:
+    """The shards: leading bits that tell them; radius of the search and of each substring; parts of split shards by number."""
+
+    bits: int
+    radius: int
+    splits: dict[int, int]
 
+    def __post_init__(self) -> None:
+        self.radii = substring_radii(self.radius)
 
-def masks(radius: int) -> np.ndarray:
-    """All 16-bit values of at most so many bits."""
-    if not _MASKS:
-        every = np.arange(1 << SUBSTRING, dtype=np.int64)
-        _MASKS.extend(every[np.bitwise_count(every) <= t] for t in range(SUBSTRING + 1))
-    return _MASKS[min(radius, SUBSTRING)]
+    def shard(self, part: int, leading: np.ndarray) -> np.ndarray:
+        """The numbers of the shards of a substring."""
+        return (part << self.bits) + leading
+
+    def of_rows(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, shard) of each code in the shards of every substring that is probed."""
+        words = codes.view("<u2")
+        for j, t in enumerate(self.radii):
+            if t >= 0:
+                yield np.arange(len(codes)), self.shard(j, words[:, j].astype(np.int64) >> (SUBSTRING - self.bits))
+
+    def of_queries(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, shard) of each query's code and every shard within reach."""
+        words = codes.view("<u2")
+        for j, t in enumerate(self.radii):
+            if t >= 0:
+                own = words[:, j].astype(np.int64) >> (SUBSTRING - self.bits)
+                near = own[:, None] ^ masks(self.bits, t)[None]
+                yield np.repeat(np.arange(len(codes)), near.shape[1]), self.shard(j, near).ravel()
 
 
 class Index:
-    """The substring tables of a shard's codes: each substring's column, and its rows by value."""
-
-    def __init__(self, codes: np.ndarray):
-        self.words = np.ascontiguousarray(codes).view("<u8")
-        self.columns = [np.ascontiguousarray(c) for c in codes.T]
-        self.order = [np.argsort(c, kind="stable") for c in self.columns]
-        self.sorted = [c[o] for c, o in zip(self.columns, self.order, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Positions of all codes within the radius. Where a ball has more values than the shard has rows, the rows'
-        substrings are compared instead of being looked up."""
-        found = np.zeros(len(self.words), bool)
-        for j, t in enumerate(substring_radii(radius, len(self.order))):
-            if t < 0:
-                continue
-            if len(masks(t)) >= len(self.words):
-                found |= np.bitwise_count(self.columns[j] ^ code[j]) <= t
-                continue
-            values = (masks(t) ^ int(code[j])).astype(code.dtype)
-            start = np.searchsorted(self.sorted[j], values)
-            found[self.order[j][ranges(start, np.searchsorted(self.sorted[j], values, side="right") - start)]] = True
-        at = np.flatnonzero(found)
-        return at[np.bitwise_count(self.words[at] ^ code.view("<u8")).sum(1) <= radius]
+    """The codes of a shard by the value of its substring."""
+
+    def __init__(self, codes: np.ndarray, shard: int, layout: Layout):
+        self.layout, self.part = layout, shard >> layout.bits
+        self.leading, self.low_bits = shard & ((1 << layout.bits) - 1), SUBSTRING - layout.bits
+        low = codes.view("<u2")[:, self.part].astype(np.int64) & ((1 << self.low_bits) - 1)
+        self.order = np.argsort(low, kind="stable")
+        self.codes = codes[self.order]
+        # place of each value's bucket in that order
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=1 << self.low_bits))])
+
+    def probed(self, code: np.ndarray) -> np.ndarray:
+        """Places of all codes in buckets within reach of the query's substring."""
+        own = int(code.view("<u2")[self.part])
+        left = self.layout.radii[self.part] - ((own >> self.low_bits) ^ self.leading).bit_count()
+        if left < 0:
+            return np.zeros(0, np.int64)
+        bucket = (own & ((1 << self.low_bits) - 1)) ^ masks(self.low_bits, left)
+        start = self.start[bucket]
+        size = self.start[bucket + 1] - start
+        full = size > 0
+        return ranges(start[full], size[full])
+
+    def within(self, code: np.ndarray) -> np.ndarray:
+        """Positions of the codes within the radius that no substring before this one finds."""
+        at = self.probed(code)
+        at = at[np.bitwise_count(self.codes[at] ^ code).sum(1) <= self.layout.radius]
+        apart = np.bitwise_count(self.codes[at].view("<u2") ^ code.view("<u2")) <= np.array(self.layout.radii)
+        return self.order[at[apart.argmax(1) == self.part]]
 
 
 def usable(vector: str) -> Column:
-    """Whether a vector takes part, but for its length."""
+    """Whether a vector takes part."""
     c = F.col(vector)
     good = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & good & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of doubles, with zeros after the shorter ones."""
+    flat = np.asarray(column.flatten(), np.float64)
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(flat) == len(sizes) * width:
+        return flat.reshape(-1, width)
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), ranges(np.zeros(len(sizes), np.int64), sizes)] = flat
+    return out
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The first k of each query of (query, vec_id, row, score, ...), with their rank. Spark limits each group before the shuffle."""
+    order = Window.partitionBy("query").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id", "row")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def fitted(rows: DataFrame, n: int, k: int) -> tuple[Coder, int]:
+    """The coder for rows (row, vec_id, embedding), and the radius that covers the true neighbours of the sampled queries."""
+    width, scale = rows.agg(F.max(F.size("embedding")), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / scale) * (v / scale)))
+    largest = rows.agg(F.max(size)).first()[0]
+    place = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(5)), F.lit(n))
+    found = rows.where(place < SAMPLE).orderBy(place, "vec_id", "embedding", "row").limit(SAMPLE).select("row", "embedding").collect()
+    sample = np.zeros((len(found), width))
+    for at, r in zip(sample, found, strict=True):
+        at[: len(r.embedding)] = r.embedding
+    coder = Coder(fit(sample / scale)[0], scale, largest)
+    asked, numbers = sample[:ASKED], np.array([r.row for r in found[:ASKED]])
+    codes = coder.codes(asked, True)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, own = matrix(batch.column("embedding"), width), np.asarray(batch.column("row"))
+            # scaled on both sides, so that no product is infinite
+            score = (asked / scale) @ (x / scale).T
+            score[numbers[:, None] == own[None]] = -np.inf
+            top = np.argpartition(-score, min(k, len(own)) - 1, axis=1)[:, :k] if len(own) else np.zeros((len(asked), 0), np.int64)
+            query = np.repeat(np.arange(len(asked)), top.shape[1])
+            apart = np.bitwise_count(coder.codes(x, False)[top.ravel()] ^ codes[query]).sum(1)
+            kept = np.isfinite(score[query, top.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (query, own[top.ravel()], score[query, top.ravel()], apart.astype(np.int64))], ["query", "row", "score", "apart"])
+
+    true = best(rows.select("row", "embedding").mapInArrow(near, "query long, row long, score double, apart long").withColumn("vec_id", F.lit(0)), k)
+    apart = [r.apart for r in true.select("apart").collect()]  # at most k of each sampled query
+    return coder, int(np.ceil(np.quantile(apart, COVER))) if apart else CODE
+
+
+def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The inner products of own and embedding, in double precision."""
+    for batch in batches:
+        a, b = batch.column("own"), batch.column("embedding")
+        width = max([1, *np.diff(np.asarray(a.offsets)).tolist(), *np.diff(np.asarray(b.offsets)).tolist()])
+        with np.errstate(all="ignore"):
+            # summed in one order for every row, so equal vectors have equal scores
+            score = (matrix(a, width) * matrix(b, width)).sum(1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("query", "query_id", "row", "vec_id")), pa.array(score)], ["query", "query_id", "row", "vec_id", "score"])
+
+
+def search(rows: DataFrame, queries: Column, k: int = 20, radius: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of rows (vec_id, embedding): the k nearest found of each row where queries holds.
 
-    Rows that repeat a query's id have k answers each, all under that id.
+    radius: of the search; fitted to the rows if None, exact from CODE. Rows that repeat a query's id have k answers each,
+    all under that id.
     """
-    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").alias("held"), F.col("embedding").cast("array<double>")).where(usable("embedding") & F.col("vec_id").isNotNull())
+    held = rows.select(F.col("vec_id").cast("long"), F.col("embedding").alias("held"), F.col("embedding").cast("array<double>"))
+    held = held.where(usable("embedding") & F.col("vec_id").isNotNull())
     # the number of a row is written, so it stays the same whenever rows are read
-    rows = written(own.select("vec_id", F.col("held").alias("embedding"), F.monotonically_increasing_id().alias("row")), "vectors")
-    rows = rows.select("row", "vec_id", F.col("embedding").cast("array<double>"))
-    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == lengths.d)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    n, asked, largest = rows.agg(F.count("*"), F.count_if(queries), F.max(norm)).first()
-    place = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n))
-    sample = np.array([r.embedding for r in rows.where(place < SAMPLE).orderBy("vec_id").limit(2 * SAMPLE).collect()])
-    coder = fit(sample, largest, k)
-    best = written(_answers(rows, queries, n, asked, coder, k), "neighbours")
-    wanted = min(k, n - 1)
-    found = best.groupBy("row").count().where(F.col("count") >= wanted)
-    short = rows.where(queries).join(found, "row", "left_anti").select("row") if wanted else None
-    if short is not None and not short.isEmpty():
-        short = written(short, "short")
-        again = _answers(rows, queries, n, short.count(), Coder(coder.rotation, largest, CODE), k, short)
-        best = best.join(short, "row", "left_anti").unionByName(again)
-    return best.select(*[x.split()[0] for x in schema.split(", ")])
-
-
-def _answers(rows: DataFrame, queries: Column, n: int, asked: int, coder: Coder, k: int, only: DataFrame | None = None) -> DataFrame:
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    shard = F.pmod(F.xxhash64("row", F.lit(6)), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int")
-    held = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), shard.alias("shard"), F.lit(False).alias("is_query"), "row", "vec_id", "embedding")
-    own = rows.where(queries)
-    own = own.join(only, "row", "left_semi") if only is not None else own
-    wanted = own.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "row", "vec_id", "embedding")
-    cell = (F.col("block") * shards + F.col("shard")).alias("cell")
-    dealt = held.unionByName(wanted).select(cell, "is_query", "row", "vec_id", "embedding").repartition(shards * blocks, "cell").sortWithinPartitions("cell", "is_query", "vec_id", "row")
-    shared = rows.sparkSession.sparkContext.broadcast(coder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    stored = written(held.select("vec_id", F.col("held").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row")), "vectors")
+    held = stored.select("row", "vec_id", "asks", F.col("embedding").cast("array<double>"))
+    n = held.count()
+    if n < 2:
+        return rows.sparkSession.createDataFrame([], OUT)
+    coder, fit_radius = fitted(held, n, k)
+    radius = fit_radius if radius is None else radius
+    width = len(coder.rotation) - 1
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, asks = matrix(batch.column("embedding"), width), np.asarray(batch.column("asks"))
+            codes, own = coder.codes(x, False), coder.codes(x, True)
+            asked = [c.tobytes() if a else None for c, a in zip(own, asks.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(asked, pa.binary())], ["row", "code", "asked"])
+
+    codes = written(held.select("row", "embedding", "asks").mapInArrow(encode, "row long, code binary, asked binary"), "codes")
+    wanted, done = min(k, n - 1), None
+    asked = codes.where("asked is not null").select("row", "asked")
+    while True:
+        pairs = written(candidates(codes, asked, n, radius), "candidates")
+        own = stored.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("own"))
+        met = pairs.join(stored.select("row", "vec_id", "embedding"), "row").join(own, "query").select("query", "query_id", "row", "vec_id", "own", "embedding")
+        scored = met.mapInArrow(multiply, "query long, query_id long, row long, vec_id long, score double")
+        found = written(best(scored, k), "neighbours")
+        full = found.groupBy("query").count().where(F.col("count") >= wanted).select("query")
+        if radius >= CODE or asked.join(full, F.col("row") == F.col("query"), "left_anti").isEmpty():
+            found = found if done is None else done.unionByName(found)
+            return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        enough = found.join(full, "query", "left_semi")
+        done = enough if done is None else done.unionByName(enough)
+        asked = written(asked.join(full, F.col("row") == F.col("query"), "left_anti"), "asked")
+        radius = min(CODE, radius + MORE)
+
+
+def candidates(codes: DataFrame, asked: DataFrame, n: int, radius: int) -> DataFrame:
+    """(query, row): all rows of codes (row, code) within the radius of each of asked (row, asked), itself left out."""
+    bits = min(SUBSTRING, max(0, (-(-n // PER_SHARD) - 1).bit_length()))
+    layout = Layout(bits, radius, {})
+    parts = [j for j, t in enumerate(layout.radii) if t >= 0]
+    value = [F.conv(F.hex(F.reverse(F.substring("code", 2 * j + 1, 2))), 16, 10).cast("int") for j in parts]
+    shard = F.explode(F.array(*[F.shiftright(v, SUBSTRING - bits) + (j << bits) for j, v in zip(parts, value, strict=True)]))
+    # of these there is one for 2 * PER_SHARD entries of the index at most
+    crowded = codes.select(shard.alias("shard")).groupBy("shard").count().where(F.col("count") > 2 * PER_SHARD).collect()
+    layout.splits = {r.shard: -(-r["count"] // PER_SHARD) for r in crowded}
+    shared = codes.sparkSession.sparkContext.broadcast(layout)
+
+    def deal(column: str) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layout = shared.value
+            for batch in batches:
+                own = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(-1, CODE // 64)
+                rows = np.asarray(batch.column("row"))
+                queries = column == "asked"
+                for at, shard in layout.of_queries(own) if queries else layout.of_rows(own):
+                    split = np.zeros(len(at), np.int64)
+                    if layout.splits:
+                        times = np.fromiter((layout.splits.get(s, 1) for s in shard.tolist()), np.int64, len(shard))
+                        if queries:
+                            at, shard, split = np.repeat(at, times), np.repeat(shard, times), ranges(np.zeros(len(at), np.int64), times)
+                        else:
+                            split = rows[at] % times
+                    step = 20_000
+                    for a in range(0, len(at), step):
+                        take = pa.array(at[a : a + step])
+                        yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + step], pa.int32()), pa.array(split[a : a + step], pa.int32()), pa.array(np.full(len(take), queries)), batch.column("row").take(take), batch.column(column).take(take)], ["shard", "split", "asks", "row", "code"])
+
+        return run
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's rows come first; its queries stream by."""
+        now, held, ids, index = None, [], [], None
+        out: list[np.ndarray] = []
         for batch in batches:
-            cells = np.asarray(batch.column("cell"))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]]).tolist()
+            shards, splits, asks = (np.asarray(batch.column(x)) for x in ("shard", "split", "asks"))
+            rows = np.asarray(batch.column("row"))
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), "<u8").reshape(-1, CODE // 64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards) | np.diff(splits) | np.diff(asks.astype(np.int8))) + 1, [len(shards)]]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if held and cells[a] != now:
-                    yield _answer(held, shared.value, k)
-                    held = []
-                now = cells[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield _answer(held, shared.value, k)
-
-    part = dealt.mapInArrow(run, "row long, query_id long, vec_id long, score double")
-    # each shard sends at most k rows of a query
-    top = part.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))), 1, k).alias("top"))
-    return top.select("row", "query_id", F.posexplode("top").alias("at", "x")).select("row", "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-
-
-def _answer(batches: list[pa.RecordBatch], coder: Coder, k: int) -> pa.RecordBatch:
-    """The k nearest rows of a shard for each query of a block."""
-    table = pa.Table.from_batches(batches)
-    ask = np.asarray(table.column("is_query"))
-    ids, numbers = np.asarray(table.column("vec_id")), np.asarray(table.column("row"))
-    flat = np.asarray(table.column("embedding").combine_chunks().flatten())
-    x = flat.reshape(len(ids), -1)
-    rows, asked, out = x[~ask], x[ask], ([], [], [], [])
-    row_ids, query_ids = ids[~ask], ids[ask]
-    if len(rows) and len(asked):
-        index = Index(coder.codes(rows, False))
-        row_numbers = numbers[~ask]
-        for q, number, code, vector in zip(query_ids.tolist(), numbers[ask].tolist(), coder.codes(asked, True), asked, strict=True):
-            at = index.within(code, coder.radius)
-            at = at[row_numbers[at] != number]
-            # summed in one order for every row, so equal vectors have equal scores
-            score = (rows[at] * vector).sum(1)
-            if len(at) > k:
-                keep = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                at, score = at[keep], score[keep]
-            order = np.lexsort((row_ids[at], -score))[:k]
-            for held, values in zip(out, (np.full(len(order), number), np.full(len(order), q), row_ids[at[order]], score[order]), strict=True):
-                held.append(values)
-    r, q, v, s = (np.concatenate(o) if o else [] for o in out)
-    return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["row", "query_id", "vec_id", "score"])
+                if now != (shards[a], splits[a]):
+                    now, held, ids, index = (shards[a], splits[a]), [], [], None
+                if not asks[a]:
+                    held.append(codes[a:b])
+                    ids.append(rows[a:b])
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index, numbers = Index(np.concatenate(held), int(now[0]), shared.value), np.concatenate(ids)
+                for query, code in zip(rows[a:b].tolist(), codes[a:b], strict=True):
+                    near = numbers[index.within(code)]
+                    near = near[near != query]
+                    if len(near):
+                        out.append(np.stack([np.full(len(near), query), near]))
+                    if len(out) >= 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["query", "row"])
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["query", "row"])
+
+    kind = "shard int, split int, asks boolean, row long, code binary"
+    entries = codes.select("row", "code").mapInArrow(deal("code"), kind).unionByName(asked.mapInArrow(deal("asked"), kind))
+    tasks = max(len(parts), (len(parts) << bits) // 4)
+    return entries.repartition(tasks, "shard", "split").sortWithinPartitions("shard", "split", "asks").mapInArrow(look_up, "query long, row long")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

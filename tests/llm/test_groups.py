@@ -204,13 +204,53 @@ def test_neighbours_of_odd_vectors(spark):
     got = {}
     for r in neighbours.search(table, F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == {0: [1, 2, 20], 20: [9, 0, 1]}
+    # 8 is shorter and compared as if it ended in zeros
+    assert got == {0: [1, 2, 8], 20: [9, 0, 1]}
     assert neighbours.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.search(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["huge", "one dominant norm", "unlike lengths"])
+def test_neighbours_of_unusual_norms_are_exact_from_a_whole_code(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 6))
+    if kind == "huge":
+        x *= 1e200
+    if kind == "one dominant norm":
+        x[3] *= 1e9
+    vectors = [v[: 1 + k % 6] if kind == "unlike lengths" else v for k, v in enumerate(x)]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    padded = np.array([np.pad(v, (0, 6 - len(v))) for v in vectors])
+    with np.errstate(all="ignore"):
+        product = (padded[:, None] * padded[None]).sum(2)
+    product = np.where(np.isnan(product), -np.inf, product)
+    want = {q: sorted((-product[q, j], j) for j in range(120) if j != q)[:10] for q in range(0, 120, 20)}
+    for radius in (neighbours.CODE, None):
+        got = {}
+        for r in neighbours.search(table, F.col("vec_id") % 20 == 0, 10, radius).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        share = np.mean([len(got[q] & {j for _, j in want[q]}) / 10 for q in want])
+        # infinite products tie, so only the exact way tells the smallest ids among them
+        assert share == 1 if radius else share >= 0.9 or kind == "huge"
+
+
+def test_neighbours_probe_buckets_of_a_split_index(spark, monkeypatch):
+    """Clusters of vectors: few buckets are looked up, shards that many fall in are split, and recall holds."""
+    monkeypatch.setattr(neighbours, "PER_SHARD", 200)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    # a third of all rows lies around one centre
+    which = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 40, 3000))
+    x = centres[which] + rng.normal(0, 0.15, (3000, 16))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want, got = exact(list(enumerate(x))), {}
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys() and np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_neighbours_of_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD", 20)
+    monkeypatch.setattr(neighbours, "PER_SHARD", 10)
     rng = np.random.default_rng(8)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(60)]
     # id 0 twice with the same vector, id 20 twice with different ones
@@ -224,15 +264,31 @@ def test_neighbours_of_repeated_ids(spark, monkeypatch):
     assert len(got) == len(want) == 100 and got == sorted(want)
 
 
-def test_pigeonhole_misses_nothing():
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_pigeonhole_misses_nothing(bits):
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 2**16, (400, 8)).astype("<u2")
-    codes[:200] = codes[200:] ^ (np.uint16(1) << rng.integers(0, 16, (200, 8)).astype(np.uint16))
-    index = neighbours.Index(codes)
-    for radius in (0, 7, 9, 30, 60, 128):
-        assert sum(t + 1 for t in neighbours.substring_radii(radius, 8)) == radius + 1
-        near = np.bitwise_count(codes ^ codes[3]).sum(1) <= radius
-        assert (index.within(codes[3], radius) == np.flatnonzero(near)).all()
+    codes = rng.integers(0, 2**64, (400, 4), dtype=np.uint64)
+    for _ in range(24):
+        codes[:200] = codes[200:] if _ == 0 else codes[:200] ^ (np.uint64(1) << rng.integers(0, 64, (200, 4)).astype(np.uint64)) * rng.integers(0, 2, (200, 4)).astype(np.uint64)
+    for radius in (0, 7, 20, 40, 60, 110, 256):
+        layout = neighbours.Layout(bits, radius, {})
+        assert radius == 256 or sum(t + 1 for t in layout.radii) == radius + 1
+        members, found, looked = {}, [], 0
+        for at, shard in layout.of_rows(codes):
+            for i, s in zip(at.tolist(), shard.tolist(), strict=True):
+                members.setdefault(s, []).append(i)
+        for at, shard in layout.of_queries(codes[3:4]):
+            for s in shard.tolist():
+                if s in members:
+                    own = np.array(members[s])
+                    index = neighbours.Index(codes[own], s, layout)
+                    looked += len(index.probed(codes[3]))
+                    found += own[index.within(codes[3])].tolist()
+        # every code within the radius once, and no bucket beyond the substrings' radii was read
+        assert sorted(found) == np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(1) <= radius).tolist()
+        words = codes.view("<u2")
+        assert looked == (np.bitwise_count(words ^ words[3]) <= np.array(layout.radii)).sum()
+        assert radius > 20 or looked < 40
 
 
 def test_compaction_keeps_rows_and_versions(spark, odd):
