@@ -39,7 +39,8 @@ def sorted_catalog(spark: SparkSession) -> DataFrame:
 
 def with_type(rows: DataFrame, code: str = "document_type") -> DataFrame:
     """Joins the catalog's columns to rows; rows of unknown types go."""
-    return rows.join(F.broadcast(catalog(rows.sparkSession)), F.col(code) == F.col("code")).drop("code")
+    types = catalog(rows.sparkSession).withColumnRenamed("code", "_known_code")
+    return rows.join(F.broadcast(types), rows[code] == types["_known_code"]).drop(types["_known_code"])
 
 
 def unsupported(rows: DataFrame, code: str = "document_type") -> DataFrame:

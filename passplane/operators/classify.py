@@ -70,10 +70,26 @@ def best_of(texts: DataFrame, keys: list[str], text: str = "text", codes: list[s
     return best.select(*keys, F.when(known, F.col("best.code")).otherwise("UNKNOWN").alias("code"), F.when(known, -F.col("best.by")).otherwise(F.lit(0.0)).alias("type_score"))
 
 
-def ranking(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds rank to (keys, code, type_score): by score, then code. The types of a text are at most 14 rows."""
-    ranks = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("type_score")).alias("by"), "code"))).alias("all"))
-    return ranks.select(*keys, F.posexplode("all").alias("place", "x")).select(*keys, F.col("x.code").alias("code"), (-F.col("x.by")).alias("type_score"), (F.col("place") + 1).alias("rank"))
+def ranking(texts: DataFrame, keys: list[str], text: str = "text", codes: list[str] | None = None) -> DataFrame:
+    """(keys, code, type_score, rank) for every type: by score, then code. The 14 scores are sorted inside the row: no shuffle."""
+    upper = texts.select(*keys, F.upper(F.col(text)).alias("_upper"))
+    # exploding one element keeps the scores from being copied into the sort
+    each = F.array(*[F.struct((-score(F.col("_upper"), c)).alias("by"), F.lit(c).alias("code")) for c in (codes or sorted(KEYWORDS))])
+    ranks = upper.select(*keys, F.posexplode(F.array_sort(each)).alias("_place", "_x"))
+    return ranks.select(*keys, F.col("_x.code").alias("code"), (-F.col("_x.by")).alias("type_score"), (F.col("_place") + 1).alias("rank"))
+
+
+def against(texts: DataFrame, keys: list[str], own: str, text: str = "text") -> DataFrame:
+    """(keys, own, own_score, best, best_score): a text's score for its session's type and the best type; no shuffle.
+
+    best is null if no type scores above 0; own_score is null for an unknown type.
+    """
+    upper = texts.select(*keys, F.col(own).alias("own"), F.upper(F.col(text)).alias("_upper"))
+    each = F.array(*[F.struct((-score(F.col("_upper"), c)).alias("by"), F.lit(c).alias("code")) for c in sorted(KEYWORDS)])
+    rows = upper.select(*keys, "own", F.explode(F.array(each)).alias("_all"))
+    mine = F.filter("_all", lambda x: x["code"] == F.col("own"))
+    rows = rows.select(*keys, "own", (-F.try_element_at(mine, F.lit(1))["by"]).alias("own_score"), F.array_min("_all").alias("_best"))
+    return rows.select(*keys, "own", "own_score", F.when(F.col("_best.by") < 0, F.col("_best.code")).alias("best"), (-F.col("_best.by")).alias("best_score"))
 
 
 def matches_session(own_score: Column, own: Column, best: Column, best_score: Column) -> Column:

@@ -18,6 +18,7 @@ def cleaned(line: Column) -> Column:
 
 def looks_like_zone(line: Column) -> Column:
     """Separators, many digits, the beginning of a first line, or a name line whose separators were misread."""
+    # fixed values: the least counts and the beginnings of lines
     return (
         (count_char(line, "<") >= 3)
         | (F.length(F.regexp_replace(line, "[^0-9]", "")) >= 12)
@@ -33,6 +34,8 @@ def normalization_steps() -> list[Callable[[Column], Column]]:
     The steps within a line also hit letters that are right; that is the known price of reading degraded lines.
     """
 
+    # fixed values: the letters that stand for separators, and where
+
     def tail(line: Column) -> Column:
         n = F.length(F.regexp_extract(line, "([KSXCQ]{2,})$", 1))
         return F.concat(line.substr(F.lit(1), F.length(line) - n), F.repeat(F.lit("<"), n))
@@ -147,12 +150,19 @@ def _colombian_number(tail: Column, number: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, "^0+", "")).otherwise(number)
 
 
+def _apart(rows: DataFrame, out: str, **steps: Column) -> tuple[DataFrame, list[Column]]:
+    """The caller's row as one column beside the first steps, so that no name clashes, and its columns without out."""
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *[c.alias(n) for n, c in steps.items()])
+    return packed, [F.col("_row")[c].alias(c) for c in rows.columns if c != out]
+
+
 def with_zone(rows: DataFrame, lines: str = "lines", out: str = "zone") -> DataFrame:
     """Adds the struct of a zone's two lines of 44 or three of 30; null for none.
 
     Lines, then fields, then checks are columns of their own, so that the many substrings refer to short columns.
     """
-    line = F.col(lines)
+    rows, kept = _apart(rows, out, _lines=F.col(lines))
+    line = F.col("_lines")
     td3 = F.col("_td3")
     rows = rows.withColumn("_td3", F.size(line) == 2)
     rows = rows.withColumns(
@@ -185,7 +195,6 @@ def with_zone(rows: DataFrame, lines: str = "lines", out: str = "zone") -> DataF
         by(_span(b, 20, 21), _span(b, 7, 8)).alias("sex"), F.col("_expiry").alias("expiry_date"), _plain(by(_span(b, 10, 13), _span(b, 15, 18))).alias("nationality"), F.col("_surnames").alias("surnames"), F.col("_given").alias("given_names"),
         _words(by(_span(b, 28, 42), _span(b, 18, 29))).alias("optional_data"), *[v.alias(f"{x}_valid") for v, x in zip(valid, ("number", "birth", "expiry", "composite"), strict=True)], (valid[0] & valid[1] & valid[2] & valid[3]).alias("all_valid"),
     )
-    kept = [c for c in rows.columns if not c.startswith("_")]
     # exploding one element keeps filters on the zone from being copied below, expression by expression
     return rows.select(*kept, F.explode(F.array(F.when(F.size(line) >= 2, zone))).alias(out))
 
@@ -223,6 +232,7 @@ def contract(zone: Column) -> Column:
 
 # A passport's zone is checked apart: strictly, then by its structure, then at an anchor.
 
+# The places of a second line's parts.
 STRUCTURE = r"([A-Z0-9]{2}\d{6})<?(\d)([A-Z0]{3})(\d{6})(\d)([MF])(\d{6})(\d)"
 
 
@@ -237,7 +247,8 @@ def _strict(rows: DataFrame, line2: str, out: str) -> DataFrame:
 
 def with_passport_check(rows: DataFrame, text: str = "text", out: str = "check") -> DataFrame:
     """Adds a struct (detected, valid, wrong_format) of a passport's text."""
-    rows = rows.withColumn("_lines", F.transform(F.split(F.upper(F.col(text)), "\n"), cleaned)).withColumn("_joined", F.array_join("_lines", ""))
+    rows, kept = _apart(rows, out, _lines=F.transform(F.split(F.upper(F.col(text)), "\n"), cleaned))
+    rows = rows.withColumn("_joined", F.array_join("_lines", ""))
     card = lambda x: F.length(x).between(26, 34) & ~x.startswith("P") & (x.rlike(r"^[IAC1][A-Z<][A-Z0-9]{3}\d{5,}") | x.rlike(r"^\d{7}[MF]\d{7}[A-Z0-9]{3}"))
     rows = rows.withColumn("_long", F.transform(F.filter("_lines", lambda x: F.length(x).between(40, 48)), lambda x: pad_or_cut(x, 44))).withColumn("_cards", F.size(F.filter("_lines", card)))
     rows = rows.withColumn("_first", F.try_element_at(F.filter("_long", lambda x: x.startswith("P")), F.lit(1)))
@@ -259,7 +270,6 @@ def with_passport_check(rows: DataFrame, text: str = "text", out: str = "check")
         .when(F.col("_anchored").isNotNull(), result(True, F.col("_anchor_valid")))
         .otherwise(result(False, False))
     )
-    kept = [c for c in rows.columns if not c.startswith("_")]
     return rows.select(*kept, F.explode(F.array(check)).alias(out))
 
 

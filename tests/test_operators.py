@@ -68,12 +68,14 @@ def test_classification(spark):
     texts = spark.createDataFrame([(1, "passport  Republic of Colombia, date of birth"), (2, "nothing"), (3, "cedula de ciudadania\nrepublica de colombia digital estatura")], "id int, text string")
     got = {r.id: (r.code, round(r.type_score, 2)) for r in classify.best_of(texts, ["id"]).collect()}
     assert got[1] == ("COL_PA", 0.39) and got[2] == ("UNKNOWN", 0.0) and got[3] == ("COL_CC_NEW", 0.26)
-    ranks = classify.ranking(classify.scores(texts, ["id"]), ["id"]).where("id = 2").orderBy("rank").collect()
+    ranks = classify.ranking(texts, ["id"]).where("id = 2").orderBy("rank").collect()
     assert [r.code for r in ranks] == sorted(classify.KEYWORDS) and len(ranks) == 14
 
 
 # an invented passport of the specimen state, without optional data
-TD3 = ["P<UTOALTO<<ANNA<MAR<<<<<<<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159<<<<<<<<<<<<<<<"]
+TD3 = ["P<UTOALTO<<ANNA<MAR<<<<<<<<<<<<<<<<<<<<<<<<<", "QZ55501X9", "500229", "310815"]
+TD3[1] = f"{TD3[1]}{icao(TD3[1])}UTO{TD3[2]}{icao(TD3[2])}F{TD3[3]}{icao(TD3[3])}<<<<<<<<<<<<<<<"
+del TD3[2:]
 TD3[1] += str(icao(TD3[1][:10] + TD3[1][13:20] + TD3[1][21:43]))
 
 
@@ -81,7 +83,7 @@ def test_zone_of_a_text(spark):
     rows = spark.createDataFrame([(1, "Un texto que no es zona\n" + "\n".join(TD3)), (2, "solo prosa, sin nada"), (3, None), (4, "\n".join([TD3[0]] * 2))], "id int, text string")
     got = {r.id: r for r in mrz.with_zone(mrz.with_zone_lines(rows)).select("id", "lines", "zone", mrz.valid_count(F.col("zone")).alias("n")).collect()}
     z = got[1].zone
-    assert (z.format, z.document_number, z.surnames, z.given_names, z.sex, z.nationality) == ("TD3", "L898902C3", "ALTO", "ANNA MAR", "F", "UTO")
+    assert (z.format, z.document_number, z.surnames, z.given_names, z.sex, z.nationality) == ("TD3", "QZ55501X9", "ALTO", "ANNA MAR", "F", "UTO")
     assert z.number_valid and z.birth_valid and z.expiry_valid and z.composite_valid and got[1].n == 3
     assert got[2].zone is None and got[3].zone is None and len(got[4].lines) == 2
 
@@ -99,21 +101,29 @@ def test_passport_check(spark):
     assert got["joined"].detected
 
 
+def test_callers_columns_stay(spark):
+    rows = spark.createDataFrame([("\n".join(TD3), "m", "c", 7, "COL_PA")], "text string, _meta string, code string, _a int, document_type string")
+    zone = mrz.with_zone(mrz.with_zone_lines(rows))
+    assert zone.columns == [*rows.columns, "lines", "zone"] and zone.first()._meta == "m" and zone.first()._a == 7
+    assert mrz.with_passport_check(rows).columns == [*rows.columns, "check"] and mrz.with_passport_check(rows).first().code == "c"
+    assert catalog.with_type(rows).first().code == "c" and "_known_code" not in catalog.with_type(rows).columns
+
+
 def test_barcodes(spark):
-    rows = spark.createDataFrame([("A-0700100-00061141-M-0007178857-20080830",), ("A-0700100\n00061141 - f- 0007178857\n20080830",), ("QR 1",), (None,)], "t string")
+    rows = spark.createDataFrame([("E-3332221-66655544-M-0001234567-20110502",), ("E-3332221\n66655544 - f- 0001234567\n20110502",), ("QR 1",), (None,)], "t string")
     got = [r.b for r in rows.select(barcode.parse(F.col("t")).alias("b")).collect()]
-    assert (got[0].series, got[0].sequence, got[0].sex, got[0].number, got[0].issued) == ("A-0700100", "00061141", "M", "7178857", "2008-08-30")
-    assert (got[1].parsed, got[1].sex, got[1].number, got[1].issued) == (True, "F", "7178857", "2008-08-30") and not got[2].parsed and not got[3].parsed
+    assert (got[0].series, got[0].sequence, got[0].sex, got[0].number, got[0].issued) == ("E-3332221", "66655544", "M", "1234567", "2011-05-02")
+    assert (got[1].parsed, got[1].sex, got[1].number, got[1].issued) == (True, "F", "1234567", "2011-05-02") and not got[2].parsed and not got[3].parsed
 
 
 def test_extraction_fallbacks(spark):
-    old = spark.createDataFrame([(1, "79.108.562\nNUMERO\nA-2400200-61240236-F 005215405"), (2, "A-0700100-00061141-M-0007178857-20080830")], "id int, text string")
+    old = spark.createDataFrame([(1, "12.345.678\nNUMERO\nP-7778889-11122233-F 007654321"), (2, "E-3332221-66655544-M-0001234567-20110502")], "id int, text string")
     got = {(r.id, r.field): (r.value, r.confidence) for r in extract.extract(old, ["id"], "COL_CC_OLD").collect()}
-    assert got[1, "documentNumber"] == ("79108562", 0.90) and got[1, "codigoInferior"] == ("A-2400200-61240236-F 005215405", 0.60)
-    assert got[2, "documentNumber"] == ("7178857", 0.97) and got[2, "fechaGeneracionCodigo"] == ("2008-08-30", 0.96)
-    peru = spark.createDataFrame([(1, "DNI 09300084\nPrimer Apellido\nALTO\n")], "id int, text string")
+    assert got[1, "documentNumber"] == ("12345678", 0.90) and got[1, "codigoInferior"] == ("P-7778889-11122233-F 007654321", 0.60)
+    assert got[2, "documentNumber"] == ("1234567", 0.97) and got[2, "fechaGeneracionCodigo"] == ("2011-05-02", 0.96)
+    peru = spark.createDataFrame([(1, "DNI 20304050\nPrimer Apellido\nALTO\n")], "id int, text string")
     got = {r.field: (r.value, r.confidence) for r in extract.extract(peru, ["id"], "PER_DNI_NEW").collect()}
-    assert got == {"documentNumber": ("09300084", 0.88), "primerApellido": ("ALTO", 0.88), "apellidos": ("ALTO", 0.88)}
+    assert got == {"documentNumber": ("20304050", 0.88), "primerApellido": ("ALTO", 0.88), "apellidos": ("ALTO", 0.88)}
     assert extract.extract(peru.where("id = 2"), ["id"], "ESP_DNI_NEW").count() == 0
 
 
