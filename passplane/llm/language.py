@@ -1,15 +1,16 @@
 """Language identification: script ranges narrow the candidates, Viterbi over word scores labels spans.
 
-A word is a run of letters (and the marks that belong to them). Its score for a language is the sum over its characters of
+A word is a run of letters and marks with a letter at least. Its score for a language is the sum over its characters of
 the log share, in that language's training texts, of the trigram that ends there, word ends included. Scripts by ranges of
 code points narrow a word's candidates to the languages that use the script; a script that no language uses rules nothing
 out. The best labelling of a text's words, with a penalty for each change of language, is found by Viterbi's recursion, one
 step for the same word of many texts. The prediction is the language that holds most letters (ties: the first by name), its
 score the share of letters that it holds.
 
-Learned only from text and non-null lang of training rows: a sample of about ``PER_LANGUAGE`` texts of each language, taken
-by the hash of the id, so bounded and the same in any order of the rows. Null texts and texts without a letter are ``und``
-with score 0; so is everything if nothing can be learned. Repeated rows are scored each. Other columns are ignored.
+Learned only from text and non-null lang of training rows: of the ``LANGUAGES`` most frequent languages (ties: the first by
+name), a sample of about ``PER_LANGUAGE`` texts each, taken by the hash of the id, so bounded and the same in any order of
+the rows. Tasks count trigrams; a table of counts for each language reaches the driver, whatever the texts' lengths. Null
+texts and texts without a letter (general category L) are ``und`` with score 0; so is everything if nothing can be learned. Repeated rows are scored each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passplane.llm.base import annotated, by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
+from passplane.llm.base import CHARS_AT_ONCE, annotated, by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
 
-#: Training texts of a language, on average; trigram buckets; penalty for a change of language; least share of a language's
-#: letters in a script that makes it a candidate.
-PER_LANGUAGE, BUCKETS, PENALTY, SCRIPT_SHARE = 1500, 1 << 16, 6.0, 0.01
+#: Languages that are learned at most; training texts of each, on average; trigram buckets; penalty for a change of
+#: language; least share of a language's letters in a script that makes it a candidate.
+LANGUAGES, PER_LANGUAGE, BUCKETS, PENALTY, SCRIPT_SHARE = 256, 1500, 1 << 16, 6.0, 0.01
 #: A text is kept if one language holds this share of its letters.
 LEAST_SHARE = 0.3
 
@@ -47,12 +48,13 @@ _SAME = {0x1E00, 0x1F00}
 _TABLE = 0x32400
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: 0 for what is no letter, else 1 + the number of its script; and the lower case."""
-    script, lower = np.zeros(_TABLE, np.uint8), np.arange(_TABLE, dtype=np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 0 for what is no letter or mark, else 1 + the number of its script; the lower case; whether it is a letter."""
+    script, lower, letter = np.zeros(_TABLE, np.uint8), np.arange(_TABLE, dtype=np.uint32), np.zeros(_TABLE, bool)
     for c in range(_TABLE):
-        if unicodedata.category(chr(c))[0] in "LM":
+        if (kind := unicodedata.category(chr(c))[0]) in "LM":
             script[c] = 255
+            letter[c] = kind == "L"
             if len(low := chr(c).lower()) == 1:
                 lower[c] = ord(low)
     number = 0
@@ -61,18 +63,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         part = script[first : end + 1]
         part[part > 0] = number
     script[script == 255] = number + 1
-    return script, lower
+    return script, lower, letter
 
 
-_CACHE: list[tuple[np.ndarray, np.ndarray]] = []
+_CACHE: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
 @dataclass
 class Words:
-    """Words of texts end to end: begin and end, script and text of each; by place the lower case and a trigram bucket."""
+    """Words of texts end to end: begin and end, letters, script and text of each; by place the lower case and a trigram bucket."""
 
     starts: np.ndarray
     stops: np.ndarray
+    letters: np.ndarray
     script: np.ndarray
     text_of: np.ndarray
     low: np.ndarray
@@ -83,7 +86,7 @@ def words_of(texts: list[str]) -> Words:
     """The words of the texts."""
     if not _CACHE:
         _CACHE.append(_tables())
-    script, lower = _CACHE[0]
+    script, lower, is_letter = _CACHE[0]
     cps = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths + 1)
@@ -99,7 +102,11 @@ def words_of(texts: list[str]) -> Words:
     bucket = (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
     change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, stops = change[::2], change[1::2]
-    return Words(starts, stops, own[starts], np.searchsorted(ends, starts), low, bucket)
+    before_place = np.concatenate([[0], np.cumsum(is_letter[known])])
+    letters = before_place[stops] - before_place[starts]
+    if not letters.all():  # marks without a letter are no word
+        starts, stops, letters = starts[letters > 0], stops[letters > 0], letters[letters > 0]
+    return Words(starts, stops, letters, own[starts], np.searchsorted(ends, starts), low, bucket)
 
 
 @dataclass
@@ -110,6 +117,10 @@ class Model:
     logs: np.ndarray
     candidate: np.ndarray
 
+    def at_once(self, most: int) -> int:
+        """Characters whose scores are held at once: fewer with many languages."""
+        return max(20_000, most * 16 // max(16, len(self.languages)))
+
     def scores(self, w: Words) -> np.ndarray:
         """Log scores (words, languages). The place after a word counts as its end."""
         if not len(w.starts):
@@ -121,25 +132,37 @@ class Model:
         return total + np.where(self.candidate[w.script], np.float32(0), np.float32(-1000))
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """A model from (language, text) pairs."""
-    languages = sorted({lang for lang, _ in rows})
-    counts = np.zeros((BUCKETS, len(languages)))
-    scripts = np.zeros((256, len(languages)))
-    for k, lang in enumerate(languages):
-        own = [text for name, text in rows if name == lang]
-        for a, b in by_size(own):
-            w = words_of(own[a:b])
-            sizes = w.stops - w.starts + 1
-            places = np.repeat(w.starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            counts[:, k] += np.bincount(w.bucket[places], minlength=BUCKETS)
-            scripts[:, k] += np.bincount(w.script, w.stops - w.starts, 256)
-    logs = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * BUCKETS)).astype(np.float32)
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the trigram buckets and of letters by script in texts of one language."""
+    buckets, scripts = np.zeros(BUCKETS, np.int64), np.zeros(256, np.int64)
+    for a, b in by_size(texts):
+        w = words_of(texts[a:b])
+        sizes = w.stops - w.starts + 1
+        places = np.repeat(w.starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        buckets += np.bincount(w.bucket[places], minlength=BUCKETS)
+        scripts += np.bincount(w.script, w.letters, 256).astype(np.int64)
+    return buckets, scripts
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model from the counts of each language."""
+    languages = sorted(counts)
+    buckets = np.stack([counts[x][0] for x in languages], axis=1).astype(float) if languages else np.zeros((BUCKETS, 0))
+    scripts = np.stack([counts[x][1] for x in languages], axis=1).astype(float) if languages else np.zeros((256, 0))
+    logs = np.log((buckets + 0.3) / (buckets.sum(0) + 0.3 * BUCKETS)).astype(np.float32)
     candidate = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
     candidate[~candidate.any(1)] = True
     return Model(languages, logs, candidate)
 
 
+def train(rows: list[tuple[str, str]]) -> Model:
+    """A model from (language, text) pairs."""
+    by: dict[str, list[str]] = {}
+    for lang, text in rows:
+        by.setdefault(lang, []).append(text)
+    return model_of({lang: counted(texts) for lang, texts in by.items()})
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word. scores: (words, labels) of texts end to end; counts: words of each text."""
     labels = np.zeros(len(scores), np.int64)
@@ -173,11 +196,11 @@ def label(model: Model, texts: list[str], spans: bool = False) -> list[tuple]:
     out: list = [None] * len(texts)
     size = len(model.languages)
     ordered = [texts[k] for k in order]
-    for a, b in by_size(ordered):
+    for a, b in by_size(ordered, model.at_once(CHARS_AT_ONCE)):
         w = words_of(ordered[a:b])
         counts = np.bincount(w.text_of, minlength=b - a)
         labels = viterbi(model.scores(w), counts, PENALTY) if size else np.zeros(len(w.starts), np.int64)
-        held = np.bincount(w.text_of * max(size, 1) + labels, w.stops - w.starts, (b - a) * max(size, 1)).reshape(b - a, -1)
+        held = np.bincount(w.text_of * max(size, 1) + labels, w.letters, (b - a) * max(size, 1)).reshape(b - a, -1)
         total, winner = held.sum(1), held.argmax(1)
         new = np.ones(len(labels), bool)
         new[1:] = (labels[1:] != labels[:-1]) | (w.text_of[1:] != w.text_of[:-1])
@@ -193,15 +216,30 @@ def label(model: Model, texts: list[str], spans: bool = False) -> list[tuple]:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learns from the training rows of doc_id, text, lang."""
     rows = docs.select("doc_id", "text", "lang").where(is_training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    return train([(r.lang, r.text) for r in chosen.toLocalIterator()])
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not sizes:
+        return model_of({})
+    # a row for each language that is learned, so its size is bounded
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, per_language / r["count"]) * (1 << 20))) for r in sizes], "lang string, places long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.col("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                own = counted(texts)
+                held[lang] = own if lang not in held else (held[lang][0] + own[0], held[lang][1] + own[1])
+        for lang, (buckets, scripts) in held.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "buckets": [buckets.tobytes()], "scripts": [scripts.tobytes()]})
+
+    found = chosen.select("lang", "text").repartition(min(len(sizes), 64), "lang").mapInArrow(run, "lang string, buckets binary, scripts binary")
+    return model_of({r.lang: (np.frombuffer(r.buckets, np.int64), np.frombuffer(r.scripts, np.int64)) for r in found.toLocalIterator()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

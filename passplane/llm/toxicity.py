@@ -14,7 +14,7 @@ steps of the logit, or the overall one where a language has too few; above all l
 the time. The score is the logistic function of the logit less that threshold, so 0.5 is the threshold.
 
 Labels are learned only from training rows; weights in a sample by the hash of the id of about ``POSITIVES`` and
-``NEGATIVES`` texts: bounded and the same in any order of the rows. Of several labels of a document the largest counts; null labels are ignored.
+``NEGATIVES`` texts, of ``SAMPLE_CHARS`` characters each at most: bounded and the same in any order of the rows. Of several labels of a document the largest counts; null labels are ignored.
 Null and empty texts get a score like any text without known words. Without a label of each kind, every score is 0.
 Repeated rows are scored each. Other columns are ignored.
 """
@@ -36,6 +36,9 @@ from passplane.llm.words import HashTable, hashes
 #: Training texts of each label, on average; texts a feature must occur in to have an embedding, and its least normal score;
 #: features that have one; leading letters.
 POSITIVES, NEGATIVES, LEAST_TEXTS, LEAST_SCORE, VOCABULARY, PREFIXES = 2000, 4000, 3, 3.0, 8192, (4, 5)
+#: Characters of the training texts of each label at most; what does not fit in the order of the ids' hashes is left to the
+#: thresholds.
+SAMPLE_CHARS = 16_000_000
 #: Steps that a logit of 1 is counted in, and the largest logit that is told from larger ones.
 STEPS, LARGEST = 64, 128
 #: Dimensions of an embedding, filter widths, filters of each width, passes over the training texts.
@@ -222,7 +225,7 @@ class Model:
         if self.net is None:
             return np.zeros(len(texts))
         out = []
-        for a, b in by_size(texts, 1_000_000):
+        for a, b in by_size(texts, self.lang.at_once(1_000_000)):
             data = prepare(texts[a:b], self.lang)
             shift = np.array([self.net.thresholds.get(x, self.net.thresholds[-2]) for x in data.lang.tolist()])
             out.append(1 / (1 + np.exp(-np.clip(self.net.logits(data.words, data.counts) - shift, -30, 30))))
@@ -239,7 +242,7 @@ def learn(rows: list[tuple[str, int, bool, float]], lang: language.Model) -> Mod
     texts = [r[0] for r in rows]
 
     def part(own: np.ndarray) -> Text:
-        parts = [prepare([texts[k] for k in own[a:b]], lang) for a, b in by_size([texts[k] for k in own])]
+        parts = [prepare([texts[k] for k in own[a:b]], lang) for a, b in by_size([texts[k] for k in own], lang.at_once(1_000_000))]
         return Text(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("words", "counts", "lang")))
 
     fitting, held = np.flatnonzero(~later), np.flatnonzero(later if later.any() else ~later)
@@ -264,7 +267,7 @@ def steps_of(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             lang, step = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            for a, b in by_size(texts, 1_000_000):
+            for a, b in by_size(texts, shared.value.lang.at_once(1_000_000)):
                 data = prepare(texts[a:b], shared.value.lang)
                 lang[a:b] = data.lang
                 step[a:b] = np.floor(np.clip(shared.value.net.logits(data.words, data.counts), -LARGEST, LARGEST) * STEPS)
@@ -283,16 +286,25 @@ def fit(docs: DataFrame, labels: DataFrame, lang: language.Model) -> Model:
     share = {k: min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((0, NEGATIVES), (1, POSITIVES))}
     place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20))
     in_sample = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20)
-    # the sample is bounded by its shares, so its ids can be broadcast
-    ids = spark.createDataFrame([tuple(r) for r in marked.where(in_sample).collect()], "doc_id long, toxic int, later boolean")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    # the sample is bounded by its shares, so its ids can be broadcast; then by its characters, in the order of the hashes
+    marks = "doc_id long, toxic int, later boolean"
+    drawn = spark.createDataFrame([tuple(r) for r in marked.where(in_sample).collect()], marks)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    sizes = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic", "later").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    room, ids = {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}, []
+    for r in sorted(sizes.withColumn("place", F.xxhash64("doc_id", F.lit(4))).collect(), key=lambda r: (r.place, r.doc_id)):
+        if r.chars <= room[r.toxic]:
+            room[r.toxic] -= r.chars
+            ids.append((r.doc_id, r.toxic, r.later))
+    taken_ids = spark.createDataFrame(ids, marks)
+    rows = texts.join(F.broadcast(taken_ids), "doc_id")
     found = sorted((r.doc_id, r.text or "", r.toxic, r.later) for r in rows.toLocalIterator())
     model = learn([(text, toxic, later, 1 / share[toxic]) for _, text, toxic, later in found], lang)
     if model.net is None:
         return model
     # without both labels on both sides, the weights were learned from the whole sample, and all rows calibrate
     split = all(len({toxic for _, _, toxic, later in found if later == side}) == 2 for side in (False, True))
-    others = marked.where(~in_sample | F.col("later")) if split else marked
+    others = marked.join(F.broadcast(taken_ids.where(~F.col("later"))), "doc_id", "left_anti") if split else marked
     counted = steps_of(docs, model).join(others.select("doc_id", "toxic"), "doc_id").groupBy("lang", "step", "toxic").count().collect()
     lang_of, step, toxic, counts = (np.array([r[k] for r in sorted(tuple(r) for r in counted)]) for k in range(4))
     # the weights took more of one label than of the other

@@ -148,3 +148,113 @@ def test_license_rules_resolve_overlaps():
     for text in texts:
         assert s.detections(text) == s.resolved(text, range(len(s.rules))) != []
     assert all(r.keyword for r in s.rules)
+
+
+def test_many_languages_and_marks(spark):
+    rows = [(k, f"wort{k} das ist ein text", f"l{k % 3000}") for k in range(6000)] + [(9000 + k, "the cat sat on the mat", "en") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == language.LANGUAGES and "en" in model.languages
+    few = language.fit(docs, languages=2)
+    assert len(few.languages) == 2
+    # a combining mark is no letter
+    assert language.label(few, ["́́", "12 ́", "é"])[:2] == [("und", 0.0, 0)] * 2 and language.label(few, ["é"])[0][0] != "und"
+    assert language.predict(docs.limit(50), model).count() == 50
+
+
+def test_language_scores_by_hand(spark):
+    """Word scores, candidates and prediction by plain loops over the same trigrams."""
+    pairs = [("de", "der hund und die katze sind im haus"), ("en", "the dog and the cat are in the house"), ("ru", "собака и кошка в доме")]
+    model = language.train(pairs)
+
+    def buckets(word):
+        out, low = [], [32, 32, *map(ord, word), 32]
+        for k in range(2, len(low)):
+            before, twice = low[k - 1], low[k - 2] if low[k - 1] != 32 else 32
+            h = (low[k] * 0x9E3779B1 ^ before * 0x85EBCA6B ^ twice * 0xC2B2AE35) & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+        return out
+
+    counts = {lang: {} for lang, _ in pairs}
+    for lang, text in pairs:
+        for word in text.split():
+            for b in buckets(word):
+                counts[lang][b] = counts[lang].get(b, 0) + 1
+
+    def score(lang, word):
+        total = sum(counts[lang].values())
+        cyrillic = "Ѐ" <= word[0] <= "ӿ"
+        return sum(np.log((counts[lang].get(b, 0) + 0.3) / (total + 0.3 * language.BUCKETS)) for b in buckets(word)) - 1000 * (cyrillic != (lang == "ru"))
+
+    def best(text):
+        words, names = re.findall(r"[^\W\d_]+", text.lower()), ["de", "en", "ru"]
+        s = np.array([[score(x, w) for x in names] for w in words])
+        paths = itertools.product(range(3), repeat=len(words))
+        value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - language.PENALTY * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        path = max(paths, key=value)
+        held = [sum(len(w) for w, k in zip(words, path, strict=True) if k == x) for x in range(3)]
+        return names[int(np.argmax(held))], max(held) / sum(held)
+
+    for text in ["der hund", "the cat in the house", "Hund, DOG; кошка!", "die katze the house", "в доме 12 und"]:
+        lang, share = best(text)
+        got = language.label(model, [text])[0]
+        assert got[0] == lang and abs(got[1] - share) < 1e-9, text
+
+
+def test_network_by_plain_loops():
+    """Logits of the trained network against windows computed one by one; its gradients by differences."""
+    rows = [(t, y, False, 1.0) for _, t, y in _labelled(120, 4)]
+    model = toxicity.learn(rows, language.train([]))
+    net = model.net
+    texts = [r[0] for r in rows[:12]] + ["", "nichts davon"]
+    data = toxicity.prepare(texts, model.lang)
+    got = net.logits(data.words, data.counts)
+    at = 0
+    for k, n in enumerate(data.counts.tolist()):
+        vectors = []
+        for word in data.words[at : at + n]:
+            v = np.zeros(toxicity.DIMENSIONS)
+            for h in word.tolist():
+                slot = int(net.table._find(np.array([h], np.uint64))[0])
+                if net.table.keys[slot] != 0:
+                    v += net.embedding[net.table.values[slot] + 1]
+            vectors.append(v)
+        at += n
+        zero, feature = np.zeros(toxicity.DIMENSIONS), []
+        for f, bias in zip(net.filters, net.bias, strict=True):
+            windows = [sum(((vectors[a + j] if 0 <= a + j < n else zero) @ f[j] for j in range(len(f))), np.zeros(toxicity.FILTERS)) for a in range(-max(toxicity.WIDTHS) + 1, n + 1)]
+            inner = windows[max(toxicity.WIDTHS) - 1 :]
+            feature.append(np.maximum(np.maximum(np.max(inner, axis=0), 0 if not n else -np.inf) + bias, 0))
+        want = float(np.concatenate(feature) @ net.out + net.out_bias[0])
+        # windows beyond the text see only zeros; where the text leaves them as the maximum both agree
+        assert abs(got[k] - want) < 1e-3 or not n, (k, got[k], want)
+
+
+def test_threshold_is_best_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        label = rng.integers(0, 2, 60)
+        logit = np.round(rng.normal(0, 1, 60) + label, 1)
+        weight = rng.choice([1.0, 2.0], 60)
+
+        def f_half(cut, logit=logit, label=label, weight=weight):
+            passed, true = weight[logit > cut].sum(), (weight * label)[logit > cut].sum()
+            return 0.0 if true < 0.5 * passed or not passed else 1.25 * true / (0.25 * (weight * label).sum() + passed)
+
+        cut = toxicity.best_threshold(logit, label, weight)
+        best = max(f_half(c) for c in [*(np.unique(logit) - 0.05), logit.max() + 1])
+        assert f_half(cut) >= best - 0.006 or not best
+
+
+def test_long_texts_leave_the_sample_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20_000)
+    rows = _labelled(400, 7)
+    rows[3] = (rows[3][0], rows[3][1] + " wort1" * 50_000, rows[3][2])
+    docs = spark.createDataFrame([(i, t, "de") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda found, lang: (seen.append(sum(len(r[0]) for r in found)), real(found, lang))[1])
+    model = toxicity.fit(docs, labels, language.fit(docs))
+    assert seen[0] <= 40_000 and model.net is not None and toxicity.score(docs, model).count() == 400
