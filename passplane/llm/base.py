@@ -25,23 +25,53 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder if the
+    session is local; on a cluster an error, for executors would not see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="passplane-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(p), True)
+
+
+def finished(step: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """What a step gives, written; the tables that the step itself wrote on the way are deleted then."""
+    begin = len(_WRITTEN)
+    out = written(step(), name)
+    deleted(spark, _WRITTEN[begin:-1])
+    del _WRITTEN[begin:-1]
+    return out
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The SimHash of consecutive segments of 64-bit hashes: a bit is set where over half of a segment's hashes have it."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    set_bits = segment_sums(bits, sizes) * 2 > sizes[:, None]
+    return np.packbits(set_bits, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def is_training_row(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id as text, modulo 5, is not 0 (the other rows are held out)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passplane.llm.base import written
+from passplane.llm.base import deleted, finished, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours with the smallest of them, first the larger neighbours (on edges in both
     directions), then the smaller ones, until the edges are stars around the smallest nodes. Minima are pre-aggregated
-    before their shuffle and no neighbour list is gathered, so a hub is an ordinary skewed join. Each round is written to
-    the shared folder. Nulls and loops are ignored; no edge gives no row.
+    before their shuffle and no neighbour list is gathered; a hub's edges meet its one minimum in a join whose skewed
+    partitions Spark splits at run time. Each round is written to the shared folder, and the round before it is deleted. Nulls and loops are ignored; no edge gives no row.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    now = finished(lambda: edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", spark)
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -28,4 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("u", "v").alias("w"), "u", "v", "m")
-        now = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct(), "edges")
+        before = list(now.inputFiles())[:1]
+        stars = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
+        now = written(stars, "edges")
+        deleted(spark, [p.rsplit("/", 1)[0] for p in before])

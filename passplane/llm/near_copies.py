@@ -4,37 +4,43 @@ A text's bytes are lower-cased in A-Z and split at ASCII white space; every run
 fewer) is hashed with XXH64. Repeated shingles count once. Texts of equal shingle sets are one from the start, so many
 copies of a text cost one row each; texts without words are all equal.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima; two texts that agree in a band are candidates. A pair at
-0.8 is found with probability 1 - (1 - 0.8^6)^25 = 0.9995 and more similar ones more often. Candidates only decide which
-texts are compared: the connected components over the bands are clusters, and inside a cluster every link is decided by the
-exact similarity, found by the bands or not. A cluster is cut into blocks of bounded size, and each pair of blocks is a cell
-of its own, so a cluster of any size is compared whole by tasks of bounded memory. In a cell, texts are compared with all
-others until only the largest component has texts that were not, which cannot change the components. Cells give a
-representative for each text; these are joined by connected components.
+Candidates come from two sources. Fingerprints: SimHash of the shingles, repeats included, linked at 2 bits through the
+vantage-point tree, which finds most very near copies and few of those at 0.8, whose fingerprints differ by about 10 of 64
+bits, more than any triangle bound can prune. MinHash: ``BANDS`` bands of ``ROWS`` minima; two texts that agree in a band
+are candidates. A pair at 0.8 is found with probability 1 - (1 - 0.8^6)^25 = 0.9995 and more similar ones more often.
+Candidates only decide which texts are compared: their connected components are clusters, and inside a cluster every link
+is decided by the exact similarity, found as a candidate or not.
+
+A cluster of at most ``BLOCK_CHARS`` characters is one cell, compared in one task. A larger one is cut into blocks. First,
+each block meets ``PIVOTS`` texts of its cluster, which join the blocks; texts that are not of the cluster's largest
+component then meet every other block. The largest component needs no more comparing, so a group of copies of one text
+costs in proportion to its size, whatever its share of all rows; only texts apart from it cost blocks times blocks. In a
+cell, texts are compared with all others until only the largest component has texts that were not, which cannot change the
+components. Cells give a representative for each text; these are joined by connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passplane.llm.base import by_size, ranges, texts_of, written
+from passplane.llm.base import by_size, finished, majority_bits, ranges, texts_of, written
 from passplane.llm.graphs import components
 
-#: Words of a shingle; bands and minima of a band; characters of a block on average.
-WORDS, BANDS, ROWS, BLOCK_CHARS = 5, 25, 6, 4_000_000
+#: Words of a shingle; bands and minima of a band; characters of a block on average; texts that join the blocks of a cluster.
+WORDS, BANDS, ROWS, BLOCK_CHARS, PIVOTS = 5, 25, 6, 4_000_000, 8
 
 _RNG = np.random.default_rng(17)
 _XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles_of(text: str) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of a text."""
+def hashes_of(text: str) -> np.ndarray:
+    """The hashes of the shingles of a text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "replace").lower().split()
@@ -45,7 +51,12 @@ def shingles_of(text: str) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     pairs = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.unique(np.array([xxh64_intdigest(line[s:e]) for s, e in pairs], np.uint64))
+    return np.array([xxh64_intdigest(line[s:e]) for s, e in pairs], np.uint64)
+
+
+def shingles_of(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text."""
+    return np.unique(hashes_of(text))
 
 
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -68,7 +79,7 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, bands, n_chars): same is a 128-bit digest of the shingle set."""
+    """(doc_id, same, fp, bands, n_chars): same is a 128-bit digest of the shingle set, fp the SimHash of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -76,13 +87,15 @@ def marked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in by_size(texts, 1_000_000):
-                sets = [shingles_of(t) for t in texts[a:b]]
+                every = [hashes_of(t) for t in texts[a:b]]
+                fp = majority_bits(np.concatenate(every), np.array([len(h) for h in every]))
+                sets = [np.unique(h) for h in every]
                 keys = bands_of(sets).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 same = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), same, lists, pa.array([len(t) for t in texts[a:b]], pa.int64())], ["doc_id", "same", "bands", "n_chars"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), same, pa.array(fp.view(np.int64)), lists, pa.array([len(t) for t in texts[a:b]], pa.int64())], ["doc_id", "same", "fp", "bands", "n_chars"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>, n_chars long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, fp long, bands array<long>, n_chars long")
 
 
 def link(sets: list[np.ndarray]) -> np.ndarray:
@@ -136,23 +149,53 @@ def linked(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """doc_id of the first text of each group of docs (doc_id without nulls or repeats, text)."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    own = F.struct("doc_id", "bands", "n_chars")
-    firsts = written(marked(texts).groupBy("same").agg(F.min(own).alias("x")).select("x.*"), "shingled")
+def clusters(firsts: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root, n_chars, blocks, block) of the texts that have candidates."""
     keys = firsts.select("doc_id", F.explode("bands").alias("band"))
     keys = keys.join(keys.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "band")
-    cluster = components(keys.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    cluster = written(cluster.join(firsts.select(F.col("doc_id").alias("node"), "n_chars"), "node"), "clusters")
-    blocks = cluster.groupBy("root").agg(F.ceil(F.sum("n_chars") / F.lit(BLOCK_CHARS)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit(9)), F.greatest("blocks", F.lit(1))).cast("int")
-    # each pair of blocks of a cluster is a cell; with one block, that is the cluster
-    placed = cluster.join(blocks, "root").select(F.col("node").alias("doc_id"), "root", block.alias("own"), F.greatest("blocks", F.lit(1)).alias("blocks"))
-    least = F.when(F.col("blocks") > 1, F.lit(1)).otherwise(F.lit(0))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (least == 0))
-    dealt = placed.select("doc_id", "root", "own", F.explode(others).alias("other"))
-    cell = F.struct("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    cells = dealt.select("doc_id", F.to_json(cell).alias("cell")).join(texts, "doc_id").select("cell", "doc_id", "text")
-    joined = components(written(linked(cells), "links"))
+    edges = keys.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).union(links_of(firsts.select("doc_id", "fp")))
+    found = components(edges).join(firsts.select(F.col("doc_id").alias("node"), "n_chars"), "node")
+    sizes = found.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_chars") / F.lit(BLOCK_CHARS)).cast("int"), F.lit(1)).alias("blocks"))
+    return found.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+
+
+def cells_of(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell, doc_id, text) of placed (node, root, part, block): a cell is a root, a part and a block."""
+    cell = F.concat_ws("/", "root", "part", "block")
+    return placed.select(cell.alias("cell"), F.col("node").alias("doc_id")).distinct().join(texts, "doc_id").select("cell", "doc_id", "text")
+
+
+def first_of_each(docs: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id of the first text of each group of docs (doc_id without nulls or repeats, text).
+
+    links_of: from (doc_id, fp) to candidates (a, b) by fingerprint.
+    """
+    texts, spark = docs.select(F.col("doc_id").cast("long"), "text"), docs.sparkSession
+    own = F.struct("doc_id", "fp", "bands", "n_chars")
+    firsts = written(marked(texts).groupBy("same").agg(F.min(own).alias("x")).select("x.*"), "shingled")
+    cluster = finished(lambda: clusters(firsts, links_of), "clusters", spark)
+    large = cluster.where("blocks > 1")
+    order = Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(10)), "node")
+    pivots = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    everywhere = pivots.select("node", "root", F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = cluster.select("node", "root", F.lit(0).alias("part"), "block").unionByName(everywhere)
+    links = finished(lambda: linked(cells_of(placed, texts)), "links", spark)
+    if not large.isEmpty():
+        links = links.union(finished(lambda: linked(cells_of(apart(large, links), texts)), "links", spark))
+    joined = finished(lambda: components(links), "copies", spark)
     return firsts.select("doc_id").join(joined.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+
+
+def apart(large: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root, part, block): where the texts of large clusters that are not of their largest component, given links, meet
+    the others. A part is a block of such texts; it meets every block of its cluster."""
+    label = components(links).withColumnRenamed("root", "label")
+    named = written(large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    sizes = named.groupBy("root", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("by"), "label")).alias("x")).select("root", F.col("x.label").alias("most"))
+    left = written(named.join(most, "root").where("label <> most"), "apart")
+    parts = left.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_chars") / F.lit(BLOCK_CHARS)).cast("int"), F.lit(1)).alias("parts"))
+    part = (F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts")) + 1).cast("int")
+    meet = left.join(parts, "root").select("node", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = large.join(parts, "root").select("node", "root", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"), "block")
+    return meet.unionByName(others)

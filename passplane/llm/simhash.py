@@ -8,7 +8,10 @@ Distinct fingerprints are dealt to shards by a vantage-point tree. A node has a
 the outer branch if d(x, p) > m and to the inner one if d(x, p) <= m + r, r being the distance that links. By the triangle
 inequality two fingerprints at most r apart differ by at most r in their distance to p, so either both are within m + r
 (and meet inside) or both are beyond m (and meet outside): every linked pair meets in a leaf. Vantage points and radii come
-from a bounded sample, which decides only how even the shards are. A shard is searched by the same tree in memory down to
+from a bounded sample, which decides only how even the shards are. A level copies about a sixth of random fingerprints, so
+there are as many shards as the cluster has use for, of up to ``MOST`` fingerprints, and no more: 10^9 fingerprints in
+shards of 10^6 have some 9 copies each. A leaf that distances cannot split is cut into r + 2 blocks of bits instead: two
+fingerprints at most r apart agree in two of them, so they meet in a shard of their own by two blocks' values. A shard is searched by the same tree in memory down to
 small blocks that are compared pair by pair. Where distances cannot split a dense block, each fingerprint's whole Hamming
 ball is probed in the sorted block, so no block costs the square of its size. A shard gives a representative for each
 fingerprint, never pairs; shards are then merged by connected components of representatives.
@@ -20,19 +23,22 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passplane.llm.base import by_size, documents, segment_sums, texts_of, written
+from passplane.llm.base import by_size, documents, majority_bits, texts_of, written
 from passplane.llm.graphs import components
 from passplane.llm.near_copies import first_of_each
 
-#: Fingerprints in a shard on average; those that the tree is built from at most; those compared pair by pair.
-PER_SHARD, SAMPLE, BLOCK = 4000, 40_000, 1024
+#: Fingerprints in a shard, on average, at least and at most; those that the tree is built from at most; those compared
+#: pair by pair; pairs that are merged at once.
+LEAST, MOST, SAMPLE, BLOCK, PAIRS = 20_000, 1_000_000, 40_000, 1024, 1_000_000
 
 
 def fingerprints_of(texts: list[str], words_per_shingle: int = 3) -> np.ndarray:
@@ -51,10 +57,7 @@ def fingerprints_of(texts: list[str], words_per_shingle: int = 3) -> np.ndarray:
             counts.append(len(words) - k + 1 if words else 0)
             if words:
                 hashes += [xxh64_intdigest(line[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sizes = np.array(counts)
-        set_bits = segment_sums(bits, sizes) * 2 > sizes[:, None]
-        out.append(np.packbits(set_bits, axis=1, bitorder="little").view("<u8")[:, 0])
+        out.append(majority_bits(np.array(hashes, np.uint64), np.array(counts)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -85,10 +88,49 @@ def split_point(x: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[in
     return best
 
 
-def build_tree(sample: np.ndarray, leaf_share: float, reach: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage point, radius, inner, outer); a negative child -1 - k is leaf k. leaf_share: of the sample in a leaf."""
+@dataclass
+class Tree:
+    """nodes: (vantage point, radius, inner, outer); a negative child -1 - k is leaf k. dense: leaves that do not split."""
+
+    nodes: list[tuple[int, int, int, int]]
+    dense: set[int]
+    reach: int
+
+    def leaves_of(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, positions) of the fingerprints that reach each leaf."""
+        todo = [(0 if self.nodes else -1, np.arange(len(x)))]
+        while todo:
+            at, own = todo.pop()
+            if not len(own):
+                continue
+            if at < 0:
+                yield -1 - at, own
+                continue
+            p, m, inner, outer = self.nodes[at]
+            d = distances(x[own], p)
+            todo += [(inner, own[d <= m + self.reach]), (outer, own[d > m])]
+
+    def shards_of(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(shards, positions): a leaf is a shard; a dense one has a shard for each pair of blocks and their values."""
+        for leaf, own in self.leaves_of(x):
+            if leaf not in self.dense:
+                yield np.full(len(own), leaf, np.int64), own
+                continue
+            cuts = np.linspace(0, 64, self.reach + 3).astype(int)
+            blocks = [(((1 << int(b)) - 1) ^ ((1 << int(a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for k, (i, j) in enumerate(itertools.combinations(range(len(blocks)), 2)):
+                kept = x[own] & np.uint64(blocks[i] | blocks[j])
+                mixed = (kept ^ np.uint64((leaf * 1009 + k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                mixed ^= mixed >> np.uint64(29)
+                # beyond the leaves' numbers; equal numbers of unlike shards only compare more
+                yield (mixed | np.uint64(1 << 62)).astype(np.uint64).view(np.int64) & np.int64((1 << 63) - 1), own
+
+
+def build_tree(sample: np.ndarray, leaf_share: float, reach: int) -> Tree:
+    """The tree of a sample. leaf_share: of the sample in a leaf."""
     rng = np.random.default_rng(11)
     nodes: list = []
+    dense: set[int] = set()
     leaves = 0
 
     def grow(x: np.ndarray) -> int:
@@ -101,26 +143,13 @@ def build_tree(sample: np.ndarray, leaf_share: float, reach: int) -> list[tuple[
                 d = distances(x, p)
                 nodes[at] = (p, m, grow(x[d <= m + reach]), grow(x[d > m]))
                 return at
+            if len(x) > 4 * max(8, leaf_share * len(sample)):
+                dense.add(leaves)
         leaves += 1
         return -leaves
 
     grow(sample)
-    return nodes
-
-
-def shards_of(x: np.ndarray, nodes: list[tuple[int, int, int, int]], reach: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, positions) of the fingerprints that reach each leaf."""
-    todo = [(0 if nodes else -1, np.arange(len(x)))]
-    while todo:
-        at, own = todo.pop()
-        if not len(own):
-            continue
-        if at < 0:
-            yield -1 - at, own
-            continue
-        p, m, inner, outer = nodes[at]
-        d = distances(x[own], p)
-        todo += [(inner, own[d <= m + reach]), (outer, own[d > m])]
+    return Tree(nodes, dense, reach)
 
 
 def merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -142,6 +171,13 @@ def link(x: np.ndarray, reach: int) -> np.ndarray:
     labels = np.arange(len(x))
     rng = np.random.default_rng(5)
     todo = [np.arange(len(x))]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def merged() -> np.ndarray:
+        i, j = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (labels[:0], labels[:0])
+        return merge(labels, i, j) if len(i) else labels
+
     while todo:
         own = todo.pop()
         if len(own) > BLOCK:
@@ -157,8 +193,11 @@ def link(x: np.ndarray, reach: int) -> np.ndarray:
             i, j = np.nonzero(np.bitwise_count(x[own[a : a + 256], None] ^ x[own[a:]][None, :]) <= reach)
             apart = i < j
             if apart.any():
-                labels = merge(labels, own[a + i[apart]], own[a + j[apart]])
-    return labels
+                found.append((own[a + i[apart]], own[a + j[apart]]))
+                held += int(apart.sum())
+            if held > PAIRS:
+                labels, found, held = merged(), [], 0
+    return merged()
 
 
 def probe(x: np.ndarray, own: np.ndarray, reach: int, labels: np.ndarray) -> np.ndarray:
@@ -177,14 +216,14 @@ def probe(x: np.ndarray, own: np.ndarray, reach: int, labels: np.ndarray) -> np.
     return labels
 
 
-def representatives(distinct: DataFrame, reach: int, nodes: list) -> DataFrame:
+def representatives(distinct: DataFrame, reach: int, tree: Tree) -> DataFrame:
     """(fp, root): for each shard in which a fingerprint has a link, the shard's smallest fingerprint linked with it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("fp")).view(np.uint64)
-            for leaf, own in shards_of(x, nodes, reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), leaf, np.int32)), pa.array(x[own].view(np.int64))], ["leaf", "fp"])
+            for shards, own in tree.shards_of(x):
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(x[own].view(np.int64))], ["leaf", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -211,22 +250,36 @@ def representatives(distinct: DataFrame, reach: int, nodes: list) -> DataFrame:
         if held:
             yield from done()
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf int, fp long")
+    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, fp long")
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "fp long, root long")
 
 
+def tree_of(distinct: DataFrame, n: int, reach: int) -> Tree:
+    """The tree for n distinct fingerprints (fp), from a bounded sample of them."""
+    per_shard = max(LEAST, min(MOST, n // (4 * distinct.sparkSession.sparkContext.defaultParallelism)))
+    sample = np.zeros(0, np.uint64)
+    if n > per_shard:
+        # a fingerprint is in the sample by its hash, so the sample is the same in any order of the rows
+        chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(n)) < SAMPLE // 2).select("fp").limit(SAMPLE)
+        sample = chosen.toPandas().fp.to_numpy().view(np.uint64)
+    return build_tree(np.sort(sample), per_shard / max(n, 1), reach)
+
+
+def candidate_links(docs: DataFrame, reach: int = 2) -> DataFrame:
+    """(a, b): doc_ids of docs (doc_id, fp) whose fingerprints are linked, each with its shard's representative."""
+    distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    links = representatives(distinct, reach, tree_of(distinct, distinct.count(), reach)).where("fp <> root")
+    root = distinct.select(F.col("fp").alias("root"), F.col("first_doc").alias("b"))
+    apart = links.join(distinct, "fp").join(root, "root").select(F.col("first_doc").alias("a"), "b")
+    return docs.join(distinct, "fp").where("doc_id <> first_doc").select(F.col("doc_id").alias("a"), F.col("first_doc").alias("b")).union(apart)
+
+
 def near_duplicates(docs: DataFrame, reach: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of each row of doc_id, text: the smallest doc_id reachable over links of at most reach bits."""
     rows = written(fingerprints(docs), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "distinct")
     n, total = distinct.agg(F.count("*"), F.sum("n")).first()
-    sample = np.zeros(0, np.uint64)
-    if n > PER_SHARD:
-        # a fingerprint is in the sample by its hash, so the sample is the same in any order of the rows
-        chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(n)) < SAMPLE // 2).select("fp").limit(SAMPLE)
-        sample = chosen.toPandas().fp.to_numpy().view(np.uint64)
-    nodes = build_tree(np.sort(sample), PER_SHARD / max(n, 1), reach)
-    links = written(representatives(distinct, reach, nodes), "representatives")
+    links = written(representatives(distinct, reach, tree_of(distinct, n, reach)), "representatives")
     least = links.groupBy("fp").agg(F.min("root").alias("least"))
     joined = components(links.join(least, "fp").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")))
     member = least.join(joined, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("group"))
@@ -244,7 +297,9 @@ def near_duplicates(docs: DataFrame, reach: int = 2) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies of docs (doc_id, text, any others): that with the smallest doc_id.
 
-    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more, decided exactly (see ``near_copies``).
+    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more, decided exactly (see ``near_copies``). The
+    candidates are the links of the vantage-point tree over fingerprints of five-word shingles, and MinHash bands for those
+    beyond its reach.
     If ids are null or repeat, rows are numbered for this by (id, hash of the text), nulls last, and the first stays.
     """
     rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
@@ -252,8 +307,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
         ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
         packed = ordered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id"))
         packed = written(packed, "numbered")
-        return packed.join(first_of_each(packed.select("doc_id", F.col("row.text").alias("text"))), "doc_id", "left_semi").select("row.*")
-    return docs.join(first_of_each(docs), "doc_id", "left_semi")
+        return packed.join(first_of_each(packed.select("doc_id", F.col("row.text").alias("text")), candidate_links), "doc_id", "left_semi").select("row.*")
+    return docs.join(first_of_each(docs, candidate_links), "doc_id", "left_semi")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
