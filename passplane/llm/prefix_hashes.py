@@ -9,14 +9,16 @@ that fall in that bin, then the hash of the whole text and its length. A bin wit
 takes the next full bin's value, mixed with the distance. The likeness of two fingerprints is 1 if they are equal; else the
 share of bins that agree, corrected for the agreement of random bits, is an estimate j of the common part of all spans of
 both, and 2j / (1 + j) one of the share of a text's spans that the other has. Texts shorter than six spans have shorter
-spans. Equal texts have equal fingerprints and likeness 1.
+spans, of two code points at least. Equal texts have equal fingerprints and likeness 1, different ones at most n / (n + 1)
+for the longer one's n code points; with an empty text it is 0.
 
 An edited text shares its beginning with the document and its end with the next document: its prefix hashes are the
 document's up to the cut, then the next document's, moved; no text is hashed twice.
 
-The next document is that of the next larger (doc_id, text); after the last comes the first. Documents are dealt to ranges
-of doc_id; the first row of every range is also sent to the range before. Null texts are empty; null ids come first; rows
-that repeat an id follow each other by text. An empty table gives no rows. Other columns are ignored.
+The next document is that of the next larger (doc_id, hash of the text, text); after the last comes the first. Documents are
+dealt to ranges of (doc_id, hash), so many rows of one id, or without one, are spread over tasks; the first row of every
+range is also sent to the range before. Null texts are empty; null ids come first; rows that repeat an id follow each other
+by hash and text; equal rows stay in one range, which is read as a stream. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.llm.base import documents
-from passplane.llm.token_files import range_bounds
+from passplane.llm.token_files import LEAST_LONG, Cuts, cuts_of, hashed
 
 PRIME = np.uint64((1 << 31) - 1)
 #: The two bases. Code points in a span; bins; bits kept of each.
@@ -129,7 +131,7 @@ def sketch(x: list[Prefix]) -> bytes:
     whole = b"".join(p.span(0, n).to_bytes(4, "little") for p in x) + n.to_bytes(5, "little")
     if not n:
         return bytes(BINS) + whole
-    h = x[0].spans(max(1, min(SPAN, n // 6)))
+    h = x[0].spans(max(min(2, n), min(SPAN, n // 6)))
     # mix: hashes of spans that differ in one character are near each other
     h = reduced(h * np.uint64(1_812_433_253))
     h ^= h >> np.uint64(15)
@@ -165,37 +167,44 @@ def likeness(a: bytes, b: bytes) -> float:
         return 0.0
     same = float((np.frombuffer(a[:BINS], np.uint8) == np.frombuffer(b[:BINS], np.uint8)).mean())
     j = max(0.0, (same - 2.0**-BITS) / (1 - 2.0**-BITS))
-    return 2 * j / (1 + j)
+    longest = max(int.from_bytes(x[-5:], "little") for x in (a, b))
+    return min(2 * j / (1 + j), longest / (longest + 1))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_prefix long"
 
 
 def dealt(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """(own, doc_id, text) of doc_id, text: a partition has a range of ids in order, then the first row of the next range.
+    """(own, doc_id, text) of doc_id, text: a partition has a range of (id, hash) in order, then the first row of the next.
 
-    Cuts between ranges are ids of the table, so the first row of a range is known by its id.
+    Cuts between ranges are ids of the table, so the first row of a range is known by its id; of a range that may begin
+    elsewhere each batch sends its own first row, and the first of these is taken.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = np.array(range_bounds(docs, rows_per_range), np.int64)
+    docs = hashed(docs)
+    cuts = cuts_of(docs.select("doc_id"), rows_per_range)
     least, nulls = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    bounds = bounds[bounds > least] if least is not None else bounds
+    first_id = LEAST_LONG if nulls or least is None else least
+    # a cut at the first id makes no range
+    keep = (cuts.ids > first_id) | (cuts.hashes > LEAST_LONG)
+    cuts = Cuts(cuts.ids[keep], cuts.hashes[keep], cuts.loose[keep])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "own", "doc_id", "text"]
+        names = ["part", "own", "doc_id", "text", "hash"]
         for batch in batches:
-            null = ~np.asarray(batch.column("doc_id").is_valid())
-            ids = np.asarray(batch.column("doc_id").fill_null(np.iinfo(np.int64).min))
-            part = np.searchsorted(bounds, ids, side="right")
+            ids, own_hash = np.asarray(batch.column("doc_id").fill_null(LEAST_LONG)), np.asarray(batch.column("hash"))
+            part = cuts.part(ids, own_hash)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.ones(len(ids), bool)), *batch.columns], names)
-            first = null if nulls else ids == least
-            extra = np.flatnonzero(first | (part > 0) & (ids == bounds[np.maximum(part - 1, 0)])) if len(bounds) else np.flatnonzero(first)
+            order = np.lexsort((own_hash, ids, part))
+            extra = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
+            before = part[extra] - 1
+            begin = np.concatenate([[first_id], cuts.ids])[part[extra]]
+            known = (ids[extra] == begin) | np.concatenate([[False], cuts.loose])[part[extra]]
+            extra, before = extra[known], np.where(before[known] < 0, len(cuts), before[known])
             if len(extra):
-                before = np.where(first[extra], len(bounds), part[extra] - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array(np.zeros(len(extra), bool)), *batch.take(pa.array(extra)).columns], names)
 
-    rows = docs.mapInArrow(deal, "part int, own boolean, doc_id long, text string").repartitionById(len(bounds) + 1, "part")
-    return rows.sortWithinPartitions(F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "text").drop("part")
+    rows = docs.mapInArrow(deal, "part int, own boolean, doc_id long, text string, hash long").repartitionById(len(cuts) + 1, "part")
+    return rows.sortWithinPartitions(F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "hash", "text").drop("part", "hash")
 
 
 class Marked:

@@ -7,8 +7,9 @@ Layout of a data set (a folder that driver and executors share):
   document has an id, 0: its id is null);
 * ``manifest.json``: the parts in order, each with its documents, tokens and *base*, the tokens of all parts before it.
 
-Documents are dealt to parts by ranges of doc_id and sorted inside a part, so the parts in order hold ascending ids. Null
-ids come first; rows of one id are ordered by their ids' bytes. A part is written under a name of its own attempt and only
+Documents are dealt to parts by ranges of (doc_id, hash of the text) and sorted inside a part, so the parts in order hold
+ascending ids, and many rows of one id, or without one, are spread over parts. Null ids come first; rows of one id are
+ordered by the hash of the text. Rows that are equal in both stay together in one part, which is written as a stream. A part is written under a name of its own attempt and only
 the names that successful tasks return enter the manifest, so a lost or repeated task leaves no trace. Bases are prefix
 sums over the parts' counts: one number a part reaches the driver.
 
@@ -22,6 +23,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +45,60 @@ def local_path(folder: str) -> str:
     return folder.removeprefix("file://")
 
 
-def range_bounds(docs: DataFrame, rows_per_part: int) -> list[int]:
-    """Ids that cut the rows into ranges of about rows_per_part; reads only the id column."""
-    n = docs.count()
-    parts = -(-n // rows_per_part)
-    if parts < 2:
-        return []
-    at = [k / parts for k in range(1, parts)]
-    found = docs.select(F.percentile_approx("doc_id", at, max(10_000, 20 * parts))).first()[0]
-    return sorted(set(found or []))
+@dataclass
+class Cuts:
+    """Where the order of rows by (id, hash of the text) is cut into parts. loose: whether a part may begin between ids."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    loose: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        first, end = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        part = end.copy()
+        several = np.flatnonzero(end - first > 1)
+        for v in np.unique(ids[several]):
+            own = several[ids[several] == v]
+            a, b = first[own[0]], end[own[0]]
+            part[own] = a + np.searchsorted(self.hashes[a:b], hashes[own], side="right")
+        return part
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """(part, doc_id, ids): the ids of each text and the end id, as bytes of the file's integers."""
-    cuts = np.array(bounds, np.int64)
+LEAST_LONG = np.iinfo(np.int64).min
+
+
+def cuts_of(docs: DataFrame, rows_per_part: int) -> Cuts:
+    """Cuts docs (doc_id, hash) into parts of about rows_per_part rows. An id that holds more than two parts' rows, or the
+    null id (it counts as the least), is cut by ranges of the hash; at most one id for every two parts can be."""
+    n = docs.count()
+    parts = -(-n // rows_per_part)
+    found: set[tuple[int, int]] = set()
+    loose: set[tuple[int, int]] = set()
+    if parts > 1:
+        at = [k / parts for k in range(1, parts)]
+        found = {(v, LEAST_LONG) for v in docs.select(F.percentile_approx("doc_id", at, max(10_000, 20 * parts))).first()[0] or []}
+        for r in docs.groupBy("doc_id").count().where(F.col("count") > 2 * rows_per_part).collect():
+            v, pieces = LEAST_LONG if r.doc_id is None else r.doc_id, -(-r["count"] // rows_per_part)
+            inner = {(v, LEAST_LONG + k * (1 << 64) // pieces) for k in range(1, pieces)}
+            after = {(v + 1, LEAST_LONG)} if v < -(LEAST_LONG + 1) else set()
+            loose |= inner | (after - found)
+            found |= inner | after | ({(v, LEAST_LONG)} if v > LEAST_LONG else set())
+    order = sorted(found)
+    return Cuts(np.array([c[0] for c in order], np.int64), np.array([c[1] for c in order], np.int64), np.array([c in loose for c in order], bool))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash) of doc_id, text; null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash"))
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, cuts: Cuts) -> DataFrame:
+    """(part, doc_id, hash, ids): the ids of each text and the end id, as bytes of the file's integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
@@ -64,17 +106,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
         for batch in batches:
             ids = [np.append(x, end_id).astype(width).tobytes() for x in tok.encode(texts_of(batch.column("text")))]
             doc = batch.column("doc_id")
-            part = np.searchsorted(cuts, np.asarray(doc.fill_null(np.iinfo(np.int64).min)), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary()), pa.array([width.itemsize] * len(ids), pa.int32())], ["part", "doc_id", "ids", "width"])
+            part = cuts.part(np.asarray(doc.fill_null(LEAST_LONG)), np.asarray(batch.column("hash")))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, batch.column("hash"), pa.array(ids, pa.binary()), pa.array([width.itemsize] * len(ids), pa.int32())], ["part", "doc_id", "hash", "ids", "width"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, ids binary, width int")
+    return hashed(docs).mapInArrow(run, "part int, doc_id long, hash long, ids binary, width int")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, rows_per_part: int = DOCUMENTS_PER_PART) -> dict:
     """Writes the data set to a shared folder and returns its manifest. docs: doc_id, text."""
     root = local_path(folder)
     docs = docs.select("doc_id", "text")
-    bounds = range_bounds(docs, rows_per_part)
+    cuts = cuts_of(docs.select(F.col("doc_id").cast("long")), rows_per_part)
     os.makedirs(root, exist_ok=True)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +140,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, rows_pe
         np.concatenate([[len(sizes)], offsets, *docs_here, *flags]).astype("<i8").tofile(f"{root}/{name}.idx")
         yield pa.RecordBatch.from_pydict({"part": [number], "name": [name], "documents": [len(sizes)], "tokens": [int(offsets[-1])], "width": [width]})
 
-    rows = encoded(docs, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, "part")
-    parts = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(save, "part long, name string, documents long, tokens long, width long").collect()
+    rows = encoded(docs, tokenizer, end_id, cuts).repartitionById(len(cuts) + 1, "part")
+    parts = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "ids").mapInArrow(save, "part long, name string, documents long, tokens long, width long").collect()
     manifest: dict = {"parts": [], "tokens": 0}
     for p in sorted(parts, key=lambda p: p.part):
         manifest["parts"].append({"name": p.name, "documents": p.documents, "tokens": p.tokens, "width": p.width, "base": manifest["tokens"]})

@@ -201,6 +201,66 @@ def test_fingerprints_of_odd_rows(spark, odd, odd_rows, nothing):
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_many_rows_of_one_id_are_spread(spark, monkeypatch):
+    """A third of all rows has one id and a third none; each part holds a bounded number, and the ring of next documents is whole."""
+    monkeypatch.setattr(prefix_hashes, "ROWS_PER_RANGE", 20)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"text number {k} " + "x" * (k % 5)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [len(p) for p in prefix_hashes.dealt(docs, 20).rdd.glom().collect()]
+    assert max(sizes) < 80 and len(sizes) > 12
+    got = prefix_hashes.fingerprints(docs).collect()
+    assert len(got) == 300
+    mark = {prefix_hashes.sketch(prefix_hashes.prefixes(t)).hex(): t for _, t in rows}
+    assert sorted(((r.doc_id, mark[r.fingerprint]) for r in got), key=str) == sorted(rows, key=str)
+
+
+def test_ring_of_next_documents_over_hot_ids(spark):
+    """Each row follows one other, in the same order however ranges are cut."""
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"{k:04d}" * 8) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+
+    def ring(rows_per_range):
+        parts = prefix_hashes.dealt(docs, rows_per_range).rdd.glom().collect()
+        follows = {}
+        for part in parts:
+            own = [r.text for r in part if r.own]
+            if own:
+                after = [r.text for r in part if not r.own][0]
+                follows |= dict(zip(own, [*own[1:], after], strict=True))
+        return follows
+
+    for size in (15, 1000):
+        follows = ring(size)
+        at, walked = rows[0][1], []
+        for _ in range(200):
+            walked.append(at)
+            at = follows[at]
+        assert at == walked[0] and len(set(walked)) == 200
+        seen[size] = follows
+    assert seen[15] == seen[1000]
+
+
+def test_likeness_follows_the_shared_spans():
+    """Estimates against the exact share of common spans; different texts are never fully alike."""
+    mark = lambda t: prefix_hashes.sketch(prefix_hashes.prefixes(t))
+    like = lambda a, b: prefix_hashes.likeness(mark(a), mark(b))
+    rnd, errors = random.Random(3), []
+    for n in (80, 400, 3000):
+        for share in (0.0, 0.3, 0.6, 0.9):
+            for _ in range(6):
+                words = [f"{rnd.randrange(10**6)}" for _ in range(n // 6)]
+                other = [w if k < share * len(words) else f"{rnd.randrange(10**6)}" for k, w in enumerate(words)]
+                a, b = " ".join(words), " ".join(other)
+                length = max(2, min(prefix_hashes.SPAN, min(len(a), len(b)) // 6))
+                x, y = ({t[k : k + length] for k in range(len(t) - length + 1)} for t in (a, b))
+                errors.append(like(a, b) - 2 * len(x & y) / (len(x) + len(y)))
+    assert np.sqrt(np.mean(np.square(errors))) < 0.12 and abs(np.mean(errors)) < 0.05
+    for a, b in (("ab", "ba"), ("aaaa", "aaab"), ("abc", "cab"), ("a", "b"), ("", "a"), ("x" * 50, "x" * 51), ("xy" * 500, "xy" * 500 + "x")):
+        assert like(a, b) == like(b, a) < 1 and like(a, a) == 1
+    assert like("ab", "ba") == 0
+
+
 def exact(rows, k=20):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
@@ -332,6 +392,26 @@ def test_compaction_keeps_rows_and_versions(spark, odd):
     assert store.vacuum() > 0 and key(store.read()) == sorted(5 * key(odd))
 
 
+def test_shards_climb_tiers_over_several_arrivals(spark, sf_dir, monkeypatch):
+    """The query's arrivals: small ones merge, what was merged merges again, and every version reads as its rows."""
+    sizes = []
+    real = compaction.Store.commit
+
+    def commit(self, base, schema, shards):
+        sizes.append([x["bytes"] for x in shards])
+        return real(self, base, schema, shards)
+
+    monkeypatch.setattr(compaction.Store, "commit", commit)
+    store = compaction.Store(spark, f"{shared_folder(spark)}/store-tiers")
+    compaction.arrive(store, documents(spark, sf_dir).repartition(2), 1)
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted(r.doc_id for r in documents(spark, sf_dir).collect())
+    # several arrivals, compactions between them, and shards of at least two sizes of merging on the way
+    merges = [(a, b) for a, b in zip(sizes, sizes[1:], strict=False) if len(b) < len(a)]
+    assert len(sizes) >= compaction.ARRIVALS + 4 and len(merges) >= 3
+    tiers = {compaction.tier(x, compaction.TARGET_BYTES) for _, b in merges for x in b}
+    assert len(tiers) >= 2
+
+
 def test_compaction_of_nothing(spark, nothing):
     store = compaction.Store(spark, f"{shared_folder(spark)}/store-b")
     with pytest.raises(ValueError, match="appended"):

@@ -258,3 +258,50 @@ def test_long_texts_leave_the_sample_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "learn", lambda found, lang: (seen.append(sum(len(r[0]) for r in found)), real(found, lang))[1])
     model = toxicity.fit(docs, labels, language.fit(docs))
     assert seen[0] <= 40_000 and model.net is not None and toxicity.score(docs, model).count() == 400
+
+
+def test_license_labels_and_score_against_plain_rules(spark, sf_dir, odd, odd_rows):
+    """Labels and scores from every rule tried everywhere and overlaps resolved pair by pair."""
+    notices = [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Released under GPL v2 or later. All rights reserved. (c) 2019 Someone", "Creative Commons Attribution-ShareAlike 4.0; some rights reserved",
+        "This work is licensed under a Creative Commons license. CC BY-NC 4.0. No part of this book may be reproduced. May not be copied without prior written consent.", "for personal use only, not for commercial use; royalty free", "caf\u00a0e all rights\u00a0reserved mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy to deal in the software without restriction",
+    ]
+    rows = [(r.doc_id, r.text or "") for r in documents(spark, sf_dir).collect()] + odd_rows + [(5000 + k, t) for k, t in enumerate(notices)]
+    rules = licenses.rules()
+    want = []
+    for i, t in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        line = " ".join(words)
+        found = []
+        for k, r in enumerate(rules):
+            for m in re.finditer(r.pattern, line, re.ASCII):
+                if (m.start() == 0 or line[m.start() - 1] == " ") and (m.end() == len(line) or line[m.end()] == " "):
+                    found.append((-r.priority, m.start() - m.end(), k, m.start(), m.end()))
+        stay = []
+        for x in sorted(found):
+            if all(x[4] <= y[3] or y[4] <= x[3] for y in stay):
+                stay.append(x)
+        base = {label for p, label in licenses.BASE.items() if f" {p} " in f" {line} "}
+        score = 1.0
+        for x in stay:
+            score *= 1 - licenses.WEIGHT[-x[0]]
+        want.append((str(i), ",".join(sorted(base | {rules[x[2]].label for x in stay})), round(max(0.9 * bool(base), 1 - score), 9)))
+    got = sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    differ = [(a, b) for a, b in zip(got, sorted(want), strict=True) if a != b]
+    assert not differ, differ[:3]
+    assert len({x for _, labels, _ in got for x in labels.split(",")}) > 12
+
+
+def test_long_notices_are_swept_in_time():
+    import time
+
+    s = licenses.Scanner()
+    line = "all rights reserved mit license c 2020 someone " * 40_000
+    began = time.time()
+    assert len(s.detections(line)) > 80_000
+    assert time.time() - began < 20
+
+
+def test_license_spans(spark):
+    row = licenses.scan(spark.createDataFrame([(1, "x y MIT License; all  rights reserved")], "doc_id long, text string"), spans=True).first()
+    assert [(x["first"], x["last"], x["label"]) for x in row.spans] == [(2, 3, "mit"), (4, 6, "reserved")]

@@ -47,8 +47,9 @@ def test_pieces_are_the_library_s():
 def test_piece_digests_of_odd_rows(odd, odd_rows, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    want = sorted((str(i), len(x := library.encode(t)), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, t in odd_rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in pieces.digests(odd, path).collect()) == want
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((str(i), len(x := library.encode(t)), sha(",".join(map(str, x))), sha(library.decode(x))) for i, t in odd_rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digests(odd, path).collect()) == want
     assert pieces.digests(nothing, path).count() == 0
 
 
@@ -73,6 +74,19 @@ def test_files_round_trip(spark, odd, odd_rows, nothing):
     assert token_files.write(nothing, empty, path)["parts"] == [] and token_files.read(spark, empty).count() == 0
 
 
+def test_many_rows_of_one_id_are_spread_over_files(spark):
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"text number {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"{shared_folder(spark)}/hot-files"
+    manifest = token_files.write(docs, folder, path, rows_per_part=20)
+    assert max(p["documents"] for p in manifest["parts"]) < 60 and sum(p["documents"] for p in manifest["parts"]) == 300
+    got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    want = sorted(zlib.crc32(np.array(_ids(t, "word_bpe_49k.json"), "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_files_refuse_other_stores(odd):
     with pytest.raises(ValueError, match="mounted"):
         token_files.write(odd, "hdfs://x/y", "t")
@@ -115,6 +129,21 @@ def test_packing_of_odd_rows(odd, odd_rows, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packed_order_follows_the_curve(spark, monkeypatch):
+    """Inside a range, and from range to range, pieces lie in the order of their documents' keys."""
+    monkeypatch.setattr(packing, "TOKENS_PER_RANGE", 3000)
+    rows = [(k, " ".join(f"{'haus casa maison house'.split()[k % 4]}{(k * 7 + j) % 11}" for j in range(20 + k % 9))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    key = {r.doc_id: r.key for r in packing.keyed_ids(docs, path, 1).select("doc_id", "key").collect()}
+    found = sorted(packing.pack(docs, path, capacity=64).collect(), key=lambda p: (p.sequence_id, p.offset))
+    order = list(dict.fromkeys(p.doc_id for p in found))
+    assert order == sorted(order, key=lambda d: (key[d], d)) and len(order) == 300 and len({p.sequence_id >> 32 for p in found}) > 3
+    # neighbours along the curve share their first words far more often than at random
+    same = np.mean([a % 4 == b % 4 for a, b in zip(order, order[1:], strict=False)])
+    assert same > 0.6
+
+
 @pytest.mark.parametrize(("dimensions", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_neighbours_touch(dimensions, bits):
     cells = np.array(np.meshgrid(*[range(1 << bits)] * dimensions)).reshape(dimensions, -1).T
