@@ -193,11 +193,26 @@ def plan(shards: list[dict], target: int) -> list[list[dict]]:
     return [r for r in runs if len(r) > 1]
 
 
+#: Arrivals of the query: how many small ones, each of one in so many rows; all others arrive at once.
+ARRIVALS, SHARE = 5, 32
+
+
+def arrive(store: Store, docs: DataFrame, most_rows: int = ARRIVAL_ROWS) -> None:
+    """Appends docs (doc_id, ...) in small arrivals and a large one, each compacted: shards of an arrival merge, and what was
+    merged merges again with its like."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(SHARE))
+    for k in range(ARRIVALS):
+        store.append(docs.where(place == k), most_rows)
+        store.compact()
+    store.append(docs.where(place >= ARRIVALS), most_rows)
+    store.compact()
+
+
 def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the documents to a new store, compacts it, and reads the rows back through the manifest."""
+    """Appends the documents to a new store in arrivals of unlike size, compacts it after each, and reads the rows back
+    through the manifest."""
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    store.append(documents(spark, sf_dir))
-    store.compact()
+    arrive(store, documents(spark, sf_dir))
     store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
