@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -41,14 +42,6 @@ def glare(pixels: DataFrame) -> DataFrame:
     return found.withColumn("score", F.when(F.col("bright") > 0.08, F.greatest(F.lit(0.3), 1 - 4 * F.col("bright"))).otherwise(1.0))
 
 
-def backlight(pixels: DataFrame, block: int) -> DataFrame:
-    """(image_id, cv, score): the variation of block means; a lit screen is too even."""
-    means = block_stats(pixels, block).groupBy("image_id").agg(F.avg("mean").alias("avg"), F.stddev_pop("mean").alias("spread"))
-    cv = F.col("spread") / F.greatest("avg", F.lit(1e-9))
-    found = means.withColumn("cv", cv)
-    return found.select("image_id", "cv", F.when((F.col("cv") < 0.07) & (F.col("avg") > 50), F.greatest(F.lit(0.2), F.col("cv") / 0.07)).otherwise(1.0).alias("score"))
-
-
 def saturation(b: Column, g: Column, r: Column) -> Column:
     """Saturation 0 to 255 of a colour."""
     high, low = F.greatest(b, g, r), F.least(b, g, r)
@@ -126,11 +119,11 @@ def saturation_score(pixels: DataFrame) -> DataFrame:
 
 def colour_temperature(pixels: DataFrame, least: int = 500) -> DataFrame:
     """(image_id, difference, score): bluish light areas of colour pixels; null difference with too few of them."""
-    light = pixels.where((F.col("b") * 0.114 + F.col("g") * 0.587 + F.col("r") * 0.299) > 180)
-    found = light.groupBy("image_id").agg(F.count("*").alias("n"), (F.avg("b") - F.avg("r")).alias("d"))
-    every = pixels.select("image_id").distinct().join(found, "image_id", "left")
+    light = (F.col("b") * 0.114 + F.col("g") * 0.587 + F.col("r") * 0.299) > 180
+    mean = lambda c: F.avg(F.when(light, F.col(c)))
+    found = pixels.groupBy("image_id").agg(F.count_if(light).alias("n"), (mean("b") - mean("r")).alias("d"))
     d = F.when(F.col("n") >= least, F.col("d"))
-    return every.select("image_id", d.alias("difference"), F.when(d > 8, F.greatest(F.lit(0.1), 1 - (d - 8) / 30)).otherwise(1.0).alias("score"))
+    return found.select("image_id", d.alias("difference"), F.when(d > 8, F.greatest(F.lit(0.1), 1 - (d - 8) / 30)).otherwise(1.0).alias("score"))
 
 
 def toner(pixels: DataFrame, size: int = 32, least: int = 5) -> DataFrame:
@@ -165,7 +158,7 @@ def aspect_score(width: Column, height: Column) -> Column:
 def boundaries(noise: DataFrame) -> DataFrame:
     """(image_id, pairs, jumps, score) of a noise map (image_id, y, x, v): neighbours to the right and below that differ.
 
-    Windows are by a row or a column of one picture's map, so bounded by its side.
+    All neighbours are pairs; those without noise (0.5 at most) never differ. Windows are by a row or a column of one picture's map, so bounded by its side.
     """
     right = F.lead("v").over(Window.partitionBy("image_id", "y").orderBy("x"))
     below = F.lead("v").over(Window.partitionBy("image_id", "x").orderBy("y"))
@@ -173,9 +166,8 @@ def boundaries(noise: DataFrame) -> DataFrame:
     counted, jump = [], []
     for other in (F.col("right"), F.col("below")):
         high = F.greatest(F.col("v"), other)
-        valid = other.isNotNull() & (high > 0.5)
-        counted.append(valid.cast("int"))
-        jump.append((valid & (F.abs(F.col("v") - other) / high > 0.70)).cast("int"))
+        counted.append(other.isNotNull().cast("int"))
+        jump.append(((high > 0.5) & (F.abs(F.col("v") - other) / high > 0.70)).cast("int"))
     found = sides.groupBy("image_id").agg(F.sum(counted[0] + counted[1]).alias("pairs"), F.sum(F.coalesce(jump[0], F.lit(0)) + F.coalesce(jump[1], F.lit(0))).alias("jumps"))
     ratio = F.col("jumps") / F.greatest("pairs", F.lit(1))
     return found.withColumn("score", F.when(ratio > 0.18, F.greatest(F.lit(0.1), 1 - 3 * ratio)).otherwise(1.0))
@@ -194,30 +186,40 @@ def uniform_bins() -> list[int]:
 def lbp_histogram(pixels: DataFrame) -> DataFrame:
     """(image_id, bin, share): uniform local binary patterns of inner pixels."""
     row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    three = pixels.select("image_id", "y", "x", F.struct(F.lag("g").over(row).alias("l"), F.col("g").alias("c"), F.lead("g").over(row).alias("r")).alias("here"))
+    # one shuffle, by picture, serves both windows and the counts
+    three = pixels.repartition("image_id").select("image_id", "y", "x", F.struct(F.lag("g").over(row).alias("l"), F.col("g").alias("c"), F.lead("g").over(row).alias("r")).alias("here"))
     all_nine = three.select("image_id", F.lag("here").over(column).alias("up"), "here", F.lead("here").over(column).alias("down"))
     inner = all_nine.where("up is not null and down is not null and here.l is not null and here.r is not null")
     around = ["up.l", "up.c", "up.r", "here.r", "down.r", "down.c", "down.l", "here.l"]
     bits = [F.when(F.col(n) >= F.col("here.c"), 1 << (7 - k)).otherwise(0) for k, n in enumerate(around)]
     code = sum(bits[1:], bits[0])
     binned = inner.select("image_id", F.element_at(F.array(*[F.lit(b) for b in uniform_bins()]), code + 1).alias("bin"))
-    counts = binned.groupBy("image_id", "bin").agg(F.count("*").alias("n"))
-    total = counts.groupBy("image_id").agg(F.sum("n").alias("total"))
-    return counts.join(total, "image_id").select("image_id", "bin", (F.col("n") / F.col("total")).alias("share"))
+    # one aggregation a picture: a count for each of the 59 bins
+    counts = binned.groupBy("image_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("bin") == k).alias(f"_{k}") for k in range(59)])
+    each = F.array(*[F.struct(F.lit(k).alias("bin"), (F.col(f"_{k}") / F.col("total")).alias("share")) for k in range(59)])
+    return counts.select("image_id", F.inline(F.filter(each, lambda x: x["share"] > 0)))
+
+
+def _hashed(blocks: DataFrame) -> DataFrame:
+    """(image_id, all): a picture's blocks (i, g, m) as one array; its size bounds them."""
+    mean = F.aggregate("g", F.lit(0.0), lambda s, v: s + v) / F.size("g")
+    return blocks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "g", mean.alias("m")))).alias("all"))
 
 
 def similar_blocks(blocks: DataFrame, most: int = 5) -> DataFrame:
     """(image_id, a, b, distance) of blocks (image_id, i, g: 64 values) at least two places apart whose hashes are near.
 
     A hash has a bit for each value above the mean of the pair's first block. Pairs meet only inside a picture, whose
-    number of blocks is bounded by its size.
+    number of blocks is bounded by its size; far ones are dropped where they are made.
     """
-    mean = F.aggregate("g", F.lit(0.0), lambda s, v: s + v) / F.size("g")
-    a = blocks.select("image_id", F.col("i").alias("a"), F.col("g").alias("ga"), mean.alias("m"))
-    b = blocks.select("image_id", F.col("i").alias("b"), F.col("g").alias("gb"))
-    pairs = a.join(b, "image_id").where("b >= a + 2")
-    apart = F.aggregate(F.zip_with("ga", "gb", lambda x, y: ((x > F.col("m")) != (y > F.col("m"))).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.select("image_id", "a", "b", apart.alias("distance")).where(F.col("distance") <= most)
+
+    def near(a: Column) -> Column:
+        apart = lambda b: F.aggregate(F.zip_with(a["g"], b["g"], lambda x, v: ((x > a["m"]) != (v > a["m"])).cast("int")), F.lit(0), lambda s, v: s + v)
+        later = F.filter("all", lambda b: b["i"] >= a["i"] + 2)
+        pairs = F.transform(later, lambda b: F.struct(a["i"].alias("a"), b["i"].alias("b"), apart(b).alias("distance")))
+        return F.filter(pairs, lambda p: p["distance"] <= most)
+
+    return _hashed(blocks).select("image_id", F.inline(F.flatten(F.transform("all", near))))
 
 
 def clone_score(blocks: DataFrame, most: int = 5) -> DataFrame:
@@ -228,23 +230,41 @@ def clone_score(blocks: DataFrame, most: int = 5) -> DataFrame:
     return found.select("image_id", "near", "pairs", F.when(ratio > 0.05, F.greatest(F.lit(0.3), 1 - 5 * ratio)).otherwise(1.0).alias("score"))
 
 
-# Kernels on whole pictures, for what is not relational: transforms and filters.
+# Kernels on whole pictures, for what is not relational: transforms and wide filters.
+
+
+def per_image(pictures: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], fields: str) -> DataFrame:
+    """(image_id, fields): a numpy function of each picture (image_id, width, grey: array of its rows end to end), row by row."""
+    schema = StructType.fromDDL(f"image_id long, {fields}")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for image_id, width, values in zip(batch.column("image_id").to_pylist(), batch.column("width").to_pylist(), batch.column("grey"), strict=True):
+                picture = np.asarray(values.values, float).reshape(-1, width)
+                out.append({"image_id": image_id, **kernel(picture)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([(f.name, pa.int64() if f.name == "image_id" else pa.float64()) for f in schema.fields]))
 
-def per_image(pixels: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], fields: str) -> DataFrame:
-    """(image_id, fields): a numpy function of each picture. A picture's pixels meet in one task; its size bounds them."""
+    return pictures.select(F.col("image_id").cast("long"), "width", "grey").mapInArrow(run, schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        picture = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1))
-        picture[pdf.y, pdf.x] = pdf.g
-        return pd.DataFrame([{"image_id": pdf.image_id.iloc[0], **kernel(picture)}])
 
-    return pixels.select("image_id", "y", "x", "g").groupBy("image_id").applyInPandas(run, f"image_id long, {fields}")
+def transform_size(n: int) -> int:
+    """The least size from n on that has no prime factor over 5."""
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
 
 
 def spectrum(picture: np.ndarray) -> np.ndarray:
-    """The centred log spectrum scaled to 0 to 1."""
-    log = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(picture))))
+    """The centred log spectrum scaled to 0 to 1, of the picture with zeros up to a size that transforms well."""
+    size = tuple(transform_size(n) for n in picture.shape)
+    log = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(picture, size))))
     return (log - log.min()) / max(np.ptp(log), 1e-12)
 
 
@@ -260,81 +280,47 @@ def _reach(picture: np.ndarray) -> int:
 
 def halftone(picture: np.ndarray) -> dict[str, float]:
     """Energy and peaks of the spectrum from 15 to 40 % of its radius: a print raster."""
-    s, r, reach = spectrum(picture), _radius(picture.shape), _reach(picture)
+    s = spectrum(picture)
+    r, reach = _radius(s.shape), _reach(s)
     ring = (r >= int(reach * 0.15)) & (r <= int(reach * 0.40))
-    norm, band = float(((s > 0.78) & ring).sum()) / (picture.size + 1), float(s[ring].sum() / max(s.sum(), 1e-12))
+    norm, band = float(((s > 0.78) & ring).sum()) / (s.size + 1), float(s[ring].sum() / max(s.sum(), 1e-12))
     return {"peaks": norm, "band": band, "score": max(0.0, 0.35 - 50 * norm) if norm > 0.0018 or band > 0.28 else 1.0}
 
 
 def moire(picture: np.ndarray) -> dict[str, float]:
     """Peaks of the spectrum outside a fifth of its radius: the grid of a screen."""
-    s, r = spectrum(picture), _radius(picture.shape)
-    peak = (s > 0.75) & (r > _reach(picture) // 5)
-    norm, ratio = float(peak.sum()) / (picture.size + 1), float(s[peak].sum() / max(s.sum(), 1e-12))
+    s = spectrum(picture)
+    peak = (s > 0.75) & (_radius(s.shape) > _reach(s) // 5)
+    norm, ratio = float(peak.sum()) / (s.size + 1), float(s[peak].sum() / max(s.sum(), 1e-12))
     return {"peaks": norm, "ratio": ratio, "score": max(0.0, 0.4 - 2 * ratio) if norm > 0.0015 or ratio > 0.08 else 1.0}
 
 
-def _filtered(picture: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Correlation with mirrored borders."""
-    k = kernel.shape[0] // 2
-    padded = np.pad(picture, k, mode="reflect")
-    views = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape)
-    return np.einsum("ijkl,kl->ij", views, kernel)
+def soft_weights(size: int) -> np.ndarray:
+    """Whole weights of a normal curve over so many places that add to 256; its deviation follows from the size."""
+    deviation = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    w = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * deviation**2))
+    w = np.round(256 * w / w.sum()).astype(np.int64)
+    w[size // 2] += 256 - w.sum()
+    return w
 
 
-_SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
-_BLUR = np.outer([1, 4, 6, 4, 1], [1, 4, 6, 4, 1]) / 256
-
-
-def _blocks(picture: np.ndarray, size: int) -> np.ndarray:
-    h, w = picture.shape[0] // size * size, picture.shape[1] // size * size
-    return picture[:h, :w].reshape(h // size, size, w // size, size).swapaxes(1, 2).reshape(-1, size, size)
-
-
-def sharpness(picture: np.ndarray, size: int = 32) -> dict[str, float]:
-    """How evenly edges lie: the range of block means of the gradient over their mean."""
-    gradient = np.hypot(_filtered(picture, _SOBEL), _filtered(picture, _SOBEL.T))
-    means = _blocks(gradient, min(size, *picture.shape)).mean(axis=(1, 2))
-    even = np.ptp(means) / max(means.mean(), 1e-9)
-    return {"evenness": float(even), "score": max(0.3, even / 1.5) if even < 1.5 and means.mean() < 25 else 1.0}
-
-
-def noise_consistency(picture: np.ndarray, size: int = 64) -> dict[str, float]:
-    """Blocks whose noise (what a blur takes away) differs much."""
-    noise = picture - _filtered(picture, _BLUR)
-    std = _blocks(noise, min(size, *picture.shape)).std(axis=(1, 2))
-    ratio = np.ptp(std) / max(std.mean(), 1e-9)
-    return {"ratio": float(ratio), "score": max(0.2, 1 - (ratio - 4) / 8) if ratio > 4 else 1.0}
-
-
-def flat_texture(picture: np.ndarray, size: int = 24) -> dict[str, float]:
-    """Bright even blocks without any grain: a screen or a print of one."""
-    noise = np.abs(picture - _filtered(picture, _BLUR))
-    side = min(size, *picture.shape)
-    blocks, grain = _blocks(picture, side), _blocks(noise, side).mean(axis=(1, 2))
-    chosen = (blocks.mean(axis=(1, 2)) > 155) & (blocks.std(axis=(1, 2)) < 30)
-    avg = float(grain[chosen].mean()) if chosen.sum() >= 6 else 2.5
-    return {"grain": avg, "score": max(0.05, avg / 2.5) if avg < 2.5 else 1.0}
+def _across(picture: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Correlation along the rows with mirrored ends."""
+    k = len(weights) // 2
+    padded = np.pad(picture, ((0, 0), (k, k)), mode="reflect")
+    return sum(w * padded[:, j : j + picture.shape[1]] for j, w in enumerate(weights.tolist()))
 
 
 def illumination(picture: np.ndarray) -> dict[str, float]:
-    """Jumps of the light's direction: the variation of the gradient of a heavy blur."""
-    soft = picture
-    for _ in range(4):
-        soft = _filtered(soft, _BLUR)
-    gradient = np.hypot(_filtered(soft, _SOBEL), _filtered(soft, _SOBEL.T))
-    cv = float(gradient.std() / max(gradient.mean(), 1e-9))
+    """Jumps of the light's direction: the variation of the gradient of a heavy blur, 15 % of the shorter side wide or 51."""
+    weights = soft_weights(max(51, int(min(picture.shape) * 0.15) | 1))
+    soft = np.floor(_across(_across(picture.astype(np.int64), weights).T, weights).T / 65536 + 0.5)
+    smooth, slope = np.array([1, 2, 1]), np.array([-1, 0, 1])
+    gx, gy = _across(_across(soft, slope).T, smooth).T, _across(_across(soft, smooth).T, slope).T
+    gradient = np.hypot(gx, gy)
+    mean = float(gradient.mean())
+    cv = float(gradient.std() / mean) if mean > 0 else 0.0
     return {"cv": cv, "score": max(0.3, 1 - (cv - 2.5) / 5) if cv > 2.5 else 1.0}
 
 
-def otsu(picture: np.ndarray) -> dict[str, float]:
-    """The grey value that parts a picture's histogram best, and the share above it."""
-    h = np.bincount(picture.astype(int).ravel(), minlength=256) / picture.size
-    w, m = np.cumsum(h), np.cumsum(h * np.arange(256))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = np.nan_to_num((m[-1] * w - m) ** 2 / (w * (1 - w)))
-    t = int(between.argmax())
-    return {"threshold": float(t), "score": float((picture > t).mean())}
-
-
-KERNELS = {"halftone": (halftone, "peaks double, band double, score double"), "moire": (moire, "peaks double, ratio double, score double"), "sharpness": (sharpness, "evenness double, score double"), "noise": (noise_consistency, "ratio double, score double"), "flat": (flat_texture, "grain double, score double"), "illumination": (illumination, "cv double, score double"), "otsu": (otsu, "threshold double, score double")}
+KERNELS = {"halftone": (halftone, "peaks double, band double, score double"), "moire": (moire, "peaks double, ratio double, score double"), "illumination": (illumination, "cv double, score double")}

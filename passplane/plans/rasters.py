@@ -42,11 +42,6 @@ def q_dyn_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dynamic_range(pixels(spark, sf_dir))
 
 
-def q_backlight_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evenness of light."""
-    return _six(raster.backlight(pixels(spark, sf_dir), 2), "cv", "score")
-
-
 def q_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrast."""
     return _six(raster.contrast(pixels(spark, sf_dir)), "std", "score")
@@ -150,11 +145,6 @@ def q_classifier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(authenticity.classifier_applies(F.col("document_type"), F.col("side"))).select("session_id", "side")
 
 
-def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    kernel, fields = raster.KERNELS[name]
-    return lambda spark, sf_dir: raster.per_image(pixels(spark, sf_dir), kernel, fields)
-
-
 # Scores of analyzers, made from a part's number.
 _SIGNALS = {"moire": 7, "screen": 11, "flat": 13, "backlight": 17, "colour": 19, "background": 23, "sharpness": 29, "perspective": 31, "glare": 37, "saturation": 41, "halftone": 43, "toner": 47, "dynamic_range": 53, "border": 59, "zone_ela": 61, "ring": 67, "ela": 71, "multi_ela": 73, "photo": 79, "noise": 83, "illumination": 89, "clone": 97, "splice": 101, "aspect": 103, "contrast": 107}
 
@@ -240,8 +230,7 @@ def q_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_backlight_cv, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_signal_scores, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
-QUERIES |= {f"q_kernel_{n}": _kernel(n) for n in raster.KERNELS}
+QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_signal_scores, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
 QUERIES |= {"q_structure_score": _combiner(lambda: authenticity.structure()), "q_photocopy_score": _combiner(lambda: authenticity.photocopy()), "q_recapture_score": _combiner(lambda: authenticity.recapture()), "q_photo_zone_score": _combiner(lambda: authenticity.photo_zone()), "q_tampering_score": _combiner(lambda: authenticity.tampering(F.col("is_passport")))}
 
 _S = "s AS (SELECT p_partkey, p_partkey % 4 = 0 AS is_passport, (p_partkey * 7) % 900 AS diagonals, " + ", ".join(f"{_signal(p)} AS {n}" for n, p in _SIGNALS.items()) + " FROM part)"
@@ -268,12 +257,11 @@ SQL = {
     "q_hist8": f"{_MEANS} SELECT image_id, (g // 32)::INT AS bin, count(*) AS n FROM pixels GROUP BY 1, 2",
     "q_glare": f"{_MEANS}, a AS (SELECT image_id, count(*) FILTER (g > 250) / count(*) AS bright FROM pixels GROUP BY 1) SELECT *, CASE WHEN bright > 0.08 THEN greatest(0.3::DOUBLE, 1 - 4 * bright) ELSE 1.0::DOUBLE END AS score FROM a",
     "q_dyn_range": f"{_MEANS}, a AS (SELECT image_id, count(*) FILTER (g < 50 OR g >= 206) / count(*) AS extreme, count(*) FILTER (g BETWEEN 80 AND 175) / count(*) AS middle FROM pixels GROUP BY 1) SELECT *, CASE WHEN extreme > 0.75 AND middle < 0.10 THEN greatest(0.10::DOUBLE, 1 - extreme) ELSE 1.0::DOUBLE END AS score FROM a",
-    "q_backlight_cv": f"{_MEANS}, b AS (SELECT image_id, avg(g) AS m FROM pixels GROUP BY image_id, y // 2, x // 2), a AS (SELECT image_id, avg(m) AS avg, stddev_pop(m) / avg(m) AS cv FROM b GROUP BY 1) SELECT image_id, round(cv, 6) AS cv, round(CASE WHEN cv < 0.07 AND avg > 50 THEN greatest(0.2::DOUBLE, cv / 0.07) ELSE 1.0::DOUBLE END, 6) AS score FROM a",
     "q_contrast": f"{_MEANS}, a AS (SELECT image_id, stddev_pop(g) AS std FROM pixels GROUP BY 1) SELECT image_id, round(std, 6) AS std, round(CASE WHEN std < 20 THEN greatest(0.1::DOUBLE, std / 20) ELSE 1.0::DOUBLE END, 6) AS score FROM a",
     "q_toner": f"{_MEANS}, b AS (SELECT image_id, avg(g) AS m, stddev_pop(g) AS s, count(*) FILTER (g <= 30 OR g > 225) / count(*) AS e FROM pixels GROUP BY image_id, y // 4, x // 4), a AS (SELECT image_id, count(*) FILTER (m > 40 AND m < 220 AND s > 50) AS blocks, count(*) FILTER (m > 40 AND m < 220 AND s > 50 AND e > 0.70) AS bimodal FROM b GROUP BY 1) SELECT *, CASE WHEN blocks >= 1 AND bimodal / blocks > 0.5 THEN greatest(0.10::DOUBLE, 1 - bimodal / blocks) ELSE 1.0::DOUBLE END AS score FROM a",
     "q_saturation": f"WITH {_COLOURS}, t AS (SELECT image_id, CASE WHEN greatest(b, g, r) > 0 THEN floor((greatest(b, g, r) - least(b, g, r)) * 255.0::DOUBLE / greatest(b, g, r) + 0.5) ELSE 0 END AS s FROM colours), a AS (SELECT image_id, avg(s) AS mean, stddev_pop(s) AS std, count(*) FILTER (s > 20) / count(*) AS coloured FROM t GROUP BY 1) SELECT image_id, round(mean, 6) AS mean, round(std, 6) AS std, coloured, round(CASE WHEN mean < 8 OR coloured < 0.05 THEN mean / 8 WHEN mean < 20 AND std < 12 THEN greatest(0.2::DOUBLE, mean / 30) ELSE 1.0::DOUBLE END, 6) AS score FROM a",
     "q_colour_temperature": f"WITH {_COLOURS}, a AS (SELECT image_id, count(*) FILTER (b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE > 180) AS n, avg(b) FILTER (b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE > 180) - avg(r) FILTER (b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE > 180) AS d FROM colours GROUP BY 1) SELECT image_id, CASE WHEN n >= 3 THEN round(d, 6) END AS difference, round(CASE WHEN n >= 3 AND d > 8 THEN greatest(0.1::DOUBLE, 1 - (d - 8) / 30) ELSE 1.0::DOUBLE END, 6) AS score FROM a",
-    "q_splice_boundary": f"{_MEANS}, v AS (SELECT image_id, g / 64.0::DOUBLE AS v, lead(g / 64.0::DOUBLE) OVER (PARTITION BY image_id, y ORDER BY x) AS r, lead(g / 64.0::DOUBLE) OVER (PARTITION BY image_id, x ORDER BY y) AS d FROM pixels), a AS (SELECT image_id, (count(*) FILTER (greatest(v, r) > 0.5 AND r IS NOT NULL) + count(*) FILTER (greatest(v, d) > 0.5 AND d IS NOT NULL))::BIGINT AS pairs, (count(*) FILTER (greatest(v, r) > 0.5 AND abs(v - r) / greatest(v, r) > 0.7::DOUBLE) + count(*) FILTER (greatest(v, d) > 0.5 AND abs(v - d) / greatest(v, d) > 0.7::DOUBLE))::BIGINT AS jumps FROM v GROUP BY 1) SELECT *, CASE WHEN jumps / greatest(pairs, 1) > 0.18::DOUBLE THEN greatest(0.1::DOUBLE, 1 - 3 * (jumps / greatest(pairs, 1))) ELSE 1.0::DOUBLE END AS score FROM a",
+    "q_splice_boundary": f"{_MEANS}, v AS (SELECT image_id, g / 64.0::DOUBLE AS v, lead(g / 64.0::DOUBLE) OVER (PARTITION BY image_id, y ORDER BY x) AS r, lead(g / 64.0::DOUBLE) OVER (PARTITION BY image_id, x ORDER BY y) AS d FROM pixels), a AS (SELECT image_id, (count(r) + count(d))::BIGINT AS pairs, (count(*) FILTER (greatest(v, r) > 0.5 AND abs(v - r) / greatest(v, r) > 0.7::DOUBLE) + count(*) FILTER (greatest(v, d) > 0.5 AND abs(v - d) / greatest(v, d) > 0.7::DOUBLE))::BIGINT AS jumps FROM v GROUP BY 1) SELECT *, CASE WHEN jumps / greatest(pairs, 1) > 0.18::DOUBLE THEN greatest(0.1::DOUBLE, 1 - 3 * (jumps / greatest(pairs, 1))) ELSE 1.0::DOUBLE END AS score FROM a",
     "q_lbp_hist": f"{_MEANS}, c AS (SELECT c.image_id, " + " + ".join(f"max(CASE WHEN n.y = c.y + {dy} AND n.x = c.x + {dx} AND n.g >= c.g THEN {1 << (7 - k)} ELSE 0 END)" for k, (dy, dx) in enumerate([(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)])) + f" AS code FROM pixels c JOIN pixels n ON n.image_id = c.image_id AND abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1 WHERE c.y BETWEEN 1 AND 6 AND c.x BETWEEN 1 AND 6 GROUP BY c.image_id, c.y, c.x), b AS (SELECT image_id, {_BINS}[code + 1] AS bin FROM c) SELECT image_id, bin, count(*) / 36::DOUBLE AS share FROM b GROUP BY 1, 2",
     "q_clone_pairs": f"WITH {_PAIRS} SELECT * FROM n",
     "q_clone_score": f"WITH {_PAIRS}, k AS (SELECT image_id, (count(*) * (count(*) - 1) / 2)::BIGINT AS pairs FROM b GROUP BY 1), x AS (SELECT image_id, count(*) AS near FROM n GROUP BY 1) SELECT image_id, coalesce(near, 0) AS near, pairs, CASE WHEN coalesce(near, 0) / greatest(pairs, 1) > 0.05::DOUBLE THEN greatest(0.3::DOUBLE, 1 - 5 * (coalesce(near, 0) / greatest(pairs, 1))) ELSE 1.0::DOUBLE END AS score FROM k LEFT JOIN x USING (image_id)",

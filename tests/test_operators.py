@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passplane.operators import authenticity, barcode, catalog, classify, consolidate, decision, extract, mrz, raster, scoring, sessions
+from passplane.operators import authenticity, barcode, catalog, classify, consolidate, decision, extract, measures, mrz, raster, scoring, sessions
 from tests.test_functions import icao
 
 
@@ -147,13 +147,97 @@ def test_lbp_against_loops(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and max(raster.uniform_bins()) == 58
 
 
+def test_spectrum_against_loops():
+    rng = np.random.default_rng(2)
+    picture = rng.integers(0, 256, (7, 9)).astype(float)
+    high, wide = raster.transform_size(7), raster.transform_size(9)
+    assert (high, wide, raster.transform_size(1), raster.transform_size(131)) == (8, 9, 1, 135)
+    log = np.zeros((high, wide))
+    for v in range(high):
+        for u in range(wide):
+            total = sum(picture[y, x] * np.exp(-2j * np.pi * (v * y / high + u * x / wide)) for y in range(7) for x in range(9))
+            log[(v + high // 2) % high, (u + wide // 2) % wide] = np.log1p(abs(total))
+    want = (log - log.min()) / (log.max() - log.min())
+    assert np.allclose(raster.spectrum(picture), want)
+    reach, norm, ring_sum, peaks, peak_sum = min(high, wide) // 2, 0, 0.0, 0, 0.0
+    for y in range(high):
+        for x in range(wide):
+            r = np.hypot(y - high // 2, x - wide // 2)
+            if int(reach * 0.15) <= r <= int(reach * 0.40):
+                ring_sum += want[y, x]
+                norm += want[y, x] > 0.78
+            if r > reach // 5 and want[y, x] > 0.75:
+                peaks, peak_sum = peaks + 1, peak_sum + want[y, x]
+    got = raster.halftone(picture)
+    assert abs(got["peaks"] - norm / (want.size + 1)) < 1e-12 and abs(got["band"] - ring_sum / want.sum()) < 1e-9
+    got = raster.moire(picture)
+    assert abs(got["peaks"] - peaks / (want.size + 1)) < 1e-12 and abs(got["ratio"] - peak_sum / want.sum()) < 1e-9
+
+
 def test_kernels_see_what_they_are_for():
-    y, x = np.indices((64, 64))
-    grid, plain = 128 + 100 * np.cos(2 * np.pi * 16 * x / 64), np.random.default_rng(0).normal(128, 30, (64, 64)).clip(0, 255)
-    assert raster.moire(grid)["peaks"] < raster.moire(plain)["peaks"] or raster.halftone(grid)["score"] <= 1
-    assert raster.otsu(np.where(x < 32, 20, 200))["score"] == 0.5
-    assert raster.noise_consistency(plain, 16)["score"] == 1.0
-    assert raster.sharpness(np.full((64, 64), 7.0))["score"] == 0.3
+    y, x = np.indices((130, 200))
+    dots, flat = np.where((x % 20 == 0) & (y % 20 == 0), 220.0, 0.0), np.full((130, 200), 120.0)
+    assert raster.halftone(dots)["score"] < 0.35 and raster.halftone(np.random.default_rng(0).normal(128, 30, (130, 200)))["score"] == 1.0
+    scattered = np.where(np.random.default_rng(1).random((130, 200)) < 0.01, 255.0, 0.0)
+    assert raster.moire(scattered)["score"] < 0.4 and raster.moire(flat)["score"] == 1.0
+    patch = flat.copy()
+    patch[:16, :16] = 250
+    assert raster.illumination(patch)["score"] < 1 and raster.illumination(flat) == {"cv": 0.0, "score": 1.0}
+    assert raster.soft_weights(51).sum() == 256
+
+
+def _pixels(spark, *pictures):
+    rows = [(k, y, x, int(v), int(v), int(v), int(v)) for k, p in enumerate(pictures) for (y, x), v in np.ndenumerate(p)]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, g int, b int, r int, e int").withColumn("e", F.col("e").cast("double"))
+
+
+def test_measures_of_tiny_and_no_pictures(spark):
+    """Pictures too small for a measure have the score that says nothing could be seen."""
+    rows = _pixels(spark, np.array([[7]]), np.arange(6).reshape(1, 6), np.full((5, 3), 255))
+    score = lambda found: {r.image_id: r.score for r in found.collect()}
+    assert score(measures.sharpness(rows)) == score(measures.noise_consistency(rows)) == dict.fromkeys(range(3), 0.85)
+    assert score(measures.flat_texture(rows)) == score(measures.backlight(rows)) == dict.fromkeys(range(3), 1.0)
+    seen = score(measures.screen(rows))
+    assert seen[2] == 0.85 and all(0 <= v <= 1 for v in seen.values())
+    assert measures.noise_map(rows).count() == measures.clone_blocks(rows).count() == 0
+    zone = measures.portrait(F.col("width"), F.col("height"), F.lit("COL_PA"))
+    assert len(score(measures.border_noise(rows, zone))) == 3 and len(score(measures.error_level(rows))) == 3
+    assert measures.margin(rows).count() == measures.zone_threshold(rows.where("image_id > 0")).count() + 1 == 3
+    nothing = rows.limit(0)
+    for measure in (measures.sharpness, measures.noise_consistency, measures.flat_texture, measures.backlight, measures.screen, measures.margin, measures.error_level, measures.clone_blocks, measures.noise_map, measures.zone_threshold, measures.portrait_features):
+        assert measure(nothing).count() == 0
+
+
+def test_filters_against_loops(spark):
+    rng = np.random.default_rng(6)
+    p = rng.integers(0, 256, (6, 9))
+    at = lambda y, x: int(p[(5 - abs(5 - abs(y)), 8 - abs(8 - abs(x)))])
+    taps = [1, 4, 6, 4, 1]
+    rows = measures.with_gradient(measures.blurred(_pixels(spark, p), ["image_id"]), ["image_id"]).collect()
+    assert len(rows) == 54
+    for r in rows:
+        total = sum(taps[j + 2] * taps[k + 2] * at(r.y + j, r.x + k) for j in range(-2, 3) for k in range(-2, 3))
+        assert r.soft == int(total / 256 + 0.5)
+        gx = sum(w * (at(r.y + j, r.x + 1) - at(r.y + j, r.x - 1)) for j, w in zip((-1, 0, 1), (1, 2, 1), strict=True))
+        gy = sum(w * (at(r.y + 1, r.x + j) - at(r.y - 1, r.x + j)) for j, w in zip((-1, 0, 1), (1, 2, 1), strict=True))
+        assert abs(r.gradient - np.hypot(gx, gy)) < 1e-9
+    for r in measures.row_means(_pixels(spark, p), "g", ["b"]).collect():
+        assert r.level == int(sum(at(r.y, r.x + k) for k in range(-4, 5)) / 9 + 0.5) and r.b == r.g
+
+
+def test_screens_and_pasted_pictures_are_seen(spark):
+    rng = np.random.default_rng(9)
+    y, x = np.indices((130, 200))
+    even, grain = np.full((130, 200), 180), np.clip(rng.normal(150, 25, (130, 200)), 0, 255).astype(int)
+    framed = np.where((y > 12) & (y < 118) & (x > 20) & (x < 180), 200, 5)
+    rows = _pixels(spark, even, grain, framed)
+    score = lambda found: {r.image_id: r.score for r in found.collect()}
+    light = score(measures.backlight(rows))
+    # a screen with a dark frame is told by its centre
+    assert light[0] == light[2] == 0.15 and light[1] == 0.15
+    flat = score(measures.flat_texture(rows))
+    assert flat[0] == 0.05 and flat[1] == 1.0
+    assert score(measures.screen(rows))[0] < 0.5
 
 
 def test_leave_one_out(spark):
