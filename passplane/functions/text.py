@@ -135,3 +135,8 @@ def rounded(c: Column, digits: int = 3) -> Column:
     """Rounded half up (toward plus infinity)."""
     scale = 10**digits
     return F.floor(c * scale + 0.5) / scale
+
+
+def both_passes(normal: Column, inverted: Column) -> Column:
+    """The texts recognised on a picture and on its negative, one after the other; the first alone if the second is blank."""
+    return F.when(F.trim(F.coalesce(inverted, F.lit(""))) == "", normal).otherwise(F.concat_ws("\n", normal, inverted))

@@ -19,6 +19,13 @@ def weight(analyzer: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(WEIGHTS), analyzer), F.lit(0.25))
 
 
+def register(analyzer: str, weight_of: float) -> None:
+    """Gives another analyzer a weight of its own; a known one is refused. It is no veto."""
+    if analyzer in WEIGHTS:
+        raise ValueError(f"{analyzer} is known already")
+    WEIGHTS[analyzer] = weight_of
+
+
 def combine(checks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, side_score, veto) of checks (keys, analyzer, score, is_passport): one aggregation.
 

@@ -95,3 +95,10 @@ def against(texts: DataFrame, keys: list[str], own: str, text: str = "text") ->
 def matches_session(own_score: Column, own: Column, best: Column, best_score: Column) -> Column:
     """Whether an image passes for its session's type: a good own score, or no other type with a clear one."""
     return (own_score >= OWN_LEAST) | best.isNull() | (best == own) | (best_score < OTHER_LEAST)
+
+
+def register(code: str, keywords: Keywords) -> None:
+    """Makes another document type known to ``scores`` and ``best_of``; a known code is refused."""
+    if code in KEYWORDS:
+        raise ValueError(f"{code} is known already")
+    KEYWORDS[code] = keywords

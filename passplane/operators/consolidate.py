@@ -61,3 +61,13 @@ def enrich_from_mrz(fields: DataFrame, mrz: DataFrame, keys: list[str]) -> DataF
 def enrich_from_barcode(fields: DataFrame, barcode: DataFrame, keys: list[str]) -> DataFrame:
     """Values of the barcode always replace, with confidence 1."""
     return _merged(fields, barcode, keys, F.lit(True), F.lit(1.0), 1.0)
+
+
+def consolidated(fields: DataFrame, zone: DataFrame, barcode: DataFrame, raw: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, value, confidence): what was recognised, with the zone's and the barcode's values, and the barcode itself.
+
+    fields: keys, field, value, confidence; zone and barcode: keys, field, value; raw: keys, value, the barcode's text.
+    """
+    read = enrich_from_mrz(fields, zone, [*keys, "field"]).drop("replaced")
+    decoded = enrich_from_barcode(read, barcode, [*keys, "field"]).drop("replaced")
+    return decoded.unionByName(raw.where("trim(value) <> ''").select(*keys, F.lit("codigoBarras").alias("field"), "value", F.lit(1.0).alias("confidence")))

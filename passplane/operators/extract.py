@@ -356,3 +356,10 @@ def extract(texts: DataFrame, keys: list[str], code: str, text: str = "text", si
     each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), k.cast("double").alias("confidence"), F.lit(at).alias("ord")) for at, (n, v, k) in enumerate(every)])
     # blank values are left out, as in the contract
     return rows.select(*keys, F.inline(F.filter(each, lambda x: F.trim(x["value"]) != "")))
+
+
+def register(code: str, fields: list[Field]) -> None:
+    """Makes the fields of another document type known to ``extract``; a known code is refused."""
+    if code in FIELDS:
+        raise ValueError(f"{code} is known already")
+    FIELDS[code] = fields

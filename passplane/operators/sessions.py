@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passplane.operators.catalog import catalog
+
 #: Minutes from creation to the deadline.
 TTL_MINUTES = 30
 
@@ -71,3 +73,22 @@ def allowed_side(sides: Column, side: Column) -> Column:
 def image_path(base: str, session_id: Column, side: Column) -> Column:
     """Where an image is kept."""
     return F.concat(F.concat_ws("/", F.lit(base), session_id, side), F.lit(".jpg"))
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are wanted, each once: a session by its id, captures by session, or a capture by session and side."""
+    return rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def created(requests: DataFrame, now: Column) -> DataFrame:
+    """Sessions of requests (session_id, document_type, lat, lng, user_agent) that are right and of a known type, as they begin."""
+    right = requests.where(F.size(request_errors(F.col("document_type"), F.col("lat"), F.col("lng"), F.col("user_agent"))) == 0)
+    known = right.join(F.broadcast(catalog(requests.sparkSession).select(F.col("code").alias("document_type"))), "document_type", "left_semi")
+    return known.select("session_id", "document_type", F.lit("CREATED").alias("status"), "lat", "lng", "user_agent", now.alias("created_at"), deadline(now).alias("expires_at"))
+
+
+def uploaded(captures: DataFrame, content: str, base: str) -> DataFrame:
+    """Adds image_path and image_sha256, the digest of the image's bytes, to captures (session_id, side, content); empty
+    images are left out."""
+    rows = captures.where(F.length(content) > 0)
+    return rows.select(*[c for c in captures.columns if c != content], image_path(base, F.col("session_id").cast("string"), F.col("side")).alias("image_path"), F.sha2(content, 256).alias("image_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passplane.functions import text
 from passplane.operators import catalog, consolidate, decision, sessions
 from passplane.plans.derived import AS_OF, CAPTURES, CATALOG, CODES, FACES, captures, type_of
 from passplane.sources.tables import table
@@ -159,10 +160,29 @@ def q_country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_image_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a capture's image is kept, and a digest of what is in it."""
+    """Where a capture's image is kept, and a digest of its keys."""
     return captures(spark, sf_dir).select("session_id", "side", sessions.image_path("images", F.col("session_id").cast("string"), F.col("side")).alias("path"), F.sha2(F.concat_ws("|", "session_id", "side"), 256).alias("sha256"))
 
 
+def q_capture_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of urgent orders' sessions."""
+    wanted = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("session_id"))
+    return sessions.lookup(captures(spark, sf_dir), wanted, ["session_id"]).select("session_id", "side", "authenticity_score")
+
+
+def q_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and digests of uploaded content; pages stand for images, every seventh without content."""
+    page = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("session_id"), F.when(F.col("page_id") % 2 == 0, "FRONT").otherwise("BACK").alias("side"), page.alias("content"))
+    return sessions.uploaded(rows, "content", "images")
+
+
+def q_two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two passes over a picture joined; every third second pass is blank."""
+    second = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.substring("text", 1, 40))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.both_passes(F.col("text"), second).cast("binary")).alias("digest"))
+
+
 def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers after an update of every third, by key and version."""
     old = table(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("version"), F.col("c_mktsegment").alias("segment"))
@@ -170,7 +190,7 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.upsert(old, new, ["c_custkey"], "version")
 
 
-QUERIES = {f.__name__: f for f in (q_worst_face, q_veto_any, q_session_decision, q_decision_summary, q_best_field, q_field_rename_merge, q_cross_levenshtein, q_expiry_check, q_session_ttl, q_session_status, q_first_or_replace, q_catalog_join, q_unsupported_type, q_side_allowed, q_geo_validation, q_country_codes, q_image_path, q_upsert)}
+QUERIES = {f.__name__: f for f in (q_worst_face, q_veto_any, q_session_decision, q_decision_summary, q_best_field, q_field_rename_merge, q_cross_levenshtein, q_expiry_check, q_session_ttl, q_session_status, q_first_or_replace, q_catalog_join, q_unsupported_type, q_side_allowed, q_geo_validation, q_country_codes, q_image_path, q_capture_lookup, q_upload, q_two_passes, q_upsert)}
 
 _FIELDS = "fields AS (SELECT user_id AS session_id, event_type AS field, props AS value, (floor(value)::BIGINT % 100)::DOUBLE / 100 AS confidence, event_id AS ord FROM events)"
 _RENAMED = "CASE ord % 6 WHEN 0 THEN 'lastNames' WHEN 1 THEN 'firstNames' WHEN 2 THEN 'firstNames' WHEN 5 THEN 'rh' ELSE 'expiryDate' END"
@@ -195,5 +215,8 @@ SQL = {
     "q_geo_validation": f"WITH {_REQUESTS} SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 9 = 0 THEN 'documentType' END, CASE WHEN abs(c_acctbal / 100) > 90 THEN 'geolocation.lat' END, CASE WHEN abs(c_acctbal / 50) > 180 THEN 'geolocation.lng' END, CASE WHEN length(c_name) * (c_custkey % 40) > 512 THEN 'userAgent' END) AS errors FROM requests",
     "q_country_codes": f"WITH {_REQUESTS}, {CATALOG}, l AS (SELECT country, string_agg(code, ',' ORDER BY code) AS codes FROM catalog GROUP BY 1) SELECT country, count(*) AS requests, codes FROM requests JOIN catalog ON code = document_type JOIN l USING (country) GROUP BY country, codes",
     "q_image_path": f"WITH {CAPTURES} SELECT session_id, side, concat('images/', session_id, '/', side, '.jpg') AS path, sha256(concat(session_id, '|', side)) AS sha256 FROM captures",
+    "q_capture_lookup": f"WITH {CAPTURES} SELECT session_id, side, authenticity_score FROM captures WHERE session_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "q_upload": "SELECT page_id AS session_id, CASE WHEN page_id % 2 = 0 THEN 'FRONT' ELSE 'BACK' END AS side, concat('images/', page_id, '/', CASE WHEN page_id % 2 = 0 THEN 'FRONT' ELSE 'BACK' END, '.jpg') AS image_path, sha256(html) AS image_sha256 FROM pages WHERE page_id % 7 <> 0 AND length(html) > 0",
+    "q_two_passes": "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 OR trim(substr(text, 1, 40)) = '' THEN text ELSE concat(text, chr(10), substr(text, 1, 40)) END) AS digest FROM documents",
     "q_upsert": "SELECT c_custkey, (CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END)::INT AS version, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS segment FROM customer",
 }

@@ -80,13 +80,10 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("image_id", "y", "x", "g", steps).select("image_id", "quality", "y", "x", (F.sqrt(F.lit(3.0)) * (F.col("g") % F.col("quality") + more)).alias("e"))
 
 
-_TYPE = type_of("image_id")
-#: A face in every other picture.
-_FACE = F.when(F.col("image_id") % 2 == 0, F.struct(F.lit(50).alias("x"), (F.col("image_id") % 30 + 20).cast("int").alias("y"), F.lit(30).alias("w"), F.lit(20).alias("h")))
-
-
 def _zone() -> Column:
-    return measures.portrait(F.col("width"), F.col("height"), _TYPE, _FACE)
+    """The portrait: around a face in every other picture, else by the type."""
+    face = F.struct(F.lit(50).alias("x"), (F.col("image_id") % 30 + 20).cast("int").alias("y"), F.lit(30).alias("w"), F.lit(20).alias("h"))
+    return measures.portrait(F.col("width"), F.col("height"), type_of("image_id"), F.when(F.col("image_id") % 2 == 0, face))
 
 
 def q_portrait_zone(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,16 @@ def q_enrich_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.enrich_from_barcode(_read_fields(spark, sf_dir), decoded, ["c_custkey", "field"]).select("c_custkey", "field", "value", "confidence")
 
 
+def q_enrich_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields merged with those of the zone and of the first order's barcode, and the barcode itself."""
+    zone = F.col("zone")
+    decoded = _td3_zones(spark, sf_dir).where(mrz.gate(mrz.valid_count(zone)) == "ENRICH").select("c_custkey", F.inline(mrz.fields(zone)))
+    rows = _barcodes(spark, sf_dir).join(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")), "o_orderkey")
+    coded = rows.select(F.col("o_custkey").alias("c_custkey"), F.inline(barcode.fields(F.col("b")))).where("field IN ('documentNumber', 'sexo')").drop("confidence")
+    raw = rows.select(F.col("o_custkey").alias("c_custkey"), F.col("b.number").alias("value"))
+    return consolidate.consolidated(_read_fields(spark, sf_dir).select("c_custkey", "field", "value", "confidence"), decoded, coded, raw, ["c_custkey"])
+
+
 def q_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three cleaners of names on damaged lines."""
     rows = _people(spark, sf_dir)
@@ -197,7 +207,7 @@ def q_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", text.capital_run(line).alias("run"), text.passport_name(passport).alias("passport"), text.surname_lines(block).alias("block"))
 
 
-QUERIES = {f.__name__: f for f in (q_normalize_date, q_mrz_td3, q_mrz_td1, q_mrz_text, q_mrz_dedup, q_mrz_gate, q_mrz_contract, q_passport_mrz_check, q_icao_check_digit, q_ecu_mod10, q_barcode_parse, q_barcode_fields, q_enrich_mrz, q_enrich_barcode, q_name_clean)}
+QUERIES = {f.__name__: f for f in (q_normalize_date, q_mrz_td3, q_mrz_td1, q_mrz_text, q_mrz_dedup, q_mrz_gate, q_mrz_contract, q_passport_mrz_check, q_icao_check_digit, q_ecu_mod10, q_barcode_parse, q_barcode_fields, q_enrich_mrz, q_enrich_barcode, q_enrich_all, q_name_clean)}
 
 _NV, _BV, _EV = (f"NOT ({w})" for w in (WRONG_NUMBER, WRONG_BIRTH, WRONG_EXPIRY))
 _SEX = "CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END"
@@ -234,6 +244,7 @@ SQL = {
     "q_barcode_parse": f"WITH b AS ({_BAR}) SELECT o_orderkey, kind <> 2 AS parsed, CASE WHEN kind NOT IN (1, 2) THEN substr(line, 1, 9) END AS series, CASE WHEN kind NOT IN (1, 2) THEN substr(line, 11, 8) END AS sequence, CASE WHEN kind <> 2 THEN upper(substr(line, 20, 1)) END AS sex, CASE WHEN kind <> 2 THEN (CASE WHEN o_custkey = 0 THEN '0000000000' ELSE concat('', o_custkey) END) END AS number, CASE WHEN kind <> 2 THEN issued END AS issued FROM b",
     "q_barcode_fields": "WITH k AS (SELECT o_orderkey % 7 AS kind FROM orders), f AS (SELECT CASE WHEN kind = 2 THEN ['barcodeRaw'] ELSE ['documentNumber', 'sexo', 'fechaExpedicion', 'codigoBarras'] END AS names FROM k) SELECT field, count(*) AS n, 1.0::DOUBLE AS confidence FROM (SELECT unnest(names) AS field FROM f) GROUP BY 1",
     "q_enrich_mrz": f"WITH {_READ}, decoded AS ({_DECODED}) SELECT coalesce(f.c_custkey, d.c_custkey) AS c_custkey, coalesce(f.field, d.field) AS field, CASE WHEN d.decoded IS NOT NULL AND (f.confidence IS NULL OR f.value IS NULL OR f.confidence < 0.95) THEN d.decoded ELSE f.value END AS value, CASE WHEN f.confidence IS NULL THEN 0.98 WHEN d.decoded IS NOT NULL AND (f.value IS NULL OR f.confidence < 0.95) THEN 0.97 ELSE f.confidence END::DOUBLE AS confidence FROM fields f FULL JOIN decoded d ON f.c_custkey = d.c_custkey AND f.field = d.field",
+    "q_enrich_all": f"WITH {_READ}, zoned AS ({_DECODED}), {_FIRST}, e AS (SELECT coalesce(f.c_custkey, d.c_custkey) AS c_custkey, coalesce(f.field, d.field) AS field, CASE WHEN d.decoded IS NOT NULL AND (f.confidence IS NULL OR f.value IS NULL OR f.confidence < 0.95) THEN d.decoded ELSE f.value END AS value, CASE WHEN f.confidence IS NULL THEN 0.98 WHEN d.decoded IS NOT NULL AND (f.value IS NULL OR f.confidence < 0.95) THEN 0.97 ELSE f.confidence END::DOUBLE AS confidence FROM fields f FULL JOIN zoned d ON f.c_custkey = d.c_custkey AND f.field = d.field) SELECT coalesce(f.c_custkey, d.c_custkey) AS c_custkey, coalesce(f.field, d.field) AS field, coalesce(d.decoded, f.value) AS value, CASE WHEN d.decoded IS NOT NULL THEN 1.0 ELSE f.confidence END::DOUBLE AS confidence FROM e f FULL JOIN decoded d ON f.c_custkey = d.c_custkey AND f.field = d.field UNION ALL SELECT c_custkey, 'codigoBarras', decoded, 1.0::DOUBLE FROM decoded WHERE field = 'documentNumber'",
     "q_enrich_barcode": f"WITH {_READ}, {_FIRST} SELECT coalesce(f.c_custkey, d.c_custkey) AS c_custkey, coalesce(f.field, d.field) AS field, coalesce(d.decoded, f.value) AS value, CASE WHEN d.decoded IS NOT NULL THEN 1.0 ELSE f.confidence END::DOUBLE AS confidence FROM fields f FULL JOIN decoded d ON f.c_custkey = d.c_custkey AND f.field = d.field",
     "q_mrz_dedup": "SELECT c_custkey, 4::INT AS candidates, 3::INT AS kept FROM customer",
     "q_name_clean": f"SELECT c_custkey, concat({SURNAME}, ' ', {GIVEN}) AS run, concat({SURNAME}, ' ', {GIVEN}) AS passport, concat({SURNAME}, ' ', {GIVEN}) AS block FROM customer",

@@ -14,8 +14,8 @@ FORMATS = ("parquet", "orc", "json", "csv")
 
 def read_json(c: Column, schema: str) -> Column:
     """JSON text as a struct; malformed or blank text is null."""
-    parsed = F.from_json(F.when(F.trim(c) != "", c), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return F.when(F.get_json_object(c, "$").isNotNull(), parsed)
+    parsed = F.from_json(F.when(F.trim(c) != "", c), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(parsed["_bad"].isNull(), parsed.dropFields("_bad"))
 
 
 def write_json(c: Column) -> Column:

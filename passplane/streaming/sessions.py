@@ -20,6 +20,14 @@ def first_captures(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "side"])
 
 
+def last_captures(events: DataFrame) -> DataFrame:
+    """(session_id, side, ts, attempts): the last capture of each session and side so far, which replaces the ones before.
+
+    For the update or complete mode: a replacement is a new row of the same key.
+    """
+    return events.groupBy("session_id", "side").agg(F.max("ts").alias("ts"), F.count("*").alias("attempts"))
+
+
 def captures_per_window(events: DataFrame, width: str = "10 minutes", delay: str = "30 minutes") -> DataFrame:
     """(start, side, n): captures in tumbling windows, final once the watermark has passed."""
     counted = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "side").agg(F.count("*").alias("n"))

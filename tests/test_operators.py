@@ -248,3 +248,30 @@ def test_leave_one_out(spark):
     assert len(got) == 2 and all(r.tp + r.tn >= 28 for r in got)
     with pytest.raises(ValueError, match="at most"):
         scoring.leave_one_out(samples, [1.0], most=10)
+
+
+def test_registering_types_and_analyzers(spark, monkeypatch):
+    for module, name in ((extract, "FIELDS"), (classify, "KEYWORDS"), (authenticity, "WEIGHTS")):
+        monkeypatch.setattr(module, name, dict(getattr(module, name)))
+    extract.register("X_CARD", [extract.one("documentNumber", 0.9, r"CARD\\s+(\\d{4})".replace("\\\\", "\\"))])
+    classify.register("X_CARD", classify.Keywords(0.5, ("X CARD", "OF NOWHERE")))
+    authenticity.register("HOLOGRAM", 1.0)
+    texts = spark.createDataFrame([(1, "x card of nowhere CARD 1234")], "id int, text string")
+    assert classify.best_of(texts, ["id"]).first().code == "X_CARD"
+    assert [(r.field, r.value) for r in extract.extract(texts, ["id"], "X_CARD").collect()] == [("documentNumber", "1234")]
+    checks = spark.createDataFrame([(1, "HOLOGRAM", 0.0, False), (1, "OTHER", 1.0, False)], "id int, analyzer string, score double, is_passport boolean")
+    assert abs(authenticity.combine(checks, ["id"]).first().side_score - 0.2) < 1e-12
+    for again in (lambda: extract.register("X_CARD", []), lambda: classify.register("COL_PA", None), lambda: authenticity.register("HOLOGRAM", 1.0)):
+        with pytest.raises(ValueError, match="known already"):
+            again()
+
+
+def test_sessions_are_created_and_uploaded(spark):
+    now = F.lit(datetime.datetime(2020, 1, 1, 10))
+    asked = spark.createDataFrame([(1, "COL_PA", 1.0, 2.0, "a"), (2, "NONE", 1.0, 2.0, "a"), (3, "COL_PA", 91.0, 2.0, "a")], "session_id long, document_type string, lat double, lng double, user_agent string")
+    got = sessions.created(asked, now).collect()
+    assert [(r.session_id, r.status, r.expires_at) for r in got] == [(1, "CREATED", datetime.datetime(2020, 1, 1, 10, 30))]
+    files = spark.createDataFrame([(1, "FRONT", b"abc"), (1, "BACK", b"")], "session_id long, side string, content binary")
+    row = sessions.uploaded(files, "content", "images").collect()
+    assert [(r.image_path, r.image_sha256[:8]) for r in row] == [("images/1/FRONT.jpg", "ba7816bf")]
+    assert sessions.lookup(files, spark.createDataFrame([(1, "FRONT"), (1, "FRONT")], "session_id long, side string"), ["session_id", "side"]).count() == 1

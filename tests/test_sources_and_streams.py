@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from passplane.sources import images, stored
+from passplane.sources import images, models, stored
 from passplane.streaming import sessions
 
 
@@ -67,3 +67,19 @@ def test_statuses(spark, tmp_path):
     found = {(r.session_id, r.status, r.captured) for r in got.collect()}
     assert {(1, "IN_PROGRESS", "FRONT"), (1, "COMPLETED", "BACK,FRONT"), (2, "IN_PROGRESS", "FRONT"), (2, "EXPIRED", "FRONT")} <= found
     assert got.where(F.col("status") == "EXPIRED").select("at").first()[0] == datetime.datetime(2020, 1, 1, 10, 30)
+
+
+def test_last_captures(spark, tmp_path):
+    got = streamed(spark, tmp_path, [[(1, "FRONT", 0), (1, "FRONT", 1)], [(1, "BACK", 2), (1, "FRONT", 3)]], sessions.last_captures, "complete")
+    assert sorted((r.session_id, r.side, r.ts.minute, r.attempts) for r in got.collect()) == [(1, "BACK", 2, 1), (1, "FRONT", 3, 3)]
+
+
+def test_linear_model_file(spark, tmp_path):
+    text = "%YAML:1.0\n---\nmachine:\n   kernel:\n      type: LINEAR\n   class_labels: !!matrix\n      rows: 2\n      data: [ 0, 1 ]\n   sv_total: 1\n   support_vectors:\n      - [ 5.0e-01, -2.,\n          1. ]\n   decision_functions:\n      -\n         sv_count: 1\n         rho: 2.5e-01\n         alpha: [ 1. ]\n"
+    (tmp_path / "m.yml").write_text(text)
+    model = models.read_linear(spark, str(tmp_path / "m.yml"))
+    assert model == models.LinearModel((0.5, -2.0, 1.0), 0.25, (0, 1))
+    rows = spark.createDataFrame([([1.0, 0.0, 0.0],), ([0.0, 1.0, 0.0],), ([1.0],), (None,)], "v array<double>")
+    assert [tuple(r) for r in rows.select(model.value(F.col("v")), model.label(F.col("v"))).collect()] == [(0.25, 0), (-2.25, 1), (None, None), (None, None)]
+    (tmp_path / "bad.yml").write_text("nothing: here")
+    assert models.read_linear(spark, str(tmp_path / "bad.yml")) is None and models.read_linear(spark, str(tmp_path / "none.yml")) is None
