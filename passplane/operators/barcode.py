@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passplane.functions.text import sliced_date, strip_zeros
@@ -30,6 +30,12 @@ def parse(text: Column) -> Column:
     )
 
 
+def with_barcode(rows: DataFrame, text: str = "raw", out: str = "barcode") -> DataFrame:
+    """Adds the struct of a barcode's text."""
+    # exploding one element keeps the patterns from being copied into what uses the struct
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], F.explode(F.array(parse(F.col(text)))).alias(out))
+
+
 def fields(parsed: Column) -> Column:
     """What a parsed barcode says, as an array of (field, value, confidence); an unstructured one gives its raw text."""
     item = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"), F.lit(1.0).alias("confidence"))

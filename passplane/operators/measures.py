@@ -29,9 +29,9 @@ def whole(c: Column) -> Column:
 
 
 def sized(pixels: DataFrame) -> DataFrame:
-    """Adds height and width; the one shuffle of a measure."""
+    """Adds height and width; the one shuffle of a measure, and none where the pixels are already apart by picture."""
     every = Window.partitionBy("image_id")
-    return pixels.repartition("image_id").withColumns({"height": F.max("y").over(every) + 1, "width": F.max("x").over(every) + 1})
+    return pixels.withColumns({"height": F.max("y").over(every) + 1, "width": F.max("x").over(every) + 1})
 
 
 def lines(keys: list[str]) -> tuple[WindowSpec, WindowSpec]:
@@ -147,17 +147,20 @@ def row_means(pixels: DataFrame, value: str, keep: list[str]) -> DataFrame:
     summed = pixels.withColumn("_sum", F.sum(value).over(row.rowsBetween(Window.unboundedPreceding, 0)))
     held = summed.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", value, "_sum", *keep))).alias("_row"))
     n = F.size("_row")
-    reach = whole((n - F.when(n % 2 == 0, 1).otherwise(0) - 1) / 2)
-    x = F.col("_at")
-    upto = lambda i: F.when(i < 0, 0).otherwise(F.try_element_at("_row", F.greatest(i, F.lit(0)).cast("int") + 1)["_sum"])
-    rows = held.select("image_id", "y", "_row", n.alias("_n"), reach.alias("_reach"), F.posexplode("_row").alias("_at", "_p"))
+    rows = held.select("image_id", "y", "_row", n.alias("_n"), whole((n - F.when(n % 2 == 0, 1).otherwise(0) - 1) / 2).alias("_reach"))
     n, reach = F.col("_n"), F.col("_reach")
-    total = (
-        upto(F.least(x + reach, n - 1)) - upto(x - reach - 1)
-        + F.when(x < reach, upto(reach - x) - upto(F.lit(0))).otherwise(0)
-        + F.when(x + reach > n - 1, upto(n - 2) - upto(2 * (n - 1) - (x + reach) - 1)).otherwise(0)
-    )
-    return rows.select("image_id", "y", "_p.x", f"_p.{value}", *[f"_p.{k}" for k in keep], F.floor(total / (2 * reach + 1) + 0.5).cast("int").alias("level"))
+    upto = lambda i: F.when(i < 0, 0).otherwise(F.try_element_at("_row", F.greatest(i, F.lit(0)).cast("int") + 1)["_sum"])
+
+    def placed(p: Column, x: Column) -> Column:
+        total = (
+            upto(F.least(x + reach, n - 1)) - upto(x - reach - 1)
+            + F.when(x < reach, upto(reach - x) - upto(F.lit(0))).otherwise(0)
+            + F.when(x + reach > n - 1, upto(n - 2) - upto(2 * (n - 1) - (x + reach) - 1)).otherwise(0)
+        )
+        return F.struct(*[p[c].alias(c) for c in ("x", value, *keep)], F.floor(total / (2 * reach + 1) + 0.5).cast("int").alias("level"))
+
+    # inside the row: the array is not copied to each of its places (outer, as no row is empty: so no filter evaluates it again)
+    return rows.select("image_id", "y", F.inline_outer(F.transform("_row", placed)))
 
 
 def screen(pixels: DataFrame) -> DataFrame:

@@ -37,7 +37,10 @@ def _at(element: str, channel: int, x: str = "x", y: str = "y") -> str:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("CAST(vec_id div 10 AS LONG)").alias("i"), F.col("embedding").alias("v"), (F.col("vec_id") % 10).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(WIDE * ROWS - 1))).alias("p"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.expr("CAST(vec_id div 10 AS LONG)").alias("i"), F.col("embedding").alias("v"), (F.col("vec_id") % 10).cast("int").alias("k"))
+    # vectors meet by picture before they become pixels, so no pixel is shuffled; a number keeps the few vectors from being put together
+    apart = vectors.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "i")
+    rows = apart.select("i", "v", "k", F.explode(F.sequence(F.lit(0), F.lit(WIDE * ROWS - 1))).alias("p"))
     return rows.select("i", "v", (F.col("k") * ROWS + F.expr(f"p div {WIDE}").cast("int")).alias("y"), (F.col("p") % WIDE).alias("x"))
 
 

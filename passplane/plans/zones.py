@@ -153,7 +153,7 @@ def _barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("o_orderkey") % 7
     broken = F.concat(F.substring(line, 1, 9), F.lit("\n"), F.substring(line, 11, 8), F.lit(" - "), F.substring(line, 20, 2), F.lit(" "), F.substring(line, 22, 10), F.lit("\n"), F.substring(line, 33, 8))
     raw = F.when(kind == 1, broken).when(kind == 2, F.concat(F.lit("LOTE "), F.col("o_orderkey"))).otherwise(line)
-    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", barcode.parse(F.col("raw")).alias("b"))
+    return barcode.with_barcode(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw", "b").drop("raw")
 
 
 def q_barcode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
