@@ -3,13 +3,20 @@
 A store is a folder of any file system that Spark reads and writes:
 
 * ``data/<batch>/*.parquet``: shards, never changed once a manifest names them;
-* ``manifests/<version>.json``: the table's schema and the live shards with their bytes and rows.
+* ``manifests/<version>.json``: the head of a version: the table's schema, its open shards with their bytes and rows, and the
+  names of its sealed lists;
+* ``manifests/sealed-<id>/*.parquet``: sealed lists of finished shards, written once.
 
 Arrivals are appended as small shards of at most so many rows; one write, no shuffle. Compaction puts the live shards in
 tiers by size, each tier ``RATIO`` times the one below, and merges the shards of a tier that holds at least ``LEAST_RUN`` of
 them, in runs of about the target size; a run becomes one file, written by one task. Shards near the target or above it are
 left alone. Rounds follow until no tier is full, so a row is rewritten about once for each tier that it climbs.
 
+Compaction also seals: once ``SEAL`` open shards are finished, they move from the head to a sealed list, which later versions
+only name. So a head holds the shards of recent arrivals, a few of each tier and fewer than ``SEAL`` finished ones, however
+large the table is, and appends and compactions read and write the head alone. Readers take the sealed lists too, an entry a
+file, as any scan of files does. Sealed shards stay as they are, also under a larger target.
+
 A commit writes the manifest under a temporary name and renames it to the next version, which fails if that version is
 there: of two writers one wins, the other reads the new version and applies its change again. Readers take the highest
 version and see all of a commit or nothing. Files that no manifest names (of failed writes or lost executors) and files of
@@ -35,6 +42,12 @@ from passplane.llm.base import documents, shared_folder
 TARGET_BYTES, RATIO, LEAST_RUN, ARRIVAL_ROWS = 64 << 20, 4, 4, 2000
 #: Shards that one round of compaction takes in, a bound on the plan that is sent to executors.
 ROUND_SHARDS = 20_000
+#: Finished shards that are put in a sealed list together; share of the target from which a shard is finished.
+SEAL, FINISHED = 1000, 0.75
+
+
+#: An entry of a list of shards.
+SHARD = "path string, bytes long, rows long"
 
 
 class Conflict(RuntimeError):
@@ -58,20 +71,37 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
         return max([0, *(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())])
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The manifest of a version, the highest if none is given."""
+    def head(self, version: int | None = None) -> dict:
+        """The head of a version, the highest if none is given: its open shards and the names of its sealed lists."""
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "schema": None, "shards": []}
+            return {"version": 0, "schema": None, "shards": [], "sealed": []}
         file = self._fs.open(self._path(f"{self.folder}/manifests/{version:012d}.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
         finally:
             file.close()
 
+    def manifest(self, version: int | None = None) -> dict:
+        """A version, the highest if none is given, with all its shards open: those of its sealed lists, then the others."""
+        head = self.head(version)
+        if not head["sealed"]:
+            return head
+        rows = self.spark.read.schema(SHARD).parquet(*[f"{self.folder}/manifests/{n}" for n in head["sealed"]])
+        return head | {"shards": [r.asDict() for r in rows.collect()] + head["shards"], "sealed": []}
+
+    def _sealed(self, base: dict, target: int) -> dict:
+        """The base with its finished shards in a sealed list if they are many enough, else as it is."""
+        done = [s for s in base["shards"] if s["bytes"] >= target * FINISHED]
+        if len(done) < SEAL:
+            return base
+        name = f"sealed-{uuid.uuid4().hex}"
+        self.spark.createDataFrame(done, SHARD).coalesce(1).write.parquet(f"{self.folder}/manifests/{name}")
+        return base | {"shards": [s for s in base["shards"] if s["bytes"] < target * FINISHED], "sealed": [*base["sealed"], name]}
+
     def commit(self, base: dict, schema: str, shards: list[dict]) -> dict:
-        """Makes these shards the version after base. Raises Conflict if that version is there."""
-        new = {"version": base["version"] + 1, "schema": schema, "shards": shards}
+        """Makes these open shards, and the sealed lists of base, the version after base. Raises Conflict if it is there."""
+        new = {"version": base["version"] + 1, "schema": schema, "shards": shards, "sealed": base["sealed"]}
         temporary = self._path(f"{self.folder}/manifests/{uuid.uuid4().hex}.tmp")
         file = self._fs.create(temporary, False)
         file.write(json.dumps(new).encode())
@@ -104,7 +134,7 @@ class Store:
         """Adds rows as small shards in one commit."""
         added = self._write(rows, most_rows)
         while True:
-            base = self.manifest()
+            base = self.head()
             try:
                 return self.commit(base, base["schema"] or rows.schema.json(), base["shards"] + added)
             except Conflict:
@@ -124,12 +154,18 @@ class Store:
         return self.spark.read.schema(kind).parquet(*[f"{self.folder}/{s['path']}" for s in shards])
 
     def compact(self, target: int = TARGET_BYTES) -> dict:
-        """Merges full tiers, round by round, and returns the last manifest."""
+        """Merges full tiers, round by round, seals finished shards, and returns the last head."""
         while True:
-            base = self.manifest()
+            base = self.head()
             runs = plan(base["shards"], target)
             if not runs:
-                return base
+                sealed = self._sealed(base, target)
+                if sealed is base:
+                    return base
+                try:
+                    return self.commit(sealed, base["schema"], sealed["shards"])
+                except Conflict:
+                    continue  # its list stays unnamed until vacuum
             run_of = {s["path"]: k for k, run in enumerate(runs) for s in run}
             merged = self._merge([s for run in runs for s in run], run_of, len(runs), base["schema"])
             while True:
@@ -140,7 +176,7 @@ class Store:
                     self.commit(base, base["schema"], [s for s in base["shards"] if s["path"] not in run_of] + merged)
                     break
                 except Conflict:
-                    base = self.manifest()
+                    base = self.head()
 
     def _merge(self, shards: list[dict], run_of: dict[str, int], runs: int, schema: str) -> list[dict]:
         """One file for each run. A run is bounded by the target size, so one task can write it."""
@@ -154,8 +190,13 @@ class Store:
 
     def vacuum(self) -> int:
         """Deletes what the highest version does not name; returns how many files went. Not beside running writers."""
-        live = {s["path"] for s in self.manifest()["shards"]}
+        head = self.head()
+        live = {s["path"] for s in self.manifest(head["version"])["shards"]}
         gone = 0
+        for s in self._fs.listStatus(self._path(f"{self.folder}/manifests")):
+            name = s.getPath().getName()
+            if name.startswith("sealed-") and name not in head["sealed"]:
+                gone += self._fs.delete(s.getPath(), True)
         for folder in self._fs.listStatus(self._path(f"{self.folder}/data")):
             for s in self._fs.listStatus(folder.getPath()):
                 path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
@@ -173,7 +214,7 @@ def plan(shards: list[dict], target: int) -> list[list[dict]]:
     """Runs to merge: neighbours by size in a full tier, of about the target size, two shards at least."""
     tiers: dict[int, list[dict]] = {}
     for s in shards:
-        if s["bytes"] < target * 0.75:
+        if s["bytes"] < target * FINISHED:
             tiers.setdefault(tier(s["bytes"], target), []).append(s)
     runs: list[list[dict]] = []
     taken = 0

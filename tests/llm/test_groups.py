@@ -412,6 +412,27 @@ def test_shards_climb_tiers_over_several_arrivals(spark, sf_dir, monkeypatch):
     assert len(tiers) >= 2
 
 
+def test_finished_shards_are_sealed(spark, odd, monkeypatch):
+    """Finished shards leave the head for sealed lists; every version, later arrivals and vacuum still see all rows."""
+    monkeypatch.setattr(compaction, "SEAL", 3)
+    store = compaction.Store(spark, f"{shared_folder(spark)}/store-sealed")
+    key = lambda df: sorted(map(str, df.collect()))
+    for k in range(1, 4):
+        store.append(odd.coalesce(1), most_rows=2)
+        least = min(s["bytes"] for s in store.head()["shards"])
+        head = store.compact(target=least)  # all are as large as the target: nothing merges, all are sealed
+        assert head["shards"] == [] and len(head["sealed"]) == k and head == store.head()
+        assert sum(s["rows"] for s in store.manifest()["shards"]) == 13 * k
+    assert key(store.read()) == sorted(3 * key(odd)) and key(store.read(2)) == key(odd)
+    lost = store._sealed({"shards": [{"path": "p", "bytes": 9, "rows": 1}] * 3, "sealed": []}, 9)["sealed"]
+    there = lambda name: store._fs.exists(store._path(f"{store.folder}/manifests/{name}"))
+    assert there(lost[0]) and store.vacuum() > 0 and not there(lost[0]) and all(map(there, head["sealed"]))
+    assert key(store.read()) == sorted(3 * key(odd))
+    # below SEAL finished shards stay in the head
+    store.append(odd.limit(2).coalesce(1))
+    assert len(store.compact(target=1)["shards"]) == 1 and len(store.head()["sealed"]) == 3
+
+
 def test_compaction_of_nothing(spark, nothing):
     store = compaction.Store(spark, f"{shared_folder(spark)}/store-b")
     with pytest.raises(ValueError, match="appended"):
