@@ -1,11 +1,14 @@
-"""Vectors and linear classifiers: length, decision, confusion, and leave-one-out evaluation."""
+"""Vectors and linear classifiers: length, decision, training, confusion, and evaluation by left-out samples."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,46 @@ def confusion(rows: DataFrame, keys: list[str], label: str, predicted: str) -> D
     return rows.groupBy(*keys).agg(hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
 
 
+def fit(samples: DataFrame, class_weight: float = 1.0, c: float = 1.0, steps: int = 100) -> tuple[list[float], float]:
+    """(weights, rho) of a linear machine for samples (vec, label 0 or 1), as decision() takes them.
+
+    Spark's support vector classifier; c is the cost of an error, times class_weight for class 1, over all samples. Samples
+    with a null vector or label are left out. With one class, or without samples, the machine always gives that class, or 0;
+    it has no weights then, so its value is -rho for any vector.
+    """
+    rows = samples.where("vec IS NOT NULL AND label IS NOT NULL").select(
+        array_to_vector(F.col("vec").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, float(class_weight)).otherwise(1.0).alias("cost")
+    )
+    seen = rows.agg(F.sum("cost").alias("cost"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if seen.low is None or seen.low == seen.high:
+        return [], -1.0 if seen.high == 1 else 1.0
+    # the classifier takes the mean of the losses, so c over all samples is this share of the squared length
+    machine = LinearSVC(weightCol="cost", regParam=1 / (c * seen.cost), maxIter=steps, tol=1e-6, standardization=False).fit(rows)
+    return machine.coefficients.toArray().tolist(), -float(machine.intercept)
+
+
+def leave_out(samples: DataFrame, weights: list[float], folds: int, steps: int = 100, at_once: int = 4) -> DataFrame:
+    """(class_weight, sample_id, label, predicted): each sample predicted by machines trained on the other folds' samples.
+
+    Samples (sample_id, vec, label) are dealt to folds by a hash of the id. There are folds x weights fits, some at once;
+    only their machines reach the driver, and one join with them predicts every sample. Samples with a null vector have a
+    null prediction. Rows of one id share a fold.
+    """
+    dealt = samples.select("sample_id", "vec", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("sample_id"), F.lit(folds)).cast("int").alias("fold"))
+    held = dealt.persist()
+    try:
+        with ThreadPool(at_once) as pool:
+            jobs = [(k, float(w)) for k in range(folds) for w in weights]
+            machines = pool.starmap(lambda k, w: (k, w, *fit(held.where(F.col("fold") != k), w, steps=steps)), jobs)
+    finally:
+        held.unpersist()
+    # folds x weights rows, whatever the samples
+    known = dealt.sparkSession.createDataFrame(machines, "fold int, class_weight double, w array<double>, rho double")
+    value = F.when(F.size("w") == 0, -F.col("rho")).otherwise(decision(F.col("vec"), F.col("w"), F.col("rho")))
+    predicted = F.when(F.col("vec").isNotNull(), (value > 0).cast("int"))
+    return dealt.join(F.broadcast(known), "fold").select("class_weight", "sample_id", "label", predicted.alias("predicted"))
+
+
 def fit_linear(x: np.ndarray, y: np.ndarray, weight: float, c: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """A linear machine for classes 0 and 1 by averaged subgradient steps on the hinge loss; class 1 has the weight."""
     sign, cost = np.where(y == 1, 1.0, -1.0), np.where(y == 1, weight, 1.0) * c
@@ -46,7 +89,7 @@ def leave_one_out(samples: DataFrame, weights: list[float], most: int = 256) ->
     """(class_weight, sample_id, label, predicted): each sample predicted by a machine trained on all others.
 
     Samples (sample_id, vec, label) are gathered on the driver, so there may be at most so many; the fits, one for each
-    sample and weight, are dealt to tasks.
+    sample and weight, are dealt to tasks. Larger tables are for leave_out().
     """
     spark = samples.sparkSession
     rows = samples.select("sample_id", "vec", "label").orderBy("sample_id").limit(most + 1).collect()

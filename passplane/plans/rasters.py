@@ -218,6 +218,18 @@ def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.confusion(_decided(spark, sf_dir).withColumn("fold", F.col("vec_id") % 3), ["fold"], "label", "predicted")
 
 
+#: The weights of class 1 that are compared.
+CLASS_WEIGHTS = [1.0, 2.0, 3.0, 5.0, 8.0, 11.4]
+
+
+def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion of held-out vectors under each weight of class 1, and the share of right ones; machines of Spark's trainer."""
+    samples = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("vec"), (F.col("label") % 2).cast("int").alias("label"))
+    found = scoring.confusion(scoring.leave_out(samples, CLASS_WEIGHTS, folds=2, steps=20), ["class_weight"], "label", "predicted")
+    right, every = F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return found.withColumn("score", F.round(right / every, 6))
+
+
 def q_checks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored JSON read as structs; malformed text is null."""
     stored = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct((F.col("event_id") % 100 / 100).alias("score"), (F.col("event_id") % 2 == 0).alias("veto"))))
@@ -230,7 +242,7 @@ def q_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_signal_scores, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_checks_json, q_sha256)}
+QUERIES = {f.__name__: f for f in (q_block_stats, q_hist256, q_hist8, q_glare, q_dyn_range, q_contrast, q_toner, q_saturation, q_colour_temperature, q_colour_profile, q_photo_obscured, q_zone_colour, q_invert, q_moments, q_splice_boundary, q_lbp_hist, q_clone_pairs, q_clone_score, q_aspect, q_largest, q_classifier_gate, q_signal_scores, q_weighted_score, q_passport_blend, q_l2_norm, q_svm_score, q_confusion, q_class_weights, q_checks_json, q_sha256)}
 QUERIES |= {"q_structure_score": _combiner(lambda: authenticity.structure()), "q_photocopy_score": _combiner(lambda: authenticity.photocopy()), "q_recapture_score": _combiner(lambda: authenticity.recapture()), "q_photo_zone_score": _combiner(lambda: authenticity.photo_zone()), "q_tampering_score": _combiner(lambda: authenticity.tampering(F.col("is_passport")))}
 
 _S = "s AS (SELECT p_partkey, p_partkey % 4 = 0 AS is_passport, (p_partkey * 7) % 900 AS diagonals, " + ", ".join(f"{_signal(p)} AS {n}" for n, p in _SIGNALS.items()) + " FROM part)"

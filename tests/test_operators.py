@@ -250,6 +250,29 @@ def test_leave_one_out(spark):
         scoring.leave_one_out(samples, [1.0], most=10)
 
 
+def test_machines_of_the_trainer(spark):
+    """The trained machine has about the least cost of the machines near it, and odd samples have a defined result."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, (60, 3)), np.arange(60) % 4 == 0
+    x[y] += 1.0
+    schema = "sample_id long, vec array<double>, label int"
+    samples = spark.createDataFrame([(k, x[k].tolist(), int(y[k])) for k in range(60)], schema).coalesce(1)
+    cost = lambda m: 0.5 * m[:3] @ m[:3] + (np.where(y, 3.0, 1.0) * np.maximum(0, 1 - np.where(y, 1, -1) * (x @ m[:3] - m[3]))).sum()
+    weights, rho = scoring.fit(samples, 3.0, steps=30)
+    own = np.array([*weights, rho])
+    assert all(cost(own) <= 1.01 * cost(own + rng.normal(0, 0.1, 4)) for _ in range(300))
+    # one class, none, and a null vector
+    assert scoring.fit(samples.where("label = 1")) == ([], -1.0) and scoring.fit(samples.limit(0)) == ([], 1.0)
+    odd = spark.createDataFrame([(100, None, 1), (101, [5.0, 5.0, 5.0], None)], schema)
+    got = {r.sample_id: r for r in scoring.leave_out(samples.unionByName(odd), [3.0], 2, steps=30).collect()}
+    assert len(got) == 62 and got[100].predicted is None and got[101].predicted == 1
+    folds = {r.sample_id: r.f for r in samples.selectExpr("sample_id", "pmod(xxhash64(sample_id), 2) f").collect()}
+    weights, rho = scoring.fit(samples.where("pmod(xxhash64(sample_id), 2) = 1"), 3.0, steps=30)
+    value = x @ np.array(weights) - rho
+    assert all(got[i].predicted == (value[i] > 0) for i in range(60) if folds[i] == 0 and abs(value[i]) > 0.1)
+    assert sum((got[i].predicted == 1) == y[i] for i in range(60)) >= 40
+
+
 def test_registering_types_and_analyzers(spark, monkeypatch):
     for module, name in ((extract, "FIELDS"), (classify, "KEYWORDS"), (authenticity, "WEIGHTS")):
         monkeypatch.setattr(module, name, dict(getattr(module, name)))
