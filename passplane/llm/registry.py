@@ -19,6 +19,7 @@ MODULES = {
     "op8_prefix_hashes": "prefix_hashes",
     "op9_licenses": "licenses",
     "op10_neighbours": "neighbours",
+    "op11_filter_audit": "filter_audit",
 }
 
 
