@@ -20,6 +20,7 @@ MODULES = {
     "op9_licenses": "licenses",
     "op10_neighbours": "neighbours",
     "op11_filter_audit": "filter_audit",
+    "op12_ranked_search": "ranked_search",
 }
 
 
