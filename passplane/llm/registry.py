@@ -21,6 +21,7 @@ MODULES = {
     "op10_neighbours": "neighbours",
     "op11_filter_audit": "filter_audit",
     "op12_ranked_search": "ranked_search",
+    "op13_substring_dedup": "substring_dedup",
 }
 
 
