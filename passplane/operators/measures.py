@@ -188,11 +188,17 @@ def margin(pixels: DataFrame, share: float = 0.08) -> DataFrame:
     return sized(pixels).groupBy("image_id").agg(F.coalesce(F.stddev_pop(F.when(strip, F.col("g"))), F.lit(0.0)).alias("std"))
 
 
+#: Errors are added as whole numbers of this part, so that sums and comparisons do not depend on the order of pixels.
+ERROR_PART = 1_000_000
+
+
 def regions(errors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, region, e) of an error picture (keys, y, x, e) with height and width: means over a grid of 8 by 8."""
+    """(keys, region, s, n) of an error picture (keys, y, x, e) with height and width: sums over a grid of 8 by 8 regions of n
+    pixels each, in millionths."""
     wide, high = F.greatest(whole(F.col("width") / 8), F.lit(1)), F.greatest(whole(F.col("height") / 8), F.lit(1))
     ry, rx = whole(F.col("y") / high), whole(F.col("x") / wide)
-    return errors.where((ry < 8) & (rx < 8)).groupBy(*keys, (ry * 8 + rx).alias("region")).agg(F.avg("e").alias("e"))
+    inside_grid = errors.where((ry < 8) & (rx < 8)).groupBy(*keys, (ry * 8 + rx).alias("region"))
+    return inside_grid.agg(F.sum(F.round(F.col("e") * ERROR_PART).cast("long")).alias("s"), F.first(wide * high).cast("long").alias("n"))
 
 
 def error_level(errors: DataFrame) -> DataFrame:
@@ -200,12 +206,13 @@ def error_level(errors: DataFrame) -> DataFrame:
 
     e: the distance of a pixel's colour from the recompressed one's, before amplification. Regions without pixels have 0.
     """
-    rows = regions(sized(errors), ["image_id"]).withColumn("mean", F.sum("e").over(Window.partitionBy("image_id")) / 64)
-    off = F.col("e") - F.col("mean")
-    found = rows.groupBy("image_id").agg(F.max("mean").alias("m"), F.max("e").alias("top"), F.sum(off * off).alias("square"), F.count("*").alias("n"))
-    std = F.sqrt((F.col("square") + (64 - F.col("n")) * F.col("m") * F.col("m")) / 64)
-    found = found.select("image_id", (F.col("m") * AMPLIFY).alias("mean"), (F.col("top") * AMPLIFY).alias("highest"), (std * AMPLIFY).alias("std"))
-    return found.withColumn("score", signals.error_level(F.col("std"), F.col("highest"), F.col("mean")))
+    s, n, total = F.col("s").cast("decimal(19,0)"), F.col("n"), F.col("total")
+    found = regions(sized(errors), ["image_id"]).groupBy("image_id").agg(F.sum("s").alias("total"), F.max("s").alias("top"), F.sum(s * s).alias("square"), F.first("n").alias("n"))
+    spread = (F.col("square") * 64 - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast("double")
+    part = AMPLIFY / ERROR_PART
+    found = found.withColumns({"mean": total * part / (n * 64), "highest": F.col("top") * part / n, "std": F.sqrt(spread) * part / (n * 64)})
+    score = signals.error_level(F.col("std"), F.col("top") * 64, total)
+    return found.select("image_id", "mean", "highest", "std", score.alias("score"))
 
 
 def consistent_outliers(errors: DataFrame, qualities: int = 3) -> DataFrame:
@@ -213,9 +220,9 @@ def consistent_outliers(errors: DataFrame, qualities: int = 3) -> DataFrame:
 
     A quality with a mean below 0.5 tells nothing.
     """
-    rows = regions(sized(errors), ["image_id", "quality"])
-    mean = F.sum("e").over(Window.partitionBy("image_id", "quality")) / 64
-    hits = rows.withColumn("mean", mean).groupBy("image_id", "region").agg(F.count_if((F.col("mean") >= 0.5) & (F.col("e") > F.col("mean") * 3)).alias("hits"))
+    rows = regions(sized(errors), ["image_id", "quality"]).withColumn("total", F.sum("s").over(Window.partitionBy("image_id", "quality")))
+    hit = (F.col("total") >= F.col("n") * (32 * ERROR_PART)) & (F.col("s") * 64 > F.col("total") * 3)
+    hits = rows.groupBy("image_id", "region").agg(F.count_if(hit).alias("hits"))
     found = hits.groupBy("image_id").agg(F.count_if(F.col("hits") >= qualities).alias("outliers"))
     return found.withColumn("score", signals.consistent_outliers(F.col("outliers")))
 

@@ -214,7 +214,7 @@ def _zone_of(source: str) -> str:
 
 _GREY_SQL = "((b * 114 + g * 587 + r * 299 + 500) // 1000)::INT"
 _PARTS = "CASE WHEN x >= zx + m AND x < zx + zw - m AND y >= zy + m AND y < zy + zh - m THEN 'inner' WHEN zx - m >= 0 AND x >= zx - m AND x < zx AND y >= zy AND y < zy + zh THEN 'left' WHEN zx + zw + m < w AND x >= zx + zw AND x < zx + zw + m AND y >= zy AND y < zy + zh THEN 'right' END"
-_ER = f"{_PX}, er AS (SELECT image_id, q AS quality, y, x, h, w, sqrt(3.0::DOUBLE) * (g % q + CASE WHEN image_id % 5 = 0 AND y < 24 AND x < 34 THEN 40 ELSE 0 END) AS e FROM px, (VALUES (4), (6), (8)) AS t(q)), re AS (SELECT image_id, quality, (y // (h // 8)) * 8 + x // (w // 8) AS region, avg(e) AS e FROM er WHERE y // (h // 8) < 8 AND x // (w // 8) < 8 GROUP BY 1, 2, 3)"
+_ER = f"{_PX}, er AS (SELECT image_id, q AS quality, y, x, h, w, sqrt(3.0::DOUBLE) * (g % q + CASE WHEN image_id % 5 = 0 AND y < 24 AND x < 34 THEN 40 ELSE 0 END) AS e FROM px, (VALUES (4), (6), (8)) AS t(q)), re AS (SELECT image_id, quality, (y // (h // 8)) * 8 + x // (w // 8) AS region, sum(round(e * 1000000)::HUGEINT)::HUGEINT AS s, any_value((h // 8) * (w // 8))::HUGEINT AS n FROM er WHERE y // (h // 8) < 8 AND x // (w // 8) < 8 GROUP BY 1, 2, 3)"
 _MAP = f"{_PX}, pv AS (SELECT * FROM px WHERE x // 16 < w // 16 AND y // 16 < h // 16 AND w // 16 >= 4 AND h // 16 >= 4), {_soft('pv', _THREE, _local(16)[0], '16', _local(16)[2], '16')}, m AS (SELECT image_id, y // 16 AS y, x // 16 AS x, stddev_pop(abs(g - soft)) AS v FROM soft GROUP BY 1, 2, 3)"
 _SIGNS = "(blue_green < 4 AND green_red < 3)::INT AS s1, (laplacian < 8)::INT AS s2, (banding < 5)::INT AS s3"
 _SCREEN = (
@@ -245,8 +245,8 @@ SQL = {
     "q_margin": f"{_PX}, b AS (SELECT image_id, stddev_pop(g) FILTER (x < trunc(w * 0.08::DOUBLE) OR x > w - trunc(w * 0.08::DOUBLE) OR y < trunc(h * 0.08::DOUBLE) OR y > h - trunc(h * 0.08::DOUBLE)) AS std FROM px GROUP BY 1) SELECT image_id, {_r('std')} FROM b",
     "q_screen": _SCREEN,
     "q_portrait_features": _FEATURES,
-    "q_error_level": f"{_ER}, b AS (SELECT image_id, sum(e) / 64 * 15 AS mean, max(e) * 15 AS highest, stddev_pop(e) * 15 AS std FROM re WHERE quality = 8 GROUP BY 1) SELECT image_id, {_r('mean')}, {_r('highest')}, {_r('std')}, {_r('CASE WHEN std > 80 OR highest > mean * 3.5 THEN greatest(0.1::DOUBLE, 1 - std / 200) ELSE 1.0 END', 'score')} FROM b",
-    "q_error_outliers": f"{_ER}, m AS (SELECT image_id, quality, sum(e) / 64 AS mean FROM re GROUP BY 1, 2), k AS (SELECT image_id, region, count(*) FILTER (mean >= 0.5 AND e > mean * 3) AS hits FROM re JOIN m USING (image_id, quality) GROUP BY 1, 2), o AS (SELECT image_id, count(*) FILTER (hits >= 3) AS outliers FROM k GROUP BY 1) SELECT image_id, outliers, {_r('CASE WHEN outliers >= 2 THEN greatest(0.10::DOUBLE, 1 - outliers * 0.12::DOUBLE) ELSE 1.0 END', 'score')} FROM o",
+    "q_error_level": f"{_ER}, b AS (SELECT image_id, sum(s) AS total, max(s) AS top, sum(s * s) AS square, any_value(n) AS n FROM re WHERE quality = 8 GROUP BY 1), c AS (SELECT *, total::DOUBLE * {measures.AMPLIFY / measures.ERROR_PART}::DOUBLE / (n * 64)::DOUBLE AS mean, top::DOUBLE * {measures.AMPLIFY / measures.ERROR_PART}::DOUBLE / n::DOUBLE AS highest, sqrt((square * 64 - total * total)::DOUBLE) * {measures.AMPLIFY / measures.ERROR_PART}::DOUBLE / (n * 64)::DOUBLE AS std FROM b) SELECT image_id, {_r('mean')}, {_r('highest')}, {_r('std')}, {_r('CASE WHEN std > 80 OR top * 128 > total * 7 THEN greatest(0.1::DOUBLE, 1 - std / 200) ELSE 1.0 END', 'score')} FROM c",
+    "q_error_outliers": f"{_ER}, m AS (SELECT image_id, quality, sum(s) AS total FROM re GROUP BY 1, 2), k AS (SELECT image_id, region, count(*) FILTER (total >= n * 32000000 AND s * 64 > total * 3) AS hits FROM re JOIN m USING (image_id, quality) GROUP BY 1, 2), o AS (SELECT image_id, count(*) FILTER (hits >= 3) AS outliers FROM k GROUP BY 1) SELECT image_id, outliers, {_r('CASE WHEN outliers >= 2 THEN greatest(0.10::DOUBLE, 1 - outliers * 0.12::DOUBLE) ELSE 1.0 END', 'score')} FROM o",
     "q_border_noise": (
         f"{_PX}, {_zone_of('px')}, zm AS (SELECT *, greatest(4, least(zw, zh) // 10) AS m FROM z), zp AS (SELECT *, {_PARTS} AS part FROM zm), pv AS (SELECT * FROM zp WHERE part IS NOT NULL), lim AS (SELECT image_id, part, min(x) AS x0, max(x) - min(x) + 1 AS nx, min(y) AS y0, max(y) - min(y) + 1 AS ny FROM pv GROUP BY 1, 2), "
         "pl AS (SELECT pv.image_id, pv.part, y, x, g, x0, nx, y0, ny FROM pv JOIN lim USING (image_id, part)), k(o, c) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)), "

@@ -17,8 +17,8 @@ def value(spark, c, **columns):
 
 
 DATES = {
-    "790721": "1979-07-21", "140817": "2014-08-17", "2001-02-03": "2001-02-03", "1994/08/06": "1994-08-06", "06/08/1994": "1994-08-06", "06-08-1994": "1994-08-06", "24-nov-1979": "1979-NOV-24".replace("NOV", "11"),
-    "05 SEPT 2023": "2023-09-05", "17 08 2014": "2014-08-17", " 13 JUL 1986 ": "1986-07-13", "24-AUG-1979": "1979-AUG-24", "sometime": "SOMETIME", "30-0CT-1999": "30-0CT-1999",
+    "910305": "1991-03-05", "030212": "2003-02-12", "2007-10-30": "2007-10-30", "1968/12/01": "1968-12-01", "19/02/1977": "1977-02-19", "23-10-1959": "1959-10-23", "11-dec-2011": "2011-12-11",
+    "02 SEPT 2020": "2020-09-02", "26 01 1999": "1999-01-26", " 08 MAR 1974 ": "1974-03-08", "15-AUG-1965": "1965-AUG-15", "never": "NEVER", "17-0CT-2002": "17-0CT-2002",
 }
 
 
