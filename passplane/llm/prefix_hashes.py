@@ -4,13 +4,14 @@ A text's code points c[0], c[1], ... have the prefix hashes H[i] = sum of (c[j]
 2^31 - 1, twice with different B. The hash of a span [a, b) is (H[b] - H[a]) * B^-a, so the equality of any two spans of any
 two texts takes a few operations, and their longest common extension is found by binary search over the length.
 
-A fingerprint has, in each of ``BINS`` bins, the low bits of the least of the hashes of all spans of ``SPAN`` code points
-that fall in that bin, then the hash of the whole text and its length. A bin without spans
-takes the next full bin's value, mixed with the distance. The likeness of two fingerprints is 1 if they are equal; else the
-share of bins that agree, corrected for the agreement of random bits, is an estimate j of the common part of all spans of
-both, and 2j / (1 + j) one of the share of a text's spans that the other has. Texts shorter than six spans have shorter
-spans, of two code points at least. Equal texts have equal fingerprints and likeness 1, different ones at most n / (n + 1)
-for the longer one's n code points; with an empty text it is 0.
+A fingerprint has, for each of a few lengths of spans, ``BINS`` bins with the low bits of the least of the hashes of all spans of
+that length that fall in that bin, then the hash of the whole text and its length. A bin without spans takes the next full
+bin's value, mixed with the distance. Two texts are compared by the length of spans that fits the shorter one (``SPANS``), so unequal
+lengths do not matter; a text has the bins of its own length and of those of shorter texts down to an eighth of it. The
+likeness of two fingerprints is 1 if they are equal; else the share of bins that agree, corrected for the
+agreement of random bits, is an estimate j of the common part of all spans of both, and 2j / (1 + j) one of the share of a text's spans
+that the other has. Where one text is so much longer that this is below 0.23, it is 0. Equal texts have equal
+fingerprints and likeness 1, different ones at most n / (n + 1) for the longer one's n code points; with an empty text it is 0.
 
 An edited text shares its beginning with the document and its end with the next document: its prefix hashes are the
 document's up to the cut, then the next document's, moved; no text is hashed twice.
@@ -35,8 +36,12 @@ from passplane.llm.base import documents
 from passplane.llm.token_files import LEAST_LONG, Cuts, cuts_of, hashed
 
 PRIME = np.uint64((1 << 31) - 1)
-#: The two bases. Code points in a span; bins; bits kept of each.
-BASES, SPAN, BINS, BITS = (1_000_003, 918_273_645), 12, 64, 8
+#: The two bases; bins; bits kept of each.
+BASES, BINS, BITS = (1_000_003, 918_273_645), 64, 8
+#: Code points in a span, by the least and the greatest length of the shorter of two texts.
+SPANS = ((1, 1, 1), (2, 2, 11), (5, 12, 71), (12, 72, 1 << 62))
+#: A text so many times longer than a length's greatest has no bins for it.
+APART = 8
 #: Documents in a range of doc_id.
 ROWS_PER_RANGE = 4000
 
@@ -126,17 +131,19 @@ _BIN_SHIFT = np.uint64(31 - int(np.log2(BINS)))
 
 
 def sketch(x: list[Prefix]) -> bytes:
-    """The bins of a text's spans, then its two whole hashes and its length."""
+    """Which lengths of spans the text has bins for (a bit each), their bins, then its two whole hashes and its length."""
     n = len(x[0])
+    has = [low <= n <= APART * high for _, low, high in SPANS]
+    bins = b"".join(_bins(spread(x[0].spans(span))) for (span, _, _), own in zip(SPANS, has, strict=True) if own)
     whole = b"".join(p.span(0, n).to_bytes(4, "little") for p in x) + n.to_bytes(5, "little")
-    if not n:
-        return bytes(BINS) + whole
-    h = x[0].spans(max(min(2, n), min(SPAN, n // 6)))
-    # mix: hashes of spans that differ in one character are near each other
+    return bytes([sum(own << k for k, own in enumerate(has))]) + bins + whole
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Mixes hashes; those of spans that differ in one character are near each other."""
     h = reduced(h * np.uint64(1_812_433_253))
     h ^= h >> np.uint64(15)
-    h = reduced((h & PRIME) * np.uint64(1_597_334_677))
-    return _bins(h) + whole
+    return reduced((h & PRIME) * np.uint64(1_597_334_677))
 
 
 def _bins(h: np.ndarray) -> bytes:
@@ -163,12 +170,14 @@ def likeness(a: bytes, b: bytes) -> float:
     """The likeness of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    if not int.from_bytes(a[-5:], "little") or not int.from_bytes(b[-5:], "little"):
+    lengths = [int.from_bytes(x[-5:], "little") for x in (a, b)]
+    kind = next((k for k, (_, low, high) in enumerate(SPANS) if low <= min(lengths) <= high), None)
+    if kind is None or not all(x[0] >> kind & 1 for x in (a, b)):
         return 0.0
-    same = float((np.frombuffer(a[:BINS], np.uint8) == np.frombuffer(b[:BINS], np.uint8)).mean())
+    own = [x[1 + BINS * (x[0] & ((1 << kind) - 1)).bit_count() :][:BINS] for x in (a, b)]
+    same = float((np.frombuffer(own[0], np.uint8) == np.frombuffer(own[1], np.uint8)).mean())
     j = max(0.0, (same - 2.0**-BITS) / (1 - 2.0**-BITS))
-    longest = max(int.from_bytes(x[-5:], "little") for x in (a, b))
-    return min(2 * j / (1 + j), longest / (longest + 1))
+    return min(2 * j / (1 + j), max(lengths) / (max(lengths) + 1))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_prefix long"

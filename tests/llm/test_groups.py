@@ -252,7 +252,7 @@ def test_likeness_follows_the_shared_spans():
                 words = [f"{rnd.randrange(10**6)}" for _ in range(n // 6)]
                 other = [w if k < share * len(words) else f"{rnd.randrange(10**6)}" for k, w in enumerate(words)]
                 a, b = " ".join(words), " ".join(other)
-                length = max(2, min(prefix_hashes.SPAN, min(len(a), len(b)) // 6))
+                length = 12 if min(len(a), len(b)) >= 72 else 5
                 x, y = ({t[k : k + length] for k in range(len(t) - length + 1)} for t in (a, b))
                 errors.append(like(a, b) - 2 * len(x & y) / (len(x) + len(y)))
     assert np.sqrt(np.mean(np.square(errors))) < 0.12 and abs(np.mean(errors)) < 0.05
@@ -261,6 +261,27 @@ def test_likeness_follows_the_shared_spans():
     assert like("ab", "ba") == 0
 
 
+def test_likeness_of_short_texts_of_unequal_length():
+    """Every length from 2 to 80 with every length up to three times it, against the exact sets of spans; and one character more."""
+    mark = lambda t: prefix_hashes.sketch(prefix_hashes.prefixes(t))
+    like = lambda a, b: prefix_hashes.likeness(mark(a), mark(b))
+    rnd, errors = random.Random(5), []
+    for n in range(2, 81):
+        for more in (1, 2, n // 3 + 1, 2 * n):
+            a = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+            b = a[: n - n // 4] + "".join(rnd.choice("0123456789") for _ in range(n // 4 + more)) if more > 1 else a + "!"
+            span = next(s for s, low, high in prefix_hashes.SPANS if low <= n <= high)
+            x, y = ({t[k : k + span] for k in range(len(t) - span + 1)} for t in (a, b))
+            exact_share = 2 * len(x & y) / (len(x) + len(y))
+            errors.append(like(a, b) - exact_share)
+            assert like(a, b) == like(b, a)
+            if more == 1:
+                assert exact_share >= 2 / 3 and like(a, b) > exact_share - 0.25
+    assert np.sqrt(np.mean(np.square(errors))) < 0.08 and abs(np.mean(errors)) < 0.02
+    # a text that is far longer has no bins for short ones, and is no more like them than 0.23
+    assert like("abcdef", "abcdef" * 1000) == 0 and like("a" * 40 + "b" * 31, "c" * 8 * 71) == 0
+
+
 def exact(rows, k=20):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
