@@ -7,9 +7,10 @@ out. The best labelling of a text's words, with a penalty for each change of lan
 step for the same word of many texts. The prediction is the language that holds most letters (ties: the first by name), its
 score the share of letters that it holds.
 
-Learned only from text and non-null lang of training rows: of the ``LANGUAGES`` most frequent languages (ties: the first by
-name), a sample of about ``PER_LANGUAGE`` texts each, taken by the hash of the id, so bounded and the same in any order of
-the rows. Tasks count trigrams; a table of counts for each language reaches the driver, whatever the texts' lengths. Null
+Learned only from text and non-null lang of training rows: of every language, the ``PER_LANGUAGE`` rows of the least hashes of
+id and text, or all if there are fewer; so bounded by a count, the same in any order of the rows, and no id or its absence decides
+for all of its rows. Rows that are equal in both are one another's equals. Tasks count trigrams, one language after the other; the counts that are not 0 reach the driver,
+whatever the texts' lengths. There is no limit on the number of languages: many have their scores as lists of the buckets that they know. Null
 texts and texts without a letter (general category L) are ``und`` with score 0; so is everything if nothing can be learned. Repeated rows are scored each. Other columns are ignored.
 """
 
@@ -21,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passplane.llm.base import CHARS_AT_ONCE, annotated, by_size, documents, is_held_out, is_training_row, segment_sums, texts_of
+from passplane.llm.base import CHARS_AT_ONCE, annotated, by_size, documents, is_held_out, is_training_row, ranges, segment_sums, texts_of
 
-#: Languages that are learned at most; training texts of each, on average; trigram buckets; penalty for a change of
-#: language; least share of a language's letters in a script that makes it a candidate.
-LANGUAGES, PER_LANGUAGE, BUCKETS, PENALTY, SCRIPT_SHARE = 256, 1500, 1 << 16, 6.0, 0.01
+#: Training texts of a language at most; trigram buckets; penalty for a change of language; least share of a language's
+#: letters in a script that makes it a candidate; languages up to which scores are a matrix and not lists.
+PER_LANGUAGE, BUCKETS, PENALTY, SCRIPT_SHARE, DENSE = 1500, 1 << 16, 6.0, 0.01, 256
 #: A text is kept if one language holds this share of its letters.
 LEAST_SHARE = 0.3
 
@@ -111,11 +112,16 @@ def words_of(texts: list[str]) -> Words:
 
 @dataclass
 class Model:
-    """languages in order; log shares by bucket and language; candidate languages by script."""
+    """languages in order; what a bucket adds to each language's base, which is the log share of an unseen bucket, as ranges
+    `cuts` of (which, more); `logs`, their sums as a matrix, for few languages; candidate languages by script."""
 
     languages: list[str]
-    logs: np.ndarray
+    base: np.ndarray
+    cuts: np.ndarray
+    which: np.ndarray
+    more: np.ndarray
     candidate: np.ndarray
+    logs: np.ndarray | None = None
 
     def at_once(self, most: int) -> int:
         """Characters whose scores are held at once: fewer with many languages."""
@@ -123,13 +129,19 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         """Log scores (words, languages). The place after a word counts as its end."""
+        n = len(self.languages)
         if not len(w.starts):
-            return np.zeros((0, len(self.languages)), np.float32)
-        inside = np.repeat(w.starts, w.stops - w.starts + 1)
+            return np.zeros((0, n), np.float32)
         sizes = w.stops - w.starts + 1
-        places = inside + np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        total = np.add.reduceat(self.logs[w.bucket[places]], np.cumsum(sizes) - sizes, axis=0)
-        return total + np.where(self.candidate[w.script], np.float32(0), np.float32(-1000))
+        bucket = w.bucket[ranges(w.starts, sizes)]
+        if self.logs is not None:
+            total = np.add.reduceat(self.logs[bucket], np.cumsum(sizes) - sizes, axis=0)
+        else:
+            held = self.cuts[bucket + 1] - self.cuts[bucket]
+            at = ranges(self.cuts[bucket], held)
+            word = np.repeat(np.repeat(np.arange(len(sizes)), sizes), held)
+            total = np.bincount(word * n + self.which[at], self.more[at], len(sizes) * n).reshape(-1, n) + sizes[:, None] * self.base
+        return (total + np.where(self.candidate[w.script], 0, -1000)).astype(np.float32)
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +156,31 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, scripts
 
 
-def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """A model from the counts of each language."""
+def sparse(buckets: np.ndarray, scripts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which buckets there are, their counts, and the letters by script."""
+    seen = np.flatnonzero(buckets)
+    return seen, buckets[seen], scripts
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], dense: int = DENSE) -> Model:
+    """A model from each language's buckets, their counts, and letters by script."""
     languages = sorted(counts)
-    buckets = np.stack([counts[x][0] for x in languages], axis=1).astype(float) if languages else np.zeros((BUCKETS, 0))
-    scripts = np.stack([counts[x][1] for x in languages], axis=1).astype(float) if languages else np.zeros((256, 0))
-    logs = np.log((buckets + 0.3) / (buckets.sum(0) + 0.3 * BUCKETS)).astype(np.float32)
+    n = len(languages)
+    sums = np.array([counts[x][1].sum() for x in languages], float)
+    scripts = np.stack([counts[x][2] for x in languages], axis=1).astype(float) if languages else np.zeros((256, 0))
     candidate = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
     candidate[~candidate.any(1)] = True
-    return Model(languages, logs, candidate)
+    base = np.log(0.3 / (sums + 0.3 * BUCKETS))
+    bucket = np.concatenate([counts[x][0] for x in languages] or [np.zeros(0, np.int64)])
+    which = np.repeat(np.arange(n, dtype=np.int32), [len(counts[x][0]) for x in languages])
+    more = np.log1p(np.concatenate([counts[x][1] for x in languages] or [np.zeros(0)]) / 0.3).astype(np.float32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    model = Model(languages, base, cuts, which[order], more[order], candidate)
+    if n <= dense:
+        model.logs = np.tile(base.astype(np.float32), (BUCKETS, 1))
+        model.logs[bucket, which] += more
+    return model
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
@@ -160,7 +188,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     by: dict[str, list[str]] = {}
     for lang, text in rows:
         by.setdefault(lang, []).append(text)
-    return model_of({lang: counted(texts) for lang, texts in by.items()})
+    return model_of({lang: sparse(*counted(texts)) for lang, texts in by.items()})
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -216,30 +244,42 @@ def label(model: Model, texts: list[str], spans: bool = False) -> list[tuple]:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Learns from the training rows of doc_id, text, lang."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Learns from the training rows of doc_id, text, lang, every language that one of them has."""
     rows = docs.select("doc_id", "text", "lang").where(is_training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not sizes:
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash")) <= per_language
+    # hashes alone first: texts are sorted only where they may be taken
+    last = rows.select("lang", "hash").withColumn("own", first).where("own").groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    if not last:
         return model_of({})
-    # a row for each language that is learned, so its size is bounded
-    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, per_language / r["count"]) * (1 << 20))) for r in sizes], "lang string, places long")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.col("places"))
+    # a row for each language, as the model itself has
+    last = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in last], "lang string, last long"))
+    chosen = rows.join(last, "lang").where("hash <= last").withColumn("own", first).where("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        """Rows come language by language."""
+        now, buckets, scripts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def done() -> pa.RecordBatch:
+            seen, n, letters = sparse(buckets, scripts)
+            return pa.RecordBatch.from_pydict({"lang": [now], "seen": [seen.tobytes()], "n": [n.tobytes()], "scripts": [letters.tobytes()]})
+
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                own = counted(texts)
-                held[lang] = own if lang not in held else (held[lang][0] + own[0], held[lang][1] + own[1])
-        for lang, (buckets, scripts) in held.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "buckets": [buckets.tobytes()], "scripts": [scripts.tobytes()]})
-
-    found = chosen.select("lang", "text").repartition(min(len(sizes), 64), "lang").mapInArrow(run, "lang string, buckets binary, scripts binary")
-    return model_of({r.lang: (np.frombuffer(r.buckets, np.int64), np.frombuffer(r.scripts, np.int64)) for r in found.toLocalIterator()})
+            langs, texts = batch.column("lang").to_pylist(), texts_of(batch.column("text"))
+            cuts = [k for k in range(len(langs)) if not k or langs[k] != langs[k - 1]] + [len(langs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if langs[a] != now:
+                    if now is not None:
+                        yield done()
+                    now, buckets, scripts = langs[a], np.zeros(BUCKETS, np.int64), np.zeros(256, np.int64)
+                own = counted(texts[a:b])
+                buckets, scripts = buckets + own[0], scripts + own[1]
+        if now is not None:
+            yield done()
+
+    found = chosen.select("lang", "text").mapInArrow(run, "lang string, seen binary, n binary, scripts binary")
+    return model_of({r.lang: tuple(np.frombuffer(r[c], np.int64) for c in ("seen", "n", "scripts")) for r in found.toLocalIterator()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

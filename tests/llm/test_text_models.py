@@ -1,13 +1,16 @@
 """Language, toxicity and license operators."""
 
 import itertools
+import random
 import re
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from passplane.llm import language, licenses, toxicity
-from passplane.llm.base import documents
+from passplane.llm.base import documents, is_held_out
 
 
 def held_out(doc_id):
@@ -151,15 +154,42 @@ def test_license_rules_resolve_overlaps():
 
 
 def test_many_languages_and_marks(spark):
-    rows = [(k, f"wort{k} das ist ein text", f"l{k % 3000}") for k in range(6000)] + [(9000 + k, "the cat sat on the mat", "en") for k in range(20)]
+    """None of 300 languages is left out, and held-out texts of each are predicted."""
+    rnd = random.Random(4)
+    words = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(300)}
+    rows = [(20 * k + n, " ".join(rnd.choice(words[k]) for _ in range(12)), f"l{k:03d}") for k in range(300) for n in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(docs)
-    assert len(model.languages) == language.LANGUAGES and "en" in model.languages
-    few = language.fit(docs, languages=2)
-    assert len(few.languages) == 2
+    assert len(model.languages) == 300 and model.logs is None
+    found = language.predict(docs, model).select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "lang_pred")
+    held = found.where(is_held_out())
+    assert held.count() > 1000 and held.where("lang = lang_pred").count() > 0.98 * held.count() and found.select("lang_pred").distinct().count() == 300
     # a combining mark is no letter
-    assert language.label(few, ["́́", "12 ́", "é"])[:2] == [("und", 0.0, 0)] * 2 and language.label(few, ["é"])[0][0] != "und"
-    assert language.predict(docs.limit(50), model).count() == 50
+    few = language.fit(docs.where("lang < 'l002'"))
+    assert len(few.languages) == 2
+    assert language.label(few, ["́́", "12 ́", "é"])[:2] == [("und", 0.0, 0)] * 2 and language.label(few, ["é"])[0][0] != "und"
+
+
+def test_scores_are_the_same_as_lists_and_as_a_matrix():
+    rows = [("de", "das ist ein Text, und der ist lang"), ("en", "this is a text and it is long"), ("ru", "это длинный текст")]
+    held = {lang: language.sparse(*language.counted([text])) for lang, text in rows}
+    w = language.words_of(["this und это ist", "", "x"])
+    assert np.allclose(language.model_of(held).scores(w), language.model_of(held, dense=0).scores(w), atol=1e-4)
+
+
+@pytest.mark.parametrize("hot", [8, 9, 11, None])
+def test_one_id_does_not_decide_for_its_language(spark, hot):
+    """2,580 rows of one training id, or of none, beside 620 others: both languages are learned, from a bounded number of texts."""
+    rows = [(hot, f"das ist der {k}. Text und nicht der letzte", "de") for k in range(2580)] + [(100 + k, f"this is text {k} and not the last one", "en") for k in range(620)]
+    rows += [(hot, "immer der gleiche Satz", "nl")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(docs, per_language=50)
+    assert model.languages == ["de", "en", "nl"]
+    same = language.fit(docs.repartition(2), per_language=50)
+    assert all(np.array_equal(getattr(model, c), getattr(same, c)) for c in ("base", "cuts", "which", "more"))
+    # 50 texts of at most 43 characters each
+    counts = {lang: 0.3 * np.expm1(model.more[model.which == k].astype(float)).sum() for k, lang in enumerate(model.languages)}
+    assert all(0 < n <= 50 * 60 for n in counts.values())
 
 
 def test_language_scores_by_hand(spark):
