@@ -9,7 +9,7 @@ score the share of letters that it holds.
 
 Learned only from text and non-null lang of training rows: of every language, the ``PER_LANGUAGE`` rows of the least hashes of
 id and text, or all if there are fewer; so bounded by a count, the same in any order of the rows, and no id or its absence decides
-for all of its rows. Rows that are equal in both are one another's equals. Tasks count trigrams, one language after the other; the counts that are not 0 reach the driver,
+for all of its rows. Rows that are equal in both count once. Tasks count trigrams, one language after the other; the counts that are not 0 reach the driver,
 whatever the texts' lengths. There is no limit on the number of languages: many have their scores as lists of the buckets that they know. Null
 texts and texts without a letter (general category L) are ``und`` with score 0; so is everything if nothing can be learned. Repeated rows are scored each. Other columns are ignored.
 """
@@ -247,15 +247,17 @@ def label(model: Model, texts: list[str], spans: bool = False) -> list[tuple]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from the training rows of doc_id, text, lang, every language that one of them has."""
     rows = docs.select("doc_id", "text", "lang").where(is_training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash")) <= per_language
-    # hashes alone first: texts are sorted only where they may be taken
-    last = rows.select("lang", "hash").withColumn("own", first).where("own").groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash")).withColumn("bucket", F.shiftright("hash", 52))
+    # of each language the hash buckets, from the least, that surely have enough different rows: pre-aggregated to 4,096 counts
+    counts = rows.groupBy("lang", "bucket").agg(F.approx_count_distinct("hash").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * per_language).groupBy("lang").agg(F.max("bucket").alias("last")).collect()
     if not last:
         return model_of({})
     # a row for each language, as the model itself has
     last = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in last], "lang string, last long"))
-    chosen = rows.join(last, "lang").where("hash <= last").withColumn("own", first).where("own")
+    few = rows.join(last, "lang").where("bucket <= last").groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("n") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come language by language."""
