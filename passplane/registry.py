@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of plans; each has QUERIES and SQL by query name.
-PLANS = ["decisions", "zones", "texts", "rasters", "pictures", "scenes"]
+PLANS = ["decisions", "zones", "texts", "rasters", "pictures", "scenes", "stores"]
 
 
 def _merged(attribute: str) -> dict:

@@ -1,14 +1,12 @@
-"""Image files as rows: bytes, digest, labels from folders, and decoded pixels of uncompressed pictures."""
+"""Image files as rows: bytes, digest, labels from folders, and decoded pixels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passplane.sources import pictures
+
 
 def image_files(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,pgm,ppm}") -> DataFrame:
     """(path, label, sha256, length, content) of all image files below a folder; the label is the last folder's name."""
@@ -21,28 +19,6 @@ def non_empty(images: DataFrame) -> DataFrame:
     return images.where(F.length("content") > 0)
 
 
-def _decode(content: bytes) -> np.ndarray | None:
-    """(height, width, 3) blue, green, red of a binary PGM or PPM; None for anything else."""
-    parts = content.split(maxsplit=4) if content[:2] in (b"P5", b"P6") else []
-    if len(parts) < 5 or not all(p.isdigit() for p in parts[1:4]):
-        return None
-    width, height, depth = int(parts[1]), int(parts[2]), 3 if parts[0] == b"P6" else 1
-    data = content[-width * height * depth :]
-    if len(data) < width * height * depth:
-        return None
-    picture = np.frombuffer(data, np.uint8).reshape(height, width, depth)
-    return picture[:, :, ::-1] if depth == 3 else np.repeat(picture, 3, axis=2)
-
-
 def pixels(images: DataFrame) -> DataFrame:
-    """(path, y, x, b, g, r) of images (path, content); files that cannot be decoded give no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                picture = _decode(bytes(content))
-                if picture is not None:
-                    y, x = np.indices(picture.shape[:2])
-                    yield pd.DataFrame({"path": path, "y": y.ravel(), "x": x.ravel(), **{c: picture[:, :, k].ravel().astype("int32") for k, c in enumerate("bgr")}})
-
-    return images.select("path", "content").mapInPandas(run, "path string, y int, x int, b int, g int, r int")
+    """(path, y, x, b, g, r) of images (path, content); files that cannot be decoded give no rows (`pictures.decoded` says why)."""
+    return pictures.pixels(pictures.decoded(images))

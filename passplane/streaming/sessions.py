@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A session's deadline: so long after its first event, whatever comes later.
 TTL_MS = 30 * 60 * 1000
 
+#: The state store that timers and value states need.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 STATUS = "session_id long, status string, captured string, at timestamp"
 
 
@@ -64,3 +68,108 @@ def statuses(events: DataFrame, sides: tuple[str, ...] = ("FRONT", "BACK"), dela
 
     keyed = events.select("session_id", "side", "ts").withWatermark("ts", delay).groupBy("session_id")
     return keyed.applyInPandasWithState(step, STATUS, "seen string, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Outcomes(StatefulProcessor):
+    """State of a session: the sides seen, its deadline, and whether its outcome was given. A timer stands at the deadline, which activity does not move."""
+
+    def __init__(self, sides: tuple[str, ...]):
+        self.sides = sides
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "seen string, deadline long, given boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("ts")
+        if self.session.exists():
+            seen, deadline, given = self.session.get()
+        else:
+            seen, deadline, given = "", int(own.ts.iloc[0].value // 1_000_000) + TTL_MS, False
+            self.handle.registerTimer(deadline)
+        have = {s for s in seen.split(",") if s}
+        for side, ts in zip(own.side, own.ts, strict=True):
+            if given:
+                break
+            if ts.value // 1_000_000 > deadline:
+                given = True
+                yield self._row(key, "EXPIRED", have, pd.Timestamp(deadline, unit="ms"))
+            elif side in self.sides:
+                have.add(side)
+                given = have >= set(self.sides)
+                if given:
+                    yield self._row(key, "COMPLETED", have, ts)
+        self.session.update((",".join(sorted(have)), deadline, given))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        seen, deadline, given = self.session.get()
+        self.session.clear()
+        if not given:
+            yield self._row(key, "EXPIRED", set(filter(None, seen.split(","))), pd.Timestamp(deadline, unit="ms"))
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key: tuple, status: str, have: set[str], at: pd.Timestamp) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "status": [status], "captured": [",".join(sorted(have))], "at": [at]})
+
+
+def outcomes(events: DataFrame, sides: tuple[str, ...] = ("FRONT", "BACK"), delay: str = "30 minutes") -> DataFrame:
+    """One row a session, once it is known: COMPLETED when its last side comes, EXPIRED at its deadline.
+
+    events: session_id, side, ts. Needs the state store of `STATE_STORE`. A session's state goes with its timer, when the watermark passes the deadline.
+    """
+    keyed = events.select("session_id", "side", "ts").withWatermark("ts", delay).groupBy("session_id")
+    return keyed.transformWithStateInPandas(Outcomes(sides), STATUS, "Append", "EventTime")
+
+
+class Replacements(StatefulProcessor):
+    """State of a session and side: its last capture, by time and number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts timestamp, capture_id long, attempts long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values(["ts", "capture_id"])
+        ts, capture, attempts = own.ts.iloc[-1], int(own.capture_id.iloc[-1]), len(own)
+        if self.last.exists():
+            before = self.last.get()
+            attempts += before[2]
+            if (pd.Timestamp(before[0]), before[1]) > (ts, capture):
+                ts, capture = pd.Timestamp(before[0]), before[1]
+        self.last.update((ts.to_pydatetime(), capture, attempts))
+        yield pd.DataFrame({"session_id": [key[0]], "side": [key[1]], "ts": [ts], "capture_id": [capture], "attempts": [attempts]})
+
+    def close(self) -> None:
+        pass
+
+
+def replaced(events: DataFrame) -> DataFrame:
+    """(session_id, side, ts, capture_id, attempts): after each batch the last capture of each session and side that had one, which replaces
+    those before; of rows of one key the one with most attempts is the latest.
+
+    events: session_id, side, ts, capture_id. Needs the state store of `STATE_STORE`.
+    """
+    return events.groupBy("session_id", "side").transformWithStateInPandas(Replacements(), "session_id long, side string, ts timestamp, capture_id long, attempts long", "Update", "None")
+
+
+def run_through(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there, batch by batch, to a table in a folder, and gives the table. Batches that are repeated after a failure write the same
+    files."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+        # a file sink takes appended rows only; updates are written batch by batch, each to a place of its own
+        if mode == "append":
+            query = writer.format("parquet").start(f"{folder}/rows")
+        else:
+            query = writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
