@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Characters of text that a kernel holds as words at once.
-CHARS_AT_ONCE = 1_500_000
+CHARS_AT_ONCE = 800_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in by_size(texts, 1_000_000):
+            for a, b in by_size(texts, 500_000):
                 every = [hashes_of(t) for t in texts[a:b]]
                 fp = majority_bits(np.concatenate(every), np.array([len(h) for h in every]))
                 sets = [np.unique(h) for h in every]

@@ -46,7 +46,7 @@ def fingerprints_of(texts: list[str], words_per_shingle: int = 3) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     out = []
-    for a, b in by_size(texts, 1_000_000):
+    for a, b in by_size(texts, 500_000):
         hashes, counts = [], []
         for text in texts[a:b]:
             words = text.encode("utf-8", "replace").lower().split()

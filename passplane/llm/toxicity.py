@@ -225,7 +225,7 @@ class Model:
         if self.net is None:
             return np.zeros(len(texts))
         out = []
-        for a, b in by_size(texts, self.lang.at_once(1_000_000)):
+        for a, b in by_size(texts, self.lang.at_once(500_000)):
             data = prepare(texts[a:b], self.lang)
             shift = np.array([self.net.thresholds.get(x, self.net.thresholds[-2]) for x in data.lang.tolist()])
             out.append(1 / (1 + np.exp(-np.clip(self.net.logits(data.words, data.counts) - shift, -30, 30))))
@@ -242,7 +242,7 @@ def learn(rows: list[tuple[str, int, bool, float]], lang: language.Model) -> Mod
     texts = [r[0] for r in rows]
 
     def part(own: np.ndarray) -> Text:
-        parts = [prepare([texts[k] for k in own[a:b]], lang) for a, b in by_size([texts[k] for k in own], lang.at_once(1_000_000))]
+        parts = [prepare([texts[k] for k in own[a:b]], lang) for a, b in by_size([texts[k] for k in own], lang.at_once(500_000))]
         return Text(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("words", "counts", "lang")))
 
     fitting, held = np.flatnonzero(~later), np.flatnonzero(later if later.any() else ~later)
@@ -267,7 +267,7 @@ def steps_of(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             lang, step = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            for a, b in by_size(texts, shared.value.lang.at_once(1_000_000)):
+            for a, b in by_size(texts, shared.value.lang.at_once(500_000)):
                 data = prepare(texts[a:b], shared.value.lang)
                 lang[a:b] = data.lang
                 step[a:b] = np.floor(np.clip(shared.value.net.logits(data.words, data.counts), -LARGEST, LARGEST) * STEPS)
