@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passplane.functions.registrations import add, added
 from passplane.functions.text import literal_map, rounded
 
 # Weights of analyzers (others: 0.25) and those whose low score is a veto.
@@ -14,16 +15,14 @@ CRITICAL = ("RECAPTURE_DETECTION", "TAMPERING_DETECTION", "PHOTOCOPY_DETECTION")
 PASS = 0.60
 
 
-def weight(analyzer: Column) -> Column:
+def weight(analyzer: Column, weights: dict[str, float] | None = None) -> Column:
     """The analyzer's weight."""
-    return F.coalesce(F.element_at(literal_map(WEIGHTS), analyzer), F.lit(0.25))
+    return F.coalesce(F.element_at(literal_map(weights or WEIGHTS), analyzer), F.lit(0.25))
 
 
-def register(analyzer: str, weight_of: float) -> None:
-    """Gives another analyzer a weight of its own; a known one is refused. It is no veto."""
-    if analyzer in WEIGHTS:
-        raise ValueError(f"{analyzer} is known already")
-    WEIGHTS[analyzer] = weight_of
+def register(analyzer: str, weight_of: float, spark: SparkSession | None = None) -> None:
+    """Gives another analyzer a weight of its own in a session (the active one, if none is given); a known one is refused. It is no veto."""
+    add(spark, "analyzers", WEIGHTS, analyzer, weight_of)
 
 
 def combine(checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +31,7 @@ def combine(checks: DataFrame, keys: list[str]) -> DataFrame:
     The weighted mean, held to each critical score below the veto threshold (0.60, passports 0.35) plus a margin (0.05,
     passports none).
     """
-    w = weight(F.col("analyzer"))
+    w = weight(F.col("analyzer"), WEIGHTS | added(checks.sparkSession, "analyzers"))
     threshold, margin = F.when(F.col("is_passport"), 0.35).otherwise(0.60), F.when(F.col("is_passport"), 0.0).otherwise(0.05)
     low = F.col("analyzer").isin(*CRITICAL) & (F.col("score") < threshold)
     found = checks.groupBy(*keys).agg(F.sum(F.col("score") * w).alias("total"), F.sum(w).alias("weights"), F.min(F.when(low, F.col("score") + margin)).alias("cap"), F.bool_or(low).alias("veto"))

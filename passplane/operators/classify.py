@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passplane.functions.registrations import add, added
 from passplane.functions.text import keyword_hits
 
 #: The own type is taken from this score on; another one contradicts it from this score on.
@@ -42,9 +43,14 @@ KEYWORDS = {
 }
 
 
-def score(upper_text: Column, code: str) -> Column:
+def types_of(spark: SparkSession) -> dict[str, Keywords]:
+    """The document types that the session knows: the library's and its own."""
+    return KEYWORDS | added(spark, "types")
+
+
+def score(upper_text: Column, code: str, types: dict[str, Keywords] | None = None) -> Column:
     """The type's score for an upper-case text, 0 to 1. A penalty keeps it from falling below 0, a bonus from passing 1."""
-    k = KEYWORDS[code]
+    k = (types or KEYWORDS)[code]
     points = keyword_hits(upper_text, k.words) * F.lit(k.unit)
     if k.correction:
         points = points + F.when(keyword_hits(upper_text, k.corrected_by) > 0, F.lit(k.correction)).otherwise(F.lit(0.0))
@@ -53,8 +59,9 @@ def score(upper_text: Column, code: str) -> Column:
 
 def scores(texts: DataFrame, keys: list[str], text: str = "text", codes: list[str] | None = None) -> DataFrame:
     """(keys, code, type_score) for every type: one pass, no shuffle. codes: candidates, of one country for instance."""
+    types = types_of(texts.sparkSession)
     upper = texts.select(*keys, F.upper(F.col(text)).alias("_upper"))
-    each = F.array(*[F.struct(F.lit(c).alias("code"), score(F.col("_upper"), c).alias("type_score")) for c in (codes or sorted(KEYWORDS))])
+    each = F.array(*[F.struct(F.lit(c).alias("code"), score(F.col("_upper"), c, types).alias("type_score")) for c in (codes or sorted(types))])
     return upper.select(*keys, F.inline(each))
 
 
@@ -63,8 +70,9 @@ def best_of(texts: DataFrame, keys: list[str], text: str = "text", codes: list[s
 
     An arg-max over columns of the row itself, so it needs no shuffle.
     """
+    types = types_of(texts.sparkSession)
     upper = texts.select(*keys, F.upper(F.col(text)).alias("_upper"))
-    each = F.array(*[F.struct((-score(F.col("_upper"), c)).alias("by"), F.lit(c).alias("code")) for c in (codes or sorted(KEYWORDS))])
+    each = F.array(*[F.struct((-score(F.col("_upper"), c, types)).alias("by"), F.lit(c).alias("code")) for c in (codes or sorted(types))])
     best = upper.select(*keys, F.array_min(each).alias("best"))
     known = F.col("best.by") < 0
     return best.select(*keys, F.when(known, F.col("best.code")).otherwise("UNKNOWN").alias("code"), F.when(known, -F.col("best.by")).otherwise(F.lit(0.0)).alias("type_score"))
@@ -72,9 +80,10 @@ def best_of(texts: DataFrame, keys: list[str], text: str = "text", codes: list[s
 
 def ranking(texts: DataFrame, keys: list[str], text: str = "text", codes: list[str] | None = None) -> DataFrame:
     """(keys, code, type_score, rank) for every type: by score, then code. The 14 scores are sorted inside the row: no shuffle."""
+    types = types_of(texts.sparkSession)
     upper = texts.select(*keys, F.upper(F.col(text)).alias("_upper"))
     # exploding one element keeps the scores from being copied into the sort
-    each = F.array(*[F.struct((-score(F.col("_upper"), c)).alias("by"), F.lit(c).alias("code")) for c in (codes or sorted(KEYWORDS))])
+    each = F.array(*[F.struct((-score(F.col("_upper"), c, types)).alias("by"), F.lit(c).alias("code")) for c in (codes or sorted(types))])
     ranks = upper.select(*keys, F.posexplode(F.array_sort(each)).alias("_place", "_x"))
     return ranks.select(*keys, F.col("_x.code").alias("code"), (-F.col("_x.by")).alias("type_score"), (F.col("_place") + 1).alias("rank"))
 
@@ -84,8 +93,9 @@ def against(texts: DataFrame, keys: list[str], own: str, text: str = "text") ->
 
     best is null if no type scores above 0; own_score is null for an unknown type.
     """
+    types = types_of(texts.sparkSession)
     upper = texts.select(*keys, F.col(own).alias("own"), F.upper(F.col(text)).alias("_upper"))
-    each = F.array(*[F.struct((-score(F.col("_upper"), c)).alias("by"), F.lit(c).alias("code")) for c in sorted(KEYWORDS)])
+    each = F.array(*[F.struct((-score(F.col("_upper"), c, types)).alias("by"), F.lit(c).alias("code")) for c in sorted(types)])
     rows = upper.select(*keys, "own", F.explode(F.array(each)).alias("_all"))
     mine = F.filter("_all", lambda x: x["code"] == F.col("own"))
     rows = rows.select(*keys, "own", (-F.try_element_at(mine, F.lit(1))["by"]).alias("own_score"), F.array_min("_all").alias("_best"))
@@ -97,8 +107,6 @@ def matches_session(own_score: Column, own: Column, best: Column, best_score: Co
     return (own_score >= OWN_LEAST) | best.isNull() | (best == own) | (best_score < OTHER_LEAST)
 
 
-def register(code: str, keywords: Keywords) -> None:
-    """Makes another document type known to ``scores`` and ``best_of``; a known code is refused."""
-    if code in KEYWORDS:
-        raise ValueError(f"{code} is known already")
-    KEYWORDS[code] = keywords
+def register(code: str, keywords: Keywords, spark: SparkSession | None = None) -> None:
+    """Makes another document type known to a session (the active one, if none is given); a known code is refused."""
+    add(spark, "types", KEYWORDS, code, keywords)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.functions.checkdigits import ecuador_valid
+from passplane.functions.registrations import add, added
 from passplane.functions.text import capital_run, collapse, compound, first_group, iso_date, passport_name, sex_letter, sliced_date, strip_zeros, surname_lines
 
 
@@ -341,7 +342,7 @@ def extract(texts: DataFrame, keys: list[str], code: str, text: str = "text", si
     Groups, values and dates are columns of their own, one step after the other, so that no expression is copied. side:
     what the faces of the old Colombian card keep.
     """
-    specs = FIELDS[code]
+    specs = (FIELDS | added(texts.sparkSession, "fields"))[code]
     c = F.col(text)
     groups = {f"g_{f.name}_{k}": first_group(c, p, g) for f in specs for k, (p, g, _) in enumerate(f.groups())}
     extra = {f"x_{n}": first_group(c, p, g) for n, (p, g) in _EXTRA.get(code, {}).items()}
@@ -358,8 +359,6 @@ def extract(texts: DataFrame, keys: list[str], code: str, text: str = "text", si
     return rows.select(*keys, F.inline(F.filter(each, lambda x: F.trim(x["value"]) != "")))
 
 
-def register(code: str, fields: list[Field]) -> None:
-    """Makes the fields of another document type known to ``extract``; a known code is refused."""
-    if code in FIELDS:
-        raise ValueError(f"{code} is known already")
-    FIELDS[code] = fields
+def register(code: str, fields: list[Field], spark: SparkSession | None = None) -> None:
+    """Makes the fields of another document type known to a session (the active one, if none is given); a known code is refused."""
+    add(spark, "fields", FIELDS, code, fields)

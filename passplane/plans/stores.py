@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passplane.plans import derived
+from passplane.functions import sql
+from passplane.operators import catalog
+from passplane.plans import derived, texts, zones
 from passplane.sources import keyed
 from passplane.sources import pictures as files
 from passplane.sources.folders import mounted, shared_folder
@@ -91,7 +93,29 @@ def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "side", "n")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_picture_files, q_keyed_table, q_stream_outcomes, q_stream_replacements, q_stream_windows)}
+def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check digits by functions that the session's SQL defines."""
+    sql.define(spark)
+    rows = zones._people(spark, sf_dir).withColumn("number", F.expr(derived.pad(f"({derived.K} * 7919 % 1000000007)", 10)))
+    return rows.selectExpr("c_custkey", "pp_zone_digit(doc) AS number_digit", "pp_zone_digit(birth) AS birth_digit", "number", "pp_ecuador_valid(number) AS valid")
+
+
+def q_sql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of every document by a function of the session's SQL."""
+    sql.define(spark)
+    return texts._documents(spark, sf_dir).selectExpr("doc_id", "pp_document_type(text) AS code")
+
+
+def q_sorted_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document types in order of country and code, with their places, how many sessions have each, and what a lookup of each code finds."""
+    types = catalog.catalog(spark)
+    order = Window.orderBy("country", "code")  # fourteen rows
+    own = table(spark, sf_dir, "customer").select(derived.type_of("c_custkey", 15).alias("code")).groupBy("code").agg(F.count("*").alias("sessions"))
+    rows = types.withColumn("place", F.row_number().over(order)).join(own, "code", "full")
+    return rows.select("code", "country", "place", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.col("country").isNotNull().alias("known"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_picture_files, q_keyed_table, q_stream_outcomes, q_stream_replacements, q_stream_windows, q_sql_functions, q_sql_types, q_sorted_catalog)}
 
 _EVENTS = "s AS (SELECT user_id * 1000000 + (epoch(date_trunc('second', ts))::BIGINT // 7200) % 1000000 AS session_id, CASE event_type WHEN 'click' THEN 'FRONT' WHEN 'view' THEN 'BACK' ELSE 'OTHER' END AS side, ts, event_id FROM events)"
 _CUT = f"{derived.PIXELS}, cut AS (SELECT *, image_id % 50 = 7 AS failed FROM pixels)"
@@ -107,4 +131,7 @@ SQL = {
     ),
     "q_stream_replacements": f"WITH {_EVENTS} SELECT session_id, side, arg_max(event_id, (ts, event_id)) AS capture_id, count(*) AS attempts FROM s GROUP BY 1, 2",
     "q_stream_windows": f"WITH {_EVENTS}, w AS (SELECT max(ts) - INTERVAL 30 MINUTE AS mark FROM s) SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, side, count(*) AS n FROM s GROUP BY time_bucket(INTERVAL 10 MINUTE, ts), side HAVING time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= (SELECT mark FROM w)",
+    "q_sql_functions": f"SELECT c_custkey, number_digit, birth_digit, number, e.valid FROM ({zones.SQL['q_icao_check_digit']}) i JOIN ({zones.SQL['q_ecu_mod10']}) e USING (c_custkey)",
+    "q_sql_types": f"SELECT doc_id, code FROM ({texts.SQL['q_classify_argmax']})",
+    "q_sorted_catalog": f"WITH {derived.CATALOG}, p AS (SELECT code, country, row_number() OVER (ORDER BY country, code) AS place FROM catalog), s AS (SELECT coalesce(code, 'UNKNOWN_TYPE') AS code, count(*) AS sessions FROM customer LEFT JOIN catalog ON catalog.place = c_custkey % 15 GROUP BY 1) SELECT coalesce(p.code, s.code) AS code, country, p.place::INT AS place, coalesce(sessions, 0) AS sessions, country IS NOT NULL AS known FROM p FULL JOIN s ON s.code = p.code",
 }

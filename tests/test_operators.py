@@ -1,11 +1,13 @@
 """Operators on small invented inputs."""
 
 import datetime
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passplane.functions import checkdigits, sql, text
 from passplane.operators import authenticity, barcode, catalog, classify, consolidate, decision, extract, measures, mrz, raster, scoring, sessions
 from tests.test_functions import icao
 
@@ -273,20 +275,42 @@ def test_machines_of_the_trainer(spark):
     assert sum((got[i].predicted == 1) == y[i] for i in range(60)) >= 40
 
 
-def test_registering_types_and_analyzers(spark, monkeypatch):
-    for module, name in ((extract, "FIELDS"), (classify, "KEYWORDS"), (authenticity, "WEIGHTS")):
-        monkeypatch.setattr(module, name, dict(getattr(module, name)))
-    extract.register("X_CARD", [extract.one("documentNumber", 0.9, r"CARD\\s+(\\d{4})".replace("\\\\", "\\"))])
-    classify.register("X_CARD", classify.Keywords(0.5, ("X CARD", "OF NOWHERE")))
-    authenticity.register("HOLOGRAM", 1.0)
-    texts = spark.createDataFrame([(1, "x card of nowhere CARD 1234")], "id int, text string")
+def test_registering_types_and_analyzers(spark):
+    """Held by the session: others do not see it."""
+    own = spark.newSession()
+    extract.register("X_CARD", [extract.one("documentNumber", 0.9, r"CARD\\s+(\\d{4})".replace("\\\\", "\\"))], own)
+    classify.register("X_CARD", classify.Keywords(0.5, ("X CARD", "OF NOWHERE")), own)
+    authenticity.register("HOLOGRAM", 1.0, own)
+    row, schema = [(1, "x card of nowhere CARD 1234")], "id int, text string"
+    texts = own.createDataFrame(row, schema)
     assert classify.best_of(texts, ["id"]).first().code == "X_CARD"
     assert [(r.field, r.value) for r in extract.extract(texts, ["id"], "X_CARD").collect()] == [("documentNumber", "1234")]
-    checks = spark.createDataFrame([(1, "HOLOGRAM", 0.0, False), (1, "OTHER", 1.0, False)], "id int, analyzer string, score double, is_passport boolean")
-    assert abs(authenticity.combine(checks, ["id"]).first().side_score - 0.2) < 1e-12
-    for again in (lambda: extract.register("X_CARD", []), lambda: classify.register("COL_PA", None), lambda: authenticity.register("HOLOGRAM", 1.0)):
+    checks = [(1, "HOLOGRAM", 0.0, False), (1, "OTHER", 1.0, False)], "id int, analyzer string, score double, is_passport boolean"
+    assert abs(authenticity.combine(own.createDataFrame(*checks), ["id"]).first().side_score - 0.2) < 1e-12
+    assert classify.best_of(spark.createDataFrame(row, schema), ["id"]).first().code == "UNKNOWN" and authenticity.combine(spark.createDataFrame(*checks), ["id"]).first().side_score == 0.5
+    with pytest.raises(KeyError):
+        extract.extract(spark.createDataFrame(row, schema), ["id"], "X_CARD")
+    for again in (lambda: extract.register("X_CARD", [], own), lambda: classify.register("COL_PA", None, own), lambda: authenticity.register("HOLOGRAM", 1.0, own)):
         with pytest.raises(ValueError, match="known already"):
             again()
+    # the same types are known to the session's SQL
+    sql.define(own)
+    assert own.sql("SELECT pp_document_type('x card of nowhere'), pp_document_type(NULL)").first()[:] == ("X_CARD", "UNKNOWN")
+    sql.define(spark)
+    assert spark.sql("SELECT pp_document_type('x card of nowhere')").first()[0] == "UNKNOWN"
+
+
+def test_functions_of_sql(spark):
+    """As the Columns of the same names."""
+    sql.define(spark)
+    rnd = random.Random(2)
+    rows = [("".join(rnd.choice("AZ09<k") for _ in range(rnd.randrange(12))), rnd.choice("0123456789x"), "".join(rnd.choice("0123456789") for _ in range(rnd.choice([9, 10, 10])))) for _ in range(300)] + [(None, None, None)]
+    dates = ["910305", "2007-10-30", "1968/12/01", "19/02/1977", "23-10-1959", "11-dec-2011", "02 SEPT 2020", "26 01 1999", " 08 MAR 1974 ", "15-AUG-1965", "never", "", None]
+    table = spark.createDataFrame([(*r, dates[k % len(dates)]) for k, r in enumerate(rows)], "data string, digit string, number string, day string")
+    table = table.select("*", F.expr("pp_zone_digit(data)").alias("a"), F.expr("pp_zone_digit_valid(data, digit)").alias("b"), F.expr("pp_ecuador_valid(number)").alias("c"), F.expr("pp_date(day)").alias("d"))
+    want = [checkdigits.check_digit(F.col("data"), 12), checkdigits.check_digit_valid(F.col("data"), F.col("digit"), 12), checkdigits.ecuador_valid(F.col("number")), text.iso_date(F.col("day"))]
+    bad = [table.where(~F.col(n).eqNullSafe(w) & ~(F.col("data").isNull() & F.lit(n == "a"))).count() for n, w in zip("abcd", want, strict=True)]
+    assert bad == [0, 0, 0, 0] and table.where("b").count() > 5 and table.where("c").count() > 5
 
 
 def test_sessions_are_created_and_uploaded(spark):
