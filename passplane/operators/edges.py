@@ -84,7 +84,7 @@ def face_ring(pixels: DataFrame, face: Column) -> DataFrame:
     for x, y, w, h in parts:
         x, y = F.greatest(F.lit(0), x), F.greatest(F.lit(0), y)
         w, h = F.least(w, F.col("width") - x), F.least(h, F.col("height") - y)
-        seen = (w >= 4) & (h >= 4)
+        seen = f.isNotNull() & (w >= 4) & (h >= 4)
         cut.append(F.struct(x.alias("x"), y.alias("y"), F.when(seen, w).otherwise(0).alias("w"), F.when(seen, h).otherwise(0).alias("h")))
     size = size.select("image_id", F.array(*cut).alias("parts"))
     total = lambda c: sum((c(F.col("parts")[k]) for k in range(3)), F.lit(0))

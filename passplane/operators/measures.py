@@ -227,6 +227,21 @@ def consistent_outliers(errors: DataFrame, qualities: int = 3) -> DataFrame:
     return found.withColumn("score", signals.consistent_outliers(F.col("outliers")))
 
 
+def zone_error(errors: DataFrame, zone: Column, least: int = 10) -> DataFrame:
+    """(image_id, photo, rest, score) of the compression errors (image_id, y, x, e) of a picture: the mean inside a portrait against all of the rest.
+
+    zone: a struct (x, y, w, h) from image_id, height and width. A portrait under `least` places wide or high, cut at the picture's sides, tells nothing: 0.80. Sums are whole
+    millionths, by one pre-aggregated pass over the pixels after one over their places for the picture's sides."""
+    size = errors.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).withColumn("z", zone)
+    size = size.select("image_id", "height", "width", "z", F.least(F.col("z.w"), F.col("width") - F.col("z.x")).alias("zw"), F.least(F.col("z.h"), F.col("height") - F.col("z.y")).alias("zh"))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    within = (x >= z["x"]) & (x < z["x"] + F.col("zw")) & (y >= z["y"]) & (y < z["y"] + F.col("zh"))
+    rows = errors.join(size, "image_id").select("image_id", F.round(F.col("e") * ERROR_PART).cast("long").alias("s"), within.alias("within"), ((F.col("zw") >= least) & (F.col("zh") >= least)).alias("seen"))
+    mean = lambda c: F.coalesce(F.sum(F.when(c, F.col("s"))) / (F.count_if(c) * ERROR_PART), F.lit(0.0))
+    found = rows.groupBy("image_id").agg(mean(F.col("within")).alias("photo"), mean(~F.col("within")).alias("rest"), F.first("seen").alias("seen"))
+    return found.select("image_id", "photo", "rest", F.when(F.col("seen"), signals.zone_error_level(F.col("photo"), F.col("rest"))).otherwise(0.80).alias("score"))
+
+
 def portrait(width: Column, height: Column, document_type: Column, face: Column | None = None) -> Column:
     """The struct (x, y, w, h) of the portrait: around a face (struct x, y, w, h) where one is given, else by the type's place."""
     kind = F.when(document_type.isin("COL_CC_OLD", "COL_PA"), document_type).otherwise("CARD")

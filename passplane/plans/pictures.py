@@ -131,7 +131,7 @@ QUERIES |= {
 }
 QUERIES |= {f"q_kernel_{n}": _kernel(n) for n in raster.KERNELS}
 
-# The same in DuckDB's SQL: filters join each pixel with its neighbours instead of using windows.
+# The same in DuckDB's SQL: filters are windows too; tests of the operators compare with plain loops.
 
 _POINTS = f"pt AS (SELECT vec_id // 10 AS i, (vec_id % 10)::INT AS k, p, ((vec_id % 10) * {ROWS} + p // {WIDE})::INT AS y, (p % {WIDE})::INT AS x, embedding AS v FROM embeddings, unnest(generate_series(0, {WIDE * ROWS - 1})) AS t(p))"
 _PX = f"WITH {_POINTS}, px AS (SELECT i AS image_id, y, x, {_at('v[{p} + 1]', 0)} AS g, max(y) OVER (PARTITION BY i) + 1 AS h, {WIDE} AS w FROM pt)"
@@ -144,11 +144,15 @@ def _mirror(place: str, low: str, n: str) -> str:
 
 
 def _filter(source: str, out: str, value: str, taps: dict[int, int], axis: str, low: str, n: str, keep: str = "") -> str:
-    """A CTE of weighted sums along an axis; low and n may use p, the pixel."""
-    kernel = "(VALUES " + ", ".join(f"({o}, {w})" for o, w in taps.items()) + ") AS k(o, c)"
+    """A CTE of weighted sums along an axis, mirrored where [low, low + n) ends; low may use p, the pixel."""
     other = "y" if axis == "x" else "x"
-    kept = "".join(f", any_value(p.{c}) AS {c}" for c in keep.split())
-    return f"{out} AS (SELECT p.image_id, p.y, p.x{kept}, sum(k.c * q.{value}) AS v FROM {source} p CROSS JOIN {kernel} JOIN {source} q ON q.image_id = p.image_id AND q.{other} = p.{other} AND q.{axis} = {_mirror(f'p.{axis} + k.o', low, n)} GROUP BY p.image_id, p.y, p.x)"
+    kept = "".join(f", p.{c}" for c in keep.split())
+    v = f"p.{value}"
+    far = lambda own, near, back: f"coalesce({own}({v}, 2) OVER l, CASE WHEN {near}({v}, 1) OVER l IS NULL THEN {back}({v}, 2) OVER l END, {v})"
+    places = {-2: far("lag", "lag", "lead"), -1: f"coalesce(lag({v}, 1) OVER l, lead({v}, 1) OVER l, {v})", 0: v, 1: f"coalesce(lead({v}, 1) OVER l, lag({v}, 1) OVER l, {v})", 2: far("lead", "lead", "lag")}
+    total = " + ".join(f"{w} * {places[o]}" for o, w in taps.items())
+    del n
+    return f"{out} AS (SELECT p.image_id, p.y, p.x{kept}, {total} AS v FROM {source} p WINDOW l AS (PARTITION BY p.image_id, p.{other}, {low} ORDER BY p.{axis}))"
 
 
 def _wide(source: str, out: str, value: str, weights: str, size: int, axis: str) -> str:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passplane.operators import contrast, edges, measures, regions
+from passplane.operators import analyzers, contrast, edges, measures, raster, regions
 from passplane.plans import pictures
 from passplane.plans.pictures import HIGH, WIDE
 
@@ -83,11 +83,59 @@ def q_portrait_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pictures._rounded(edges.portrait_vector(pictures.colours(spark, sf_dir), zone))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_edges, q_face_ring, q_background, q_perspective, q_perspective_long, q_document_place, q_equalised, q_portrait_vector)}
+def _portrait() -> Column:
+    """As in `pictures`, from the picture's number alone."""
+    return F.struct(*[pictures._zone()[c].alias(c) for c in "xywh"])
+
+
+def _own_face() -> Column:
+    """The face by which `pictures._zone` finds the portrait; every other picture has none."""
+    return F.when(F.col("image_id") % 2 == 0, F.struct(F.lit(50).alias("x"), (F.col("image_id") % 30 + 20).cast("int").alias("y"), F.lit(30).alias("w"), F.lit(20).alias("h")))
+
+
+def _with_zone(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"height": F.lit(HIGH), "width": F.lit(WIDE)}).withColumn("zone", _portrait())
+
+
+def q_zone_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression errors inside the portrait against the rest."""
+    return pictures._rounded(measures.zone_error(pictures._errors(spark, sf_dir).where("quality = 8"), _portrait()))
+
+
+def q_photo_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits of large pictures that are crossed out or covered."""
+    return pictures._rounded(raster.obscured(_with_zone(pictures.colours(spark, sf_dir)), F.col("zone")))
+
+
+def q_photo_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits of large pictures whose colours differ from the document's."""
+    return pictures._rounded(raster.zone_colour(_with_zone(pictures.colours(spark, sf_dir)), F.col("zone"), F.col("width")).na.fill(1.0, ["score"]))
+
+
+def q_own_face_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges around the faces of large pictures; without a face the score is 1."""
+    return pictures._rounded(edges.face_ring(pictures.pixels(spark, sf_dir), _own_face()))
+
+
+def q_tampering_picture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analyzer, from pixels to one score, with its parts."""
+    parts = {name: query(spark, sf_dir) for name, query in _PARTS.items()}
+    found = analyzers.tampering(parts, F.col("image_id") % 4 == 0)
+    return pictures._rounded(found.select("image_id", *analyzers.TAMPERING, *analyzers.PHOTO, "photo", "score"), 9)
+
+
+#: The parts of the tampering analyzer; each is a query of its own.
+_PARTS = {
+    "ela": pictures.QUERIES["q_error_level"], "multi_ela": pictures.QUERIES["q_error_outliers"], "noise": pictures.QUERIES["q_kernel_noise"], "illumination": pictures.QUERIES["q_kernel_illumination"], "clone": pictures.QUERIES["q_clone_picture"], "splice": pictures.QUERIES["q_noise_boundary"],
+    "border": pictures.QUERIES["q_border_noise"], "colour": q_photo_colour, "zone_ela": q_zone_error, "ring": q_own_face_ring, "obscured": q_photo_covered,
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_edges, q_face_ring, q_background, q_perspective, q_perspective_long, q_document_place, q_equalised, q_portrait_vector, q_zone_error, q_photo_covered, q_photo_colour, q_own_face_ring, q_tampering_picture)}
 
 # The same in DuckDB's SQL: neighbours across an edge are joined by place, and regions are followed pixel by pixel.
 
 _R = pictures._r
+_SAT = "CASE WHEN greatest(b, g, r) > 0 THEN floor((greatest(b, g, r) - least(b, g, r)) * 255.0::DOUBLE / greatest(b, g, r) + 0.5)::INT ELSE 0 END"
 _SX = f"WITH RECURSIVE {pictures._POINTS}, sc AS (SELECT i AS image_id, y, x, {_SCENE.format(e=f'v[{_AT} + 1]')} AS g, {HIGH} AS h, {WIDE} AS w FROM pt)"
 _BESIDE = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) AS o(dy, dx)"
 
@@ -112,15 +160,21 @@ def _soft_sql(source: str) -> str:
     )
 
 
-_FX, _FY, _FW, _FH = "((image_id * 7) % 150 - 5)", "((image_id * 5) % 60)", "(12 + image_id % 30)", "(14 + image_id % 40)"
-_RING = (
-    f"{_SX}, {_soft_sql('sc')}, {_edges_sql('so', 'soft', *edges.AROUND)}, f AS (SELECT DISTINCT image_id, h, w, {_FX} AS fx, {_FY} AS fy, {_FW} AS fw, {_FH} AS fh, greatest(8, trunc({_FW} * 0.22::DOUBLE)::INT) AS bd FROM sc), "
-    "p AS (SELECT image_id, h, w, fx - bd AS px, fy - trunc(fh * 0.15::DOUBLE)::INT AS py, bd AS pw, trunc(fh * 0.9::DOUBLE)::INT AS ph FROM f UNION ALL SELECT image_id, h, w, fx + fw, fy - trunc(fh * 0.15::DOUBLE)::INT, bd, trunc(fh * 0.9::DOUBLE)::INT FROM f UNION ALL SELECT image_id, h, w, fx - bd // 2, fy - trunc(fh * 0.45::DOUBLE)::INT - bd // 2, fw + bd, bd FROM f), "
-    "c AS (SELECT image_id, greatest(0, px) AS px, greatest(0, py) AS py, least(pw, w - greatest(0, px)) AS pw, least(ph, h - greatest(0, py)) AS ph FROM p), k AS (SELECT * FROM c WHERE pw >= 4 AND ph >= 4), "
-    "t AS (SELECT f.image_id, coalesce(sum(pw * ph), 0) AS n FROM f LEFT JOIN k USING (image_id) GROUP BY 1), g AS (SELECT ed.image_id, count(*) AS e FROM ed JOIN k ON k.image_id = ed.image_id AND x >= px AND x < px + pw AND y >= py AND y < py + ph GROUP BY 1), "
-    "d AS (SELECT image_id, CASE WHEN n >= 100 THEN coalesce(e, 0)::DOUBLE / n END AS density FROM t LEFT JOIN g USING (image_id)) "
-    f"SELECT image_id, {_R('density')}, {_R('CASE WHEN density > 0.11 THEN greatest(0.1::DOUBLE, 0.55 - 5 * (density - 0.11::DOUBLE)) ELSE 1.0 END', 'score')} FROM d"
-)
+
+
+def _ring_sql(head: str, source: str, face: tuple[str, str, str, str], which: str = "true") -> str:
+    """face: x, y, w, h by image_id; which: pictures that have one."""
+    x, y, w, h = face
+    return (
+        f"{head}, {_soft_sql(source)}, {_edges_sql('so', 'soft', *edges.AROUND)}, f AS (SELECT DISTINCT image_id, h, w, {x} AS fx, {y} AS fy, {w} AS fw, {h} AS fh, greatest(8, trunc({w} * 0.22::DOUBLE)::INT) AS bd FROM {source}), "
+        f"p AS (SELECT image_id, h, w, fx - bd AS px, fy - trunc(fh * 0.15::DOUBLE)::INT AS py, bd AS pw, trunc(fh * 0.9::DOUBLE)::INT AS ph FROM f WHERE {which} UNION ALL SELECT image_id, h, w, fx + fw, fy - trunc(fh * 0.15::DOUBLE)::INT, bd, trunc(fh * 0.9::DOUBLE)::INT FROM f WHERE {which} UNION ALL SELECT image_id, h, w, fx - bd // 2, fy - trunc(fh * 0.45::DOUBLE)::INT - bd // 2, fw + bd, bd FROM f WHERE {which}), "
+        "c AS (SELECT image_id, greatest(0, px) AS px, greatest(0, py) AS py, least(pw, w - greatest(0, px)) AS pw, least(ph, h - greatest(0, py)) AS ph FROM p), k AS (SELECT * FROM c WHERE pw >= 4 AND ph >= 4), "
+        "t AS (SELECT f.image_id, coalesce(sum(pw * ph), 0) AS n FROM f LEFT JOIN k USING (image_id) GROUP BY 1), g AS (SELECT ed.image_id, count(*) AS e FROM ed JOIN k ON k.image_id = ed.image_id AND x >= px AND x < px + pw AND y >= py AND y < py + ph GROUP BY 1), "
+        "d AS (SELECT image_id, CASE WHEN n >= 100 THEN coalesce(e, 0)::DOUBLE / n END AS density FROM t LEFT JOIN g USING (image_id)) "
+        f"SELECT image_id, {_R('density')}, {_R('CASE WHEN density > 0.11 THEN greatest(0.1::DOUBLE, 0.55 - 5 * (density - 0.11::DOUBLE)) ELSE 1.0 END', 'score')} FROM d"
+    )
+
+
 _OUTSIDE = "(x < trunc(w * 0.08::DOUBLE) OR x >= w - trunc(w * 0.08::DOUBLE) OR y < trunc(h * 0.08::DOUBLE) OR y >= h - trunc(h * 0.08::DOUBLE))"
 _BACK = (
     f"{_SX}, {_edges_sql('sc', 'g', *edges.MARGINS)}, n AS (SELECT s.image_id, count(*) FILTER (ed.y IS NOT NULL) / count(*)::DOUBLE AS edges FROM sc s LEFT JOIN ed USING (image_id, y, x) WHERE {_OUTSIDE} GROUP BY 1), "
@@ -153,8 +207,10 @@ _PLACE_SQL = (
     "ot AS (SELECT l.image_id, l.t, sum(o.n) FILTER (o.t <= l.t) AS n0, sum(o.n * o.t) FILTER (o.t <= l.t) AS s0, sum(o.n) AS a, sum(o.n * o.t) AS s FROM hi l JOIN hi o ON o.image_id = l.image_id GROUP BY 1, 2), "
     "th AS (SELECT image_id, t FROM ot QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN n0 < a THEN ((s * n0 - s0 * a)::DOUBLE / a) * ((s * n0 - s0 * a)::DOUBLE / a) / (n0::DOUBLE * (a - n0)) ELSE 0 END DESC, t) = 1), "
     f"v0 AS (SELECT image_id, y, x, h, w, (soft > t)::INT AS v FROM soft JOIN th USING (image_id)), {_slide_sql('v1', 'v0', 'x', False)}, {_slide_sql('v2', 'v1', 'y', False)}, {_slide_sql('v3', 'v2', 'y', True)}, {_slide_sql('v4', 'v3', 'x', True)}, "
-    "zz AS MATERIALIZED (SELECT image_id, y, x FROM v4 WHERE v = 0), op AS (SELECT image_id, y, x FROM v4 WHERE v = 0 AND (x = 0 OR y = 0 OR x = w - 1 OR y = h - 1) UNION SELECT z.* FROM (SELECT image_id, y + dy AS y, x + dx AS x FROM op, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dy, dx)) n JOIN zz z USING (image_id, y, x)), "
-    "fl AS MATERIALIZED (SELECT image_id, y, x FROM v4 ANTI JOIN op USING (image_id, y, x)), rn AS MATERIALIZED (SELECT image_id, y, min(x) AS a, max(x) AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM fl) GROUP BY image_id, y, g), "
+    "zr AS MATERIALIZED (SELECT image_id, y, min(x) AS a, max(x) AS b, bool_or(x = 0 OR y = 0 OR x = w - 1 OR y = h - 1) AS side FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM v4 WHERE v = 0) GROUP BY image_id, y, g), "
+    "zn AS MATERIALIZED (SELECT p.image_id, p.y, p.a, q.y AS y2, q.a AS a2 FROM zr p JOIN zr q ON q.image_id = p.image_id AND q.y = p.y + 1 AND q.a <= p.b AND q.b >= p.a), zb AS MATERIALIZED (SELECT * FROM zn UNION ALL SELECT image_id, y2, a2, y, a FROM zn), "
+    "op AS (SELECT image_id, y, a FROM zr WHERE side UNION SELECT zb.image_id, zb.y2, zb.a2 FROM op JOIN zb USING (image_id, y, a)), ho AS (SELECT zr.image_id, zr.y, zr.a, zr.b FROM zr ANTI JOIN op USING (image_id, y, a)), "
+    "fl AS MATERIALIZED (SELECT image_id, y, x FROM v4 WHERE v = 1 UNION ALL SELECT image_id, y, unnest(range(a, b + 1)) FROM ho), rn AS MATERIALIZED (SELECT image_id, y, min(x) AS a, max(x) AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM fl) GROUP BY image_id, y, g), "
     "nx AS MATERIALIZED (SELECT p.image_id, p.y, p.a, q.y AS y2, q.a AS a2 FROM rn p JOIN rn q ON q.image_id = p.image_id AND q.y = p.y + 1 AND q.a <= p.b + 1 AND q.b >= p.a - 1), bo AS MATERIALIZED (SELECT * FROM nx UNION ALL SELECT image_id, y2, a2, y, a FROM nx), "
     "re AS (SELECT image_id, y AS ry, a AS ra, y, a FROM rn WHERE a = (SELECT min(a) FROM rn r2 WHERE r2.image_id = rn.image_id AND r2.y = rn.y) OR NOT EXISTS (FROM nx WHERE nx.image_id = rn.image_id AND nx.y2 = rn.y AND nx.a2 = rn.a) UNION SELECT re.image_id, re.ry, re.ra, bo.y2, bo.a2 FROM re JOIN bo ON bo.image_id = re.image_id AND bo.y = re.y AND bo.a = re.a), "
     "la AS (SELECT image_id, y, a, min(ry * 1000 + ra) AS label FROM re GROUP BY 1, 2, 3), cell AS (SELECT f.image_id, f.y, f.x, (SELECT 1) AS one, (r.image_id IS NOT NULL)::INT + (d.image_id IS NOT NULL)::INT + (e.image_id IS NOT NULL)::INT + 1 AS n FROM fl f LEFT JOIN fl r ON r.image_id = f.image_id AND r.y = f.y AND r.x = f.x + 1 LEFT JOIN fl d ON d.image_id = f.image_id AND d.y = f.y + 1 AND d.x = f.x LEFT JOIN fl e ON e.image_id = f.image_id AND e.y = f.y + 1 AND e.x = f.x + 1), "
@@ -194,11 +250,48 @@ _VECTOR = (
 
 SQL = {
     "q_edges": f"{_SX}, {_edges_sql('sc', 'g', *edges.AROUND)} SELECT image_id, y, count(*) AS n, sum(x)::BIGINT AS places FROM ed GROUP BY 1, 2",
-    "q_face_ring": _RING,
+    "q_face_ring": _ring_sql(_SX, "sc", ("((image_id * 7) % 150 - 5)", "((image_id * 5) % 60)", "(12 + image_id % 30)", "(14 + image_id % 40)")),
     "q_background": _BACK,
     "q_perspective": _lines_sql(*_LINES),
     "q_perspective_long": _lines_sql(edges.VOTES, edges.LENGTH, edges.GAP),
     "q_document_place": _PLACE_SQL,
     "q_equalised": _EQUAL,
     "q_portrait_vector": _VECTOR,
+    "q_zone_error": (
+        f"{pictures._PX}, er AS (SELECT image_id, y, x, h, w, round(sqrt(3.0::DOUBLE) * (g % 8 + CASE WHEN image_id % 5 = 0 AND y < 24 AND x < 34 THEN 40 ELSE 0 END) * 1000000)::BIGINT AS s FROM px), {pictures._zone_of('er')}, c AS (SELECT *, least(zw, w - zx) AS cw, least(zh, h - zy) AS ch FROM z), i AS (SELECT *, x >= zx AND x < zx + cw AND y >= zy AND y < zy + ch AS within FROM c), "
+        "m AS (SELECT image_id, coalesce(sum(s) FILTER (within)::DOUBLE / (count(*) FILTER (within) * 1000000)::DOUBLE, 0) AS photo, coalesce(sum(s) FILTER (NOT within)::DOUBLE / (count(*) FILTER (NOT within) * 1000000)::DOUBLE, 0) AS rest, bool_and(cw >= 10 AND ch >= 10) AS seen FROM i GROUP BY 1), q AS (SELECT *, photo / (rest + 0.01::DOUBLE) AS q FROM m) "
+        f"SELECT image_id, {_R('photo')}, {_R('rest')}, {_R('CASE WHEN NOT seen THEN 0.80 WHEN q > 2.2 OR q < 0.45 THEN greatest(0.05::DOUBLE, 1 - abs(ln(q + 0.01::DOUBLE)) / 2) ELSE 1.0 END', 'score')} FROM q"
+    ),
+    "q_photo_covered": (
+        f"{pictures._CX}, {pictures._zone_of('cx')}, m AS (SELECT image_id, avg(greatest(b, g, r)) AS val, avg({_SAT}) AS sat, count(*) FILTER (greatest(b, g, r) < 40) / count(*)::DOUBLE AS dark FROM z WHERE x >= zx AND x < zx + zw AND y >= zy AND y < zy + zh GROUP BY 1) "
+        f"SELECT image_id, {_R('val')}, {_R('sat')}, {_R('dark')}, {_R('CASE WHEN val < 35 OR dark > 0.70 THEN 0.0 WHEN val < 60 AND sat < 30 AND dark > 0.40 THEN 0.25 ELSE 1.0 END', 'score')} FROM m"
+    ),
+    "q_photo_colour": (
+        f"{pictures._CX}, {pictures._zone_of('cx')}, p AS (SELECT *, greatest(b, g, r) AS v, {_SAT} AS s, zx - 10 AS le, w - least(w, zx + zw + 10) AS ri FROM z WHERE greatest(b, g, r) <= 230), "
+        "k AS (SELECT *, x >= zx AND x < zx + zw AND y >= zy AND y < zy + zh AS photo, CASE WHEN greatest(le, 0) >= greatest(ri, 0) THEN x < greatest(le, 1) ELSE x >= w - greatest(ri, 1) END AS beside, greatest(le, ri) >= w * 0.15::DOUBLE AS wide FROM p), "
+        "m AS (SELECT image_id, avg(s) FILTER (photo) - avg(s) FILTER (beside) AS sat, abs(avg(v) FILTER (photo) - avg(v) FILTER (beside)) AS val, bool_or(wide) AS wide FROM k GROUP BY 1) "
+        f"SELECT image_id, {_R('sat')}, {_R('val')}, {_R('coalesce(CASE WHEN wide AND (sat > 30 OR val > 60) THEN greatest(0.1::DOUBLE, 1 - (greatest(sat, val) - 8) / 40) ELSE 1.0 END, 1.0)', 'score')} FROM m"
+    ),
+    "q_own_face_ring": _ring_sql(pictures._PX.replace("WITH ", "WITH RECURSIVE ", 1), "px", ("50", "(image_id % 30 + 20)", "30", "20"), "image_id % 2 = 0"),
 }
+
+
+def _tampering_sql() -> str:
+    known = {"ela": "q_error_level", "multi_ela": "q_error_outliers", "noise": "q_kernel_noise", "illumination": "q_kernel_illumination", "clone": "q_clone_picture", "splice": "q_noise_boundary", "border": "q_border_noise"}
+    own = {"colour": "q_photo_colour", "zone_ela": "q_zone_error", "ring": "q_own_face_ring", "obscured": "q_photo_covered"}
+    tables = {name: pictures.SQL[q] for name, q in known.items()} | {name: SQL[q] for name, q in own.items()}
+    columns = ", ".join(f"coalesce({name}.score, 1)::DOUBLE AS {name}" for name in tables)
+    joins = " ".join(f"LEFT JOIN (SELECT image_id, score FROM ({q})) {name} USING (image_id)" for name, q in tables.items())
+    mean = lambda weights: " + ".join(f"{n} * {w}::DOUBLE" for n, w in weights.items())
+    names = ("ela", "multi_ela", "photo", "noise", "illumination", "clone", "splice")
+    passport, card = (dict(zip(names, w, strict=True)) for w in ((0.20, 0.15, 0.15, 0.20, 0.15, 0.05, 0.10), (0.20, 0.20, 0.25, 0.15, 0.10, 0.05, 0.05)))
+    return (
+        f"WITH i AS (SELECT DISTINCT vec_id // 10 AS image_id FROM embeddings), p AS (SELECT image_id, {columns} FROM i {joins}), "
+        f"h AS (SELECT *, CASE WHEN obscured < 0.5 THEN obscured ELSE greatest(0, least({mean({'border': 0.40, 'colour': 0.30, 'zone_ela': 0.30})}, CASE WHEN colour < 0.6 THEN colour ELSE 9 END, CASE WHEN border < 0.6 THEN border ELSE 9 END, CASE WHEN ring < 0.6 THEN ring ELSE 9 END)) END AS photo FROM p), "
+        f"s AS (SELECT *, CASE WHEN image_id % 4 = 0 THEN least({mean(passport)}, CASE WHEN least(ela, multi_ela, photo) < 0.30 THEN 0.50 ELSE 9 END, CASE WHEN splice < 0.50 AND ela < 0.60 THEN 0.45 ELSE 9 END) "
+        f"ELSE least({mean(card)}, CASE WHEN least(ela, multi_ela, photo) < 0.40 THEN 0.40 ELSE 9 END, CASE WHEN splice < 0.50 AND ela < 0.60 THEN 0.38 ELSE 9 END, CASE WHEN photo < 0.60 THEN photo + 0.10::DOUBLE ELSE 9 END) END AS score FROM h) "
+        "SELECT image_id, " + ", ".join(f"round({c}, 9)::DOUBLE AS {c}" for c in (*analyzers.TAMPERING, *analyzers.PHOTO, "photo", "score")) + " FROM s"
+    )
+
+
+SQL["q_tampering_picture"] = _tampering_sql()
