@@ -39,6 +39,8 @@ POSITIVES, NEGATIVES, LEAST_TEXTS, LEAST_SCORE, VOCABULARY, PREFIXES = 2000, 400
 #: Characters of the training texts of each label at most; what does not fit in the order of the ids' hashes is left to the
 #: thresholds.
 SAMPLE_CHARS = 16_000_000
+#: Ids of labelled rows (8 bytes each) up to which they are sent to every task; more meet the texts in a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Steps that a logit of 1 is counted in, and the largest logit that is told from larger ones.
 STEPS, LARGEST = 64, 128
 #: Dimensions of an embedding, filter widths, filters of each width, passes over the training texts.
@@ -259,8 +261,8 @@ def labelled(labels: DataFrame) -> DataFrame:
     return marked.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0)
 
 
-def steps_of(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, step) of the training rows of docs: the language that the text shows and the logit in steps."""
+def steps_of(docs: DataFrame, ids: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, step) of the rows of docs that have one of the ids: the language that the text shows and the logit in steps. Other texts do not reach Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +275,7 @@ def steps_of(docs: DataFrame, model: Model) -> DataFrame:
                 step[a:b] = np.floor(np.clip(shared.value.net.logits(data.words, data.counts), -LARGEST, LARGEST) * STEPS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(step)], ["doc_id", "lang", "step"])
 
-    own = docs.where(is_training_row() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
     return own.mapInArrow(run, "doc_id long, lang int, step int")
 
 
@@ -282,8 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, lang: language.Model) -> Model:
     labelled training rows, thresholds from all the others."""
     spark = docs.sparkSession
     marked = labelled(labels)
-    sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((0, NEGATIVES), (1, POSITIVES))}
+    known = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    share = {k: min(1.0, most / max(1, known.get(k, 0))) for k, most in ((0, NEGATIVES), (1, POSITIVES))}
     place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20))
     in_sample = place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20)
     # the sample is bounded by its shares, so its ids can be broadcast; then by its characters, in the order of the hashes
@@ -297,15 +299,19 @@ def fit(docs: DataFrame, labels: DataFrame, lang: language.Model) -> Model:
             room[r.toxic] -= r.chars
             ids.append((r.doc_id, r.toxic, r.later))
     taken_ids = spark.createDataFrame(ids, marks)
-    rows = texts.join(F.broadcast(taken_ids), "doc_id")
-    found = sorted((r.doc_id, r.text or "", r.toxic, r.later) for r in rows.toLocalIterator())
+    # the characters of the sample are bounded; of the empty texts of one id, one is as good as many
+    rows = texts.join(F.broadcast(taken_ids), "doc_id").groupBy("doc_id", "toxic", "later", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("n"))
+    found = sorted((r.doc_id, r.text, r.toxic, r.later) for r in rows.toLocalIterator() for _ in range(r.n if r.text else 1))
     model = learn([(text, toxic, later, 1 / share[toxic]) for _, text, toxic, later in found], lang)
     if model.net is None:
         return model
     # without both labels on both sides, the weights were learned from the whole sample, and all rows calibrate
     split = all(len({toxic for _, _, toxic, later in found if later == side}) == 2 for side in (False, True))
     others = marked.join(F.broadcast(taken_ids.where(~F.col("later"))), "doc_id", "left_anti") if split else marked
-    counted = steps_of(docs, model).join(others.select("doc_id", "toxic"), "doc_id").groupBy("lang", "step", "toxic").count().collect()
+    ids = others.select("doc_id")
+    if sum(known.values()) <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    counted = steps_of(docs, ids, model).join(others.select("doc_id", "toxic"), "doc_id").groupBy("lang", "step", "toxic").count().collect()
     lang_of, step, toxic, counts = (np.array([r[k] for r in sorted(tuple(r) for r in counted)]) for k in range(4))
     # the weights took more of one label than of the other
     left = np.maximum(1, np.bincount(toxic, counts, 2))

@@ -1,8 +1,10 @@
 """Near duplicates, fingerprints, neighbours, shards and the pipeline."""
 
 import hashlib
+import pathlib
 import random
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passplane.llm import compaction, graphs, near_copies, neighbours, prefix_hashes, simhash
+from passplane.llm import base, compaction, graphs, near_copies, neighbours, prefix_hashes, simhash
 from passplane.llm.base import documents, shared_folder
 from tests.llm.test_tokens import _ids, check_packing
 
@@ -487,7 +489,7 @@ def test_queries_are_registered():
     from passplane.llm import registry
 
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert zlib.crc32(b"") == 0 and set(registry.oracle_sql()) <= set(names)
 
 
@@ -500,3 +502,29 @@ def test_compacted_documents_equal_sql(spark, sf_dir):
     names = [c[0] for c in found.description]
     got = compaction.op5_compaction(spark, sf_dir).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
+def test_steps_in_threads_keep_to_their_own_tables(spark):
+    """A step deletes what it wrote itself, not what a step of another thread wrote meanwhile, and a step within a step."""
+    begun, done, got = threading.Event(), threading.Event(), {}
+
+    def slow():
+        first = base.written(spark.range(5), "slow")
+        begun.set()
+        assert done.wait(60)
+        got["files"] = first.count()
+        inner = base.finished(lambda: base.written(spark.range(2), "in").union(spark.range(1)), "inner", spark)
+        got["inner"] = inner.inputFiles()
+        return first.union(inner)
+
+    def run():
+        got["slow"] = base.finished(slow, "out", spark).count()
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    assert begun.wait(60)
+    assert base.finished(lambda: base.written(spark.range(3), "quick"), "quick", spark).count() == 3
+    done.set()
+    thread.join()
+    assert got["files"] == 5 and got["slow"] == 8
+    assert not any(pathlib.Path(f.removeprefix("file://")).exists() for f in got["inner"])
