@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+#: The tables that the step of this thread has written so far; None outside of steps.
+_STEP: ContextVar[list[str] | None] = ContextVar("_STEP", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    if (own := _STEP.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +61,15 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
 
 def finished(step: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
     """What a step gives, written; the tables that the step itself wrote on the way are deleted then."""
-    begin = len(_WRITTEN)
-    out = written(step(), name)
-    deleted(spark, _WRITTEN[begin:-1])
-    del _WRITTEN[begin:-1]
+    own: list[str] = []
+    token = _STEP.set(own)
+    try:
+        out = written(step(), name)
+    finally:
+        _STEP.reset(token)
+    deleted(spark, own[:-1])
+    if (outer := _STEP.get()) is not None:
+        outer.append(own[-1])
     return out
 
 
