@@ -160,7 +160,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048)
         yield out(list(packer.finish()))
 
     ranges = max(1, -(-total // TOKENS_PER_RANGE))
-    return ids.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(run, PIECE)
+    # equal texts have one key; a hash of the row's place in the written table parts those that have one id, or none, too
+    spread = F.xxhash64(F.monotonically_increasing_id()).alias("spread")
+    return ids.select("*", spread).repartitionByRange(ranges, "key", "doc_id", "spread").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(run, PIECE)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ document's up to the cut, then the next document's, moved; no text is hashed twi
 The next document is that of the next larger (doc_id, hash of the text, text); after the last comes the first. Documents are
 dealt to ranges of (doc_id, hash), so many rows of one id, or without one, are spread over tasks; the first row of every
 range is also sent to the range before. Null texts are empty; null ids come first; rows that repeat an id follow each other
-by hash and text; equal rows stay in one range, which is read as a stream. An empty table gives no rows. Other columns are ignored.
+by hash and text; equal rows are in any order, and spread over ranges too if they are many. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passplane.llm.base import documents
-from passplane.llm.token_files import LEAST_LONG, Cuts, cuts_of, hashed
+from passplane.llm.token_files import LEAST_LONG, cuts_of, hashed
 
 PRIME = np.uint64((1 << 31) - 1)
 #: The two bases; bins; bits kept of each.
@@ -189,19 +189,19 @@ def dealt(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     Cuts between ranges are ids of the table, so the first row of a range is known by its id; of a range that may begin
     elsewhere each batch sends its own first row, and the first of these is taken.
     """
+    cuts = cuts_of(docs, rows_per_range)
     docs = hashed(docs)
-    cuts = cuts_of(docs.select("doc_id"), rows_per_range)
     least, nulls = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     first_id = LEAST_LONG if nulls or least is None else least
     # a cut at the first id makes no range
-    keep = (cuts.ids > first_id) | (cuts.hashes > LEAST_LONG)
-    cuts = Cuts(cuts.ids[keep], cuts.hashes[keep], cuts.loose[keep])
+    cuts = cuts.only((cuts.ids > first_id) | (cuts.hashes > LEAST_LONG) | (cuts.spreads > LEAST_LONG))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "own", "doc_id", "text", "hash"]
         for batch in batches:
             ids, own_hash = np.asarray(batch.column("doc_id").fill_null(LEAST_LONG)), np.asarray(batch.column("hash"))
-            part = cuts.part(ids, own_hash)
+            part = cuts.part(ids, own_hash, np.asarray(batch.column("spread")))
+            batch = batch.select(names[2:])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.ones(len(ids), bool)), *batch.columns], names)
             order = np.lexsort((own_hash, ids, part))
             extra = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
@@ -234,7 +234,7 @@ class Marked:
         return self.doc_id, n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), self.sketch.hex(), mark.hex(), likeness(self.sketch, mark), likeness(self.sketch, following.sketch), common_extension(self.prefixes, 0, edited, 0)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """A row for each of doc_id, text, see OUT; shared_prefix: what the text and the edited text begin with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if before is None:
                 return
 
-    return dealt(docs).mapInArrow(run, OUT)
+    return dealt(docs, rows_per_range).mapInArrow(run, OUT)
 
 
 def op8_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Layout of a data set (a folder that driver and executors share):
 
 Documents are dealt to parts by ranges of (doc_id, hash of the text) and sorted inside a part, so the parts in order hold
 ascending ids, and many rows of one id, or without one, are spread over parts. Null ids come first; rows of one id are
-ordered by the hash of the text. Rows that are equal in both stay together in one part, which is written as a stream. A part is written under a name of its own attempt and only
+ordered by the hash of the text. Rows that are equal in both are in any order, and spread over parts too if they are many. A part is written under a name of its own attempt and only
 the names that successful tasks return enter the manifest, so a lost or repeated task leaves no trace. Bases are prefix
 sums over the parts' counts: one number a part reaches the driver.
 
@@ -47,54 +47,97 @@ def local_path(folder: str) -> str:
 
 @dataclass
 class Cuts:
-    """Where the order of rows by (id, hash of the text) is cut into parts. loose: whether a part may begin between ids."""
+    """Where the order of rows by (id, hash of the text, spread) is cut into parts. loose: whether a part may begin between ids."""
 
     ids: np.ndarray
     hashes: np.ndarray
+    spreads: np.ndarray
     loose: np.ndarray
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The part of each row."""
-        first, end = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
-        part = end.copy()
-        several = np.flatnonzero(end - first > 1)
-        for v in np.unique(ids[several]):
-            own = several[ids[several] == v]
-            a, b = first[own[0]], end[own[0]]
-            part[own] = a + np.searchsorted(self.hashes[a:b], hashes[own], side="right")
-        return part
+    def part(self, ids: np.ndarray, hashes: np.ndarray, spreads: np.ndarray) -> np.ndarray:
+        """The part of each row: how many cuts are not after it."""
+        return _not_after([self.ids, self.hashes, self.spreads], [ids, hashes, spreads])
+
+    def only(self, keep: np.ndarray) -> Cuts:
+        """Some of the cuts."""
+        return Cuts(self.ids[keep], self.hashes[keep], self.spreads[keep], self.loose[keep])
+
+
+def _not_after(cuts: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """For each row the number of cuts that are not after it, both compared column by column; cuts are in order."""
+    end = np.searchsorted(cuts[0], rows[0], side="right")
+    if len(cuts) == 1:
+        return end
+    part = np.searchsorted(cuts[0], rows[0], side="left")
+    equal = np.flatnonzero(end > part)
+    for v in np.unique(rows[0][equal]):
+        own = equal[rows[0][equal] == v]
+        a, b = part[own[0]], end[own[0]]
+        part[own] = a + _not_after([c[a:b] for c in cuts[1:]], [r[own] for r in rows[1:]])
+    return part
 
 
 LEAST_LONG = np.iinfo(np.int64).min
 
 
+def _inside(rows: DataFrame, keys: list[str], of: str, rows_per_part: int) -> dict[tuple, list[int]]:
+    """For each group of more than two parts' rows, values of a long column at which it is cut into parts. They are the group's own values, none the least, so no part is
+    empty. About two counts a part reach the driver."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_per_part).select(*[F.col(k).alias(f"own_{k}") for k in keys], "n")
+    # at most one group for every two parts
+    same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
+    cell = F.floor((F.col(of) / 2.0**64 + 0.5) * F.ceil(F.col("n") / rows_per_part) * 2).alias("cell")
+    cells = rows.join(F.broadcast(sizes), same).groupBy(*keys, cell).agg(F.min(of).alias("first"), F.count("*").alias("rows")).collect()
+    out: dict[tuple, list[int]] = {}
+    held: dict[tuple, int] = {}
+    for r in sorted(cells, key=lambda r: r["cell"]):
+        group = tuple(r[k] for k in keys)
+        cuts = out.setdefault(group, [])
+        if held.get(group, 0) >= rows_per_part:
+            cuts.append(r["first"])
+            held[group] = 0
+        held[group] = held.get(group, 0) + r["rows"]
+    return out
+
+
 def cuts_of(docs: DataFrame, rows_per_part: int) -> Cuts:
-    """Cuts docs (doc_id, hash) into parts of about rows_per_part rows. An id that holds more than two parts' rows, or the
-    null id (it counts as the least), is cut by ranges of the hash; at most one id for every two parts can be."""
-    n = docs.count()
+    """Cuts docs (doc_id, text) into parts of about rows_per_part rows, each of which has a row. An id that holds more than two parts' rows, or the null id (it counts as the
+    least), is cut by the hash of the text; rows of it that are equal in text too, by the spread. At most one id, or text of an id, for every two parts can be."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = ids.count()
     parts = -(-n // rows_per_part)
-    found: set[tuple[int, int]] = set()
-    loose: set[tuple[int, int]] = set()
+    found: set[tuple[int, int, int]] = set()
+    loose: set[tuple[int, int, int]] = set()
     if parts > 1:
         at = [k / parts for k in range(1, parts)]
-        found = {(v, LEAST_LONG) for v in docs.select(F.percentile_approx("doc_id", at, max(10_000, 20 * parts))).first()[0] or []}
-        for r in docs.groupBy("doc_id").count().where(F.col("count") > 2 * rows_per_part).collect():
-            v, pieces = LEAST_LONG if r.doc_id is None else r.doc_id, -(-r["count"] // rows_per_part)
-            inner = {(v, LEAST_LONG + k * (1 << 64) // pieces) for k in range(1, pieces)}
-            after = {(v + 1, LEAST_LONG)} if v < -(LEAST_LONG + 1) else set()
-            loose |= inner | (after - found)
-            found |= inner | after | ({(v, LEAST_LONG)} if v > LEAST_LONG else set())
+        found = {(v, LEAST_LONG, LEAST_LONG) for v in ids.select(F.percentile_approx("doc_id", at, max(10_000, 20 * parts))).first()[0] or []}
+        hot = [r.doc_id for r in ids.groupBy("doc_id").count().where(F.col("count") > 2 * rows_per_part).collect()]
+        known = [d for d in hot if d is not None]
+        found |= {(v, LEAST_LONG, LEAST_LONG) for v in known}
+        if hot:
+            # each ends where the next id begins
+            following = ids.agg(*[F.min(F.when(F.col("doc_id") > v, F.col("doc_id")) if v is not None else F.col("doc_id")).alias(f"_{k}") for k, v in enumerate(hot)]).first()
+            found |= {(v, LEAST_LONG, LEAST_LONG) for v in following if v is not None}
+            # texts are read for this only where an id is hot
+            own = hashed(docs).where(F.col("doc_id").isin(known) | (F.col("doc_id").isNull() & F.lit(len(known) < len(hot))))
+            name = lambda d: LEAST_LONG if d is None else d
+            for (doc_id,), hashes in _inside(own, ["doc_id"], "hash", rows_per_part).items():
+                loose |= {(name(doc_id), h, LEAST_LONG) for h in hashes}
+            for (doc_id, h), spreads in _inside(own, ["doc_id", "hash"], "spread", rows_per_part).items():
+                loose |= {(name(doc_id), h, x) for x in spreads}
+            found |= loose
     order = sorted(found)
-    return Cuts(np.array([c[0] for c in order], np.int64), np.array([c[1] for c in order], np.int64), np.array([c in loose for c in order], bool))
+    columns = [np.array([c[k] for c in order], np.int64) for k in range(3)]
+    return Cuts(*columns, np.array([c in loose for c in order], bool))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, hash) of doc_id, text; null text is empty."""
+    """(doc_id, text, hash, spread) of doc_id, text; null text is empty. spread parts equal rows: a hash of the row's place in the table, the same whenever it is read."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, cuts: Cuts) -> DataFrame:
@@ -106,7 +149,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, cuts: Cuts) -> DataFra
         for batch in batches:
             ids = [np.append(x, end_id).astype(width).tobytes() for x in tok.encode(texts_of(batch.column("text")))]
             doc = batch.column("doc_id")
-            part = cuts.part(np.asarray(doc.fill_null(LEAST_LONG)), np.asarray(batch.column("hash")))
+            part = cuts.part(np.asarray(doc.fill_null(LEAST_LONG)), np.asarray(batch.column("hash")), np.asarray(batch.column("spread")))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, batch.column("hash"), pa.array(ids, pa.binary()), pa.array([width.itemsize] * len(ids), pa.int32())], ["part", "doc_id", "hash", "ids", "width"])
 
     return hashed(docs).mapInArrow(run, "part int, doc_id long, hash long, ids binary, width int")
@@ -116,7 +159,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, rows_pe
     """Writes the data set to a shared folder and returns its manifest. docs: doc_id, text."""
     root = local_path(folder)
     docs = docs.select("doc_id", "text")
-    cuts = cuts_of(docs.select(F.col("doc_id").cast("long")), rows_per_part)
+    cuts = cuts_of(docs, rows_per_part)
     os.makedirs(root, exist_ok=True)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

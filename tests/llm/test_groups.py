@@ -185,11 +185,10 @@ def check_fingerprints(got, rows):
         assert r.shared_prefix == next((k for k, (a, b) in enumerate(zip(t, e, strict=False)) if a != b), min(len(t), len(e)))
 
 
-def test_fingerprints_over_many_ranges(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(prefix_hashes, "ROWS_PER_RANGE", 23)
+def test_fingerprints_over_many_ranges(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    got = sorted(prefix_hashes.fingerprints(docs).collect(), key=lambda r: r.doc_id)
+    got = sorted(prefix_hashes.fingerprints(docs, 23).collect(), key=lambda r: r.doc_id)
     check_fingerprints(got, rows)
     assert np.mean([r.near_edited for r in got]) > 0.6 and np.mean([r.near_next for r in got]) < 0.1
 
@@ -203,14 +202,34 @@ def test_fingerprints_of_odd_rows(spark, odd, odd_rows, nothing):
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
-def test_many_rows_of_one_id_are_spread(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [None, 4, 10**6])
+def test_half_of_all_rows_equal(spark, hot):
+    """Rows that are equal in id and text are spread, wherever their id stands, and none is lost; each has its ring's next text."""
+    rows = [(hot, "the same text in every one of these rows")] * 150 + [(k, f"text number {k} " + "x" * (k % 5)) for k in range(150)] + [(hot, f"another text {k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [len(p) for p in prefix_hashes.dealt(docs, 20).rdd.glom().collect()]
+    assert max(sizes) < 70 and len(sizes) > 10
+    got = sorted(prefix_hashes.fingerprints(docs, 20).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert len(got) == 305
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    plain = [r for r in got if r.doc_id is not None and r.doc_id != hot]
+    text_of = dict(rows)
+    ids = [r.doc_id for r in plain]
+    for r, nxt in zip(plain, ids[1:], strict=False):
+        if hot is None or not r.doc_id < hot < nxt and r.doc_id != hot:
+            t, after = text_of[r.doc_id], text_of[nxt]
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
+    # inside the equal rows the next text is the same text, but for the last of them
+    assert sum(r.near_next == 1 for r in got) >= 149 and len(order) == 156
+
+
+def test_many_rows_of_one_id_are_spread(spark):
     """A third of all rows has one id and a third none; each part holds a bounded number, and the ring of next documents is whole."""
-    monkeypatch.setattr(prefix_hashes, "ROWS_PER_RANGE", 20)
     rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"text number {k} " + "x" * (k % 5)) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     sizes = [len(p) for p in prefix_hashes.dealt(docs, 20).rdd.glom().collect()]
     assert max(sizes) < 80 and len(sizes) > 12
-    got = prefix_hashes.fingerprints(docs).collect()
+    got = prefix_hashes.fingerprints(docs, 20).collect()
     assert len(got) == 300
     mark = {prefix_hashes.sketch(prefix_hashes.prefixes(t)).hex(): t for _, t in rows}
     assert sorted(((r.doc_id, mark[r.fingerprint]) for r in got), key=str) == sorted(rows, key=str)

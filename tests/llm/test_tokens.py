@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from passplane.llm import packing, pieces, token_files, words
@@ -87,6 +88,27 @@ def test_many_rows_of_one_id_are_spread_over_files(spark):
     assert sorted(r.ids_crc32 for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [None, 4, 10**6])
+def test_equal_rows_are_spread_over_files(spark, hot):
+    rows = [(hot, "the same text")] * 150 + [(k, f"text number {k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"{shared_folder(spark)}/equal-files"
+    manifest = token_files.write(docs, folder, path, rows_per_part=20)
+    assert max(p["documents"] for p in manifest["parts"]) < 60 and sum(p["documents"] for p in manifest["parts"]) == 300
+    got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(_ids(t, "word_bpe_49k.json"), "<u4").tobytes()) for _, t in rows)
+
+
+def test_equal_rows_are_spread_over_ranges_of_the_curve(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOKENS_PER_RANGE", 500)
+    rows = [(None, "the same text of some words in every row")] * 400 + [(k, f"text {k}") for k in range(50)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), public_tokenizers.path("byte_bpe_50k.json"))
+    per_task = [r["count"] for r in found.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(per_task) >= 6 and max(per_task) < 150 and found.agg(F.sum("length")).first()[0] == found.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
 def test_files_refuse_other_stores(odd):
     with pytest.raises(ValueError, match="mounted"):
         token_files.write(odd, "hdfs://x/y", "t")
