@@ -17,7 +17,7 @@ def value(spark, c, **columns):
 
 
 DATES = {
-    "910305": "1991-03-05", "030212": "2003-02-12", "2007-10-30": "2007-10-30", "1968/12/01": "1968-12-01", "19/02/1977": "1977-02-19", "23-10-1959": "1959-10-23", "11-dec-2011": "2011-12-11",
+    "910305": "1991-03-05", "030212": "2003-02-12", "2007-10-30": "2007-10-30", "1968/12/01": "1968-12-01", "19/02/1977": "1977-02-19", "23-10-1959": "1959-10-23", "11-dic-2011": "2011-12-11",
     "02 SEPT 2020": "2020-09-02", "26 01 1999": "1999-01-26", " 08 MAR 1974 ": "1974-03-08", "15-AUG-1965": "1965-AUG-15", "never": "NEVER", "17-0CT-2002": "17-0CT-2002",
 }
 
