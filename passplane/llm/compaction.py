@@ -222,13 +222,15 @@ def plan(shards: list[dict], target: int) -> list[list[dict]]:
         if len(own) < LEAST_RUN:
             continue
         run: list[dict] = []
+        size = 0
         for s in sorted(own, key=lambda s: (s["bytes"], s["path"])):
             if taken >= ROUND_SHARDS:
                 break
-            if run and sum(x["bytes"] for x in run) + s["bytes"] > target * 1.25:
+            if run and size + s["bytes"] > target * 1.25:
                 runs.append(run)
-                run = []
+                run, size = [], 0
             run.append(s)
+            size += s["bytes"]
             taken += 1
         runs.append(run)
     return [r for r in runs if len(r) > 1]
