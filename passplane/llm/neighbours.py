@@ -12,7 +12,8 @@ The index is a table of codes in shards by (substring, leading bits of its value
 a query goes only to the shards whose leading bits are within t of its own. A shard that many rows fall in is split and its
 queries go to each part, so a task holds a bounded number of codes whatever the values' shares. A candidate that several
 substrings find counts for the first of them, which its code tells, so nothing has to be gathered to drop repeats. Vectors
-are read once more, by one join with the candidates; the best k of a query are kept by a limited window.
+travel beside their codes and are ranked in the shard: it gives k rows a query at most, so what is shuffled grows with the
+rows and queries, not with their candidate pairs. A limited window keeps the best k of a query's shards.
 
 The radius covers ``COVER`` of the true neighbours, among all rows, of ``ASKED`` sampled rows. A query that finds fewer than
 k rows is asked again with a larger radius, up to the whole code, which reaches every row. ``radius=CODE`` from the start is
@@ -38,10 +39,13 @@ from passplane.llm.base import ranges, written
 #: share of these that it covers; how much it grows for queries that find too little.
 CODE, SUBSTRING, SAMPLE, ASKED, COVER, MORE = 256, 16, 4096, 128, 0.95, 32
 PARTS = CODE // SUBSTRING
-#: Codes of a shard, on average; a shard of more than twice as many is split.
-PER_SHARD = 16_000
+#: Codes and vector components of a shard, on average; a shard of more than twice as many is split.
+PER_SHARD, COMPONENTS = 16_000, 1_024_000
 
 OUT = "query_id long, rank int, vec_id long, score double"
+#: Columns on the way to a shard, and what it finds.
+ENTRY = ["shard", "split", "asks", "row", "vec_id", "embedding", "code"]
+FOUND = ["query", "query_id", "row", "vec_id", "score"]
 
 
 @dataclass
@@ -220,15 +224,17 @@ def fitted(rows: DataFrame, n: int, k: int) -> tuple[Coder, int]:
     return coder, int(np.ceil(np.quantile(apart, COVER))) if apart else CODE
 
 
-def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The inner products of own and embedding, in double precision."""
-    for batch in batches:
-        a, b = batch.column("own"), batch.column("embedding")
-        width = max([1, *np.diff(np.asarray(a.offsets)).tolist(), *np.diff(np.asarray(b.offsets)).tolist()])
-        with np.errstate(all="ignore"):
-            # summed in one order for every row, so equal vectors have equal scores
-            score = (matrix(a, width) * matrix(b, width)).sum(1)
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("query", "query_id", "row", "vec_id")), pa.array(score)], ["query", "query_id", "row", "vec_id", "score"])
+def nearest(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, inner products) of the first k of vectors (ids, rows) for own; ties go to the smaller id, then row."""
+    with np.errstate(all="ignore"):
+        # summed in one order for every row, so equal vectors have equal scores
+        score = (vectors * own).sum(1)
+    key = np.where(np.isnan(score), -np.inf, score)
+    at = np.arange(len(key))
+    if len(at) > k:
+        at = np.flatnonzero(key >= np.partition(key, len(key) - k)[len(key) - k])
+    at = at[np.lexsort((rows[at], ids[at], -key[at]))[:k]]
+    return at, score[at]
 
 
 def search(rows: DataFrame, queries: Column, k: int = 20, radius: int | None = None) -> DataFrame:
@@ -254,17 +260,16 @@ def search(rows: DataFrame, queries: Column, k: int = 20, radius: int | None = N
             x, asks = matrix(batch.column("embedding"), width), np.asarray(batch.column("asks"))
             codes, own = coder.codes(x, False), coder.codes(x, True)
             asked = [c.tobytes() if a else None for c, a in zip(own, asks.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(asked, pa.binary())], ["row", "code", "asked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "embedding")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(asked, pa.binary())], ["row", "vec_id", "embedding", "code", "asked"])
 
-    codes = written(held.select("row", "embedding", "asks").mapInArrow(encode, "row long, code binary, asked binary"), "codes")
+    # floats stay floats on the way to the shards; products are of doubles in either case
+    kind = "array<float>" if stored.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    plain = stored.select("row", "vec_id", F.col("embedding").cast(kind), "asks")
+    codes = written(plain.mapInArrow(encode, f"row long, vec_id long, embedding {kind}, code binary, asked binary"), "codes")
     wanted, done = min(k, n - 1), None
-    asked = codes.where("asked is not null").select("row", "asked")
+    asked = codes.where("asked is not null").select("row", "vec_id", "embedding", "asked")
     while True:
-        pairs = written(candidates(codes, asked, n, radius), "candidates")
-        own = stored.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("own"))
-        met = pairs.join(stored.select("row", "vec_id", "embedding"), "row").join(own, "query").select("query", "query_id", "row", "vec_id", "own", "embedding")
-        scored = met.mapInArrow(multiply, "query long, query_id long, row long, vec_id long, score double")
-        found = written(best(scored, k), "neighbours")
+        found = written(best(ranked(codes, asked, n, radius, width, k), k), "neighbours")
         full = found.groupBy("query").count().where(F.col("count") >= wanted).select("query")
         if radius >= CODE or asked.join(full, F.col("row") == F.col("query"), "left_anti").isEmpty():
             found = found if done is None else done.unionByName(found)
@@ -275,16 +280,18 @@ def search(rows: DataFrame, queries: Column, k: int = 20, radius: int | None = N
         radius = min(CODE, radius + MORE)
 
 
-def candidates(codes: DataFrame, asked: DataFrame, n: int, radius: int) -> DataFrame:
-    """(query, row): all rows of codes (row, code) within the radius of each of asked (row, asked), itself left out."""
-    bits = min(SUBSTRING, max(0, (-(-n // PER_SHARD) - 1).bit_length()))
+def ranked(codes: DataFrame, asked: DataFrame, n: int, radius: int, width: int, k: int) -> DataFrame:
+    """(query, query_id, row, vec_id, score): of the rows of codes (row, vec_id, embedding, code) within the radius of each of
+    asked (row, vec_id, embedding, asked), itself left out, the k nearest that each shard finds. Vectors have so many components at most."""
+    per_shard = max(1, min(PER_SHARD, COMPONENTS // width))
+    bits = min(SUBSTRING, max(0, (-(-n // per_shard) - 1).bit_length()))
     layout = Layout(bits, radius, {})
     parts = [j for j, t in enumerate(layout.radii) if t >= 0]
     value = [F.conv(F.hex(F.reverse(F.substring("code", 2 * j + 1, 2))), 16, 10).cast("int") for j in parts]
     shard = F.explode(F.array(*[F.shiftright(v, SUBSTRING - bits) + (j << bits) for j, v in zip(parts, value, strict=True)]))
-    # of these there is one for 2 * PER_SHARD entries of the index at most
-    crowded = codes.select(shard.alias("shard")).groupBy("shard").count().where(F.col("count") > 2 * PER_SHARD).collect()
-    layout.splits = {r.shard: -(-r["count"] // PER_SHARD) for r in crowded}
+    # of these there is one for 2 * per_shard entries of the index at most
+    crowded = codes.select(shard.alias("shard")).groupBy("shard").count().where(F.col("count") > 2 * per_shard).collect()
+    layout.splits = {r.shard: -(-r["count"] // per_shard) for r in crowded}
     shared = codes.sparkSession.sparkContext.broadcast(layout)
 
     def deal(column: str) -> object:
@@ -302,50 +309,59 @@ def candidates(codes: DataFrame, asked: DataFrame, n: int, radius: int) -> DataF
                             at, shard, split = np.repeat(at, times), np.repeat(shard, times), ranges(np.zeros(len(at), np.int64), times)
                         else:
                             split = rows[at] % times
-                    step = 20_000
+                    step = max(1, min(20_000, COMPONENTS // width))
                     for a in range(0, len(at), step):
                         take = pa.array(at[a : a + step])
-                        yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + step], pa.int32()), pa.array(split[a : a + step], pa.int32()), pa.array(np.full(len(take), queries)), batch.column("row").take(take), batch.column(column).take(take)], ["shard", "split", "asks", "row", "code"])
+                        yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + step], pa.int32()), pa.array(split[a : a + step], pa.int32()), pa.array(np.full(len(take), queries)), *(batch.column(c).take(take) for c in ("row", "vec_id", "embedding", column))], ENTRY)
 
         return run
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each shard's rows come first; its queries stream by."""
-        now, held, ids, index = None, [], [], None
-        out: list[np.ndarray] = []
+        now, held, index = None, [], None
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [np.repeat([o[c] for o in out], [len(o[2]) for o in out]) for c in (0, 1)] + [np.concatenate([o[c] for o in out]) for c in (2, 3, 4)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FOUND)
+
         for batch in batches:
             shards, splits, asks = (np.asarray(batch.column(x)) for x in ("shard", "split", "asks"))
-            rows = np.asarray(batch.column("row"))
+            rows, ids = np.asarray(batch.column("row")), np.asarray(batch.column("vec_id"))
+            vectors = matrix(batch.column("embedding"), width)
             codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), "<u8").reshape(-1, CODE // 64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards) | np.diff(splits) | np.diff(asks.astype(np.int8))) + 1, [len(shards)]]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if now != (shards[a], splits[a]):
-                    now, held, ids, index = (shards[a], splits[a]), [], [], None
+                    now, held, index = (shards[a], splits[a]), [], None
                 if not asks[a]:
-                    held.append(codes[a:b])
-                    ids.append(rows[a:b])
+                    held.append((codes[a:b], rows[a:b], ids[a:b], vectors[a:b]))
                     continue
                 if not held:
                     continue
                 if index is None:
-                    index, numbers = Index(np.concatenate(held), int(now[0]), shared.value), np.concatenate(ids)
-                for query, code in zip(rows[a:b].tolist(), codes[a:b], strict=True):
-                    near = numbers[index.within(code)]
-                    near = near[near != query]
+                    own_codes, own_rows, own_ids, own_vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+                    index, held = Index(own_codes, int(now[0]), shared.value), held[:1]
+                for at in range(a, b):
+                    near = index.within(codes[at])
+                    near = near[own_rows[near] != rows[at]]
                     if len(near):
-                        out.append(np.stack([np.full(len(near), query), near]))
+                        first, score = nearest(vectors[at], own_vectors[near], own_ids[near], own_rows[near], k)
+                        out.append((rows[at], ids[at], own_rows[near[first]], own_ids[near[first]], score))
                     if len(out) >= 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["query", "row"])
+                        yield batch_of()
                         out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["query", "row"])
+            yield batch_of()
 
-    kind = "shard int, split int, asks boolean, row long, code binary"
-    entries = codes.select("row", "code").mapInArrow(deal("code"), kind).unionByName(asked.mapInArrow(deal("asked"), kind))
+    vector = codes.schema["embedding"].dataType.simpleString()
+    kind = f"shard int, split int, asks boolean, row long, vec_id long, embedding {vector}, code binary"
+    entries = codes.select("row", "vec_id", "embedding", "code").mapInArrow(deal("code"), kind).unionByName(asked.mapInArrow(deal("asked"), kind))
     tasks = max(len(parts), (len(parts) << bits) // 4)
-    return entries.repartition(tasks, "shard", "split").sortWithinPartitions("shard", "split", "asks").mapInArrow(look_up, "query long, row long")
+    sorted_entries = entries.repartition(tasks, "shard", "split").sortWithinPartitions("shard", "split", "asks")
+    return sorted_entries.mapInArrow(look_up, "query long, query_id long, row long, vec_id long, score double")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
