@@ -224,17 +224,16 @@ def fitted(rows: DataFrame, n: int, k: int) -> tuple[Coder, int]:
     return coder, int(np.ceil(np.quantile(apart, COVER))) if apart else CODE
 
 
-def nearest(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, inner products) of the first k of vectors (ids, rows) for own; ties go to the smaller id, then row."""
+def nearest(queries: np.ndarray, place: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, inner products) of the first k of vectors (ids, rows) for each of queries, which place names in ascending
+    order; ties go to the smaller id, then row."""
     with np.errstate(all="ignore"):
         # summed in one order for every row, so equal vectors have equal scores
-        score = (vectors * own).sum(1)
-    key = np.where(np.isnan(score), -np.inf, score)
-    at = np.arange(len(key))
-    if len(at) > k:
-        at = np.flatnonzero(key >= np.partition(key, len(key) - k)[len(key) - k])
-    at = at[np.lexsort((rows[at], ids[at], -key[at]))[:k]]
-    return at, score[at]
+        score = (vectors * queries[place]).sum(1)
+    order = np.lexsort((rows, ids, -np.where(np.isnan(score), -np.inf, score), place))
+    sizes = np.bincount(place)
+    order = order[ranges(np.zeros(len(sizes), np.int64), sizes) < k]
+    return order, score[order]
 
 
 def search(rows: DataFrame, queries: Column, k: int = 20, radius: int | None = None) -> DataFrame:
@@ -319,11 +318,6 @@ def ranked(codes: DataFrame, asked: DataFrame, n: int, radius: int, width: int,
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each shard's rows come first; its queries stream by."""
         now, held, index = None, [], None
-        out: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            columns = [np.repeat([o[c] for o in out], [len(o[2]) for o in out]) for c in (0, 1)] + [np.concatenate([o[c] for o in out]) for c in (2, 3, 4)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FOUND)
 
         for batch in batches:
             shards, splits, asks = (np.asarray(batch.column(x)) for x in ("shard", "split", "asks"))
@@ -344,17 +338,20 @@ def ranked(codes: DataFrame, asked: DataFrame, n: int, radius: int, width: int,
                 if index is None:
                     own_codes, own_rows, own_ids, own_vectors = (np.concatenate(x) for x in zip(*held, strict=True))
                     index, held = Index(own_codes, int(now[0]), shared.value), held[:1]
+                found, size = [], 0
                 for at in range(a, b):
                     near = index.within(codes[at])
-                    near = near[own_rows[near] != rows[at]]
-                    if len(near):
-                        first, score = nearest(vectors[at], own_vectors[near], own_ids[near], own_rows[near], k)
-                        out.append((rows[at], ids[at], own_rows[near[first]], own_ids[near[first]], score))
-                    if len(out) >= 256:
-                        yield batch_of()
-                        out = []
-        if out:
-            yield batch_of()
+                    found.append(near[own_rows[near] != rows[at]])
+                    size += len(found[-1])
+                    if size * width < COMPONENTS and at + 1 < b:
+                        continue
+                    # as many queries at once as find about so many components
+                    near, first = np.concatenate(found), at + 1 - len(found)
+                    place = first + np.repeat(np.arange(len(found)), [len(x) for x in found])
+                    order, score = nearest(vectors, place, own_vectors[near], own_ids[near], own_rows[near], k)
+                    near, place = near[order], place[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[place], ids[place], own_rows[near], own_ids[near], score)], FOUND)
+                    found, size = [], 0
 
     vector = codes.schema["embedding"].dataType.simpleString()
     kind = f"shard int, split int, asks boolean, row long, vec_id long, embedding {vector}, code binary"
