@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from passplane.operators.measures import blurred, lines
+from passplane.operators.measures import blurred, lines, sized
 
 # The side of the closing; a document's least and greatest share of the frame, and how much of its rectangle it fills.
 CLOSING, LEAST, MOST, FILLED = 25, 0.20, 0.95, 0.75
@@ -21,6 +21,8 @@ CLOSING, LEAST, MOST, FILLED = 25, 0.20, 0.95, 0.75
 
 def sides(pixels: DataFrame) -> DataFrame:
     """(image_id, height, width), by one pre-aggregated count a picture."""
+    if {"height", "width"} <= set(pixels.columns):
+        return pixels.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
@@ -135,7 +137,7 @@ def document(pixels: DataFrame) -> DataFrame:
     half the closing is closed up to it. A picture without a region has nulls."""
     size = sides(pixels)
     soft = blurred(pixels, ["image_id"])
-    flags = soft.join(otsu(soft, "soft"), "image_id").join(size, "image_id").select("image_id", "y", "x", (F.col("soft") > F.col("threshold")).cast("int").alias("v"), "height", "width")
+    flags = sized(soft).join(otsu(soft, "soft"), "image_id").select("image_id", "y", "x", (F.col("soft") > F.col("threshold")).cast("int").alias("v"), "height", "width")
     best = shapes(filled(closed(flags))).groupBy("image_id").agg(F.min(F.struct((-F.col("area")).alias("by"), "label", "x", "y", "w", "h")).alias("s"))
     rect = (F.col("s.w") * F.col("s.h")).cast("double")
     share = rect / (F.col("height") * F.col("width"))
