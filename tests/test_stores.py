@@ -127,3 +127,11 @@ def test_replacements_over_batches(spark, tmp_path):
     last = found.groupBy("session_id", "side").agg(F.max(F.struct("attempts", "capture_id")).alias("s")).select("side", "s.*").collect()
     assert sorted(tuple(r) for r in last) == [("BACK", 1, 13), ("FRONT", 4, 12)]
     assert all(spark.conf.get(k, None) != v for k, v in sessions.STATE_STORE.items())
+
+
+def test_outcomes_call_python_once_a_group(spark, tmp_path):
+    """Four hundred sessions in two groups over batches: each has its outcome once, and the calls are of groups."""
+    batches = [[(i, "FRONT", i % 20) for i in range(400)], [(i, "BACK", 20 + i % 7) for i in range(0, 400, 2)], [(1000, "FRONT", 200)], [(1000, "OTHER", 201)]]
+    got = streamed(spark, tmp_path, batches, lambda events: sessions.outcomes(events, buckets=2))
+    rows = {r.session_id: (r.status, r.captured) for r in got.collect()}
+    assert got.count() == 400 and rows == {i: ("EXPIRED", "FRONT") if i % 2 else ("COMPLETED", "BACK,FRONT") for i in range(400)}
