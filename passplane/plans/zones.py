@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passplane.functions import checkdigits, text
 from passplane.operators import barcode, consolidate, mrz
 from passplane.plans.derived import BIRTH, COUNTRY, EXPIRY, GIVEN, SURNAME, K, pad
-from passplane.sources.tables import table
+from passplane.sources.tables import spread, table
 
 DOC = f"concat('AB', {pad(f'({K} % 1000000)', 6)})"
 CARD = pad(f"({K} % 1000000000)", 9)
@@ -37,7 +37,7 @@ def _checked(data: Column, n: int, wrong: str) -> Column:
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     named = {"doc": f"concat({DOC}, '<')", "card": CARD, "birth": BIRTH, "expiry": EXPIRY, "surname": SURNAME, "given": GIVEN, "country": COUNTRY, "sex": "CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END"}
     return rows.select("c_custkey", *[F.expr(e).alias(n) for n, e in named.items()])
 
