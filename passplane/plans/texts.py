@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passplane.functions import text
 from passplane.operators import classify, extract, mrz
 from passplane.plans.derived import CODES, GIVEN, SURNAME, K, pad, type_of
-from passplane.sources.tables import table
+from passplane.sources.tables import spread, table
 
 #: Keywords put at a document's end by its number: none, or the first three of a type.
 _PHRASES = {c: " ".join(classify.KEYWORDS[c].words[:3]) for c in CODES}
@@ -167,12 +167,16 @@ def _lines(piece: str) -> list[str]:
     return out
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
 def _texts(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
     """(c_custkey, text): recognised texts of one type; every seventh is a variant."""
     whole = varied = LAYOUTS[code][0]
     for old, new in VARIANTS[code][0]:
         varied = varied.replace(old, new)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"CASE WHEN {K} % 7 = 0 THEN {_template(varied)} ELSE {_template(whole)} END").alias("text"))
+    return _customers(spark, sf_dir).select("c_custkey", F.expr(f"CASE WHEN {K} % 7 = 0 THEN {_template(varied)} ELSE {_template(whole)} END").alias("text"))
 
 
 def _extraction(code: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -186,7 +190,7 @@ def _extraction(code: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def q_ecu_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts on Ecuadorian numbers whose check fails."""
-    texts = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_template(LAYOUTS["ECU_DNI_OLD"][0])).alias("text"))
+    texts = _customers(spark, sf_dir).select("c_custkey", F.expr(_template(LAYOUTS["ECU_DNI_OLD"][0])).alias("text"))
     return extract.extract(texts, ["c_custkey"], "ECU_DNI_OLD").where("field = 'alertaDocumento'").select("c_custkey", "value")
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passplane.plans import zones
+from passplane.plans import texts, zones
 from passplane.sources import tables
 
 
@@ -28,3 +28,11 @@ def test_zones_are_many_tasks(spark, customers, monkeypatch, source):
     counts, keys = shares(source(spark, customers))
     assert len(counts) == 12 and max(counts) < 1_500
     assert sum(counts) == 12_000 and keys == 12_000 * 11_999 // 2
+
+
+@pytest.mark.parametrize("code", ["COL_CC_OLD", "COL_PA", "COL_TI", "ECU_DNI_NEW", "ESP_DNI_NEW", "ESP_DNI_OLD", "PER_DNI_NEW"])
+def test_texts_are_many_tasks(spark, customers, monkeypatch, code):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 1_000)
+    counts, keys = shares(texts._texts(spark, customers, code))
+    assert len(counts) == 12 and max(counts) < 1_500
+    assert sum(counts) == 12_000 and keys == 12_000 * 11_999 // 2
