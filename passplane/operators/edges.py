@@ -2,21 +2,24 @@
 
 An edge is a pixel whose gradient (3 by 3 differences, the sum of both directions' sizes, the picture's border repeated) is over the low
 threshold and the greatest across its direction, in a region of such pixels that touch each other and of which one is over the high
-threshold. The direction is one of four, parted at 22.5 and 67.5 degrees. Everything but the regions is windows and aggregates over pixels.
+threshold. The direction is one of four, parted at 22.5 and 67.5 degrees. Gradients, regions and votes are found inside a picture, whose size bounds a task; pictures are
+spread by their id, and what follows from runs and lines is aggregates and joins.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from passplane.operators import signals
 from passplane.operators.contrast import resized
-from passplane.operators.measures import blurred, grey, lines, margin, portrait_features, whole
-from passplane.operators.regions import labelled, runs, sides
+from passplane.operators.measures import grey, margin, portrait_features, whole
+from passplane.operators.regions import labels_of, sides
 
 # Thresholds of edges around a face and along lines, and in the margins; the margins' share; the band around a face; least votes, length
 # and greatest gap of a line.
@@ -28,39 +31,65 @@ TANGENT = 13573
 COSINE, SINE = ([round(f(math.radians(k)), 9) for k in range(180)] for f in (math.cos, math.sin))
 
 
-def _near(name: str, along: WindowSpec, outside: Column | int | None = None) -> tuple[Column, Column]:
-    """The values one place before and after; outside the picture the own one, or that given."""
-    other = F.col(name) if outside is None else F.lit(outside)
-    return F.coalesce(F.lag(name).over(along), other), F.coalesce(F.lead(name).over(along), other)
-
-
-def thinned(pixels: DataFrame, low: int, high: int, value: str = "g") -> DataFrame:
-    """(image_id, y, x, strong): the pixels over low that are greatest across the gradient, and whether they are over high."""
-    row, column = lines(["image_id"])
-    left, right = _near(value, row)
-    rows = pixels.select("image_id", "y", "x", (right - left).alias("d"), (left + 2 * F.col(value) + right).alias("s"))
-    (up_d, down_d), (up_s, down_s) = _near("d", column), _near("s", column)
-    rows = rows.select("image_id", "y", "x", (up_d + 2 * F.col("d") + down_d).alias("gx"), (down_s - up_s).alias("gy")).withColumn("m", F.abs("gx") + F.abs("gy"))
-    up, down = _near("m", column, 0)
-    rows = rows.withColumns({"up": up, "down": down})
-    (left, right), (up_left, up_right), (down_left, down_right) = (_near(n, row, 0) for n in ("m", "up", "down"))
-    rows = rows.withColumns({"left": left, "right": right, "up_left": up_left, "up_right": up_right, "down_left": down_left, "down_right": down_right})
-    m, ax, ay = F.col("m"), F.abs("gx").cast("long"), F.abs("gy").cast("long") * (1 << 15)
-    flat = ay < ax * TANGENT
-    steep = ay > ax * (TANGENT + (1 << 16))
-    falling = (F.col("gx") < 0) != (F.col("gy") < 0)
-    greatest = (
-        F.when(flat, (m > F.col("left")) & (m >= F.col("right"))).when(steep, (m > F.col("up")) & (m >= F.col("down")))
-        .when(falling, (m > F.col("up_right")) & (m > F.col("down_left"))).otherwise((m > F.col("up_left")) & (m > F.col("down_right")))
+def thinned(values: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a picture's grey values the gradients' sizes, and which are over low and the greatest across their direction."""
+    v = np.pad(values, 1, mode="edge")
+    d, s = v[:, 2:] - v[:, :-2], v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
+    gx, gy = d[:-2] + 2 * d[1:-1] + d[2:], s[2:] - s[:-2]
+    ax, ay = np.abs(gx), np.abs(gy)
+    m = ax + ay
+    around = np.pad(m, 1)
+    # outside the picture sizes are 0
+    at = lambda dy, dx: around[1 + dy : 1 + dy + m.shape[0], 1 + dx : 1 + dx + m.shape[1]]
+    flat, steep, falling = (ay << 15) < ax * TANGENT, (ay << 15) > ax * (TANGENT + (1 << 16)), (gx < 0) != (gy < 0)
+    greatest = np.where(
+        flat, (m > at(0, -1)) & (m >= at(0, 1)),
+        np.where(steep, (m > at(-1, 0)) & (m >= at(1, 0)), np.where(falling, (m > at(-1, 1)) & (m > at(1, -1)), (m > at(-1, -1)) & (m > at(1, 1)))),
     )
-    return rows.where((m > low) & greatest).select("image_id", "y", "x", (m > high).alias("strong"))
+    return m, (m > low) & greatest
 
 
-def edges(pixels: DataFrame, low: int, high: int, value: str = "g") -> DataFrame:
-    """(image_id, y, a, b): the runs of edges."""
-    found = labelled(runs(thinned(pixels, low, high, value), F.max("strong").alias("strong")))
-    kept = F.max("strong").over(Window.partitionBy("image_id", "label"))
-    return found.withColumn("kept", kept).where("kept").select("image_id", "y", "a", "b")
+def softened(values: np.ndarray) -> np.ndarray:
+    """`measures.blurred` by 3 places, of a picture held whole: sides are mirrored without the last place, and a single row or column is its own neighbour."""
+    v = np.pad(values, 1, mode="reflect")
+    across = v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
+    return (across[:-2] + 2 * across[1:-1] + across[2:] + 8) // 16
+
+
+def edge_runs(values: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last columns of a picture's edges, in order."""
+    m, found = thinned(values, low)
+    y, x = np.nonzero(found)
+    first = np.ones(len(y), bool)
+    first[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    at = np.flatnonzero(first)
+    if not len(at):
+        return y, x, x
+    last = np.append(at[1:], len(y)) - 1
+    strong = np.maximum.reduceat(m[y, x] > high, at)
+    label = labels_of(y[at], x[at], x[last], 1)
+    kept = np.zeros(len(at), bool)
+    np.logical_or.at(kept, label, strong)
+    keep = kept[label]
+    return y[at][keep], x[at][keep], x[last][keep]
+
+
+def edges(pixels: DataFrame, low: int, high: int, value: str = "g", soft: bool = False) -> DataFrame:
+    """(image_id, y, a, b): the runs of edges of whole pictures; soft: after a blur of 3 places.
+
+    Pictures are spread by their id and each is one matrix in its task, so a pixel is sorted once, by picture, and not along rows and columns."""
+    types = pixels.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("y", "x", value))
+        picture = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), np.int64)
+        picture[y - y.min(), x - x.min()] = v
+        rows, first, last = edge_runs(softened(picture) if soft else picture, low, high)
+        found = {"y": rows + y.min(), "a": first + x.min(), "b": last + x.min()}
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(rows)), **{n: pa.array(c, table["y" if n == "y" else "x"].type) for n, c in found.items()}})
+
+    out = StructType([types["image_id"], *[StructField(n, types[c].dataType) for n, c in (("y", "y"), ("a", "x"), ("b", "x"))]])
+    return pixels.select("image_id", "y", "x", value).groupBy("image_id").applyInArrow(run, out)
 
 
 def inside(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -74,7 +103,7 @@ def face_ring(pixels: DataFrame, face: Column) -> DataFrame:
 
     face: a struct (x, y, w, h) from image_id. Parts under 4 pixels wide or high are left out; with fewer than 100 pixels in all, or without a face, the
     density is null and the score 1."""
-    found = edges(blurred(pixels, ["image_id"], 3), *AROUND, value="soft")
+    found = edges(pixels, *AROUND, soft=True)
     size = sides(pixels).withColumn("face", face)
     f = F.col("face")
     band = F.greatest(F.lit(8), whole(f["w"] * BAND))
@@ -110,41 +139,50 @@ def densities(pixels: DataFrame, width: int, height: int) -> DataFrame:
     features 75 to 78."""
     half, third = height // 2, width // 3
     parts = [(0, 0, width, height), (0, 0, third, half), (third, 0, third, half), (2 * third, 0, width - 2 * third, half)]
-    found = edges(blurred(pixels, ["image_id"], 3), *AROUND, value="soft")
+    found = edges(pixels, *AROUND, soft=True)
     each = [F.struct(F.lit(75 + k).alias("i"), (F.sum(inside(*(F.lit(v) for v in p))) / (p[2] * p[3])).alias("value")) for k, p in enumerate(parts)]
     return found.groupBy("image_id").agg(F.array(*each).alias("all")).select("image_id", F.inline("all")).where("value <> 0")
 
 
-def votes(found: DataFrame) -> DataFrame:
-    """(image_id, angle, distance, along) for every edge pixel and whole degree of a line's normal: the line's distance from the corner,
-    and the pixel's place along the axis that the line is nearer to."""
-    points = found.select("image_id", "y", F.explode(F.sequence("a", "b")).alias("x"))
-    turns = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(s).alias("s")) for k, (c, s) in enumerate(zip(COSINE, SINE, strict=True))])
-    rows = points.select("image_id", "y", "x", F.explode(turns).alias("t"))
-    distance = F.floor(F.col("x") * F.col("t.c") + F.col("y") * F.col("t.s") + 0.5).cast("int")
-    along = F.when(F.col("t.k").between(45, 135), F.col("x")).otherwise(F.col("y"))
-    return rows.select("image_id", F.col("t.k").alias("angle"), distance.alias("distance"), along.alias("along"))
+def lines_of(y: np.ndarray, x: np.ndarray, least: int, length: int, gap: int) -> list[tuple[int, int, int, int]]:
+    """(angle, distance, first, last) of the stretches of edge pixels on a picture's lines. Every pixel votes for the line through it of each whole degree of the normal, by
+    its distance from the corner; places on a line are those along the axis that it is nearer to."""
+    distances = lambda k: np.floor(x * COSINE[k] + y * SINE[k] + 0.5).astype(np.int64)
+    # one place more at each end, which no line has
+    base = int(np.abs(x).max() + np.abs(y).max()) + 2
+    cells = np.zeros((len(COSINE) + 2, 2 * base + 1), np.int64)
+    for k in range(len(COSINE)):
+        cells[k + 1] = np.bincount(distances(k) + base, minlength=2 * base + 1)
+    cells[cells < least] = 0
+    n = cells[1:-1, 1:-1]
+    peaks = (n > 0) & (n > cells[1:-1, :-2]) & (n >= cells[1:-1, 2:]) & (n > cells[:-2, 1:-1]) & (n >= cells[2:, 1:-1])
+    out = []
+    for k in np.flatnonzero(peaks.any(axis=1)).tolist():
+        own, along = distances(k), x if 45 <= k <= 135 else y
+        for d in (np.flatnonzero(peaks[k]) + 1 - base).tolist():
+            places = np.unique(along[own == d])
+            cut = np.flatnonzero(np.diff(places) > gap + 1)
+            first, last = places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]
+            out += [(k, d, int(a), int(b)) for a, b in zip(first, last, strict=True) if b - a >= length]
+    return out
 
 
 def line_segments(found: DataFrame, least: int = VOTES, length: int = LENGTH, gap: int = GAP) -> DataFrame:
     """(image_id, angle, distance, first, last): stretches of edges on a line, with at most gap places missing in a row and at least so long.
 
     Lines are cells of (angle, distance) with at least so many votes, more than the neighbours before and no fewer than those after, in
-    angle and in distance."""
-    cast = votes(found)
-    cells = cast.groupBy("image_id", "angle", "distance").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    c = F.col
-    beside = Window.partitionBy("image_id", "angle").orderBy("distance")
-    around = Window.partitionBy("image_id", "distance").orderBy("angle")
-    near = lambda f, key, w, step: F.coalesce(F.when(f(key).over(w) == c(key) + step, f("n").over(w)), F.lit(0))
-    peaks = cells.withColumns({
-        "d0": near(F.lag, "distance", beside, -1), "d1": near(F.lead, "distance", beside, 1), "a0": near(F.lag, "angle", around, -1), "a1": near(F.lead, "angle", around, 1),
-    }).where("n > d0 and n >= d1 and n > a0 and n >= a1")
-    line = Window.partitionBy("image_id", "angle", "distance").orderBy("along")
-    points = cast.join(peaks.select("image_id", "angle", "distance"), ["image_id", "angle", "distance"]).distinct()
-    new = points.withColumn("new", F.when(c("along") - F.lag("along").over(line) <= gap + 1, 0).otherwise(1))
-    parts = new.withColumn("part", F.sum("new").over(line)).groupBy("image_id", "angle", "distance", "part").agg(F.min("along").alias("first"), F.max("along").alias("last"))
-    return parts.where(c("last") - c("first") >= length).select("image_id", "angle", "distance", "first", "last")
+    angle and in distance. Votes are counted inside a picture: only runs are shuffled."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, a, b = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("y", "a", "b"))
+        count = b - a + 1
+        x = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+        lines = lines_of(np.repeat(y, count), x, least, length, gap)
+        columns = zip(*lines, strict=True) if lines else [[]] * 4
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(lines)), **{n: pa.array(c, pa.int32()) for n, c in zip(("angle", "distance", "first", "last"), columns, strict=True)}})
+
+    out = StructType([found.schema["image_id"], *[StructField(n, IntegerType()) for n in ("angle", "distance", "first", "last")]])
+    return found.groupBy("image_id").applyInArrow(run, out)
 
 
 def perspective(pixels: DataFrame, least: int = VOTES, length: int = LENGTH, gap: int = GAP) -> DataFrame:

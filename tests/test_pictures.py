@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from passplane.operators import contrast, edges, regions
+from passplane.operators import contrast, edges, measures, regions
 
 
 def picture(seed, height=23, width=31, grey=60):
@@ -225,3 +225,15 @@ def test_densities_of_one_border(spark):
     g[:, 64:] = 255
     found = {r.i: r.value for r in edges.densities(frame(spark, {1: g}), 128, 160).collect()}
     assert found == {75: 160 / (128 * 160), 77: 80 / (42 * 80)}
+
+
+def test_edges_and_lines_of_a_picture_are_one_task_each(spark):
+    """Pixels meet once, by picture; neither they nor their votes are sorted or counted along lines by Spark."""
+    rng = np.random.default_rng(5)
+    pictures = {k: rng.integers(0, 256, (h, w)) for k, (h, w) in enumerate([(40, 60), (1, 30), (30, 1), (2, 2), (1, 1)])}
+    found = edges.perspective(frame(spark, pictures))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    assert found.count() == 5
+    soft = {(r.image_id, r.y, r.x): r.soft for r in measures.blurred(frame(spark, pictures), ["image_id"], 3).collect()}
+    assert soft == {(k, y, x): int(v) for k, g in pictures.items() for (y, x), v in np.ndenumerate(edges.softened(g))}
