@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from passplane.operators import signals
 from passplane.operators.contrast import resized
 from passplane.operators.measures import grey, margin, portrait_features, whole
-from passplane.operators.regions import labels_of, sides
+from passplane.operators.regions import labels_of, matrix, sides, softened
 
 # Thresholds of edges around a face and along lines, and in the margins; the margins' share; the band around a face; least votes, length
 # and greatest gap of a line.
@@ -49,13 +49,6 @@ def thinned(values: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     return m, (m > low) & greatest
 
 
-def softened(values: np.ndarray) -> np.ndarray:
-    """`measures.blurred` by 3 places, of a picture held whole: sides are mirrored without the last place, and a single row or column is its own neighbour."""
-    v = np.pad(values, 1, mode="reflect")
-    across = v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
-    return (across[:-2] + 2 * across[1:-1] + across[2:] + 8) // 16
-
-
 def edge_runs(values: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, first and last columns of a picture's edges, in order."""
     m, found = thinned(values, low)
@@ -81,11 +74,9 @@ def edges(pixels: DataFrame, low: int, high: int, value: str = "g", soft: bool =
     types = pixels.schema
 
     def run(table: pa.Table) -> pa.Table:
-        y, x, v = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("y", "x", value))
-        picture = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), np.int64)
-        picture[y - y.min(), x - x.min()] = v
+        picture, top, left = matrix(table, value)
         rows, first, last = edge_runs(softened(picture) if soft else picture, low, high)
-        found = {"y": rows + y.min(), "a": first + x.min(), "b": last + x.min()}
+        found = {"y": rows + top, "a": first + left, "b": last + left}
         return pa.table({"image_id": pa.repeat(table["image_id"][0], len(rows)), **{n: pa.array(c, table["y" if n == "y" else "x"].type) for n, c in found.items()}})
 
     out = StructType([types["image_id"], *[StructField(n, types[c].dataType) for n, c in (("y", "y"), ("a", "x"), ("b", "x"))]])

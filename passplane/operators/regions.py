@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from passplane.operators.measures import blurred, lines, sized
+from passplane.operators.measures import lines
 
 # The side of the closing; a document's least and greatest share of the frame, and how much of its rectangle it fills.
 CLOSING, LEAST, MOST, FILLED = 25, 0.20, 0.95, 0.75
@@ -41,15 +41,19 @@ def joined(found: DataFrame) -> DataFrame:
     return new.withColumn("_island", F.sum("_new").over(along)).groupBy("image_id", "y", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
 
 
-def labels_of(y: np.ndarray, a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
-    """The first run of each run's region. Runs are in order of (y, a) and apart within a row; they touch those of the next row that begin
-    at most reach places after them and end at most as many before."""
+def touching(y: np.ndarray, a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of neighbouring rows that touch, as their numbers; see `labels_of`."""
     wide = int(b.max()) + 3 if len(b) else 1
     low = np.searchsorted(y * wide + b, (y + 1) * wide + a - reach)
     high = np.maximum(low, np.searchsorted(y * wide + a, (y + 1) * wide + b + reach, side="right"))
     count = high - low
-    upper = np.repeat(np.arange(len(y)), count)
-    lower = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    return np.repeat(np.arange(len(y)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+
+
+def labels_of(y: np.ndarray, a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """The first run of each run's region. Runs are in order of (y, a) and apart within a row; they touch those of the next row that begin
+    at most reach places after them and end at most as many before."""
+    upper, lower = touching(y, a, b, reach)
     label = np.arange(len(y))
     while True:
         before = label.copy()
@@ -130,16 +134,93 @@ def shapes(found: DataFrame) -> DataFrame:
     return boxes.join(areas, ["image_id", "label"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
 
 
+def matrix(table: pa.Table, value: str) -> tuple[np.ndarray, int, int]:
+    """A whole picture's values by row and column, and the first row's and column's number."""
+    y, x, v = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("y", "x", value))
+    top, left = int(y.min()), int(x.min())
+    picture = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), np.int64)
+    picture[y - top, x - left] = v
+    return picture, top, left
+
+
+def softened(values: np.ndarray, taps: tuple[int, ...] = (1, 2, 1)) -> np.ndarray:
+    """`measures.blurred` of a picture held whole: sides are mirrored without the last place."""
+    (high, wide), v = values.shape, np.pad(values, len(taps) // 2, mode="reflect")
+    across = sum(t * v[:, k : k + wide] for k, t in enumerate(taps))
+    down, n = sum(t * across[k : k + high] for k, t in enumerate(taps)), sum(taps) ** 2
+    return (2 * down + n) // (2 * n)
+
+
+def best_part(values: np.ndarray) -> int:
+    """`otsu` of a picture held whole."""
+    n = np.bincount(values.ravel())
+    t = np.flatnonzero(n)
+    n = n[t]
+    n0, s0, all_, total = np.cumsum(n), np.cumsum(n * t), n.sum(), (n * t).sum()
+    apart = (total * n0 - s0 * all_) / all_
+    return int(t[np.argmax(np.where(n0 < all_, apart * apart / (n0 * np.maximum(all_ - n0, 1)), 0.0))])
+
+
+def closed_whole(flags: np.ndarray, size: int = CLOSING) -> np.ndarray:
+    """`closed` of a picture held whole."""
+    half = size // 2
+    for axis, least in ((1, False), (0, False), (0, True), (1, True)):
+        flags = np.moveaxis(flags, axis, 0)
+        at = np.arange(len(flags))
+        first, last = np.maximum(at - half, 0), np.minimum(at + half, len(flags) - 1) + 1
+        sums = np.concatenate([np.zeros((1, flags.shape[1]), np.int64), np.cumsum(flags, axis=0)])
+        ones = sums[last] - sums[first]
+        flags = np.moveaxis(ones == (last - first)[:, None] if least else ones > 0, 0, axis)
+    return flags
+
+
+def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last columns of the runs of ones of a picture held whole, in order."""
+    step = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, a = np.nonzero(step == 1)
+    return y, a, np.nonzero(step == -1)[1] - 1
+
+
+def without_holes(flags: np.ndarray) -> np.ndarray:
+    """Flags with the zeros that do not reach the picture's sides made ones (corners let nothing through)."""
+    (high, wide), (y, a, b) = flags.shape, spans(~flags)
+    label, open_ = labels_of(y, a, b, 0), np.zeros(len(y), bool)
+    np.logical_or.at(open_, label, (y == 0) | (y == high - 1) | (a == 0) | (b == wide - 1))
+    out = flags.copy()
+    for k in np.flatnonzero(~open_[label]).tolist():
+        out[y[k], a[k] : b[k] + 1] = True
+    return out
+
+
+def light_runs(pixels: DataFrame) -> DataFrame:
+    """(image_id, label, y, a, b, halves, height, width) of whole grey pictures: the runs of their light regions, blurred, parted, closed and without holes; halves: twice the area between
+    a run and those below it, as in `shapes`. A picture without one has a row of nulls. A picture is one matrix in its task, so a pixel is sorted once, by picture."""
+
+    def run(table: pa.Table) -> pa.Table:
+        picture, top, left = matrix(table, "g")
+        soft = softened(picture, (1, 4, 6, 4, 1))
+        y, a, b = spans(without_holes(closed_whole(soft > best_part(soft))))
+        upper, lower = touching(y, a, b, 0)
+        common = np.minimum(b[upper], b[lower]) - np.maximum(a[upper], a[lower])
+        halves = np.bincount(upper, common * 2 + (a[upper] != a[lower]) + (b[upper] != b[lower]), len(y)).astype(np.int64)
+        columns = {"label": labels_of(y, a, b, 1), "y": y + top, "a": a + left, "b": b + left, "halves": halves} if len(y) else dict.fromkeys(("label", "y", "a", "b", "halves"), [None])
+        n = max(len(y), 1)
+        columns |= {"height": np.full(n, top + picture.shape[0]), "width": np.full(n, left + picture.shape[1])}
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], n), **{n: pa.array(c, pa.int64()) for n, c in columns.items()}})
+
+    out = StructType([pixels.schema["image_id"], *[StructField(n, LongType()) for n in ("label", "y", "a", "b", "halves", "height", "width")]])
+    return pixels.select("image_id", "y", "x", "g").groupBy("image_id").applyInArrow(run, out)
+
+
 def document(pixels: DataFrame) -> DataFrame:
     """(image_id, x, y, w, h) of grey pictures (image_id, y, x, g): the largest light region, if it is a credible document, else nulls.
 
     Blurred, parted at its best threshold, gaps closed; of equal regions the first from above. A region nearer to a side of the picture than
     half the closing is closed up to it. A picture without a region has nulls."""
-    size = sides(pixels)
-    soft = blurred(pixels, ["image_id"])
-    flags = sized(soft).join(otsu(soft, "soft"), "image_id").select("image_id", "y", "x", (F.col("soft") > F.col("threshold")).cast("int").alias("v"), "height", "width")
-    best = shapes(filled(closed(flags))).groupBy("image_id").agg(F.min(F.struct((-F.col("area")).alias("by"), "label", "x", "y", "w", "h")).alias("s"))
+    size = [F.max(c).alias(c) for c in ("height", "width")]
+    boxes = light_runs(pixels).groupBy("image_id", "label").agg(F.min("a").alias("x"), F.min("y").alias("y"), (F.max("b") - F.min("a") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), (F.sum("halves") / 2).alias("area"), *size)
+    best = boxes.groupBy("image_id").agg(F.min(F.struct((-F.col("area")).alias("by"), "label", "x", "y", "w", "h")).alias("s"), *size)
     rect = (F.col("s.w") * F.col("s.h")).cast("double")
     share = rect / (F.col("height") * F.col("width"))
     sure = (F.col("s.by") < 0) & share.between(LEAST, MOST) & (-F.col("s.by") / rect >= FILLED)
-    return size.join(best, "image_id", "left").select("image_id", *[F.when(sure, F.col(f"s.{c}")).cast("int").alias(c) for c in "xywh"])
+    return best.select("image_id", *[F.when(sure, F.col(f"s.{c}")).cast("int").alias(c) for c in "xywh"])

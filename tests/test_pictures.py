@@ -237,3 +237,26 @@ def test_edges_and_lines_of_a_picture_are_one_task_each(spark):
     assert found.count() == 5
     soft = {(r.image_id, r.y, r.x): r.soft for r in measures.blurred(frame(spark, pictures), ["image_id"], 3).collect()}
     assert soft == {(k, y, x): int(v) for k, g in pictures.items() for (y, x), v in np.ndenumerate(edges.softened(g))}
+
+
+def test_a_document_is_found_in_one_task_a_picture(spark):
+    """No window over pixels; the whole picture's steps equal those over rows of pixels, also in pictures of a few places."""
+    rng = np.random.default_rng(6)
+    pictures = {k: rng.integers(0, 4, (h, w)) * 60 for k, (h, w) in enumerate([(30, 41), (9, 50), (1, 30), (30, 1), (2, 2), (1, 1)])}
+    pixels = frame(spark, pictures)
+    plan = regions.document(pixels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    soft = measures.blurred(pixels, ["image_id"])
+    part = {r.image_id: r.threshold for r in regions.otsu(soft, "soft").collect()}
+    by_row = {(r.image_id, r.y, r.x): r.soft for r in soft.collect()}
+    flags = {}
+    for k, g in pictures.items():
+        whole = regions.softened(g, (1, 4, 6, 4, 1))
+        assert regions.best_part(whole) == part[k]
+        assert all(by_row[k, y, x] == v for (y, x), v in np.ndenumerate(whole))
+        flags[k] = rng.integers(0, 5, g.shape) > 3
+    rows = measures.sized(frame(spark, flags, "v"))
+    closed = {(r.image_id, r.y, r.x): r.v for r in regions.closed(rows, 5).collect()}
+    full = {(r.image_id, r.y, r.a, r.b) for r in regions.filled(rows).collect()}
+    assert full == {(k, int(y), int(a), int(b)) for k, v in flags.items() for y, a, b in zip(*regions.spans(regions.without_holes(v)), strict=True)}
+    assert closed == {(k, y, x): int(c) for k, v in flags.items() for (y, x), c in np.ndenumerate(regions.closed_whole(v, 5))}
