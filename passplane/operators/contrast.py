@@ -2,61 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from passplane.operators.regions import sides
+from passplane.operators.regions import matrix, sides
 
 # Tiles in each direction, and how many times the mean a grey value's count may be.
 TILES, CLIP = 8, 2.0
 
 
-def tile_size(pixels: DataFrame, tiles: int = TILES) -> DataFrame:
-    """(image_id, height, width, th, tw): the size of a tile. A picture that tiles do not divide in both directions is taken as padded in
-    both, by one tile's count at most, with what lies before its end, mirrored."""
-    even = (F.col("width") % tiles == 0) & (F.col("height") % tiles == 0)
-    padded = lambda c: F.when(even, F.col(c)).otherwise(F.col(c) + tiles - F.col(c) % tiles)
-    return sides(pixels).withColumns({"th": (padded("height") / tiles).cast("int"), "tw": (padded("width") / tiles).cast("int")})
+def tile_side(height: int, width: int, tiles: int = TILES) -> tuple[int, int]:
+    """The height and width of a tile. A picture that tiles do not divide in both directions is taken as padded in both, by one tile's count at most, with what lies before
+    its end, mirrored."""
+    if height % tiles == 0 and width % tiles == 0:
+        return height // tiles, width // tiles
+    return (height + tiles - height % tiles) // tiles, (width + tiles - width % tiles) // tiles
 
 
-def tile_tables(pixels: DataFrame, tiles: int = TILES, clip: float = CLIP) -> DataFrame:
-    """(image_id, tile, table): for each tile of grey pictures (with th, tw, height, width) the new value of every grey value.
+def tile_tables(values: np.ndarray, tiles: int = TILES, clip: float = CLIP) -> np.ndarray:
+    """(tile row, tile column, grey value): the new value of every grey value in each tile of a picture.
 
     Counts over the limit are cut; what is cut is dealt to all 256 values alike, and the rest to evenly spaced ones. The new value is the running sum's
     share of 255."""
+    sides = tile_side(*values.shape, tiles)
+
     # a mirrored place counts with each tile that it is padded to
-    def tile_of(at: str, n: str, t: str) -> Column:
-        own, other = F.col(at), 2 * (F.col(n) - 1) - F.col(at)
-        again = (other >= F.col(n)) & (other < F.col(t) * tiles)
-        return F.when(again, F.array((own / F.col(t)).cast("int"), (other / F.col(t)).cast("int"))).otherwise(F.array((own / F.col(t)).cast("int")))
-
-    dealt = pixels.withColumn("ty", F.explode(tile_of("y", "height", "th"))).withColumn("tx", F.explode(tile_of("x", "width", "tw")))
-    counts = dealt.groupBy("image_id", (F.col("ty") * tiles + F.col("tx")).alias("tile"), "g").agg(F.count("*").alias("n"), F.first(F.col("th") * F.col("tw")).alias("size"))
-    limit = F.greatest((F.col("size") * clip / 256).cast("int"), F.lit(1))
-    cut = counts.withColumn("limit", limit).groupBy("image_id", "tile").agg(
-        F.first("size").alias("size"), F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).alias("over"), F.map_from_entries(F.collect_list(F.struct("g", F.least("n", "limit").alias("n")))).alias("kept"),
-    )
-    rest = F.col("over") % 256
-    step = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1))
-    extra = lambda v: F.when((rest > 0) & (v % step == 0) & (v / step < rest), 1).otherwise(0)
-    grid = cut.select("image_id", "tile", "size", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("kept", v), F.lit(0)) + F.floor(F.col("over") / 256) + extra(v)).alias("h"))
-    upto = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out")), lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["out"], F.array(F.least(F.floor((s["sum"] + n) * (255.0 / F.col("size")) + 0.5), F.lit(255)).cast("int"))).alias("out")))
-    return grid.select("image_id", "tile", upto["out"].alias("table"))
+    def dealt(n: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(n)
+        other = 2 * (n - 1) - at
+        again = (other >= n) & (other < side * tiles)
+        return np.append(at, at[again]), np.append(at, other[again]) // side
+
+    (rows, ty), (columns, tx) = (dealt(n, side) for n, side in zip(values.shape, sides, strict=True))
+    cells = (ty[:, None] * tiles + tx) * 256 + values[np.ix_(rows, columns)]
+    counts = np.bincount(cells.ravel(), minlength=tiles * tiles * 256).reshape(tiles, tiles, 256)
+    size = sides[0] * sides[1]
+    limit = max(int(size * clip / 256), 1)
+    over = np.maximum(counts - limit, 0).sum(axis=2, keepdims=True)
+    rest, v = over % 256, np.arange(256)
+    step = 256 // np.maximum(rest, 1)
+    held = np.minimum(counts, limit) + over // 256 + ((rest > 0) & (v % step == 0) & (v // step < rest))
+    return np.minimum(np.floor(np.cumsum(held, axis=2) * (255.0 / size) + 0.5), 255).astype(np.int64)
 
 
 def equalised(pixels: DataFrame, tiles: int = TILES, clip: float = CLIP) -> DataFrame:
     """(image_id, y, x, g): grey pictures with the contrast of each part made alike: a pixel's new value lies between those of the four nearest tiles, by its
-    distance from their middles."""
-    rows = pixels.select("image_id", "y", "x", "g").join(tile_size(pixels, tiles), "image_id")
-    tables = tile_tables(rows, tiles, clip).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("tile", "table"))).alias("tables"))
-    at = lambda c, t: F.col(c) / F.col(t) - 0.5
-    y, x = at("y", "th"), at("x", "tw")
-    near = lambda c: F.greatest(F.least(c.cast("int"), F.lit(tiles - 1)), F.lit(0))
-    placed = rows.select("image_id", "y", "x", "g", (y - F.floor(y)).alias("fy"), (x - F.floor(x)).alias("fx"), *[near(F.floor(c) + k).alias(f"{n}{k}") for n, c in (("y", y), ("x", x)) for k in (0, 1)])
-    value = lambda a, b: F.element_at(F.element_at("tables", F.col(a) * tiles + F.col(b)), F.col("g") + 1)
-    fy, fx = F.col("fy"), F.col("fx")
-    mixed = (value("y0", "x0") * (1 - fx) + value("y0", "x1") * fx) * (1 - fy) + (value("y1", "x0") * (1 - fx) + value("y1", "x1") * fx) * fy
-    return placed.join(tables, "image_id").select("image_id", "y", "x", F.floor(mixed + 0.5).cast("int").alias("g"))
+    distance from their middles. Pictures are spread by their id, each is one matrix in its task."""
+
+    def near(n: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / side - 0.5
+        first = np.floor(at).astype(np.int64)
+        return np.clip(first, 0, tiles - 1), np.clip(first + 1, 0, tiles - 1), at - first
+
+    def run(table: pa.Table) -> pa.Table:
+        g, top, left = matrix(table, "g")
+        tables = tile_tables(g, tiles, clip)
+        (y0, y1, fy), (x0, x1, fx) = (near(n, side) for n, side in zip(g.shape, tile_side(*g.shape, tiles), strict=True))
+        value, fy = (lambda y, x: tables[y[:, None], x, g]), fy[:, None]
+        mixed = (value(y0, x0) * (1 - fx) + value(y0, x1) * fx) * (1 - fy) + (value(y1, x0) * (1 - fx) + value(y1, x1) * fx) * fy
+        y, x = np.indices(g.shape).reshape(2, -1)
+        columns = {"y": y + top, "x": x + left, "g": np.floor(mixed + 0.5).astype(np.int64).ravel()}
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], g.size), **{n: pa.array(c, pa.int32()) for n, c in columns.items()}})
+
+    out = StructType([pixels.schema["image_id"], *[StructField(n, IntegerType()) for n in ("y", "x", "g")]])
+    return pixels.select("image_id", "y", "x", "g").groupBy("image_id").applyInArrow(run, out)
 
 
 def resized(pixels: DataFrame, width: int, height: int, channels: list[str]) -> DataFrame:

@@ -260,3 +260,9 @@ def test_a_document_is_found_in_one_task_a_picture(spark):
     full = {(r.image_id, r.y, r.a, r.b) for r in regions.filled(rows).collect()}
     assert full == {(k, int(y), int(a), int(b)) for k, v in flags.items() for y, a, b in zip(*regions.spans(regions.without_holes(v)), strict=True)}
     assert closed == {(k, y, x): int(c) for k, v in flags.items() for (y, x), c in np.ndenumerate(regions.closed_whole(v, 5))}
+
+
+def test_contrast_of_a_picture_is_one_task(spark):
+    """No pixel is joined or exploded: pictures meet once, by their id."""
+    plan = contrast.equalised(frame(spark, {1: picture(3)}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
