@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,34 +16,31 @@ from passplane.plans import derived, texts, zones
 from passplane.sources import keyed
 from passplane.sources import pictures as files
 from passplane.sources.folders import mounted, shared_folder
-from passplane.sources.tables import table
+from passplane.sources.tables import spread, table
 from passplane.streaming import sessions
 
 
 def _vectors_as_files(spark: SparkSession, sf_dir: str) -> str:
     """Every vector as an 8 by 8 PNG of three colours, with a row filter by its number; every fiftieth is cut short. Gives the folder."""
     folder = shared_folder(spark, "pictures")
-    flat = derived.pixels(spark, sf_dir).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "g"))), lambda s: s["g"]).alias("all"))
-    rows = flat.select("image_id", F.flatten(F.transform("all", lambda p: F.array(p, (p + 40) % 256, (p + 90) % 256))).alias("t"))
+    root = mounted(folder)
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    rows = derived.levels(vectors.where(F.size("embedding") > 0)).select("image_id", F.flatten(F.transform("all", lambda p: F.array(p, (p + 40) % 256, (p + 90) % 256))).alias("t"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"path": [f"{i % 10}/{i}.png" for i in pdf.image_id], "width": 8, "bgr": [np.asarray(t, np.uint8).tobytes() for t in pdf.t], "filters": pdf.image_id % 5})
 
-    written = files.write(rows.mapInPandas(packed, "path string, width int, bgr binary, filters int"), folder)
-    list(written.where("length < 0").toLocalIterator())  # every file is written, and no row comes back
-    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
-    broken = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content").where(number % 50 == 7)
-    root = mounted(folder)
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                with open(f"{root}/{'/'.join(path.split('/')[-2:])}", "wb") as file:
-                    file.write(content[: len(content) - 20])
+            for path, length in zip(pdf.path, pdf.length, strict=True):
+                os.truncate(f"{root}/{path}", length - 20)
             yield pdf[["path"]]
 
-    list(broken.mapInPandas(cut, "path string").where("path = ''").toLocalIterator())
+    written = files.write(rows.mapInPandas(packed, "path string, width int, bgr binary, filters int"), folder)
+    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
+    # one job writes every file, and a task cuts its own by the length that it wrote, so a repeated task gives the same files
+    written.where(number % 50 == 7).mapInPandas(cut, "path string").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -51,9 +49,10 @@ def q_picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _vectors_as_files(spark, sf_dir)
     files.register(spark)
     read = spark.read.format("pictures").option("pattern", "*.png").option("bytesPerPartition", 64_000).load(folder)
-    sums = files.pixels(read).groupBy("path").agg(*[F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in "bgr"], F.count("*").alias("n"))
-    rows = read.select("path", "height", "width", "error").join(sums, "path", "left")
-    return rows.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", F.col("error").isNotNull().alias("failed"), "n", *"bgr")
+    sums = [F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in "bgr"]
+    rows = files.pixels(read, outer=True).groupBy("path", "height", "width", "error").agg(F.count("x").alias("n"), *sums)
+    failed = F.col("error").isNotNull()
+    return rows.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", failed.alias("failed"), F.when(~failed, F.col("n")).alias("n"), *"bgr")
 
 
 def q_keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Picture files, keyed tables and stateful streams."""
 
 import datetime
+import pathlib
 import struct
 import zlib
 
@@ -8,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passplane.plans import derived, stores
 from passplane.sources import keyed
 from passplane.sources import pictures as files
+from passplane.sources import tables
 from passplane.streaming import sessions
 from tests.test_sources_and_streams import streamed
 
@@ -72,6 +75,68 @@ def test_picture_source(spark, tmp_path):
         files.mounted("hdfs://somewhere")
 
 
+def test_small_pictures_leave_together():
+    """Five thousand pictures of 64 pixels are a few tables, a large one is several, and each pixel is in one."""
+    sizes = [64] * 5000 + [250_000, 0, 10]
+    held = list(files._stretches(sizes))
+    assert len(held) < 8 and all(0 < sum(b - a for _, a, b in part) <= files.PIXELS_A_BATCH for part in held)
+    runs = [run for part in held for run in part]
+    assert runs == sorted(runs) and all([b for k, _, b in runs if k == i][-1:] == ([size] if size else []) for i, size in list(enumerate(sizes))[4990:])
+    assert all(a == (0 if k != before[0] else before[2]) for before, (k, a, _) in zip([(-1, 0, 0), *runs], runs)) and sum(b - a for _, a, b in runs) == sum(sizes)
+
+
+def test_pixels_with_unreadable_pictures(spark):
+    rng = np.random.default_rng(3)
+    pictures = {f"{k}.png": rng.integers(0, 256, (1 + k % 3, 1 + k % 4, 3)).astype(np.uint8) for k in range(40)} | {"large.png": rng.integers(0, 256, (500, 401, 3)).astype(np.uint8)}
+    rows = [files.row_of(p, files.encode(v, k % 5)) for k, (p, v) in enumerate(pictures.items())]
+    bad = [files.row_of("bad.png", b""), files.row_of("worse.png", b"GIF")]
+    found = files.pixels(spark.createDataFrame([*bad, *rows], files.SCHEMA).coalesce(1), outer=True)
+    assert found.columns == ["path", "height", "width", "error", "y", "x", "b", "g", "r"]
+    sums = found.groupBy("path", "height", "width", "error").agg(F.count("x").alias("n"), *[F.sum(F.col(c) * (F.col("x") + 3 * F.col("y") + 1)).alias(c) for c in "bgr"]).collect()
+    want = {("bad.png", None, None, "empty", 0, None, None, None), ("worse.png", None, None, "unknown format", 0, None, None, None)}
+    for p, v in pictures.items():
+        y, x = np.indices(v.shape[:2])
+        want.add((p, *v.shape[:2], None, v.shape[0] * v.shape[1], *[int((v[..., c].astype(int) * (x + 3 * y + 1)).sum()) for c in range(3)]))
+    assert {tuple(r) for r in sums} == want and len(sums) == 43
+    assert files.pixels(spark.createDataFrame([*bad, *rows], files.SCHEMA)).columns == ["path", "y", "x", "b", "g", "r"]
+
+
+def test_picture_files_are_written_by_one_job(spark, tmp_path, monkeypatch):
+    """Six hundred vectors, one of them null, in one row group: files are written by several tasks at once and cut by those; they are read once."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 50)
+    rows = spark.range(600).select(F.col("id").alias("vec_id"), F.when(F.col("id") != 599, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: ((p * (F.col("id") + 3)) % 761).cast("float"))).alias("embedding"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.sparkContext.setJobGroup("picture files", "")
+    try:
+        folder = files.mounted(stores._vectors_as_files(spark, str(tmp_path)))
+        jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("picture files")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [spark.sparkContext.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds if spark.sparkContext.statusTracker().getStageInfo(s)]
+    assert len(jobs) < 8 and max(tasks) == 12
+    sizes = {int(p.stem): p.stat().st_size for p in pathlib.Path(folder).rglob("*.png")}
+    assert sorted(sizes) == list(range(599))
+    for k in (7, 57, 557):  # every fiftieth
+        content = (pathlib.Path(folder) / f"{k % 10}" / f"{k}.png").read_bytes()
+        with pytest.raises(files.Unreadable, match="ends early"):
+            files.decode(content)
+    query = stores.q_picture_files(spark, str(tmp_path))
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
+    assert query.count() == 599 and query.where("failed").count() == query.where("n is null").count() == 12 and query.where("n = 64 and height = 8 and width = 8").count() == 587
+
+
+def test_grey_values_find_extremes_once_a_vector(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    for rows in (derived.levels(vectors), derived.pixels(spark, sf_dir)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("array_min(") == 1
+    pixels = derived.pixels(spark, sf_dir).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "g"))).alias("s")).select("image_id", F.col("s.g").alias("all"))
+    got, want = {r.image_id: list(r["all"]) for r in derived.levels(vectors).collect()}, {}
+    for r in vectors.collect():
+        v = np.array(r.embedding, np.float64)
+        want[r.vec_id] = np.floor((v - v.min()) / (v.max() - v.min()) * 255 + 0.5).astype(int).tolist()
+    assert got == want == {r.image_id: list(r["all"]) for r in pixels.collect()}
+
+
 def test_keyed_table(spark, tmp_path):
     schema = spark.createDataFrame([], "k long, s string, v int, n long").schema
     rows = lambda *r: spark.createDataFrame(list(r), schema)
