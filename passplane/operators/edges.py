@@ -31,11 +31,13 @@ TANGENT = 13573
 COSINE, SINE = ([round(f(math.radians(k)), 9) for k in range(180)] for f in (math.cos, math.sin))
 
 
-def thinned(values: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a picture's grey values the gradients' sizes, and which are over low and the greatest across their direction."""
-    v = np.pad(values, 1, mode="edge")
+def thinned(values: np.ndarray, low: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a picture's grey values the gradients' sizes, and which are over low and the greatest across their direction. seen: which rows are there; gradients go
+    from one to the next, and are 0 in others."""
+    v = np.pad(values[seen], 1, mode="edge")
     d, s = v[:, 2:] - v[:, :-2], v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
-    gx, gy = d[:-2] + 2 * d[1:-1] + d[2:], s[2:] - s[:-2]
+    gx, gy = np.zeros_like(values), np.zeros_like(values)
+    gx[seen], gy[seen] = d[:-2] + 2 * d[1:-1] + d[2:], s[2:] - s[:-2]
     ax, ay = np.abs(gx), np.abs(gy)
     m = ax + ay
     around = np.pad(m, 1)
@@ -49,9 +51,9 @@ def thinned(values: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     return m, (m > low) & greatest
 
 
-def edge_runs(values: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def edge_runs(values: np.ndarray, low: int, high: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, first and last columns of a picture's edges, in order."""
-    m, found = thinned(values, low)
+    m, found = thinned(values, low, seen)
     y, x = np.nonzero(found)
     first = np.ones(len(y), bool)
     first[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
@@ -68,14 +70,17 @@ def edge_runs(values: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.n
 
 
 def edges(pixels: DataFrame, low: int, high: int, value: str = "g", soft: bool = False) -> DataFrame:
-    """(image_id, y, a, b): the runs of edges of whole pictures; soft: after a blur of 3 places.
+    """(image_id, y, a, b): the runs of edges of whole pictures, or of pictures that lack rows; soft: after a blur of 3 places.
 
     Pictures are spread by their id and each is one matrix in its task, so a pixel is sorted once, by picture, and not along rows and columns."""
     types = pixels.schema
 
     def run(table: pa.Table) -> pa.Table:
         picture, top, left = matrix(table, value)
-        rows, first, last = edge_runs(softened(picture) if soft else picture, low, high)
+        seen = np.isin(np.arange(len(picture)) + top, table["y"])
+        if soft:
+            picture[seen] = softened(picture[seen])
+        rows, first, last = edge_runs(picture, low, high, seen)
         found = {"y": rows + top, "a": first + left, "b": last + left}
         return pa.table({"image_id": pa.repeat(table["image_id"][0], len(rows)), **{n: pa.array(c, table["y" if n == "y" else "x"].type) for n, c in found.items()}})
 
@@ -115,14 +120,15 @@ def face_ring(pixels: DataFrame, face: Column) -> DataFrame:
 
 
 def background(pixels: DataFrame, share: float = MARGIN) -> DataFrame:
-    """(image_id, edges, std, score): the share of edges and the deviation in a picture's margins."""
-    found, size = edges(pixels, *MARGINS), sides(pixels)
+    """(image_id, edges, std, score): the share of edges and the deviation in a picture's margins. Pixels may have the height and width of the frame that
+    they are in; the share is of those that are there."""
     mw, mh = whole(F.col("width") * share), whole(F.col("height") * share)
-    outside = (F.col("b") - F.col("a") + 1) - inside(mw, mh, F.col("width") - 2 * mw, F.col("height") - 2 * mh)
-    counted = found.join(size, "image_id").groupBy("image_id").agg(F.sum(outside).alias("edge"))
-    all_ = F.col("height") * F.col("width") - (F.col("width") - 2 * mw) * (F.col("height") - 2 * mh)
-    rows = size.join(counted, "image_id", "left").select("image_id", F.when(all_ > 0, F.coalesce("edge", F.lit(0)) / all_).otherwise(0.0).alias("edges"))
-    return rows.join(margin(pixels, share), "image_id").withColumn("score", signals.background(F.col("edges"), F.col("std")))
+    outside = (F.col("x") < mw) | (F.col("x") >= F.col("width") - mw) | (F.col("y") < mh) | (F.col("y") >= F.col("height") - mh)
+    own = margin(pixels, share, F.count_if(outside).alias("all"), *[F.max(c).alias(c) for c in ("height", "width")])
+    edge = (F.col("b") - F.col("a") + 1) - inside(mw, mh, F.col("width") - 2 * mw, F.col("height") - 2 * mh)
+    rows = own.join(edges(pixels, *MARGINS), "image_id", "left").groupBy("image_id", "all", "std").agg(F.coalesce(F.sum(edge), F.lit(0)).alias("edge"))
+    part = F.when(F.col("all") > 0, F.col("edge") / F.col("all")).otherwise(0.0).alias("edges")
+    return rows.select("image_id", part, "std").withColumn("score", signals.background(F.col("edges"), F.col("std")))
 
 
 def densities(pixels: DataFrame, width: int, height: int) -> DataFrame:

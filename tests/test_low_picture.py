@@ -40,3 +40,18 @@ def test_toner_of_blocks_at_the_limit(spark):
     for parts in (1, 7):
         dealt = spark.createDataFrame(rows, "image_id long, y int, x int, g int").repartition(parts)
         assert {r.image_id: r.blocks for r in raster.toner(dealt, 4, 1).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def lacking(tmp_path_factory):
+    """Scenes that lack their last, middle or first vectors, and a whole one."""
+    folder = tmp_path_factory.mktemp("lacking")
+    which = "vec_id BETWEEN 20 AND 21 OR vec_id BETWEEN 30 AND 35 OR vec_id BETWEEN 40 AND 49 AND vec_id % 10 <> 4 OR vec_id BETWEEN 53 AND 59 OR vec_id BETWEEN 60 AND 69 OR vec_id BETWEEN 470 AND 471"
+    duckdb.sql(f"COPY (SELECT * FROM '{DATA}/embeddings.parquet' WHERE {which}) TO '{folder}/embeddings.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["q_background", "q_face_ring", "q_edges", "q_perspective"])
+def test_scene_that_lacks_rows_equals_sql(spark, lacking, name):
+    """A scene's frame is that of a whole one, and a gradient goes from a row to the next that is there."""
+    test_low_picture_equals_sql(spark, lacking, name)
